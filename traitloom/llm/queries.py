@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import simhash
+from traitloom.llm import quality, simhash, warc
 from traitloom.llm.shared import table
 
 
@@ -14,9 +14,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of every text, and the verdict of the weakly supervised model."""
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold when they are read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op9_warc": op9_warc,
 }
 
 #: DuckDB SQL with the same rows, for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_warc": """
+        WITH q AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT payload_digest, min(page_id) AS first_id FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM q LEFT JOIN f USING (payload_digest)""",
+}
