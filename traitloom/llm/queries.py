@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import quality, simhash, warc
+from traitloom.llm import decontaminate, linededup, packing, quality, simhash, warc
 from traitloom.llm.shared import table
 
 
@@ -20,6 +21,22 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item found in a document, with its best passage and overlaps."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without passages that stand elsewhere before, and what went."""
+    cleaned = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("row.doc_id", F.col("clean").alias("text"), "removed_units", "removed_words")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold when they are read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
@@ -28,6 +45,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op9_warc": op9_warc,
 }
 
