@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, linededup, packing, quality, simhash, warc
+from traitloom.llm import decontaminate, langid, licenses, linededup, packing, quality, secrets, simhash, warc
 from traitloom.llm.shared import table
 
 
@@ -37,18 +37,39 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("row.doc_id", F.col("clean").alias("text"), "removed_units", "removed_words")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by compression; rows of remainder 2 are kept from training."""
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.identify(docs, langid.train(docs))
+    return predicted.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every text by pattern and by character model."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold when they are read back."""
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every text."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
+    "op10_licenses": op10_licenses,
 }
 
 #: DuckDB SQL with the same rows, for the queries that SQL can express.
