@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, langid, licenses, linededup, packing, quality, secrets, simhash, warc
+from traitloom.llm import decontaminate, langid, licenses, linededup, packing, quality, secrets, simhash, tokencounts, warc
 from traitloom.llm.shared import table
 
 
@@ -26,6 +26,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token count, and the count after edits that mask personal data."""
+    return tokencounts.recount(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item found in a document, with its best passage and overlaps."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_language": op7_language,
