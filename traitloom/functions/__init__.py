@@ -1 +1 @@
-
+"""Column functions: tokens, texts, web pages and dates."""

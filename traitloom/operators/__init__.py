@@ -1 +1 @@
-
+"""Joins, aggregates, windows, graph and ledger operators as DataFrame functions."""

@@ -1,6 +1,4 @@
-"""The registered queries over the supplied tables, and DuckDB SQL with the same rows."""
+"""All registered queries over the supplied tables."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from traitloom.plans import trait_queries  # noqa: F401
+from traitloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
