@@ -17,10 +17,16 @@ REASONS = (("rate_limited", "(?i)429|rate limit|too many requests"), ("timeout",
 
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """A Parquet table as a stream; times without a zone become UTC times, so they can carry a watermark."""
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """A Parquet table (a folder or one file) as a stream.
+
+    Times without a zone become UTC times, so they can carry a watermark.
+    """
+    there = spark.read.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    source = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", per_trigger)
+    if any(f.rstrip("/").endswith(f"/{name}") for f in there.inputFiles()):
+        source, path = source.option("pathGlobFilter", name), folder
+    return source.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def blocker_reason(detail: Column) -> Column:
