@@ -18,6 +18,11 @@ SCRIPTS = (("[\\x{3040}-\\x{30ff}]", "ja"), ("[\\x{ac00}-\\x{d7af}]", "ko"), ("[
 LETTERS = {"æ": "ae", "œ": "oe", "ø": "o", "ß": "ss", "ð": "d", "þ": "th", "ł": "l", "đ": "d"}
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``, within one row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unicode_form(text: Column, form: str) -> Column:
     """NFC, NFD, NFKC or NFKD. Spark has none of its own; plain ASCII texts never leave the JVM."""
 
@@ -109,10 +114,15 @@ def paragraphs_of_lines(lines: Column) -> Column:
 def cleanup_transcription(text: Column, least_repeats: int = 5, most_chars: int = 60) -> Column:
     """Without page numbers and short lines found five times or more, unwrapped to paragraphs."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), lambda x: F.trim(x))
-    short = F.filter(lines, lambda x: (x != "") & (F.length(x) < most_chars))
-    often = F.filter(F.array_distinct(short), lambda x: F.size(F.filter(short, lambda y: y == x)) >= least_repeats)
-    kept = F.filter(lines, lambda x: ~x.rlike(r"^[\[(]?\d{1,4}[\])]?$") & ~F.array_contains(often, x))
-    return F.array_join(paragraphs_of_lines(kept), "\n\n")
+
+    def often(short: Column) -> Column:
+        return F.array_distinct(F.filter(short, lambda x, i: F.get(short, i + (least_repeats - 1)) == x))
+
+    def kept(own: Column) -> Column:
+        short = F.array_sort(F.filter(own, lambda x: (x != "") & (F.length(x) < most_chars)))
+        return let(let(short, often), lambda o: F.filter(own, lambda x: ~x.rlike(r"^[\[(]?\d{1,4}[\])]?$") & ~F.array_contains(o, x)))
+
+    return F.array_join(paragraphs_of_lines(let(lines, kept)), "\n\n")
 
 
 def iso_format(ts: Column) -> Column:
