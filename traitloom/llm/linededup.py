@@ -8,8 +8,9 @@ first occurrence (smallest document, then earliest place) and goes elsewhere, if
 equal those of the first and if it stands in a run of such chunks of more than one unit and
 at least ``min_words`` words: a common line alone stays.
 
-Only hashes are grouped over the whole corpus; texts of repeated chunks meet their first
-occurrence's text in a shuffle join that splits crowded hashes.
+Only hashes are grouped over the whole corpus. A sieve of bounded size, a bit for each
+repeated hash, then lets a second reading of the texts pick the chunks worth comparing; it
+saves shuffling and decides nothing, for an exact join follows, which splits crowded hashes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,6 +33,8 @@ MAX_UNITS = 16
 MIN_WORDS = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: Bits of the sieve for each repeated hash, and at most and at least in all.
+SIEVE_SHARE, SIEVE_MOST, SIEVE_LEAST = 16, 1 << 26, 1 << 12
 UNIT = re.compile(rb"[^\n]*?(?:[.!?](?=[ \t])[ \t]+|\n|$)")
 KEY = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType())])
 
@@ -65,11 +69,14 @@ def chunks(text: bytes) -> list[tuple[list[bytes], bytes]]:
     return [(c, b"\n".join(x for x in map(bytes.strip, c) if x)) for c in out]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Key (id and text hash; rows equal in both are one document), text, and the whole row."""
+def _key(id_col: str, text_col: str) -> Column:
+    """A row's id and the hash of its text; rows equal in both are one document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 def _keyed(key: pa.Array, at: list[int]) -> pa.Array:
@@ -90,22 +97,38 @@ def _hashes(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType())]))
 
 
-def _contents(marked: DataFrame) -> DataFrame:
-    """(key, at, hash, first, content) of the chunks listed in ``marked.found``."""
-    schema = T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("is_first", T.BooleanType()), T.StructField("content", T.BinaryType())])
+def _sieve(repeated: DataFrame) -> np.ndarray:
+    """Words of 64 bits; the bit of each repeated hash is set."""
+    bits = SIEVE_LEAST
+    while bits < min(SIEVE_MOST, SIEVE_SHARE * repeated.count()):
+        bits *= 2
+    word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(bits // 64 - 1)).alias("word")
+    held = repeated.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits")).toPandas()
+    sieve = np.zeros(bits // 64, np.int64)
+    sieve[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    return sieve
+
+
+def _contents(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """(key, at, hash, content) of the chunks whose hash the sieve holds."""
+    schema = T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("content", T.BinaryType())])
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value.view(np.uint64).tolist()
+        last = len(held) - 1
         for batch in batches:
             of, out = [], []
-            for i, (text, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                cut = chunks(text.encode("utf-8"))
-                for x in found:
-                    of.append(i)
-                    out.append((x["at"], x["hash"], x["is_first"], cut[x["at"]][1]))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), *columns], names=["key", "at", "hash", "is_first", "content"])
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for k, (_, content) in enumerate(chunks(text.encode("utf-8"))):
+                    h = xxhash.xxh3_64_intdigest(content) - (1 << 63)
+                    if content and held[((h & MASK) >> 6) & last] >> (h & 63) & 1:
+                        of.append(i)
+                        out.append((k, h, content))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), *columns], names=["key", "at", "hash", "content"])
 
-    return marked.select("key", "text", "found").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cut_runs(text: str, repeated: set[int], min_words: int) -> tuple[str, int, int]:
@@ -132,16 +155,17 @@ def cut_runs(text: str, repeated: set[int], min_words: int) -> tuple[str, int, i
     return b"".join(keep).decode("utf-8"), gone_units, gone_words
 
 
-def _rewritten(marked: DataFrame, min_words: int) -> DataFrame:
+def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
     schema = T.StructType([marked.schema["row"], T.StructField("clean", T.StringType()), T.StructField("removed_units", T.LongType()), T.StructField("removed_words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [cut_runs(t, set(r), min_words) if r else (t, 0, 0) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            texts = batch.column(0).field(text_at).to_pylist()
+            out = [cut_runs(t or "", set(r), min_words) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "clean", "removed_units", "removed_words"])
 
-    return marked.select("row", "text", "repeated").mapInArrow(run, schema)
+    return marked.select("row", "repeated").mapInArrow(run, schema)
 
 
 def _with(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
@@ -153,16 +177,14 @@ def _with(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, at) of each chunk whose bytes equal those of an earlier occurrence elsewhere."""
     rows = _rows(docs, id_col, text_col)
-    hashed = materialise(_hashes(rows), "chunks")
     place = F.struct(F.col("key.id").isNull().alias("no_id"), "key", "at")
-    firsts = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
-    found = hashed.join(firsts, "hash").select("key", F.struct("at", "hash", (F.col("first.key.id").eqNullSafe(F.col("key.id")) & (F.col("first.key.text_hash") == F.col("key.text_hash"))
-                                               & (F.col("first.at") == F.col("at"))).alias("is_first")).alias("x"))
-    lists = found.groupBy("key").agg(F.collect_set("x").alias("found"))
-    contents = materialise(_contents(_with(rows.select("key", "text"), lists, "found").where("found is not null")), "contents")
-    originals = contents.where("is_first").select(F.col("hash").alias("first_hash"), F.col("content").alias("first_content"))
-    later = contents.where("not is_first")
-    return later.join(originals, (later.hash == originals.first_hash) & (later.content == originals.first_content), "left_semi").select("key", "at")
+    counted = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    repeated = materialise(counted.select("hash", "first"), "repeated")
+    contents = materialise(_contents(rows, _sieve(repeated)), "contents")
+    first = repeated.select(F.col("hash").alias("first_hash"), F.col("first.key.id").alias("first_id"), F.col("first.key.text_hash").alias("first_text"), F.col("first.at").alias("first_at"))
+    at_first = F.col("key.id").eqNullSafe(F.col("first_id")) & (F.col("key.text_hash") == F.col("first_text")) & (F.col("at") == F.col("first_at"))
+    originals = contents.join(first, (contents.hash == first.first_hash) & at_first).select("first_hash", "first_id", "first_text", "first_at", F.col("content").alias("first_content")).distinct()
+    return contents.join(originals, (contents.hash == originals.first_hash) & (contents.content == originals.first_content) & ~at_first).select("key", "at")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -173,7 +195,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     come after all others as first occurrences. No rows give no rows.
     """
     lists = repeated_chunks(docs, id_col, text_col).groupBy("key").agg(F.collect_set("at").alias("repeated"))
-    return _rewritten(_with(_rows(docs, id_col, text_col), lists, "repeated"), min_words)
+    rows = docs.select(_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _rewritten(_with(rows, lists, "repeated"), docs.columns.index(text_col), min_words)
 
 
 def with_clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
