@@ -1,7 +1,7 @@
 """Secrets in texts: fixed patterns, and long strings that look random.
 
 A character Markov model of random strings, learned from what the patterns matched, and one
-of ordinary words, learned from a bounded sample of documents, score every long string by
+of ordinary words and identifiers, learned from those of a bounded sample of documents, score every long string by
 their log-likelihood ratio per character. Everything is DataFrame functions.
 
 Places are found by splitting a text with the pattern that also extracts its matches: the
@@ -29,8 +29,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 STATES = len(ALPHABET) + 1
 LEAST_BITS = 0.75
-#: Documents, by smallest id hash, whose words stand for ordinary strings; and a smoothing count.
-SAMPLE_DOCS, SMOOTHING = 4000, 0.5
+#: Documents, by smallest id hash, whose words stand for ordinary strings; and smoothing counts.
+SAMPLE_DOCS, SMOOTHING, FALL_BACK = 4000, 0.5, 8.0
+#: What labels a string as ordinary: words in small letters, perhaps with a capital, or in capitals, and such words joined.
+ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_.=/-](?:[A-Z]?[a-z]+|[A-Z]+))*[.]?$"
 EMPTY = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -76,12 +78,23 @@ def train(scanned: DataFrame, docs: DataFrame, id_col: str, text_col: str, sampl
     order = F.xxhash64(F.col(f"`{id_col}`").cast("string"))
     last = docs.select(order.alias("o")).distinct().orderBy("o").limit(sample_docs).agg(F.max("o")).first()[0]
     words = docs.where(order <= F.lit(last).cast("long")).select(F.explode(F.split(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), r"[^A-Za-z0-9+/_=.-]+")).alias("value"))
-    ordinary = words.where(F.length("value") >= 4).groupBy("value").agg(F.count("*").alias("n")).join(random.select("value"), "value", "left_anti")
-    counts = [[SMOOTHING] * STATES**2 for _ in range(2)]
+    ordinary = words.where((F.length("value") >= 4) & F.col("value").rlike(ORDINARY)).groupBy("value").agg(F.count("*").alias("n")).join(random.select("value"), "value", "left_anti")
+    counts = [[0.0] * STATES**2 for _ in range(2)]
     for row in _transitions(random, 0).unionByName(_transitions(ordinary, 1)).collect():
         counts[row["label"]][row["cell"]] += row["n"]
-    sums = [[sum(c[i * STATES : (i + 1) * STATES]) for i in range(STATES)] for c in counts]
-    return [math.log2(counts[0][i] / sums[0][i // STATES]) - math.log2(counts[1][i] / sums[1][i // STATES]) for i in range(STATES**2)]
+    return _ratios(*map(_smoothed, counts))
+
+
+def _smoothed(counts: list[float]) -> list[float]:
+    """Transition probabilities; a rare state falls back on how common the next character is."""
+    total = sum(counts)
+    common = [(sum(counts[j::STATES]) + SMOOTHING) / (total + SMOOTHING * STATES) for j in range(STATES)]
+    seen = [sum(counts[i * STATES : (i + 1) * STATES]) for i in range(STATES)]
+    return [(n + FALL_BACK * common[k % STATES]) / (seen[k // STATES] + FALL_BACK) for k, n in enumerate(counts)]
+
+
+def _ratios(random: list[float], ordinary: list[float]) -> list[float]:
+    return [math.log2(a / b) for a, b in zip(random, ordinary, strict=True)]
 
 
 def mean_bits(value: Column, model: list[float]) -> Column:
