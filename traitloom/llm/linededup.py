@@ -6,7 +6,9 @@ chooses chunk boundaries; these depend on the units near them alone, so an inser
 in a text shifts no later boundary. A chunk found twice or more in the corpus stays at its
 first occurrence (smallest document, then earliest place) and goes elsewhere, if its bytes
 equal those of the first and if it stands in a run of such chunks of more than one unit and
-at least ``min_words`` words: a common line alone stays.
+at least ``min_words`` words: a common line alone stays. A run reaches on into the chunks
+beside it as far as their units equal those beside the first occurrence, so a passage goes
+whole although its ends share chunks with other text.
 
 Only hashes are grouped over the whole corpus. A sieve of bounded size, a bit for each
 repeated hash, then lets a second reading of the texts pick the chunks worth comparing; it
@@ -28,45 +30,54 @@ from pyspark.sql import types as T
 from traitloom.llm.shared import materialise
 
 #: A boundary falls after a unit where the rolling hash over two units is divisible by this.
+#: A chunk closes with this many words at the least and this many units at the most.
 DIVISOR = 2
-MAX_UNITS = 16
+LEAST_WORDS, MAX_UNITS = 8, 16
 MIN_WORDS = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Bits of the sieve for each repeated hash, and at most and at least in all.
 SIEVE_SHARE, SIEVE_MOST, SIEVE_LEAST = 16, 1 << 26, 1 << 12
-UNIT = re.compile(rb"[^\n]*?(?:[.!?](?=[ \t])[ \t]+|\n|$)")
+BREAK = re.compile(rb"[.!?][ \t]+|\n")
 KEY = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType())])
 
 
 def units(text: bytes) -> list[bytes]:
     """The units of a text, with the white space that follows each; joined they give the text."""
-    return [u for u in UNIT.findall(text) if u]
+    ends = [m.end() for m in BREAK.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False) if b > a]
 
 
-def chunks(text: bytes) -> list[tuple[list[bytes], bytes]]:
-    """The chunks of a text: their units, and their content (the stripped units, a line each).
+def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
+    """The chunks of a text: their units, and the stripped units that are not blank.
 
-    A blank unit goes with the chunk before it and has no part in the content.
+    A blank unit goes with the chunk before it.
     """
-    out: list[list[bytes]] = []
-    inside, before, counted = [], 0, 0
+    out: list[tuple[list[bytes], list[bytes]]] = []
+    own, held, words, before = [], [], 0, 0
     for unit in units(text):
         content = unit.strip()
         if not content:
-            (inside or (out[-1] if out else inside)).append(unit)
+            (own if own or not out else out[-1][0]).append(unit)
             continue
-        inside.append(unit)
-        counted += 1
-        own = xxhash.xxh64_intdigest(content)
-        rolled = (before * MULTIPLIER + own) & MASK
-        before = own
-        if (rolled >> 32) % DIVISOR == 0 or counted >= MAX_UNITS:
-            out.append(inside)
-            inside, counted = [], 0
-    if inside:
-        out.append(inside)
-    return [(c, b"\n".join(x for x in map(bytes.strip, c) if x)) for c in out]
+        own.append(unit)
+        held.append(content)
+        words += content.count(b" ") + 1
+        number = xxhash.xxh64_intdigest(content)
+        rolled = (before * MULTIPLIER + number) & MASK
+        before = number
+        if (words >= LEAST_WORDS and (rolled >> 32) % DIVISOR == 0) or len(held) >= MAX_UNITS:
+            out.append((own, held))
+            own, held, words = [], [], 0
+    if own:
+        out.append((own, held))
+    return out
+
+
+def content_hash(held: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(held)) - (1 << 63)
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -89,9 +100,11 @@ def _hashes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             of, at, hashes = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, (_, content) in enumerate(chunks(text.encode("utf-8"))):
-                    if content:
-                        of.append(i), at.append(k), hashes.append(xxhash.xxh3_64_intdigest(content) - (1 << 63))
+                for k, (_, held) in enumerate(chunks(text.encode("utf-8"))):
+                    if held:
+                        of.append(i)
+                        at.append(k)
+                        hashes.append(content_hash(held))
             yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "at", "hash"])
 
     return rows.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType())]))
@@ -110,47 +123,72 @@ def _sieve(repeated: DataFrame) -> np.ndarray:
 
 
 def _contents(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """(key, at, hash, content) of the chunks whose hash the sieve holds."""
-    schema = T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("content", T.BinaryType())])
+    """(key, at, hash, content, before, after) of the chunks whose hash the sieve holds, with their neighbours' units."""
+    fields = [("at", T.IntegerType()), ("hash", T.LongType()), ("content", T.BinaryType()), ("before", T.ArrayType(T.BinaryType())), ("after", T.ArrayType(T.BinaryType()))]
+    schema = T.StructType([T.StructField("key", KEY), *[T.StructField(n, t) for n, t in fields]])
     shared = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value.view(np.uint64).tolist()
-        last = len(held) - 1
+        bits = shared.value.view(np.uint64).tolist()
+        last, units_type = len(bits) - 1, pa.list_(pa.binary())
         for batch in batches:
             of, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, (_, content) in enumerate(chunks(text.encode("utf-8"))):
-                    h = xxhash.xxh3_64_intdigest(content) - (1 << 63)
-                    if content and held[((h & MASK) >> 6) & last] >> (h & 63) & 1:
+                cut = chunks(text.encode("utf-8"))
+                for k, (_, held) in enumerate(cut):
+                    h = content_hash(held)
+                    if held and bits[((h & MASK) >> 6) & last] >> (h & 63) & 1:
                         of.append(i)
-                        out.append((k, h, content))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), *columns], names=["key", "at", "hash", "content"])
+                        out.append((k, h, b"\n".join(held), cut[k - 1][1][::-1] if k else [], cut[k + 1][1] if k + 1 < len(cut) else []))
+            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), units_type, units_type))]
+            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), *columns], names=["key", "at", "hash", "content", "before", "after"])
 
     return rows.mapInArrow(run, schema)
 
 
-def cut_runs(text: str, repeated: set[int], min_words: int) -> tuple[str, int, int]:
-    """The text without its runs of repeated chunks, and the units and words removed."""
+def _common(a: str, b: str) -> Column:
+    """How many leading elements of two arrays are equal."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a))
+
+
+def _parted(own: list[bytes], lead: int, tail: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """A chunk's units: its first ``lead`` that are not blank, the middle, and its last ``tail``."""
+    places = [i for i, u in enumerate(own) if u.strip()]
+    lead = min(lead, len(places))
+    tail = min(tail, len(places) - lead)
+    a = places[lead - 1] + 1 if lead else 0
+    b = places[len(places) - tail] if tail else len(own)
+    return own[:a], own[a:b], own[b:]
+
+
+def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int) -> tuple[str, int, int]:
+    """The text without its runs of repeated chunks, and the units and words removed.
+
+    ``repeated`` gives for a chunk's number how many units of its neighbours belong to it.
+    """
     keep, gone_units, gone_words, run = [], 0, 0, []
 
     def end_run() -> None:
         nonlocal gone_units, gone_words
-        contents = [u for c in run for u in c if u.strip()]
+        contents = [u for u in run if u.strip()]
         words = sum(len(u.split()) for u in contents)
         if len(contents) > 1 and words >= min_words:
             gone_units, gone_words = gone_units + len(contents), gone_words + words
         else:
-            keep.extend(u for c in run for u in c)
+            keep.extend(run)
         run.clear()
 
     for k, (own, _) in enumerate(chunks(text.encode("utf-8"))):
         if k in repeated:
-            run.append(own)
-        else:
+            run.extend(own)
+            continue
+        lead, middle, tail = _parted(own, repeated.get(k - 1, (0, 0))[1], repeated.get(k + 1, (0, 0))[0])
+        run.extend(lead)
+        if middle:
             end_run()
-            keep.extend(own)
+            keep.extend(middle)
+        run.extend(tail)
     end_run()
     return b"".join(keep).decode("utf-8"), gone_units, gone_words
 
@@ -161,7 +199,7 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field(text_at).to_pylist()
-            out = [cut_runs(t or "", set(r), min_words) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            out = [cut_runs(t or "", {x["at"]: (x["n_before"], x["n_after"]) for x in r}, min_words) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "clean", "removed_units", "removed_words"])
 
@@ -175,7 +213,10 @@ def _with(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, at) of each chunk whose bytes equal those of an earlier occurrence elsewhere."""
+    """(key, place) of each chunk whose bytes equal those of an earlier occurrence elsewhere.
+
+    A place is the chunk's number and how many units before and after it also agree.
+    """
     rows = _rows(docs, id_col, text_col)
     place = F.struct(F.col("key.id").isNull().alias("no_id"), "key", "at")
     counted = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -183,8 +224,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     contents = materialise(_contents(rows, _sieve(repeated)), "contents")
     first = repeated.select(F.col("hash").alias("first_hash"), F.col("first.key.id").alias("first_id"), F.col("first.key.text_hash").alias("first_text"), F.col("first.at").alias("first_at"))
     at_first = F.col("key.id").eqNullSafe(F.col("first_id")) & (F.col("key.text_hash") == F.col("first_text")) & (F.col("at") == F.col("first_at"))
-    originals = contents.join(first, (contents.hash == first.first_hash) & at_first).select("first_hash", "first_id", "first_text", "first_at", F.col("content").alias("first_content")).distinct()
-    return contents.join(originals, (contents.hash == originals.first_hash) & (contents.content == originals.first_content) & ~at_first).select("key", "at")
+    originals = contents.join(first, (contents.hash == first.first_hash) & at_first).select("first_hash", "first_id", "first_text", "first_at", F.col("content").alias("first_content"),
+                                                                                             F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["first_hash"])
+    later = contents.join(originals, (contents.hash == originals.first_hash) & (contents.content == originals.first_content) & ~at_first)
+    return later.select("key", F.struct("at", _common("before", "first_before").alias("n_before"), _common("after", "first_after").alias("n_after")).alias("place"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -194,7 +237,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, so such repeated rows all keep or lose the same chunks. Rows with a null id
     come after all others as first occurrences. No rows give no rows.
     """
-    lists = repeated_chunks(docs, id_col, text_col).groupBy("key").agg(F.collect_set("at").alias("repeated"))
+    lists = repeated_chunks(docs, id_col, text_col).groupBy("key").agg(F.collect_set("place").alias("repeated"))
     rows = docs.select(_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return _rewritten(_with(rows, lists, "repeated"), docs.columns.index(text_col), min_words)
 
