@@ -18,8 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traitloom.llm.shared import SPACE, let, materialise, words_of
+from traitloom.llm.shared import SPACE, let, materialise
 
+#: ASCII white space, character by character.
+SPACES = " \t\n\x0b\x0c\r"
 #: Words of a window, for repeats within a text.
 WINDOW = 8
 #: A text under so many words, or with more than so many percent of repeated words, fails outright.
@@ -30,14 +32,22 @@ PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{Ll}\p{Lo}\p{M}'’-]*[.,;:?!]?(?![^\x20\
 KEEP_FROM = 0.5
 
 
+def window_hashes(hashes: Column) -> Column:
+    """A hash of each window of eight consecutive elements, from those of two and of four."""
+    def step(x: Column, ahead: int) -> Column:
+        return F.zip_with(x, F.slice(x, F.lit(ahead + 1), F.size(x)), lambda a, b: F.xxhash64(a, b))
+
+    return let(step(hashes, 1), lambda two: let(step(two, 2), lambda four: F.slice(step(four, 4), F.lit(1), F.size(four) - (WINDOW - 1))))
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in a window of eight that is found twice or more, the first included.
 
-    Windows are compared by a 64-bit hash. Most texts repeat none, which one pass finds;
-    else the windows are sorted by hash, and the union of the repeated ones is measured.
+    ``words`` are the hashes of a text's words, and windows are compared by 64-bit hashes of
+    these. Most texts repeat none, which one pass finds; else the windows are sorted by hash,
+    and the union of the repeated ones is measured.
     """
-    hashes = F.when(F.size(words) >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.when(F.size(words) >= WINDOW, window_hashes(words)).otherwise(F.array().cast("array<bigint>"))
 
     def places(h: Column) -> Column:
         ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
@@ -56,14 +66,15 @@ def repeated_words(words: Column) -> Column:
 def measures(text: Column) -> dict[str, Column]:
     """The measures of a text, by name; a null text is empty."""
     text = F.coalesce(text, F.lit(""))
-    words = words_of(text)
+    bare = F.btrim(text, F.lit(SPACES))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE + "+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    own = let(words, lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words")))
+    own = let(words, lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(
+        F.size(h).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(h).alias("n_repeat_words"),
+        F.size(F.array_distinct(h)).cast("long").alias("n_distinct_words"))))
     duplicated = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return {
         "word_measures": own, "line_measures": duplicated,
-        "word_chars": F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
         "n_plain": F.regexp_count(text, F.lit(PLAIN)).cast("long"),
@@ -74,7 +85,7 @@ def measures(text: Column) -> dict[str, Column]:
 def measured(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
     """The columns ``keep`` and the measures, flattened."""
     found = docs.select(*[c.alias(n) for n, c in keep.items()], *[c.alias(n) for n, c in measures(text).items()])
-    return found.select(*keep, "word_measures.*", "line_measures.*", "word_chars", "n_symbols", "n_capitals", "n_plain", "n_shouts")
+    return found.select(*keep, "word_measures.*", "line_measures.*", "n_symbols", "n_capitals", "n_plain", "n_shouts")
 
 
 def base_failed() -> Column:
@@ -163,8 +174,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``."""
-    text, row = F.col(f"`{text_col}`"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    model = fit_votes(measured(docs, text, {}))
-    voted = measured(docs, text, {"row": row}).select("*", *[r.vote() for r in RULES])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = materialise(measured(docs, F.col(f"`{text_col}`"), {"row": row}), "measured")
+    model = fit_votes(found)
+    voted = found.select("*", *[r.vote() for r in RULES])
     kept = voted.where(~base_failed() & (model.posterior() >= KEEP_FROM))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
