@@ -137,27 +137,49 @@ class Model:
 
 
 def fit(patterns: DataFrame, iterations: int = ITERATIONS) -> Model:
-    """Expectation-maximisation over vote patterns with their counts ``n``; no rows give the start."""
-    model = Model()
-    for _ in range(iterations):
-        held = patterns.select("*", model.posterior().alias("p"))
-        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
-        for i, rule in enumerate(RULES):
-            vote = F.col(rule.name)
-            sums += [F.sum(F.when(vote == 1, F.col("n") * F.col("p")).when(vote == -1, F.col("n") * (1 - F.col("p")))).alias(f"right_{i}"),
-                     F.sum(F.when(vote != 0, F.col("n"))).alias(f"votes_{i}")]
-        row = held.agg(*sums).first().asDict()
-        if not row["all"]:
-            return model
-        rates = [((row[f"right_{i}"] or 0.0) + 1) / ((row[f"votes_{i}"] or 0) + 2) for i in range(len(RULES))]
-        model = Model((row["good"] + 1) / (row["all"] + 2), tuple(min(MOST_ACCURACY, max(LEAST_ACCURACY, r)) for r in rates))
-    return model
+    """Expectation-maximisation over vote patterns with their counts ``n``; no rows give the start.
+
+    The patterns, of which there are at most 3^rules, become one sorted array, and all steps
+    run in one expression over it: a job for each step would cost far more than its sums.
+    """
+    start = Model()
+    votes = F.array(*[F.col(r.name).cast("int") for r in RULES])
+    row = patterns.agg(F.array_sort(F.collect_list(F.struct(votes.alias("votes"), F.col("n").cast("double").alias("n")))).alias("patterns"))
+
+    def likelihood(pattern: Column, right: Column, side: int) -> Column:
+        factors = F.zip_with(pattern["votes"], right, lambda vote, r: F.when(vote == side, r).when(vote == -side, 1 - r).otherwise(F.lit(1.0)))
+        return F.aggregate(factors, F.lit(1.0), lambda product, x: product * x)
+
+    def expected(model: Column) -> Column:
+        """Each pattern with the weight of its documents held to be good."""
+        def weigh(p: Column) -> Column:
+            return let(F.struct((model["good"] * likelihood(p, model["accuracy"], 1)).alias("g"), ((1 - model["good"]) * likelihood(p, model["accuracy"], -1)).alias("b")),
+                       lambda w: F.struct(p["votes"].alias("votes"), p["n"].alias("n"), (p["n"] * w["g"] / (w["g"] + w["b"])).alias("good")))
+
+        return F.transform("patterns", weigh)
+
+    def total(weighed: Column, value) -> Column:
+        return F.aggregate(weighed, F.lit(0.0), lambda so_far, w: so_far + value(w))
+
+    def accuracy(weighed: Column, i: Column) -> Column:
+        right = total(weighed, lambda w: F.when(F.get(w["votes"], i) == 1, w["good"]).when(F.get(w["votes"], i) == -1, w["n"] - w["good"]).otherwise(F.lit(0.0)))
+        voted = total(weighed, lambda w: F.when(F.get(w["votes"], i) != 0, w["n"]).otherwise(F.lit(0.0)))
+        return F.least(F.lit(MOST_ACCURACY), F.greatest(F.lit(LEAST_ACCURACY), (right + 1) / (voted + 2)))
+
+    def step(model: Column, _: Column) -> Column:
+        return let(expected(model), lambda w: F.struct(
+            ((total(w, lambda x: x["good"]) + 1) / (total(w, lambda x: x["n"]) + 2)).alias("good"),
+            F.transform(F.sequence(F.lit(0), F.lit(len(RULES) - 1)), lambda i: accuracy(w, i)).alias("accuracy")))
+
+    first = F.struct(F.lit(start.good).alias("good"), F.array(*[F.lit(x) for x in start.accuracy]).alias("accuracy"))
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), first, step)
+    found = row.select(F.when(F.size("patterns") > 0, fitted).alias("model")).first()["model"]
+    return Model(found["good"], tuple(found["accuracy"])) if found else start
 
 
 def fit_votes(found: DataFrame) -> Model:
     """The model of a table of measures."""
-    counted = found.select(*[r.vote() for r in RULES]).groupBy(*[r.name for r in RULES]).agg(F.count("*").alias("n"))
-    return fit(materialise(counted, "votes").coalesce(1).cache())
+    return fit(found.select(*[r.vote() for r in RULES]).groupBy(*[r.name for r in RULES]).agg(F.count("*").alias("n")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
