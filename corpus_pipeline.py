@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traitloom.llm import decontaminate, linededup, packing, quality, simhash
+from traitloom.llm import decontaminate, linededup, minhash, packing, quality
 from traitloom.llm.shared import materialise, table
 
 
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles)."""
-    return simhash.drop_near_duplicates(docs, shingle_words=5, max_distance=5)
+    """One document of each group of near duplicates stays (five-word shingles, a similarity of 0.8 or 5 bits)."""
+    return minhash.drop_similar(docs, shingle_words=5, percent=80, max_distance=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

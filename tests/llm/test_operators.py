@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from traitloom.llm import decontaminate, langid, licenses, linededup, packing, quality, queries, secrets, simhash, tokencounts, warc
+from traitloom.llm import decontaminate, langid, licenses, linededup, minhash, packing, quality, queries, secrets, simhash, tokencounts, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -438,6 +438,30 @@ def test_licenses_odd_rows(odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_near_dedup_against_brute_force_similarity(spark):
+    r, rows = random.Random(3), []
+    for g in range(30):
+        base = prose(500 + g, 60 + 10 * g).split()
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 4):
+            edited = list(base)
+            for at in r.sample(range(len(base)), max(1, len(base) * k // 90)):
+                edited[at] = f"edit{r.randrange(10**6)}"
+            rows.append((10 * g + k, " ".join(edited)))
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    prints = {i: brute_fingerprint(t, 5) for i, t in rows}
+    similar = {(a, b) for a in grams for b in grams if a < b and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b])}
+    apart = {p for p in similar if bin(prints[p[0]] ^ prints[p[1]]).count("1") > 5}
+    assert len(apart) > 20
+    label = {i: i for i in grams}
+    links = similar | {(a, b) for a in grams for b in grams if a < b and bin(prints[a] ^ prints[b]).count("1") <= 5}
+    for _ in grams:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()} == set(label.values())
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, kept = docs.columns, None

@@ -16,7 +16,7 @@ fingerprints and the shuffle join splits crowded segment values (AQE skew join).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
@@ -34,11 +34,12 @@ SEED = 42
 HASHES_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: str | None, shingle_words: int) -> int:
-    """The fingerprint of one text as a signed 64-bit number; no words give zero."""
+def shingle_spans(text: str | None, shingle_words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of a text joined by spaces, and where in it each shingle starts and ends.
+
+    A text of fewer words is one shingle; no words give none.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -47,15 +48,32 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
         starts, ends = starts[: len(words) - shingle_words + 1], ends[shingle_words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    counts = np.zeros(BITS, np.int64)
+    return line, starts, ends
+
+
+def shingle_hashes(text: str | None, shingle_words: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, in parts."""
+    line, starts, ends = shingle_spans(text, shingle_words)
     for at in range(0, len(starts), HASHES_AT_ONCE):
         spans = map(slice, starts[at : at + HASHES_AT_ONCE].tolist(), ends[at : at + HASHES_AT_ONCE].tolist())
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, spans), repeat(SEED)), ">u8")
+        yield np.fromiter(map(xxhash.xxh64_intdigest, map(line.__getitem__, spans), repeat(SEED)), ">u8")
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in more than half of all hashes, as a signed number; no hashes give zero."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * counts > len(starts)).astype(np.uint8))
+        total += len(hashes)
+    bits = np.packbits((2 * counts > total).astype(np.uint8))
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle_words: int) -> int:
+    """The fingerprint of one text as a signed 64-bit number; no words give zero."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def with_fingerprints(docs: DataFrame, text_col: str, shingle_words: int, keep: dict[str, Column]) -> DataFrame:
     """The columns ``keep`` and ``fp``, a 64-bit fingerprint as a long."""
     picked = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text_col}`").alias("__text"))
@@ -155,10 +173,9 @@ def component_roots(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def first_by_fingerprint(keyed: DataFrame, max_distance: int, segments: int) -> DataFrame:
-    """For each distinct ``fp`` the smallest ``key`` in its whole component, as ``first``."""
-    classes = materialise(keyed.groupBy("fp").agg(F.min("key").alias("own")), "classes")
-    roots = component_roots(hamming_links(classes.select("fp"), max_distance, segments))
+def first_by_links(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """For each ``fp`` of ``classes`` (fp, own) the smallest ``own`` in its whole component, as ``first``."""
+    roots = component_roots(links)
     members = materialise(roots.union(roots.select("root", "root").distinct()), "members")
     linked = classes.join(members, classes.fp == members.node).select("fp", "root", "own")
     firsts = linked.groupBy("root").agg(F.min("own").alias("linked_first"))
@@ -167,6 +184,12 @@ def first_by_fingerprint(keyed: DataFrame, max_distance: int, segments: int) ->
         "fp", F.when(F.col("is_linked"), F.col("linked_first")).otherwise(F.col("own")).alias("first"))
 
 
+def first_by_fingerprint(keyed: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    """For each distinct ``fp`` the smallest ``key`` in its whole component, as ``first``."""
+    classes = materialise(keyed.groupBy("fp").agg(F.min("key").alias("own")), "classes")
+    return first_by_links(classes, hamming_links(classes.select("fp"), max_distance, segments))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
                     max_distance: int = 4, segments: int = 3) -> DataFrame:
     """One row per row of ``docs``: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
