@@ -328,6 +328,36 @@ def test_line_dedup_finds_shifted_passages(spark):
     assert all(got[i]["removed_words"] >= 90 and got[i]["clean"].split() != rows[i][1].split() for i in range(1, 6))
 
 
+def repeated_windows_of(texts, n=50):
+    """Places (id, word) of all windows of n words that stand, without overlap, at an earlier place."""
+    first, later = {}, []
+    for i in sorted(texts):
+        words = texts[i].split()
+        for p in range(len(words) - n + 1):
+            f = first.setdefault(" ".join(words[p : p + n]), (i, p))
+            if f[0] != i or p - f[1] >= n:
+                later.append((i, p))
+    return later
+
+
+def test_line_dedup_leaves_no_repeated_window(spark):
+    texts = {}
+    for i in range(20):
+        one = prose(700 + i % 5, 55)
+        sentences = ". ".join(prose(800 + 10 * (i % 5) + k, 19) for k in range(3))
+        texts[i] = f"{prose(900 + i, 7 + i)} {one} {prose(950 + i, 30)}. {prose(970 + i, 5)} {sentences} {prose(990 + i, 12)}."
+    texts[30] = " ".join(["again"] * 180)
+    texts[31] = f"{prose(31, 30)}\n{texts[30]}\tagain\n{prose(32, 30)}"
+    before = repeated_windows_of(texts)
+    assert {i for i, _ in before} == {*range(5, 20), 30, 31}
+    rows = linededup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    clean = {r["row"]["doc_id"]: r["clean"] for r in rows}
+    assert clean == brute_clean(texts) and repeated_windows_of(clean) == []
+    assert all(clean[i] == texts[i] for i in range(5)) and clean[30].split() == ["again"] * (50 + 180 % 50)
+    assert all(r["removed_words"] == len(texts[r["row"]["doc_id"]].split()) - len(r["clean"].split()) for r in rows)
+    assert all(r["removed_words"] == 55 + 57 for r in rows if 5 <= r["row"]["doc_id"] < 20)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     rows = linededup.dedup_lines(odd).collect()
     assert len(rows) == odd.count() and linededup.dedup_lines(empty).count() == 0

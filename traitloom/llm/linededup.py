@@ -10,6 +10,12 @@ at least ``min_words`` words: a common line alone stays. A run reaches on into t
 beside it as far as their units equal those beside the first occurrence, so a passage goes
 whole although its ends share chunks with other text.
 
+Beside the chunks, each window of WINDOW words that stands earlier in the corpus goes, however
+lines and sentences cut it: by itself, since it is a passage, not a common line. A window is
+named by the least hash among the runs of ANCHOR words in it; equal windows have equal names,
+and few words of a text give many windows one name, so only windows whose name stands at two
+or more places are compared. Of equal windows of one text that overlap, the first counts.
+
 Only hashes are grouped over the whole corpus. A sieve of bounded size, a bit for each
 repeated hash, then lets a second reading of the texts pick the chunks worth comparing; it
 saves shuffling and decides nothing, for an exact join follows, which splits crowded hashes.
@@ -18,7 +24,8 @@ saves shuffling and decides nothing, for an exact join follows, which splits cro
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +41,13 @@ from traitloom.llm.shared import materialise
 DIVISOR = 2
 LEAST_WORDS, MAX_UNITS = 8, 16
 MIN_WORDS = 20
+#: Words of a window, and of the runs in it that are hashed to name it.
+WINDOW, ANCHOR = 50, 25
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Bits of the sieve for each repeated hash, and at most and at least in all.
 SIEVE_SHARE, SIEVE_MOST, SIEVE_LEAST = 16, 1 << 26, 1 << 12
+WORD = re.compile(rb"\S+")
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
 KEY = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType())])
 
@@ -50,7 +60,7 @@ def units(text: bytes) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False) if b > a]
 
 
-def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
+def line_chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
     """The chunks of a text: their units, and the stripped units that are not blank.
 
     A blank unit goes with the chunk before it.
@@ -76,6 +86,46 @@ def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
     return out
 
 
+def distinct_windows(names: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The windows (place, name) that overlap no equal one before."""
+    out, last = [], {}
+    for at, name in names:
+        if at - last.get(name, -WINDOW) >= WINDOW:
+            last[name] = at
+            out.append((at, name))
+    return out
+
+
+def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
+    """All that is compared: the chunks of lines, then for each word the window that begins with it.
+
+    A window has no units of its own, and its content begins with a line break, as no chunk's does.
+    """
+    words = text.split()
+    windows = [(i, b" ".join(words[i : i + WINDOW])) for i in range(len(words) - WINDOW + 1)]
+    listed = dict(distinct_windows(windows))
+    return line_chunks(text) + [([], [b"", w] if i in listed else []) for i, w in windows]
+
+
+def window_names(words: list[bytes]) -> np.ndarray:
+    """For each window the least hash among its runs of ANCHOR words."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    runs = np.zeros(len(words) - ANCHOR + 1, np.uint64)
+    for i in range(ANCHOR):
+        runs *= np.uint64(MULTIPLIER)
+        runs += hashes[i : len(hashes) - ANCHOR + 1 + i]
+    runs ^= runs >> np.uint64(32)
+    runs *= np.uint64(0xD6E8FEB86659FD93)
+    runs ^= runs >> np.uint64(32)
+    n, width, reach = WINDOW - ANCHOR + 1, 1, runs
+    while 2 * width <= n:
+        reach = np.minimum(reach[: len(reach) - width], reach[width:])
+        width *= 2
+    return np.minimum(reach[: len(runs) - n + 1], reach[n - width : len(runs) - width + 1])
+
+
 def content_hash(held: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b"\n".join(held)) - (1 << 63)
 
@@ -100,7 +150,7 @@ def _hashes(rows: DataFrame) -> DataFrame:
         for batch in batches:
             of, at, hashes = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, (_, held) in enumerate(chunks(text.encode("utf-8"))):
+                for k, (_, held) in enumerate(line_chunks(text.encode("utf-8"))):
                     if held:
                         of.append(i)
                         at.append(k)
@@ -134,7 +184,7 @@ def _contents(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
         for batch in batches:
             of, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                cut = chunks(text.encode("utf-8"))
+                cut = line_chunks(text.encode("utf-8"))
                 for k, (_, held) in enumerate(cut):
                     h = content_hash(held)
                     if held and bits[((h & MASK) >> 6) & last] >> (h & 63) & 1:
@@ -146,6 +196,56 @@ def _contents(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _window_names(rows: DataFrame) -> DataFrame:
+    """(hash) of the name of each stretch of windows; twice if so long that the named run stands at two places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                names = window_names(text.encode("utf-8").split()).view(np.int64)
+                if len(names):
+                    starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+                    lengths = np.diff(np.r_[starts, len(names)])
+                    out += [names[starts], names[starts[lengths > WINDOW - ANCHOR + 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else [], pa.int64())], names=["hash"])
+
+    return rows.select("text").mapInArrow(run, T.StructType([T.StructField("hash", T.LongType())]))
+
+
+def _windows(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """(key, at, digest) of the windows whose name the sieve holds."""
+    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
+        last = np.uint64(len(bits) - 1)
+        for batch in batches:
+            of, out = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = text.encode("utf-8").split()
+                names = window_names(words)
+                held = np.flatnonzero(bits[(names >> np.uint64(6)) & last] >> (names & np.uint64(63)) & np.uint64(1))
+                if len(held):
+                    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+                    spans = zip(held.tolist(), (ends[held] - [len(words[k]) + 1 for k in held.tolist()]).tolist(), (ends[held + WINDOW - 1] - 1).tolist(), strict=True)
+                    own = distinct_windows([(k, xxhash.xxh3_128_digest(line[a:b])) for k, a, b in spans])
+                    of += [i] * len(own)
+                    out += own
+            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["key", "at", "digest"])
+
+    return rows.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("digest", T.BinaryType())]))
+
+
+def repeated_windows(rows: DataFrame) -> DataFrame:
+    """(key, at) of each window of ``rows`` (key, text) that stands at an earlier place; equal 128-bit hashes are equal windows."""
+    names = materialise(_window_names(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "names")
+    windows = materialise(_windows(rows, _sieve(names)), "windows")
+    place = F.struct(F.col("key.id").isNull().alias("no_id"), "key", "at")
+    first = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
+    at_first = F.col("key.id").eqNullSafe(F.col("first.key.id")) & (F.col("key.text_hash") == F.col("first.key.text_hash")) & (F.col("at") == F.col("first.at"))
+    return windows.join(first, "digest").where(~at_first).select("key", "at")
+
+
 def _common(a: str, b: str) -> Column:
     """How many leading elements of two arrays are equal."""
     differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
@@ -162,24 +262,50 @@ def _parted(own: list[bytes], lead: int, tail: int) -> tuple[list[bytes], list[b
     return own[:a], own[a:b], own[b:]
 
 
-def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int) -> tuple[str, int, int]:
-    """The text without its runs of repeated chunks, and the units and words removed.
-
-    ``repeated`` gives for a chunk's number how many units of its neighbours belong to it.
+def _window_spans(text: bytes, windows: list[int]) -> list[tuple[int, int]]:
+    """Where the windows' words stand with the white space that follows them: spans that do not touch, ascending."""
+    if not windows:
+        return []
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    spans: list[tuple[int, int]] = []
+    for k in windows:
+        a, b = starts[k], starts[k + WINDOW]
+        if spans and a <= spans[-1][1]:
+            a, _ = spans.pop()
+        spans.append((a, b))
+    return spans
+
+
+def _outside(unit: bytes, at: int, spans: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The parts of a unit, which begins at ``at``, in none of the spans."""
+    done, end = at, at + len(unit)
+    for a, b in spans[bisect_right(spans, at, key=lambda x: x[1]) :]:
+        if a >= end:
+            break
+        if a > done:
+            yield unit[done - at : a - at]
+        done = min(b, end)
+    yield unit[done - at :]
+
+
+def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int, windows: Iterable[int] = ()) -> tuple[str, int, int]:
+    """The text without its runs of repeated chunks and its repeated windows, and the units and words removed.
+
+    ``repeated`` gives for the number of a chunk of lines how many units of its neighbours
+    belong to it. Numbers beyond those, and ``windows`` from 0, are of windows. A unit of
+    which words stay is not counted as removed.
     """
-    keep, gone_units, gone_words, run = [], 0, 0, []
+    whole = text.encode("utf-8")
+    cut = line_chunks(whole)
+    keep, run = [], []
 
     def end_run() -> None:
-        nonlocal gone_units, gone_words
         contents = [u for u in run if u.strip()]
-        words = sum(len(u.split()) for u in contents)
-        if len(contents) > 1 and words >= min_words:
-            gone_units, gone_words = gone_units + len(contents), gone_words + words
-        else:
-            keep.extend(run)
+        gone = len(contents) > 1 and sum(len(u.split()) for u in contents) >= min_words
+        keep.extend((u, not gone) for u in run)
         run.clear()
 
-    for k, (own, _) in enumerate(chunks(text.encode("utf-8"))):
+    for k, (own, _) in enumerate(cut):
         if k in repeated:
             run.extend(own)
             continue
@@ -187,10 +313,19 @@ def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int) ->
         run.extend(lead)
         if middle:
             end_run()
-            keep.extend(middle)
+            keep.extend((u, True) for u in middle)
         run.extend(tail)
     end_run()
-    return b"".join(keep).decode("utf-8"), gone_units, gone_words
+    out, gone_units, gone_words, at = [], 0, 0, 0
+    spans = _window_spans(whole, sorted({*windows, *(k - len(cut) for k in repeated if k >= len(cut))}))
+    for unit, stays in keep:
+        left = b"".join(_outside(unit, at, spans)) if stays else b""
+        at += len(unit)
+        out.append(left)
+        if left != unit:
+            gone_words += len(unit.split()) - len(left.split())
+            gone_units += bool(unit.strip()) and not left.strip()
+    return b"".join(out).decode("utf-8"), gone_units, gone_words
 
 
 def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
@@ -199,7 +334,7 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field(text_at).to_pylist()
-            out = [cut_runs(t or "", {x["at"]: (x["n_before"], x["n_after"]) for x in r}, min_words) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            out = [cut_runs(t or "", {x["at"]: (x["n_before"], x["n_after"]) for x in r if x["at"] >= 0}, min_words, [-1 - x["at"] for x in r if x["at"] < 0]) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "clean", "removed_units", "removed_words"])
 
@@ -237,7 +372,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, so such repeated rows all keep or lose the same chunks. Rows with a null id
     come after all others as first occurrences. No rows give no rows.
     """
-    lists = repeated_chunks(docs, id_col, text_col).groupBy("key").agg(F.collect_set("place").alias("repeated"))
+    windows = repeated_windows(_rows(docs, id_col, text_col)).select("key", F.struct((-1 - F.col("at")).alias("at"), F.lit(0).alias("n_before"), F.lit(0).alias("n_after")).alias("place"))
+    lists = repeated_chunks(docs, id_col, text_col).union(windows).groupBy("key").agg(F.collect_set("place").alias("repeated"))
     rows = docs.select(_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return _rewritten(_with(rows, lists, "repeated"), docs.columns.index(text_col), min_words)
 
@@ -246,6 +382,6 @@ def with_clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with the cleaned texts in place of its own; texts that lost nothing are unchanged, nulls included."""
     def column(name: str) -> Column:
         own = F.col(f"row.`{name}`")
-        return (F.when(F.col("removed_units") > 0, F.col("clean")).otherwise(own) if name == text_col else own).alias(name)
+        return (F.when(F.col("removed_words") > 0, F.col("clean")).otherwise(own) if name == text_col else own).alias(name)
 
     return dedup_lines(docs, id_col, text_col, min_words).select(*[column(c) for c in docs.columns])
