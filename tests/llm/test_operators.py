@@ -464,6 +464,20 @@ def test_licenses_against_brute_force(spark):
     assert rows[10**6 + 2]["labels"] == "mit" and rows[10**6 + 2]["score"] > 0.9 and rows[10**6 + 3]["labels"] == ""
 
 
+def test_licenses_of_texts_with_many_notices(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    notice = {}
+    for t in licenses.TEMPLATES:
+        notice.setdefault(t.label, t.text)
+    r = random.Random(6)
+    held = [("mit", "bsd", "apache-2.0"), ("mit", "bsd", "isc", "mpl-2.0"), tuple(notice)] + [tuple(r.sample(sorted(notice), 4)) for _ in range(60)]
+    docs += [(10**6 + i, f" {prose(i, 5)}\n".join(notice[x] for x in labels)) for i, labels in enumerate(held)]
+    docs.append((10**7, f"{prose(1, 9)} the {notice['mit']} {'the software to of license and '.join(prose(i, 40) for i in range(40))} {notice['isc']}"))
+    rows = {x["doc_id"]: set(x["labels"].split(",")) for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i, labels in enumerate(held) if not set(labels) <= rows[10**6 + i]] == []
+    assert rows[10**7] == {"mit", "isc"}
+
+
 def test_licenses_odd_rows(odd, empty):
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 

@@ -1,9 +1,9 @@
 """Licence notices in texts: a positional index of rare template words.
 
-A text's licence words are looked up by descending inverse document frequency; the postings
-of the rarest ones in the licence templates vote for a relative position, and a template
-whose words agree on one is accepted if the text also holds its mandatory key phrases. The
-templates are a fixed list, so the index is a constant of the plan. Everything is DataFrame
+The rarest words of each licence template, by inverse document frequency, propose relative
+positions: so many that the others cannot reach the least share without one of them. At each
+position proposed all words of the template are counted, and a template whose words agree on
+one is accepted if the text also holds its mandatory key phrases. The templates are a fixed list, so the index is a constant of the plan. Everything is DataFrame
 functions; a text without any key phrase is passed over after one pattern match.
 """
 
@@ -24,8 +24,8 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Rare words looked up for a text, and the share of a template's weight that must agree on a place.
-RARE_WORDS, LEAST_SHARE = 24, 0.5
+#: The share of a template's weight that must agree on a place.
+LEAST_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -95,15 +95,30 @@ def frequencies(docs: DataFrame, text: Column) -> list[float]:
     return [math.log(1 + (total - count.get(w, 0) + 0.5) / (count.get(w, 0) + 0.5)) for w in VOCABULARY]
 
 
-def _agreement(rare: Column, template: Template, idf: dict[str, float]) -> Column:
-    """The greatest share of the template's weight whose words stand at one relative position."""
+def rare_places(template: Template, idf: dict[str, float]) -> list[int]:
+    """The places of a template's rarest words; the words elsewhere weigh less than the least share."""
     own = template.text.split()
-    total = sum(idf[w] for w in own) or 1.0
-    postings = F.from_json(F.lit(json.dumps([{"w": VOCABULARY.index(w), "p": i, "x": idf[w] / total} for i, w in enumerate(own)])), "array<struct<w:int,p:int,x:double>>")
-    offsets = F.flatten(F.transform(rare, lambda r: F.transform(
-        F.filter(postings, lambda p: p["w"] == r["word"]), lambda p: F.struct((r["at"] - p["p"]).alias("offset"), p["x"].alias("x")))))
-    shares = let(offsets, lambda o: F.transform(F.array_distinct(F.transform(o, lambda y: y["offset"])), lambda d: F.aggregate(
-        F.filter(o, lambda y: y["offset"] == d), F.lit(0.0), lambda s, y: s + y["x"])))
+    left, rare = sum(idf[w] for w in own), []
+    most = (LEAST_SHARE - 1e-6) * left
+    for i in sorted(range(len(own)), key=lambda i: (-idf[own[i]], i)):
+        if left < most:
+            break
+        left -= idf[own[i]]
+        rare.append(i)
+    return sorted(rare)
+
+
+def _agreement(own: Column, rare: Column, template: Template, idf: dict[str, float]) -> Column:
+    """The greatest share of the template's weight whose words stand at one relative position.
+
+    Shares below the least may be missed.
+    """
+    listed = template.text.split()
+    total = sum(idf[w] for w in listed) or 1.0
+    words_at = F.from_json(F.lit(json.dumps([{"w": w, "p": i, "x": idf[w] / total} for i, w in enumerate(listed)])), "array<struct<w:string,p:int,x:double>>")
+    proposing = F.from_json(F.lit(json.dumps([{"w": listed[i], "p": i} for i in rare_places(template, idf)])), "array<struct<w:string,p:int>>")
+    offsets = F.array_distinct(F.flatten(F.transform(rare, lambda r: F.transform(F.filter(proposing, lambda p: p["w"] == r["word"]), lambda p: r["at"] - p["p"]))))
+    shares = F.transform(offsets, lambda d: F.aggregate(words_at, F.lit(0.0), lambda s, p: s + F.when(F.get(own, d + p["p"]) == p["w"], p["x"]).otherwise(0.0)))
     return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
@@ -117,19 +132,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     weights = frequencies(docs, text)
     idf = dict(zip(VOCABULARY, weights, strict=True))
-    vocabulary, table = F.array(*[F.lit(w) for w in VOCABULARY]), F.from_json(F.lit(json.dumps(weights)), "array<double>")
+    proposing = F.array(*[F.lit(w) for w in sorted({t.text.split()[i] for t in TEMPLATES for i in rare_places(t, idf)})])
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
                          F.when(text.rlike(ANY_KEY), words(text)).otherwise(F.array().cast("array<string>")).alias("own"))
 
     def look(own: Column) -> Column:
-        known = F.filter(F.transform(own, lambda w, i: F.struct((F.array_position(vocabulary, w).cast("int") - 1).alias("word"), i.alias("at"))), lambda x: x["word"] >= 0)
-        kinds = F.slice(F.array_sort(F.array_distinct(F.transform(known, lambda x: F.struct((-F.get(table, x["word"])).alias("less"), x["word"].alias("word"))))), 1, RARE_WORDS)
-        rare = let(kinds, lambda k: F.filter(known, lambda x: F.exists(k, lambda y: y["word"] == x["word"])))
+        rare = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(proposing, x["word"]))
         line = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
 
         def judged(r: Column) -> Column:
             return F.array(*[F.struct(F.lit(t.label).alias("label"), F.when(
-                F.array_position(F.array(*[line.contains(f" {k} ") for k in t.keys]), F.lit(False)) > 0, 0.0).otherwise(_agreement(r, t, idf)).alias("share")) for t in TEMPLATES])
+                F.array_position(F.array(*[line.contains(f" {k} ") for k in t.keys]), F.lit(False)) > 0, 0.0).otherwise(_agreement(own, r, t, idf)).alias("share")) for t in TEMPLATES])
 
         accepted = F.filter(let(rare, judged), lambda x: x["share"] >= LEAST_SHARE)
         return F.struct(*[phrase_places(own, p).alias(f"base_{i}") for i, (p, _) in enumerate(BASE)], accepted.alias("accepted"))
