@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,11 +239,11 @@ def _windows(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(key, at) of each window of ``rows`` (key, text) that stands at an earlier place; equal 128-bit hashes are equal windows."""
     names = materialise(_window_names(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "names")
-    windows = materialise(_windows(rows, _sieve(names)), "windows")
-    place = F.struct(F.col("key.id").isNull().alias("no_id"), "key", "at")
-    first = windows.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first")
-    at_first = F.col("key.id").eqNullSafe(F.col("first.key.id")) & (F.col("key.text_hash") == F.col("first.key.text_hash")) & (F.col("at") == F.col("first.at"))
-    return windows.join(first, "digest").where(~at_first).select("key", "at")
+    place = ["no_id", "id", "text_hash", "at"]
+    windows = _windows(rows, _sieve(names)).select("digest", F.col("key.id").isNull().alias("no_id"), "key.id", "key.text_hash", "at")
+    # Rows of one place, from repeated rows, have one rank. The sort spills, so a crowded digest needs no memory.
+    ranked = windows.withColumn("rank", F.rank().over(Window.partitionBy("digest").orderBy(*place)))
+    return ranked.where("rank > 1").select(F.struct("id", "text_hash").alias("key"), "at")
 
 
 def _common(a: str, b: str) -> Column:
