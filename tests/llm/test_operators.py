@@ -187,6 +187,14 @@ def test_packing_search_empties_a_bin():
     assert len(packing.exchange(lengths, [list(b) for b in split], 10)) == 3
 
 
+def test_packing_exchanges_pairs_beyond_the_first_items():
+    # Only 3 + 6, the last two items of the least filled bin, for 8 gives a gain that the other bins have room for.
+    lengths = np.array([4] * 50 + [3, 6] + [8, 392] * 230)
+    start = [list(range(52)), *[[i, i + 1] for i in range(52, len(lengths), 2)]]
+    done = packing.exchange(lengths, start, 401)
+    assert max(lengths[b].sum() for b in done) == 401
+
+
 def test_packing_odd_rows(odd, empty, spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(odd, path, with_ids=True).collect()

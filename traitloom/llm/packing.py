@@ -149,6 +149,21 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def offers(lengths: np.ndarray, own: list[int]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """The sizes of all single items and pairs of a bin, ascending, each with one such unit, a single item if there is one."""
+    held: dict[int, list[int]] = {}
+    for i in own:
+        held.setdefault(int(lengths[i]), []).append(i)
+    units = {s: (items[0],) for s, items in held.items()}
+    kinds = sorted(held)
+    for n, a in enumerate(kinds):
+        for b in kinds[n:]:
+            if a < b or len(held[a]) > 1:
+                units.setdefault(a + b, (held[a][0], held[b][0 if a < b else 1]))
+    sizes = sorted(units)
+    return np.array(sizes, np.int64), [units[s] for s in sizes]
+
+
 def exchange(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty underfull bins, least filled first, into fuller ones; stops at the least possible count.
 
@@ -173,22 +188,21 @@ def exchange(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[
             others[source] = False
             best = None
             own = bins[source]
-            units = [(i,) for i in own] + [(i, j) for n, i in enumerate(own[:48]) for j in own[n + 1 : 48]]
+            sizes, units = offers(lengths, own)
             room, targets = free * others, np.flatnonzero(others)
             candidates = np.flatnonzero(others[where])
-            for unit in units:
-                size = int(lengths[list(unit)].sum())
-                if len(unit) == 1 and len(targets):
-                    fits = targets[room[targets] >= size]
-                    if len(fits):
-                        best = max(best or (0,), (size, unit, int(fits[np.argmin(room[fits])]), -1))
-                        continue
-                if len(candidates):
-                    gain = size - lengths[candidates]
-                    gain = np.where((gain > 0) & (gain <= room[where[candidates]]), gain, 0)
-                    k = int(np.argmax(gain))
-                    if gain[k] > 0 and (best is None or gain[k] > best[0]):
-                        best = (int(gain[k]), unit, int(where[candidates[k]]), int(candidates[k]))
+            if len(targets):
+                single = max((s for s, u in zip(sizes.tolist(), units, strict=True) if len(u) == 1 and s <= room[targets].max()), default=0)
+                if single:
+                    fits = targets[room[targets] >= single]
+                    best = (single, units[int(np.searchsorted(sizes, single))], int(fits[np.argmin(room[fits])]), -1)
+            if len(candidates):
+                # The largest offer for which the bin of each candidate has room once the candidate has left it.
+                largest = np.searchsorted(sizes, lengths[candidates] + room[where[candidates]], "right") - 1
+                gain = np.where(largest >= 0, sizes[largest] - lengths[candidates], 0)
+                k = int(np.argmax(gain))
+                if gain[k] > 0 and (best is None or gain[k] > best[0]):
+                    best = (int(gain[k]), units[int(largest[k])], int(where[candidates[k]]), int(candidates[k]))
             if best is None:
                 stuck.add(source)
                 break
