@@ -7,18 +7,28 @@ in a text shifts no later boundary. A chunk found twice or more in the corpus st
 first occurrence (smallest document, then earliest place) and goes elsewhere, if its bytes
 equal those of the first and if it stands in a run of such chunks of more than one unit and
 at least ``min_words`` words: a common line alone stays. A run reaches on into the chunks
-beside it as far as their units equal those beside the first occurrence, so a passage goes
-whole although its ends share chunks with other text.
+beside it as far as the hashes of their units equal those beside the first occurrence, so a
+passage goes whole although its ends share chunks with other text.
 
 Beside the chunks, each window of WINDOW words that stands earlier in the corpus goes, however
 lines and sentences cut it: by itself, since it is a passage, not a common line. A window is
 named by the least hash among the runs of ANCHOR words in it; equal windows have equal names,
 and few words of a text give many windows one name, so only windows whose name stands at two
-or more places are compared. Of equal windows of one text that overlap, the first counts.
+or more places are compared, by name and a second hash of all their words. Of equal windows
+of one text that overlap, the first counts.
 
-Only hashes are grouped over the whole corpus. A sieve of bounded size, a bit for each
-repeated hash, then lets a second reading of the texts pick the chunks worth comparing; it
-saves shuffling and decides nothing, for an exact join follows, which splits crowded hashes.
+The work goes in four readings of the texts, and only hashes are grouped over all of them:
+
+1. Every text gives the hashes of its chunks and the names of its windows. Those of one
+   text that stand in another, or twice in their own, are repeated.
+2. Texts that hold a repeated hash, one row of equal texts, give their repeated chunks and
+   windows, which are compared.
+3. Texts with an equal text before them are compared with it byte by byte.
+4. Only texts with something to cut meet their lists, and are cut.
+
+Between readings a sieve (a Bloom filter of bounded size) picks rows; it saves shuffling and
+decides nothing, for exact joins follow. When it is full, more is shuffled, and the result
+is the same.
 """
 
 from __future__ import annotations
@@ -28,6 +38,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -45,11 +56,20 @@ MIN_WORDS = 20
 WINDOW, ANCHOR = 50, 25
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
-#: Bits of the sieve for each repeated hash, and at most and at least in all.
-SIEVE_SHARE, SIEVE_MOST, SIEVE_LEAST = 16, 1 << 26, 1 << 12
+#: Bits of a sieve for each hash, how many of them a hash sets, and bits at most and at least in all.
+SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 16, 4, 1 << 28, 1 << 12
+#: Bytes of texts whose words are hashed at a time, and the longest word hashed with others.
+GROUP_BYTES, LONG_WORD = 1 << 20, 64
+#: A name held by more texts than this, and than this part of all, is crowded; so there are few of them.
+CROWD, CROWD_SHARE = 2000, 1000
+#: Windows of crowded names that a task remembers.
+REMEMBERED = 200_000
 WORD = re.compile(rb"\S+")
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
-KEY = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_hash", T.LongType())])
+BLANK = re.compile(rb"\s")
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+WEIGHTS = np.random.default_rng(42).integers(0, 1 << 64, LONG_WORD, np.uint64) | np.uint64(1)
+CHUNK, OPEN, LATER = 0, 1, 2
 
 
 def units(text: bytes) -> list[bytes]:
@@ -107,143 +127,302 @@ def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
     return line_chunks(text) + [([], [b"", w] if i in listed else []) for i, w in windows]
 
 
-def window_names(words: list[bytes]) -> np.ndarray:
-    """For each window the least hash among its runs of ANCHOR words."""
-    if len(words) < WINDOW:
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _piece_hashes(data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes and starts of the words of a piece of bytes that begins and ends between words."""
+    own = np.frombuffer(data, np.uint8, end - at, at)
+    gap = np.ones(end - at + 2, bool)
+    np.take(IS_SPACE, own, out=gap[1:-1])
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    chars = own[~gap[1:-1]].astype(np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(chars)) - np.repeat(first, lengths)
+    chars += np.uint64(1)
+    chars *= WEIGHTS[np.minimum(place, LONG_WORD - 1)]
+    hashes = np.add.reduceat(chars, first)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[at + starts[i] : at + starts[i] + lengths[i]])
+    hashes += lengths.astype(np.uint64)
+    return mixed(hashes), starts + at
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the start of every word."""
+    parts, at = [], 0
+    while at < len(data):
+        cut = BLANK.search(data, at + GROUP_BYTES) if at + GROUP_BYTES < len(data) else None
+        end = cut.start() if cut else len(data)
+        parts.append(_piece_hashes(data, at, end))
+        at = end
+    hashes, starts = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of ``n`` words, by doubling."""
+    if len(words) < n:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - ANCHOR + 1, np.uint64)
-    for i in range(ANCHOR):
-        runs *= np.uint64(MULTIPLIER)
-        runs += hashes[i : len(hashes) - ANCHOR + 1 + i]
-    runs ^= runs >> np.uint64(32)
-    runs *= np.uint64(0xD6E8FEB86659FD93)
-    runs ^= runs >> np.uint64(32)
-    n, width, reach = WINDOW - ANCHOR + 1, 1, runs
+    runs, size = words, 1
+    for bit in f"{n:b}"[1:]:
+        runs = runs[: len(words) - 2 * size + 1] * np.uint64(pow(MULTIPLIER, size, 1 << 64)) + runs[size:]
+        size *= 2
+        if bit == "1":
+            runs = runs[: len(words) - size] * np.uint64(MULTIPLIER) + words[size:]
+            size += 1
+    return mixed(runs)
+
+
+def least_of(runs: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` consecutive elements."""
+    width, reach = 1, runs
     while 2 * width <= n:
         reach = np.minimum(reach[: len(reach) - width], reach[width:])
         width *= 2
     return np.minimum(reach[: len(runs) - n + 1], reach[n - width : len(runs) - width + 1])
 
 
-def content_hash(held: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"\n".join(held)) - (1 << 63)
+class Stretches:
+    """Of several texts, the stretches of neighbouring windows that share a name."""
+
+    def __init__(self, texts: list[bytes]):
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.words, starts = word_hashes(b"\n".join(texts))
+        last = np.searchsorted(starts, ends)
+        first = np.r_[0, last[:-1]]
+        if len(self.words) < WINDOW:
+            self.of, self.at, self.start, self.length, self.names = (np.zeros(0, np.int64) for _ in range(5))
+            return
+        names = least_of(run_hashes(self.words, ANCHOR), WINDOW - ANCHOR + 1)
+        of = np.repeat(np.arange(len(texts)), last - first)[: len(names)]
+        inside = np.arange(len(names)) + WINDOW <= last[of]
+        new = np.r_[True, (names[1:] != names[:-1]) | (of[1:] != of[:-1]) | (inside[1:] != inside[:-1])]
+        start = np.flatnonzero(new)
+        length, kept = np.diff(np.r_[start, len(names)]), inside[start]
+        #: The text of a stretch, its first window in the text and among all words, its windows and their name.
+        self.start, self.length, self.of = start[kept], length[kept], of[start[kept]]
+        self.at, self.names = self.start - first[self.of], names[self.start].view(np.int64)
+
+    def windows(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the windows of the stretches ``held``, end to end, and where each stretch's begin; 0 for those not listed."""
+        length = self.length[held]
+        ends = np.cumsum(length)
+        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[held] - (ends - length), length)
+        hashes = np.maximum(run_hashes(self.words, WINDOW)[index] if len(index) else np.zeros(0, np.uint64), np.uint64(1)).view(np.int64)
+        of, at = np.repeat(self.of[held], length), np.arange(len(index)) + np.repeat(self.at[held] - (ends - length), length)
+        order = np.lexsort((hashes, of))
+        again = np.flatnonzero((hashes[order[1:]] == hashes[order[:-1]]) & (of[order[1:]] == of[order[:-1]]))
+        for text in np.unique(of[order[again]]).tolist():
+            own = np.flatnonzero(of == text)
+            listed = {i for i, _ in distinct_windows(list(zip(at[own].tolist(), hashes[own].tolist(), strict=True)))}
+            hashes[own[[i not in listed for i in at[own].tolist()]]] = 0
+        return hashes, ends - length
+
+
+def grouped(texts: list[bytes]) -> Iterator[range]:
+    """Ranges of texts of together about GROUP_BYTES."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield range(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield range(first, len(texts))
+
+
+def listed_windows(text: bytes) -> list[int]:
+    """The windows of a text but those that overlap an equal one before."""
+    found = Stretches([text])
+    hashes, begins = found.windows(np.arange(len(found.names)))
+    at = np.arange(len(hashes)) + np.repeat(found.at - begins, found.length)
+    return at[hashes != 0].tolist()
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """A row's id and the hash of its text; rows equal in both are one document."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("text_hash"))
+def content_hash(held: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"\n".join(held)) - (1 << 63)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    """Every row's id, text, the hash of its text and one of both; rows equal in id and text are one document."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return own.withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.xxhash64("id", "text_hash"))
 
 
-def _keyed(key: pa.Array, at: list[int]) -> pa.Array:
-    return key.take(pa.array(at, pa.int64()))
+def _long_lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
-    """(key, at, hash) of every chunk with content."""
+    """(id, text_hash, key, hashes, twice): a text's chunk hashes and window names, each once, and those that it has twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, at, hashes = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, (_, held) in enumerate(line_chunks(text.encode("utf-8"))):
-                    if held:
-                        of.append(i)
-                        at.append(k)
-                        hashes.append(content_hash(held))
-            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["key", "at", "hash"])
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
+            once, twice = [], []
+            for group in grouped(texts):
+                found = Stretches([texts[i] for i in group])
+                bounds = np.searchsorted(found.of, np.arange(len(group) + 1))
+                for k, i in enumerate(group):
+                    names, length = found.names[bounds[k] : bounds[k + 1]], found.length[bounds[k] : bounds[k + 1]]
+                    chunked = np.array([content_hash(held) for _, held in line_chunks(texts[i]) if held], np.int64)
+                    own, counts = np.unique(np.concatenate([chunked, names, names[length > WINDOW - ANCHOR + 1]]), return_counts=True)
+                    once.append(own)
+                    twice.append(own[counts > 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _long_lists(once), _long_lists(twice)], names=["id", "text_hash", "key", "hashes", "twice"])
+
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("hashes", "twice")]
+    picked = rows.select("id", "text_hash", "key", "text")
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:3], *lists]))
+
+
+class Sieve:
+    """A Bloom filter: words of 64 bits."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        last = len(self.words) * 64 - 1
+        at, step = hashes & last, (hashes >> 32) & last | 1
+        held = np.ones(len(hashes), bool)
+        for i in range(SIEVE_PROBES):
+            bit = (at + i * step) & last
+            held &= (self.words[bit >> 6] >> (bit & 63) & 1).astype(bool)
+        return held
+
+
+def _sieve(hashes: DataFrame, column: str = "hash") -> Sieve:
+    """The sieve of a column of longs; at most SIEVE_MOST bits reach the driver."""
+    bits, n = SIEVE_LEAST, hashes.count()
+    while bits < min(SIEVE_MOST, SIEVE_SHARE * n):
+        bits *= 2
+    last = bits - 1
+    step = F.shiftright(column, 32).bitwiseAND(F.lit(last)).bitwiseOR(F.lit(1))
+    bit = hashes.select(F.explode(F.array(*[(F.col(column).bitwiseAND(F.lit(last)) + i * step).bitwiseAND(F.lit(last)) for i in range(SIEVE_PROBES)])).alias("bit"))
+    held = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
+    return Sieve(words)
 
-    return rows.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("hash", T.LongType())]))
 
+def _sifted(sieve: Sieve, column: str, df: DataFrame) -> Column:
+    """Whether a sieve may hold a column of longs; the other columns stay in the JVM."""
+    shared = df.sparkSession.sparkContext.broadcast(sieve)
 
-def _sieve(repeated: DataFrame) -> np.ndarray:
-    """Words of 64 bits; the bit of each repeated hash is set."""
-    bits = SIEVE_LEAST
-    while bits < min(SIEVE_MOST, SIEVE_SHARE * repeated.count()):
-        bits *= 2
-    word = F.shiftrightunsigned("hash", 6).bitwiseAND(F.lit(bits // 64 - 1)).alias("word")
-    held = repeated.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 AS int))")).alias("bits")).toPandas()
-    sieve = np.zeros(bits // 64, np.int64)
-    sieve[held["word"].to_numpy(np.int64)] = held["bits"].to_numpy(np.int64)
-    return sieve
+    @F.pandas_udf("boolean")
+    def holds(values: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.holds(values.to_numpy(np.int64)))
 
+    return holds(F.col(column))
 
-def _contents(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """(key, at, hash, content, before, after) of the chunks whose hash the sieve holds, with their neighbours' units."""
-    fields = [("at", T.IntegerType()), ("hash", T.LongType()), ("content", T.BinaryType()), ("before", T.ArrayType(T.BinaryType())), ("after", T.ArrayType(T.BinaryType()))]
-    schema = T.StructType([T.StructField("key", KEY), *[T.StructField(n, t) for n, t in fields]])
-    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+
+def _holders(hashed: DataFrame, sieve: Sieve) -> DataFrame:
+    """(id, text_hash) of the texts with a hash that the sieve holds."""
+    shared = hashed.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.view(np.uint64).tolist()
-        last, units_type = len(bits) - 1, pa.list_(pa.binary())
         for batch in batches:
-            of, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                cut = line_chunks(text.encode("utf-8"))
-                for k, (_, held) in enumerate(cut):
-                    h = content_hash(held)
-                    if held and bits[((h & MASK) >> 6) & last] >> (h & 63) & 1:
-                        of.append(i)
-                        out.append((k, h, b"\n".join(held), cut[k - 1][1][::-1] if k else [], cut[k + 1][1] if k + 1 < len(cut) else []))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), units_type, units_type))]
-            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), *columns], names=["key", "at", "hash", "content", "before", "after"])
+            lists = batch.column(2)
+            counted = np.r_[0, np.cumsum(shared.value.holds(lists.flatten().to_numpy(zero_copy_only=False)))]
+            ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+            yield batch.select([0, 1]).filter(pa.array(counted[ends[1:]] > counted[ends[:-1]]))
 
-    return rows.mapInArrow(run, schema)
+    picked = hashed.select("id", "text_hash", "hashes")
+    return picked.mapInArrow(run, picked.drop("hashes").schema)
 
 
-def _window_names(rows: DataFrame) -> DataFrame:
-    """(hash) of the name of each stretch of windows; twice if so long that the named run stands at two places."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                names = window_names(text.encode("utf-8").split()).view(np.int64)
-                if len(names):
-                    starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-                    lengths = np.diff(np.r_[starts, len(names)])
-                    out += [names[starts], names[starts[lengths > WINDOW - ANCHOR + 1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else [], pa.int64())], names=["hash"])
+class Earliest:
+    """Of equal windows of crowded names, those that a task knows to stand later than another."""
+
+    def __init__(self):
+        self.first: dict[tuple[int, int], tuple] = {}
 
-    return rows.select("text").mapInArrow(run, T.StructType([T.StructField("hash", T.LongType())]))
+    def later(self, window: tuple[int, int], place: tuple) -> tuple[int, tuple] | None:
+        """The place to give out now, and how; None if the place is kept as the first so far."""
+        known = self.first.get(window)
+        if known is None and len(self.first) >= REMEMBERED:
+            return OPEN, place
+        if known is None or place < known:
+            self.first[window] = place
+        return known and (LATER, max(known, place))
 
 
-def _windows(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """(key, at, digest) of the windows whose name the sieve holds."""
-    shared = rows.sparkSession.sparkContext.broadcast(sieve)
+FOUND = [("kind", T.IntegerType()), ("at", T.IntegerType()), ("hash", T.LongType()), ("content", T.BinaryType()),
+         ("before", T.ArrayType(T.LongType())), ("after", T.ArrayType(T.LongType())), ("windows", T.ArrayType(T.LongType()))]
+
+
+def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
+    """The chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
+    (kind, at, name, hashes of the windows) of each text that the sieve holds.
+
+    Windows of crowded names come one by one under a hash of their own, and a task gives out
+    as LATER those that stand after another it has seen; so few rows of one hash are shuffled.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((sieve, np.array(sorted(crowded), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.view(np.uint64)
-        last = np.uint64(len(bits) - 1)
+        sieve, crowded = shared.value
+        earliest = Earliest()
+        arrow = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        names = ["id", "text_hash", *[n for n, _ in FOUND]]
+
+        def units_of(cut: list, k: int) -> list[int]:
+            return [content_hash([u]) for u in cut[k][1]] if 0 <= k < len(cut) else []
+
+        def packed(keys: list[pa.Array], out: list[tuple], types: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*keys, *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names=names)
+
+        id_type = None
         for batch in batches:
-            of, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = text.encode("utf-8").split()
-                names = window_names(words)
-                held = np.flatnonzero(bits[(names >> np.uint64(6)) & last] >> (names & np.uint64(63)) & np.uint64(1))
-                if len(held):
-                    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-                    spans = zip(held.tolist(), (ends[held] - [len(words[k]) + 1 for k in held.tolist()]).tolist(), (ends[held + WINDOW - 1] - 1).tolist(), strict=True)
-                    own = distinct_windows([(k, xxhash.xxh3_128_digest(line[a:b])) for k, a, b in spans])
-                    of += [i] * len(own)
-                    out += own
-            yield pa.RecordBatch.from_arrays([_keyed(batch.column(0), of), pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], names=["key", "at", "digest"])
-
-    return rows.select("key", "text").mapInArrow(run, T.StructType([T.StructField("key", KEY), T.StructField("at", T.IntegerType()), T.StructField("digest", T.BinaryType())]))
-
-
-def repeated_windows(rows: DataFrame) -> DataFrame:
-    """(key, at) of each window of ``rows`` (key, text) that stands at an earlier place; equal 128-bit hashes are equal windows."""
-    names = materialise(_window_names(rows).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "names")
-    place = ["no_id", "id", "text_hash", "at"]
-    windows = _windows(rows, _sieve(names)).select("digest", F.col("key.id").isNull().alias("no_id"), "key.id", "key.text_hash", "at")
-    # Rows of one place, from repeated rows, have one rank. The sort spills, so a crowded digest needs no memory.
-    ranked = windows.withColumn("rank", F.rank().over(Window.partitionBy("digest").orderBy(*place)))
-    return ranked.where("rank > 1").select(F.struct("id", "text_hash").alias("key"), "at")
+            id_type = batch.column(0).type
+            ids, text_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            for group in grouped(texts):
+                of, out = [], []
+                for i in group:
+                    cut = line_chunks(texts[i])
+                    hashes = np.array([content_hash(held) for _, held in cut], np.int64)
+                    for k in np.flatnonzero(sieve.holds(hashes)).tolist():
+                        if cut[k][1]:
+                            of.append(i)
+                            out.append((CHUNK, k, int(hashes[k]), b"\n".join(cut[k][1]), units_of(cut, k - 1)[::-1], units_of(cut, k + 1), None))
+                found = Stretches([texts[i] for i in group])
+                held = np.flatnonzero(sieve.holds(found.names))
+                windows, begins = found.windows(held)
+                one_by_one = np.isin(found.names[held], crowded)
+                for s, begin, single in zip(held.tolist(), begins.tolist(), one_by_one.tolist(), strict=True):
+                    i, at, name = group[int(found.of[s])], int(found.at[s]), int(found.names[s])
+                    own = windows[begin : begin + int(found.length[s])]
+                    if not single:
+                        of.append(i)
+                        out.append((OPEN, at, name, None, None, None, own))
+                        continue
+                    for k, h in enumerate(own.tolist()):
+                        if h and (given := earliest.later((name, h), (ids[i] is None, ids[i], text_hashes[i], at + k))):
+                            of.append(None if given[1][1:] != (ids[i], text_hashes[i], at + k) else i)
+                            out.append((given[0], given[1][3], _mixed_pair(name, h), None, None, None, [h], given[1][1:3]))
+                if out:
+                    keys = [pa.array([(ids[i], text_hashes[i])[c] if i is not None else row[7][c] for i, row in zip(of, out, strict=True)], t) for c, t in enumerate((id_type, pa.int64()))]
+                    yield packed(keys, out, arrow)
+        left = [(OPEN, place[3], _mixed_pair(*window), None, None, None, [window[1]], place[1:3]) for window, place in earliest.first.items()]
+        for at in range(0, len(left), 10_000):
+            part = left[at : at + 10_000]
+            yield packed([pa.array([r[7][c] for r in part], t) for c, t in enumerate((id_type, pa.int64()))], part, arrow)
+
+    picked = rows.select("id", "text_hash", "text")
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:2], *[T.StructField(n, t) for n, t in FOUND]]))
+
+
+def _mixed_pair(name: int, h: int) -> int:
+    return xxhash.xxh3_64_intdigest(name.to_bytes(8, "little", signed=True) + h.to_bytes(8, "little", signed=True)) - (1 << 63)
 
 
 def _common(a: str, b: str) -> Column:
@@ -328,41 +507,82 @@ def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int, wi
     return b"".join(out).decode("utf-8"), gone_units, gone_words
 
 
+def _same_place(a: str, b: str) -> Column:
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")) & (F.col(f"{a}.at") == F.col(f"{b}.at"))
+
+
+def _later_chunks(found: DataFrame) -> DataFrame:
+    """(id, text_hash, at, n_before, n_after) of each chunk whose bytes equal those of an earlier occurrence elsewhere."""
+    contents = found.where(F.col("kind") == CHUNK).select("hash", "id", "text_hash", "at", "content", "before", "after")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "at")
+    first = contents.groupBy("hash").agg(F.min_by(F.struct("id", "text_hash", "at", "content", "before", "after"), place).alias("first")).select("hash", "first.*")
+    c, f = contents.alias("c"), first.alias("f")
+    later = c.join(f, (F.col("c.hash") == F.col("f.hash")) & (F.col("c.content") == F.col("f.content")) & ~_same_place("c", "f"))
+    return later.select("c.id", "c.text_hash", "c.at", _common("c.before", "f.before").alias("n_before"), _common("c.after", "f.after").alias("n_after"))
+
+
+def _later_windows(found: DataFrame) -> DataFrame:
+    """(id, text_hash, block, mask): bit i of the mask is set if window 32 * block + i stands at an earlier place."""
+    # Windows spread over the partitions by name, after which each name's windows are told apart.
+    spread = found.where(F.col("kind") == OPEN).select("hash", "id", "text_hash", "at", "windows").repartition("hash")
+    windows = spread.select("hash", "id", "text_hash", "at", F.posexplode("windows").alias("k", "window")).where("window <> 0")
+    own = Window.partitionBy("hash", "window").orderBy(F.col("id").isNull(), "id", "text_hash", F.col("at") + F.col("k"))
+    # Rows of one place, from repeated rows, have one rank. The sort spills, so a crowded window needs no memory.
+    later = windows.withColumn("rank", F.rank().over(own)).where("rank > 1").select("id", "text_hash", (F.col("at") + F.col("k")).alias("at"))
+    told = found.where(F.col("kind") == LATER).select("id", "text_hash", "at")
+    bits = [F.shiftright("at", 5).alias("block"), F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("mask")]
+    return later.groupBy("id", "text_hash", bits[0]).agg(bits[1]).union(told.groupBy("id", "text_hash", bits[0]).agg(bits[1]))
+
+
 def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
+    """``marked`` (row, key_id, rep_id, rep_text, entries) as (row, clean, removed_units, removed_words)."""
     schema = T.StructType([marked.schema["row"], T.StructField("clean", T.StringType()), T.StructField("removed_units", T.LongType()), T.StructField("removed_words", T.LongType())])
 
+    def cut(text: str, key, rep, rep_text: str | None, entries: list[dict] | None) -> tuple[str, int, int]:
+        if rep_text is not None and key != rep:
+            if text != rep_text:
+                return text, 0, 0
+            whole = text.encode("utf-8", "surrogatepass")
+            return cut_runs(text, {k: (0, 0) for k, (_, held) in enumerate(line_chunks(whole)) if held}, min_words, listed_windows(whole))
+        if not entries:
+            return text, 0, 0
+        chunked = {e["at"]: (e["x"], e["y"]) for e in entries if e["chunk"]}
+        return cut_runs(text, chunked, min_words, sorted({32 * e["at"] + i for e in entries if not e["chunk"] for i in range(32) if e["x"] >> i & 1}))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field(text_at).to_pylist()
-            out = [cut_runs(t or "", {x["at"]: (x["n_before"], x["n_after"]) for x in r if x["at"] >= 0}, min_words, [-1 - x["at"] for x in r if x["at"] < 0]) if r else (t or "", 0, 0) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            out = [cut("" if t is None else t, *r) for t, *r in zip(texts, *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "clean", "removed_units", "removed_words"])
 
-    return marked.select("row", "repeated").mapInArrow(run, schema)
+    return marked.mapInArrow(run, schema)
 
 
-def _with(rows: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """``rows`` with the list of its key; rows without one have null."""
-    listed = lists.select(F.col("key.id").alias("list_id"), F.col("key.text_hash").alias("list_hash"), column)
-    return rows.join(listed, rows["key.id"].eqNullSafe(listed.list_id) & (rows["key.text_hash"] == listed.list_hash), "left").drop("list_id", "list_hash")
+def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(text_hash, id, entry) for what goes from the first of equal texts: its chunks and its blocks of windows."""
+    spread = hashed.select("text_hash", F.explode("hashes").alias("hash"))
+    shared = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("hash", "n")
+    repeated = materialise(shared.union(hashed.select(F.explode("twice").alias("hash"), F.lit(1).cast("long").alias("n"))), "repeated")
+    sieve = _sieve(repeated)
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
+    holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id")).withColumn("key", F.xxhash64("id", "text_hash")), "holders")
+    found = materialise(_found(rows.where(_sifted(_sieve(holders, "key"), "key", rows)), sieve, crowded), "found")
+    entry = lambda chunk, at, x, y: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y")).alias("entry")
+    chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after")))
+    windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0)))
+    gone, own = chunks_gone.union(windows_gone).alias("g"), holders.alias("h")
+    return gone.join(own, (F.col("g.text_hash") == F.col("h.text_hash")) & F.col("g.id").eqNullSafe(F.col("h.id")), "left_semi")
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, place) of each chunk whose bytes equal those of an earlier occurrence elsewhere.
-
-    A place is the chunk's number and how many units before and after it also agree.
-    """
-    rows = _rows(docs, id_col, text_col)
-    place = F.struct(F.col("key.id").isNull().alias("no_id"), "key", "at")
-    counted = _hashes(rows).groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    repeated = materialise(counted.select("hash", "first"), "repeated")
-    contents = materialise(_contents(rows, _sieve(repeated)), "contents")
-    first = repeated.select(F.col("hash").alias("first_hash"), F.col("first.key.id").alias("first_id"), F.col("first.key.text_hash").alias("first_text"), F.col("first.at").alias("first_at"))
-    at_first = F.col("key.id").eqNullSafe(F.col("first_id")) & (F.col("key.text_hash") == F.col("first_text")) & (F.col("at") == F.col("first_at"))
-    originals = contents.join(first, (contents.hash == first.first_hash) & at_first).select("first_hash", "first_id", "first_text", "first_at", F.col("content").alias("first_content"),
-                                                                                             F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["first_hash"])
-    later = contents.join(originals, (contents.hash == originals.first_hash) & (contents.content == originals.first_content) & ~at_first)
-    return later.select("key", F.struct("at", _common("before", "first_before").alias("n_before"), _common("after", "first_after").alias("n_after")).alias("place"))
+def _first_texts(rows: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(text_hash, rep_id, rep_text) of each text that stands under several ids: the smallest id, or null if all are."""
+    counted = hashed.groupBy("text_hash").agg(F.min("id").alias("rep_id"), F.max("id").alias("last_id"), F.count_if(F.col("id").isNull()).alias("nulls"))
+    copied = materialise(counted.where("rep_id <> last_id OR (rep_id IS NOT NULL AND nulls > 0)").select("text_hash", "rep_id", F.xxhash64("rep_id", "text_hash").alias("key")), "copied")
+    c, r = copied.alias("c"), rows.where(_sifted(_sieve(copied, "key"), "key", rows)).select("id", "text_hash", "text").alias("r")
+    whole = r.join(c, (F.col("r.text_hash") == F.col("c.text_hash")) & (F.col("r.id") == F.col("c.rep_id")))
+    return whole.groupBy("c.text_hash", "c.rep_id").agg(F.min("r.text").alias("rep_text"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -370,12 +590,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty and comes back empty. Rows equal in id and text are one
     document, so such repeated rows all keep or lose the same chunks. Rows with a null id
-    come after all others as first occurrences. No rows give no rows.
+    come after all others as first occurrences, and among them those of equal texts are one
+    document. Ids may be of any type that Spark can sort. A very long text is handled by one
+    task, in pieces of about a megabyte where its words are hashed. Columns of ``docs`` may
+    bear any name. No rows give no rows.
     """
-    windows = repeated_windows(_rows(docs, id_col, text_col)).select("key", F.struct((-1 - F.col("at")).alias("at"), F.lit(0).alias("n_before"), F.lit(0).alias("n_after")).alias("place"))
-    lists = repeated_chunks(docs, id_col, text_col).union(windows).groupBy("key").agg(F.collect_set("place").alias("repeated"))
-    rows = docs.select(_key(id_col, text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return _rewritten(_with(rows, lists, "repeated"), docs.columns.index(text_col), min_words)
+    rows = _rows(docs, id_col, text_col)
+    hashed = materialise(_hashes(rows), "hashes")
+    lists = _entries(rows, hashed).groupBy("text_hash").agg(F.collect_set("entry").alias("entries"))
+    info = materialise(lists.join(_first_texts(rows, hashed), "text_hash", "full"), "info")
+    touched = _sifted(_sieve(info, "text_hash"), "text_hash", rows)
+    own, known = rows.where(touched).select("row", "id", "text_hash").alias("o"), info.alias("i")
+    first = F.coalesce(F.col("i.rep_id"), F.col("o.id"))
+    marked = own.join(known, F.col("o.text_hash") == F.col("i.text_hash"), "left").select("o.row", F.col("o.id").alias("key_id"), first.alias("rep_id"), "i.rep_text", "i.entries")
+    same = rows.where(~touched).select("row", F.col("text").alias("clean"), F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_words"))
+    return same.union(_rewritten(marked, docs.columns.index(text_col), min_words))
 
 
 def with_clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
