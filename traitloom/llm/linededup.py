@@ -58,8 +58,8 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Bits of a sieve for each hash, how many of them a hash sets, and bits at most and at least in all.
 SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 16, 4, 1 << 28, 1 << 12
-#: Bytes of texts whose words are hashed at a time, and the longest word hashed with others.
-GROUP_BYTES, LONG_WORD = 1 << 20, 64
+#: Bytes of texts whose words are hashed at a time, so that the numbers stay in a core's cache.
+GROUP_BYTES = 1 << 17
 #: A name held by more texts than this, and than this part of all, is crowded; so there are few of them.
 CROWD, CROWD_SHARE = 2000, 1000
 #: Windows of crowded names that a task remembers.
@@ -68,7 +68,7 @@ WORD = re.compile(rb"\S+")
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
 BLANK = re.compile(rb"\s")
 IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-WEIGHTS = np.random.default_rng(42).integers(0, 1 << 64, LONG_WORD, np.uint64) | np.uint64(1)
+POWERS, INVERSE = (np.multiply.accumulate(np.array([1] + [x] * (2 * GROUP_BYTES), np.uint64)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
 CHUNK, OPEN, LATER = 0, 1, 2
 
 
@@ -134,23 +134,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _piece_hashes(data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes and starts of the words of a piece of bytes that begins and ends between words."""
+    """The hashes and starts of the words of a piece of bytes that begins and ends between words.
+
+    A word's hash is a difference of sums of bytes times powers, taken back to the first power.
+    """
     own = np.frombuffer(data, np.uint8, end - at, at)
     gap = np.ones(end - at + 2, bool)
     np.take(IS_SPACE, own, out=gap[1:-1])
     edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    chars = own[~gap[1:-1]].astype(np.uint64)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(len(chars)) - np.repeat(first, lengths)
-    chars += np.uint64(1)
-    chars *= WEIGHTS[np.minimum(place, LONG_WORD - 1)]
-    hashes = np.add.reduceat(chars, first)
-    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
-        hashes[i] = xxhash.xxh64_intdigest(data[at + starts[i] : at + starts[i] + lengths[i]])
-    hashes += lengths.astype(np.uint64)
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(end - at + 1, np.uint64)
+    np.multiply(own, POWERS[: end - at], out=sums[1:], casting="unsafe")
+    np.cumsum(sums, out=sums)
+    hashes = sums[ends] - sums[starts]
+    hashes *= INVERSE[starts]
+    hashes += (ends - starts).astype(np.uint64)
     return mixed(hashes), starts + at
 
 
@@ -160,7 +158,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     while at < len(data):
         cut = BLANK.search(data, at + GROUP_BYTES) if at + GROUP_BYTES < len(data) else None
         end = cut.start() if cut else len(data)
-        parts.append(_piece_hashes(data, at, end))
+        if end - at <= 2 * GROUP_BYTES:
+            parts.append(_piece_hashes(data, at, end))
+        else:
+            for m in WORD.finditer(data, at, end):
+                small = m.end() - m.start() <= 2 * GROUP_BYTES
+                parts.append(_piece_hashes(data, *m.span()) if small else (np.array([xxhash.xxh64_intdigest(m.group())], np.uint64), np.array([m.start()])))
         at = end
     hashes, starts = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
     return np.concatenate(hashes), np.concatenate(starts)
@@ -518,7 +521,7 @@ def _later_chunks(found: DataFrame) -> DataFrame:
     first = contents.groupBy("hash").agg(F.min_by(F.struct("id", "text_hash", "at", "content", "before", "after"), place).alias("first")).select("hash", "first.*")
     c, f = contents.alias("c"), first.alias("f")
     later = c.join(f, (F.col("c.hash") == F.col("f.hash")) & (F.col("c.content") == F.col("f.content")) & ~_same_place("c", "f"))
-    return later.select("c.id", "c.text_hash", "c.at", _common("c.before", "f.before").alias("n_before"), _common("c.after", "f.after").alias("n_after"))
+    return later.select("c.id", "c.text_hash", "c.at", F.col("c.content").contains(F.lit("\n").cast("binary")).alias("several"), _common("c.before", "f.before").alias("n_before"), _common("c.after", "f.after").alias("n_after"))
 
 
 def _later_windows(found: DataFrame) -> DataFrame:
@@ -569,9 +572,9 @@ def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
     holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id")).withColumn("key", F.xxhash64("id", "text_hash")), "holders")
     found = materialise(_found(rows.where(_sifted(_sieve(holders, "key"), "key", rows)), sieve, crowded), "found")
-    entry = lambda chunk, at, x, y: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y")).alias("entry")
-    chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after")))
-    windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0)))
+    entry = lambda chunk, at, x, y, several: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), several.alias("several")).alias("entry")
+    chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after"), F.col("several")))
+    windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0), F.lit(True)))
     gone, own = chunks_gone.union(windows_gone).alias("g"), holders.alias("h")
     return gone.join(own, (F.col("g.text_hash") == F.col("h.text_hash")) & F.col("g.id").eqNullSafe(F.col("h.id")), "left_semi")
 
@@ -592,12 +595,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, so such repeated rows all keep or lose the same chunks. Rows with a null id
     come after all others as first occurrences, and among them those of equal texts are one
     document. Ids may be of any type that Spark can sort. A very long text is handled by one
-    task, in pieces of about a megabyte where its words are hashed. Columns of ``docs`` may
+    task, in pieces of bounded size where its words are hashed. Columns of ``docs`` may
     bear any name. No rows give no rows.
     """
     rows = _rows(docs, id_col, text_col)
     hashed = materialise(_hashes(rows), "hashes")
     lists = _entries(rows, hashed).groupBy("text_hash").agg(F.collect_set("entry").alias("entries"))
+    # A text in which all that repeats is single units apart from each other loses nothing.
+    chunked = F.transform(F.filter("entries", lambda e: e["chunk"]), lambda e: e["at"])
+    lists = lists.where(F.exists("entries", lambda e: e["several"] | (e["x"] + e["y"] > 0) | F.array_contains(chunked, e["at"] + 1)))
     info = materialise(lists.join(_first_texts(rows, hashed), "text_hash", "full"), "info")
     touched = _sifted(_sieve(info, "text_hash"), "text_hash", rows)
     own, known = rows.where(touched).select("row", "id", "text_hash").alias("o"), info.alias("i")
