@@ -57,7 +57,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives of all pages hold when they are read back."""
-    return warc.round_trip(table(spark, sf_dir, "pages")).drop("error")
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,6 @@ ORACLE_SQL = {
         )
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM q LEFT JOIN f USING (payload_digest)""",
 }

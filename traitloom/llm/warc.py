@@ -2,7 +2,7 @@
 
 Each record is one gzip member. The reader inflates a member piece by piece, cuts its header
 and its block by content length, and hashes the payload as it passes, so it holds one piece
-of one record at a time. Archives are written under a temporary name and then renamed: a
+of one record at a time. After a damaged member it goes on at the next one. Archives are written under a temporary name and then renamed: a
 task that is run again replaces its archive as a whole.
 """
 
@@ -17,7 +17,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitloom.llm.shared import materialise, scratch_path
@@ -26,6 +26,8 @@ from traitloom.llm.shared import materialise, scratch_path
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 PIECE = 1 << 16
+#: Fixed value: how a gzip member begins.
+MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "archive string, records long, bytes long"
 READ = ("archive string, position long, record_id string, record_type string, target_uri string, payload_bytes long, "
@@ -38,9 +40,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Of equal payloads of at least 100 bytes the smallest id is the response and the others
     revisit it. A null page is an empty payload. A null id revisits the smallest non-null id
     with its payload, if there is one. Repeated rows with the smallest id are responses each.
+    Ids may be of any type that Spark can sort and read from text. Other columns are not read.
     """
     digested = pages.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     repeated = (digested.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest")
@@ -52,9 +55,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def _record(page: dict, date: str) -> bytes:
     payload = page["payload"].encode("utf-8", "surrogatepass")
-    name = lambda key: f"<urn:x-page:{key}:{page['digest'][:16]}>"
+    name = lambda key: f"<urn:x-page:{'' if key is None else 'i' + quote(str(key), safe='')}:{page['digest'][:16]}>"
     revisit = page["refers_to"] is not None
-    fields = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name("" if page["id"] is None else page["id"]), "WARC-Date": date}
+    fields = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name(page["id"]), "WARC-Date": date}
     if page["url"] is not None:
         fields["WARC-Target-URI"] = quote(page["url"], safe=":/?#[]@!$&'()*+,;=%-._~")
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -102,18 +105,6 @@ def write_archives(planned: DataFrame, folder: str, date: str = "2024-01-01T00:0
     return planned.mapInArrow(run, WRITTEN)
 
 
-class Counted:
-    """A stream that counts the bytes read from it."""
-
-    def __init__(self, stream):
-        self.stream, self.taken = stream, 0
-
-    def read(self, n: int) -> bytes:
-        piece = self.stream.read(n)
-        self.taken += len(piece)
-        return piece
-
-
 def _inflated(stream, pending: bytes) -> Iterator[tuple[bytes, bytes | None]]:
     """The pieces of one gzip member; with the last piece come the bytes that follow the member."""
     inflate = zlib.decompressobj(wbits=31)
@@ -165,27 +156,46 @@ def read_member(stream, pending: bytes) -> tuple[dict, bytes]:
     elif not revisit and (payload.hexdigest() != digest or stored != declared):
         error = "payload digest"
     return {"record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "target_uri": fields.get("warc-target-uri"),
-            "payload_bytes": declared, "payload_digest": digest, "refers_to": fields.get("warc-refers-to"), "error": error}, rest
+            "payload_bytes": declared, "payload_digest": digest if revisit else payload.hexdigest(), "refers_to": fields.get("warc-refers-to"), "error": error}, rest
+
+
+def _next_member(source, at: int) -> tuple[int, bytes] | None:
+    """Where, from ``at`` on, a member may begin, and the bytes read from there."""
+    source.seek(at)
+    held = b""
+    while piece := source.read(PIECE):
+        held += piece
+        if (found := held.find(MAGIC)) >= 0:
+            return at + found, held[found:]
+        at += max(0, len(held) - 2)
+        held = held[-2:]
+    return None
 
 
 def read_archive(store, path: str) -> Iterator[dict]:
-    """The records of one archive in order; a damaged member ends it with a row that says so."""
-    with store.open_input_stream(path, compression=None) as source:
-        stream = Counted(source)
-        pending = stream.read(PIECE)
+    """The records of one archive in order; for each damaged stretch a row that says so."""
+    with store.open_input_file(path) as source:
+        start, pending, damaged = 0, source.read(PIECE), False
         while pending:
-            start = stream.taken - len(pending)
             try:
-                record, pending = read_member(stream, pending)
+                record, rest = read_member(source, pending)
             except (ValueError, zlib.error, StopIteration) as e:
-                yield {"position": start, "error": f"unreadable member: {e}"}
-                return
+                if not damaged:
+                    yield {"position": start, "error": f"unreadable member: {e}"}
+                damaged = True
+                start, pending = _next_member(source, start + 1) or (start, b"")
+                continue
             yield record | {"position": start}
-            pending = pending or stream.read(PIECE)
+            start, damaged = source.tell() - len(rest), False
+            pending = rest or source.read(PIECE)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of the archives whose paths are in ``archives.archive``, one task per few archives."""
+    """The records of the archives whose paths are in ``archives.archive``, about one task for each archive.
+
+    The number of tasks is given, since paths are too few bytes for Spark to see the work.
+    """
+    spread = archives.select("archive").repartitionByRange(max(1, archives.count()), "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64() if n in ("position", "payload_bytes") else pa.string()) for n in (c.split()[0] for c in READ.split(", "))])
@@ -200,16 +210,24 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, READ)
+    return spread.mapInArrow(run, READ)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record per page, read the archives back and return what they hold, per page.
 
-    Columns: the id, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` (an
-    id) and ``error`` (null where all digests and lengths agree). No rows give no archives.
+    Columns: the id, ``payload_bytes``, ``payload_digest`` (of the payload as read; that which
+    a revisit declares), ``record_type``, ``refers_to`` (an id) and ``error`` (null where all
+    digests and lengths agree). A damaged stretch of an archive is a row with ``error`` alone.
+    A very long page is compressed whole by its task and read back in pieces. Equal pages are
+    rows each, and pages of equal ids too. No rows give no archives.
     """
     archives = materialise(write_archives(plan_records(pages, id_col, url_col, html_col), scratch_path(pages.sparkSession, "warc")), "archives")
-    page = lambda urn: F.when(F.col(urn).isNotNull(), F.expr(f"try_cast(split_part({urn}, ':', 3) as long)"))
+    kind = pages.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+
+    def page(urn: str) -> Column:
+        part = F.split_part(F.col(urn), F.lit(":"), F.lit(3))
+        return F.when(part.startswith("i"), F.url_decode(F.substring(part, 2, 1 << 20))).try_cast(kind)
+
     return read_archives(archives).select(
         page("record_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "error")
