@@ -33,32 +33,61 @@ LEAST_BITS = 0.75
 SAMPLE_DOCS, SMOOTHING, FALL_BACK = 4000, 0.5, 8.0
 #: What labels a string as ordinary: words in small letters, perhaps with a capital, or in capitals, and such words joined.
 ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_.=/-](?:[A-Z]?[a-z]+|[A-Z]+))*[.]?$"
+#: Elements of a block of a running total, and a place beyond any text.
+BLOCK, FAR = 128, (1 << 31) - 1
 EMPTY = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def places(text: Column, pattern: str, quick: str, kind: int, group: int = 0) -> Column:
+def running(values: Column, start, combine) -> Column:
+    """The running total of an array under ``combine``, in blocks: an array grown by one costs its length each time."""
+    def along(own: Column, first: Column) -> Column:
+        grown = F.struct(first.alias("last"), F.array().cast("array<int>").alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            return let(combine(state["last"], x), lambda now: F.struct(now.alias("last"), F.concat(state["out"], F.array(now)).alias("out")))
+
+        return F.aggregate(own, grown, step, lambda state: state["out"])
+
+    def blocks(own: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / BLOCK).cast("int")), lambda k: F.slice(own, k * BLOCK + 1, BLOCK))
+        return let(cut, lambda c: let(along(F.transform(c, lambda x: F.aggregate(x, F.lit(start), combine)), F.lit(start)), lambda ends: F.flatten(
+            F.transform(c, lambda x, k: along(x, F.when(k == 0, F.lit(start)).otherwise(F.get(ends, k - 1)))))))
+
+    return let(values, lambda own: F.when(F.size(own) > BLOCK, blocks(own)).otherwise(along(own, F.lit(start))))
+
+
+def places(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """The matches of a pattern as structs (start, kind, end, value), in order."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EMPTY).alias("out"))
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x))
+        ends = running(F.zip_with(gaps, found, lambda gap, x: gap + F.length(x)), 0, lambda so_far, x: so_far + x)
+        value = (lambda x: F.regexp_extract(x, pattern, group)) if group else (lambda x: x)
+        return F.zip_with(ends, found, lambda end, x: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value(x).alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(EMPTY)))
+
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + pair["gap"]
-        end = begin + F.length(pair["match"]["whole"])
-        own = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["match"]["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+def clear_of(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base place: none before reaches into them, none after begins in them."""
+    def sifted(m: Column) -> Column:
+        reach = running(F.transform(m, lambda x: F.when(x["rank"] == 0, x["place"]["end"]).otherwise(0)), 0, lambda a, x: F.greatest(a, x))
+        ahead = F.reverse(running(F.reverse(F.transform(m, lambda x: F.when(x["rank"] == 0, x["start"]).otherwise(FAR))), FAR, lambda a, x: F.least(a, x)))
+        told = F.zip_with(F.zip_with(m, reach, lambda x, r: F.struct(x.alias("x"), r.alias("reach"))), ahead, lambda x, n: F.struct(x["x"].alias("x"), x["reach"].alias("reach"), n.alias("ahead")))
+        clear = F.filter(told, lambda t: (t["x"]["rank"] == 1) & (t["reach"] <= t["x"]["start"]) & (t["ahead"] >= t["x"]["place"]["end"]))
+        return F.transform(clear, lambda t: t["x"]["place"])
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    return F.when(text.rlike(quick), F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(EMPTY))
+    ranked = lambda own, rank: F.transform(own, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x.alias("place")))
+    merged = F.array_sort(F.concat(ranked(base, 0), ranked(candidates, 1)))
+    return F.when((F.size(candidates) > 0) & (F.size(base) > 0), let(merged, sifted)).otherwise(candidates)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``base`` places and ``candidates`` of every row, in one reading of the texts."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    assign = F.filter(places(text, ASSIGN, ASSIGN, 0, 1), lambda x: F.length(x["value"]) >= LEAST_ASSIGN)
-    access = F.filter(places(text, ACCESS, ACCESS, 1), lambda x: F.length(x["value"]) >= LEAST_ACCESS)
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.concat(assign, access, places(text, HEX, HEX, 2)).alias("base"),
-                       places(text, CANDIDATE, CANDIDATE, 3).alias("candidates"))
+    assign = F.filter(places(text, ASSIGN, 0, 1), lambda x: F.length(x["value"]) >= LEAST_ASSIGN)
+    access = F.filter(places(text, ACCESS, 1), lambda x: F.length(x["value"]) >= LEAST_ACCESS)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.concat(assign, access, places(text, HEX, 2)).alias("base"),
+                       places(text, CANDIDATE, 3).alias("candidates"))
 
 
 def _codes(value: Column) -> Column:
@@ -116,11 +145,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Places count code points and end exclusively. A string that overlaps a base place is not
     scored. A null or empty text has no places; its digest is that of the empty string. With
     nothing to learn from, all ratios are zero and nothing is added. Repeated rows and null
-    ids are rows like others; columns other than the id and the text are not read.
+    ids are rows like others, and so are rows of equal ids; columns other than the id and the
+    text are not read, whatever their names. No rows give no rows. A very long text is one
+    row's work: its places are counted in blocks, in time proportional to their number.
     """
     scanned = materialise(scan(docs, id_col, text_col), "places")
     model = train(scanned, docs, id_col, text_col, sample_docs)
-    added = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (mean_bits(c["value"], model) >= LEAST_BITS))
+    added = F.filter(clear_of(F.col("candidates"), F.col("base")), lambda c: mean_bits(c["value"], model) >= LEAST_BITS)
     count = lambda kind: F.size(F.filter("base", lambda b: b["kind"] == kind)).cast("long")
     return scanned.withColumn("found", added).select(
         F.col("id").alias(id_col), "base", "found", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
