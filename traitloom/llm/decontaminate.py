@@ -9,23 +9,26 @@ the others are searched, all items over the threshold are fetched, and an item c
 five-word shingles of its question and of its answer are found in the passage.
 
 Document frequencies are counted over all items. The index is cut into blocks of bounded
-bytes; a block is all that the driver and a task hold, and each is searched by one pass.
+bytes. Each block is searched by a pass of its own over the documents, so a block is all
+that the driver builds and a task holds at once; there is one pass unless the benchmark is
+larger than a block.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from traitloom.llm.shared import materialise
 
@@ -38,8 +41,10 @@ INDEX_BYTES = 8 << 20
 HALF_PASSAGE = 64
 #: ASCII characters that are no letter or digit become spaces; capital letters become small.
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("score", T.DoubleType()),
-                    T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType())])
+
+
+def hit_type(item_id: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("item_id", item_id), T.StructField("start", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -51,10 +56,14 @@ def pairs_of(words: list[bytes]) -> list[bytes]:
     return list(map(b" ".join, zip(words, words[1:], strict=False))) if len(words) != 1 else words
 
 
-def split_item(text: str | None) -> tuple[str, str]:
+def split_item(text: Column) -> tuple[Column, Column]:
     """Question and answer of an item given as one text: its last line or sentence is the answer."""
-    parts = [x for x in re.split(r"\n+|(?<=[.?!])\s+", (text or "").strip()) if x.strip()]
-    return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text or "", "")
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    trimmed = F.regexp_replace(whole, r"(?U)^\s+|\s+$", "")
+    parts = F.filter(F.split(trimmed, r"(?U)\n+|(?<=[.?!])\s+"), lambda x: x.rlike(r"(?U)\S"))
+    several = F.size(parts) > 1
+    question = F.when(several, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), " ")).otherwise(whole)
+    return question, F.when(several, F.try_element_at(parts, F.lit(-1))).otherwise(F.lit(""))
 
 
 def overlap(part: list[bytes], passage: set[bytes], line: bytes) -> float:
@@ -88,7 +97,7 @@ class Postings:
 class Index:
     terms: dict[bytes, int]
     lists: list[Postings]
-    items: list[tuple[int | None, list[bytes], list[bytes]]]
+    items: list[tuple[object, list[bytes], list[bytes]]]
     half: int
 
     def tops(self) -> np.ndarray:
@@ -170,7 +179,7 @@ class Index:
         return [best[i] for i in sorted(best)]
 
 
-def build_index(items: list[tuple[int | None, str, str]], frequency: dict[bytes, int], n_items: int, mean_terms: float, half: int) -> Index:
+def build_index(items: list[tuple[object, str, str]], frequency: dict[bytes, int], n_items: int, mean_terms: float, half: int) -> Index:
     """The index of a block of items (id, question, answer); ``frequency`` counts terms over all items."""
     terms: dict[bytes, int] = {}
     found: list[tuple[list[int], list[float]]] = []
@@ -196,7 +205,7 @@ def build_index(items: list[tuple[int | None, str, str]], frequency: dict[bytes,
 
 def indexes(benchmark: DataFrame, id_col: str, question: Column, answer: Column, index_bytes: int) -> Iterator[Index]:
     """The blocks of the index, one at a time; only one block's items come to the driver at once."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, F.lit("")).alias("a"))
+    items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, F.lit("")).alias("a"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,40 +228,56 @@ def indexes(benchmark: DataFrame, id_col: str, question: Column, answer: Column,
             yield build_index(rows, {bytes(r["term"]): r["n"] for r in counts.collect()}, *total, max(HALF_PASSAGE, longest))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", question: Column | None = None,
-              answer: Column | None = None, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """``row`` (all columns of ``docs``) and ``hits``, the benchmark items found in its text.
+def _searched(texts: DataFrame, index: Index, threshold: float, hits: T.ArrayType) -> DataFrame:
+    """``texts`` (any column, text) as that column and ``hits``, what a block of the index finds."""
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+    name = texts.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops, kind = shared.value.tops(), to_arrow_type(hits)
+        for batch in batches:
+            found = [shared.value.hits(t, tops, threshold) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[name, "hits"])
+
+    return texts.mapInArrow(run, T.StructType([texts.schema[0], T.StructField("hits", hits)]))
+
+
+def _blocks(benchmark: DataFrame, item_id_col: str, question: Column | None, answer: Column | None, index_bytes: int) -> tuple[list[Index] | Iterator[Index], T.ArrayType]:
+    if question is None:
+        question, answer = split_item(F.col("text"))
+    return indexes(benchmark, item_id_col, question, answer, index_bytes), T.ArrayType(hit_type(benchmark.select(F.col(f"`{item_id_col}`")).schema[0].dataType))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", question: Column | None = None,
+                 answer: Column | None = None, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """A row per document and benchmark item found in it: the id and the fields of the hit.
 
     Without ``question`` and ``answer`` the benchmark's ``text`` is split, its last line or
     sentence being the answer. A null or empty text and a null, empty or wordless item match
-    nothing; an empty answer asks for nothing. Repeated rows and items match each for itself.
+    nothing; an empty answer asks for nothing. Repeated rows and items match each for itself,
+    and of passages with equal scores the earliest is given. A very long text is searched
+    passage by passage in one task. Ids may be of any type, and columns of ``docs`` of any
+    name; those but the id and the text are not read. No documents or no items give no rows.
     """
-    if question is None:
-        split = F.udf(split_item, "question string, answer string", useArrow=False)(F.col("text"))
-        benchmark = benchmark.withColumn("__parts", split)
-        question, answer = F.col("__parts.question"), F.col("__parts.answer")
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.array().cast(T.ArrayType(HIT)).alias("hits"))
-    spark = docs.sparkSession
-    for index in indexes(benchmark, item_id_col, question, answer, index_bytes):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tops = shared.value.tops()
-            for batch in batches:
-                hits = [old + shared.value.hits(t, tops, threshold) for t, old in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, batch.schema.field(2).type)], names=["row", "text", "hits"])
-
-        found = found.mapInArrow(run, found.schema)
-    return found.select("row", "hits")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """A row per document and benchmark item found in it: the id and the fields of the hit."""
-    hits = with_hits(docs.select(id_col, text_col), benchmark, text_col, **options)
-    return hits.select(F.col(f"row.`{id_col}`").alias(id_col), F.explode("hits").alias("hit")).select(id_col, "hit.*")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found."""
-    clean = with_hits(docs, benchmark, text_col, **options).where(F.size("hits") == 0)
-    return clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    blocks, hits = _blocks(benchmark, item_id_col, question, answer, index_bytes)
+    texts = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = [_searched(texts, index, threshold, hits) for index in blocks]
+    whole = reduce(DataFrame.union, found) if found else texts.select("key", F.lit(None).cast(hits).alias("hits"))
+    return whole.select(F.col("key"), F.explode("hits").alias("hit")).select(F.col("key").alias(id_col), "hit.*")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", question: Column | None = None,
+                  answer: Column | None = None, threshold: float = THRESHOLD, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is found, by the rules of :func:`contaminated`.
+
+    Rows are kept or dropped each for itself, those with null ids and equal rows too. Each
+    block of the index but the last writes the rows that it leaves.
+    """
+    blocks, hits = _blocks(benchmark, item_id_col, question, answer, index_bytes)
+    left, pending = docs, None
+    for index in blocks:
+        left = left if pending is None else materialise(pending, "unleaked")
+        whole = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        clean = _searched(whole, index, threshold, hits).where(F.size("hits") == 0)
+        pending = clean.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return docs if pending is None else pending
