@@ -2,7 +2,10 @@
 
 Texts with equal sets of shingles and equal fingerprints are one class. Each class has BANDS values, each a hash of
 ROWS minima of the set under different permutations; classes that agree in a value are
-compared. A pair of similarity s agrees in a value with probability s^ROWS, so a pair at 0.8
+compared: first all of them with the smallest and the greatest of their group, which joins
+most of a crowded group, then those that its largest component still lacks with the rest of
+the group. So only pairs within one component go uncompared, which can't join more.
+A pair of similarity s agrees in a value with probability s^ROWS, so a pair at 0.8
 is passed over with probability (1 - 0.8^5)^40 = 1.3e-7, more similar ones with less. The
 similarity of the candidates is then counted from their whole sets, and only pairs at or
 above the threshold are linked. Fingerprints at most ``max_distance`` bits apart are linked
@@ -20,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.llm.shared import materialise
-from traitloom.llm.simhash import SEED, first_by_links, hamming_links, majority, shingle_hashes
+from traitloom.llm.shared import materialise, row_hash
+from traitloom.llm.simhash import SEED, component_roots, first_by_links, hamming_links, majority, shingle_hashes
 
 BANDS, ROWS = 40, 5
 #: Shingles permuted at a time, so that the products stay in a core's cache.
@@ -79,26 +82,45 @@ def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([T.StructField("fp", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    similar = (100 + percent) * common >= percent * (F.size("a_set") + F.size("b_set"))
+    return pairs.join(left, "a").join(right, "b").where(similar).select("a", "b")
+
+
 def jaccard_links(classes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """Pairs (a, b), a < b, of ``classes`` (fp, n, bands) whose sets are at least ``percent`` similar.
 
+    They join the same classes, directly or through others, as all such pairs would.
     ``texts`` (fp, text) has one text of each class.
     """
     entries = classes.select("fp", "n", F.explode("bands").alias("value"))
-    a, b = entries.alias("a"), entries.alias("b")
-    # Sets so similar cannot differ more in size.
-    sized = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    candidates = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")) & sized)
-    pairs = materialise(candidates.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    groups = entries.groupBy("value").agg(F.count("*").alias("k"), *[f(F.struct("fp", "n")).alias(c) for f, c in ((F.min, "least"), (F.max, "most"))]).where("k > 1")
+    met = materialise(entries.join(groups.drop("k"), "value"), "met")
+    wanted = met.select("fp").distinct()
     sets = materialise(_sets(texts.join(wanted, "fp", "left_semi"), shingle_words), "sets")
-    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    similar = (100 + percent) * common >= percent * (F.size("a_set") + F.size("b_set"))
-    return pairs.join(left, "a").join(right, "b").where(similar).select("a", "b")
-
 
-def fingerprint_links(classes: DataFrame, max_distance: int, segments: int) -> DataFrame:
+    def pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+        """Distinct pairs of unlike ones; sets so similar cannot differ more in size."""
+        sized = 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+        return found.where((F.col(f"{a}.fp") != F.col(f"{b}.fp")) & sized).select(F.least(f"{a}.fp", f"{b}.fp").alias("a"), F.greatest(f"{a}.fp", f"{b}.fp").alias("b"))
+
+    own = met.select(F.struct("fp", "n").alias("own"), "least", "most")
+    ends = materialise(_verified(pairs(own, "own", "least").union(pairs(own, "own", "most")).distinct(), sets, percent), "ends")
+    roots = component_roots(ends)
+    rooted = materialise(met.join(roots, met.fp == roots.node, "left").select("value", "fp", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    counted = rooted.groupBy("value", "root").agg(F.count("*").alias("k"))
+    largest = counted.groupBy("value").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    split = rooted.join(largest, "value")
+    apart = split.where("root <> largest").select("value", "root", F.struct("fp", "n").alias("own"))
+    others = split.select(F.col("value").alias("v"), F.col("root").alias("r"), F.struct("fp", "n").alias("other"))
+    rest = pairs(apart.join(others, (F.col("value") == F.col("v")) & (F.col("root") != F.col("r"))), "own", "other").distinct()
+    return ends.union(_verified(rest, sets, percent))
+
+
+def fingerprint_links(classes: DataFrame, max_distance: int, segments: int | None = None) -> DataFrame:
     """Pairs (a, b) that join ``classes`` (fp, print) whose fingerprints are equal or close.
 
     Of the classes with equal fingerprints the smallest stands for all.
@@ -111,15 +133,17 @@ def fingerprint_links(classes: DataFrame, max_distance: int, segments: int) -> D
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80,
-                 max_distance: int = 5, segments: int = 3) -> DataFrame:
+                 max_distance: int = 5, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each component of linked texts: that with the smallest id.
 
-    Rows whose id is null come after all others; of rows with equal ids, any one stays.
-    Documents without words are equal, so one of them stays.
+    Rows whose id is null come after all others; of rows with equal ids that whose columns
+    have the smallest hash stays. Documents without words, null ones too, are equal, so one of
+    them stays. A very long text is one row's work and its shingles' hashes are held at once.
+    Columns of ``docs`` may bear any name. No rows give no rows.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    prints = materialise(_with_bands(whole, shingle_words).withColumn("row_id", F.monotonically_increasing_id()), "banded")
-    key = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row_id")
+    prints = materialise(_with_bands(whole, shingle_words).withColumn("row_id", F.monotonically_increasing_id()).withColumn("row_hash", row_hash("doc", docs.schema)), "banded")
+    key = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row_hash", "row_id")
     classes = materialise(prints.groupBy("fp").agg(F.min(key).alias("own"), *[F.first(c).alias(c) for c in ("print", "n", "bands")]), "classes")
     first_rows = classes.select(F.col("own.row_id").alias("row_id"))
     texts = prints.select("row_id", "fp", F.col(f"doc.`{text_col}`").alias("text")).join(first_rows, "row_id", "left_semi").select("fp", "text")

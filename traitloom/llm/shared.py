@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The session setting that names the folder shared by the driver and all executors.
 SHARED_DIR_KEY = "spark.checkpoint.dir"
@@ -51,6 +52,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def row_hash(row: str, schema: T.StructType) -> Column:
+    """A hash of all fields of a struct; maps, which Spark does not hash, as JSON."""
+    own = [F.col(f"{row}.`{f.name}`") for f in schema]
+    return F.xxhash64(*[F.to_json(c) if "map<" in f.dataType.simpleString() else c for c, f in zip(own, schema, strict=True)])
+
+
 def words_of(text: Column) -> Column:
     """The runs of non-white-space (ASCII white space only) of a text; null gives none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -10,6 +10,9 @@ are looked up in a table of (segment, value), and the whole distance is verified
 join. Only one direction of each pair is enumerated: a probe that flips bits must have a
 zero at its lowest flipped bit, where its partner has a one.
 
+How many segments there are follows from the number of fingerprints: few, wide ones make
+many probes, many narrow ones many candidates for each.
+
 Equal fingerprints are one class, so copies never make pairs; the search runs over distinct
 fingerprints and the shuffle join splits crowded segment values (AQE skew join).
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import chain, combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.llm.shared import materialise
+from traitloom.llm.shared import materialise, row_hash
 
 BITS = 64
 SEED = 42
@@ -100,6 +104,15 @@ def segment_radii(max_distance: int, segments: int) -> list[int]:
     return [a if i <= b else a - 1 for i in range(segments)]
 
 
+def segments_for(count: int, max_distance: int) -> int:
+    """The number of segments, two or more, with the least probes and candidates for each of ``count`` fingerprints."""
+    def work(segments: int) -> float:
+        return sum(sum(comb(width, k) for k in range(radius + 1)) * (1 + count / 2**width)
+                   for (_, width), radius in zip(segment_bounds(segments), segment_radii(max_distance, segments), strict=True))
+
+    return min(range(2, max(2, max_distance + 1) + 1), key=work)
+
+
 def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
@@ -125,8 +138,9 @@ def _probes(segment: int, shift: int, width: int, radius: int) -> Column:
         _entry(segment, shift, width, fp.bitwiseXOR(f["mask"])).alias("at"), (f["mask"] != 0).alias("flipped")))
 
 
-def hamming_links(fps: DataFrame, max_distance: int, segments: int) -> DataFrame:
+def hamming_links(fps: DataFrame, max_distance: int, segments: int | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct values of ``fps.fp`` at most ``max_distance`` bits apart."""
+    segments = segments or segments_for(fps.count(), max_distance)
     probes, entries = [], []
     for i, ((shift, width), radius) in enumerate(zip(segment_bounds(segments), segment_radii(max_distance, segments), strict=True)):
         if radius >= 0:
@@ -184,21 +198,21 @@ def first_by_links(classes: DataFrame, links: DataFrame) -> DataFrame:
         "fp", F.when(F.col("is_linked"), F.col("linked_first")).otherwise(F.col("own")).alias("first"))
 
 
-def first_by_fingerprint(keyed: DataFrame, max_distance: int, segments: int) -> DataFrame:
+def first_by_fingerprint(keyed: DataFrame, max_distance: int, segments: int | None = None) -> DataFrame:
     """For each distinct ``fp`` the smallest ``key`` in its whole component, as ``first``."""
     classes = materialise(keyed.groupBy("fp").agg(F.min("key").alias("own")), "classes")
     return first_by_links(classes, hamming_links(classes.select("fp"), max_distance, segments))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    max_distance: int = 4, segments: int = 3) -> DataFrame:
+                    max_distance: int = 4, segments: int | None = None) -> DataFrame:
     """One row per row of ``docs``: the id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
     ``component_id`` is the smallest id that can be reached over links, the row's own included.
     A null or wordless text has the fingerprint zero and is linked like any other. A null id
     stays null and never is a component's id, unless all ids of a component are null.
     Repeated rows are returned as often as they occur. No rows give no rows. Columns other
-    than the id and the text are not read.
+    than the id and the text are not read. A very long text is hashed whole, in parts.
     """
     prints = materialise(with_fingerprints(docs, text_col, shingle_words, {"key": F.col(f"`{id_col}`")}), "fingerprints")
     first = first_by_fingerprint(prints, max_distance, segments)
@@ -207,15 +221,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                         max_distance: int = 4, segments: int = 3) -> DataFrame:
+                         max_distance: int = 4, segments: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: that with the smallest id.
 
-    Rows whose id is null come after all others; of rows with equal ids, any one stays.
-    Documents without words have equal fingerprints, so one of them stays.
+    Rows whose id is null come after all others; of rows with equal ids that whose columns
+    have the smallest hash stays. Documents without words have equal fingerprints, so one of
+    them stays. Columns of ``docs`` may bear any name. No rows give no rows.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    prints = materialise(with_fingerprints(whole, "text", shingle_words, {"doc": F.col("doc")}).withColumn("row_id", F.monotonically_increasing_id()), "printed")
-    key = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row_id")
+    prints = materialise(with_fingerprints(whole, "text", shingle_words, {"doc": F.col("doc")}).withColumn("row_id", F.monotonically_increasing_id()).withColumn("row_hash", row_hash("doc", docs.schema)), "printed")
+    key = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("no_id"), F.col(f"doc.`{id_col}`").alias("id"), "row_hash", "row_id")
     first = first_by_fingerprint(prints.select("fp", key.alias("key")), max_distance, segments)
     stay = first.select(F.col("first.row_id").alias("row_id")).distinct()
     return prints.join(stay, "row_id", "left_semi").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
