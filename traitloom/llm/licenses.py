@@ -3,8 +3,9 @@
 The rarest words of each licence template, by inverse document frequency, propose relative
 positions: so many that the others cannot reach the least share without one of them. At each
 position proposed all words of the template are counted, and a template whose words agree on
-one is accepted if the text also holds its mandatory key phrases. The templates are a fixed list, so the index is a constant of the plan. Everything is DataFrame
-functions; a text without any key phrase is passed over after one pattern match.
+one is accepted if the text also holds its mandatory key phrases. The templates are a bounded
+list, given or read from a table, so the index is a constant of the plan; the list below has
+the opening notices of common licences. Everything is DataFrame functions; a text without any key phrase is passed over after one pattern match.
 """
 
 from __future__ import annotations
@@ -57,15 +58,30 @@ TEMPLATES = (
     Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
 )
-VOCABULARY = tuple(sorted({w for t in TEMPLATES for w in t.text.split()}))
+#: Templates of a list at most, for it is part of the plan.
+MOST_TEMPLATES = 1000
 
 
-def _pattern(phrase: str) -> str:
-    return GAP.join(phrase.split())
+def vocabulary(templates: tuple[Template, ...]) -> list[str]:
+    return sorted({w for t in templates for w in t.text.split()})
 
 
-#: Texts without a match hold neither a base phrase nor a template's key phrases.
-ANY_KEY = "(?i)(?:" + "|".join(_pattern(p) for p in sorted({p for p, _ in BASE} | {t.keys[0] for t in TEMPLATES})) + ")"
+def any_key(templates: tuple[Template, ...]) -> str:
+    """Texts without a match hold neither a base phrase nor a template's key phrases."""
+    return "(?i)(?:" + "|".join(GAP.join(p.split()) for p in sorted({p for p, _ in BASE} | {t.keys[0] for t in templates})) + ")"
+
+
+def read_templates(listed: DataFrame) -> tuple[Template, ...]:
+    """The templates of a table (label, text, keys: array of phrases), whole licence texts as well; at most MOST_TEMPLATES.
+
+    Texts and phrases are cut into words as :func:`words` does. Rows with nulls, or without words or phrases, are left out.
+    """
+    cut = lambda c: F.array_join(words(c), " ")
+    rows = listed.dropna(subset=["label", "text", "keys"]).select("label", cut(F.col("text")).alias("text"), F.filter(F.transform("keys", cut), lambda k: k != "").alias("keys"))
+    found = rows.where((F.col("text") != "") & (F.size("keys") > 0)).distinct().orderBy("label", "text").limit(MOST_TEMPLATES + 1).collect()
+    if len(found) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} licence templates")
+    return tuple(Template(r["label"], r["text"], tuple(r["keys"])) for r in found)
 
 
 def words(text: Column) -> Column:
@@ -86,13 +102,14 @@ def phrase_places(own: Column, phrase: str) -> Column:
     return F.filter(F.transform(own, here), lambda x: x.isNotNull())
 
 
-def frequencies(docs: DataFrame, text: Column) -> list[float]:
+def frequencies(docs: DataFrame, text: Column, known: list[str]) -> dict[str, float]:
     """Inverse document frequencies of the template words, over all documents."""
-    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
-    held = docs.select(F.array_intersect(F.split(F.lower(text), GAP), vocabulary).alias("held"))
-    total = held.agg(F.count("*")).first()[0]
-    count = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return [math.log(1 + (total - count.get(w, 0) + 0.5) / (count.get(w, 0) + 0.5)) for w in VOCABULARY]
+    held = docs.select(F.array_intersect(F.split(F.translate(text, CAPITALS, SMALL), GAP), F.array(*[F.lit(w) for w in known])).alias("held"))
+    # An empty word, which none of these is, stands for the document itself.
+    counted = held.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    count = {r["w"]: r["n"] for r in counted.collect()}
+    n = count.pop("", 0)
+    return {w: math.log(1 + (n - count.get(w, 0) + 0.5) / (count.get(w, 0) + 0.5)) for w in known}
 
 
 def rare_places(template: Template, idf: dict[str, float]) -> list[int]:
@@ -122,19 +139,20 @@ def _agreement(own: Column, rare: Column, template: Template, idf: dict[str, flo
     return F.coalesce(F.array_max(shares), F.lit(0.0))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """Per row: the id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` and ``score`` (1 with a base phrase, else the best accepted template's share).
 
     A null or empty text has no words and no labels. Repeated rows and null ids are rows like
-    others; columns other than the id and the text are not read. No rows give no rows.
+    others; columns other than the id and the text are not read, whatever their names. Of
+    labels with equal shares all are given. A very long text is one row's work. No rows give
+    no rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    weights = frequencies(docs, text)
-    idf = dict(zip(VOCABULARY, weights, strict=True))
-    proposing = F.array(*[F.lit(w) for w in sorted({t.text.split()[i] for t in TEMPLATES for i in rare_places(t, idf)})])
+    idf = frequencies(docs, text, vocabulary(templates))
+    proposing = F.array(*[F.lit(w) for w in sorted({t.text.split()[i] for t in templates for i in rare_places(t, idf)})]).cast("array<string>")
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-                         F.when(text.rlike(ANY_KEY), words(text)).otherwise(F.array().cast("array<string>")).alias("own"))
+                         F.when(text.rlike(any_key(templates)), words(text)).otherwise(F.array().cast("array<string>")).alias("own"))
 
     def look(own: Column) -> Column:
         rare = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(proposing, x["word"]))
@@ -142,7 +160,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def judged(r: Column) -> Column:
             return F.array(*[F.struct(F.lit(t.label).alias("label"), F.when(
-                F.array_position(F.array(*[line.contains(f" {k} ") for k in t.keys]), F.lit(False)) > 0, 0.0).otherwise(_agreement(own, r, t, idf)).alias("share")) for t in TEMPLATES])
+                F.array_position(F.array(*[line.contains(f" {k} ") for k in t.keys]), F.lit(False)) > 0, 0.0).otherwise(_agreement(own, r, t, idf)).alias("share")) for t in templates]).cast("array<struct<label:string,share:double>>")
 
         accepted = F.filter(let(rare, judged), lambda x: x["share"] >= LEAST_SHARE)
         return F.struct(*[phrase_places(own, p).alias(f"base_{i}") for i, (p, _) in enumerate(BASE)], accepted.alias("accepted"))
