@@ -4,7 +4,8 @@ A document's pre-tokens are grouped into leaves of a few hundred characters, and
 tree over the leaves holds sums of characters and tokens. An edit descends by characters to
 the leaves it touches, takes in a neighbouring leaf where the boundary would no longer be a
 safe one, encodes that region again and updates the sums on the way up; all other leaves
-keep their counts. A boundary is safe where a run of white space begins: no pre-token of the
+keep their counts. The leaves' lengths and counts are kept in a table beside the texts, so
+the next batch of edits encodes no more than what it touches. A boundary is safe where a run of white space begins: no pre-token of the
 pattern crosses such a place, whatever stands further off.
 """
 
@@ -13,12 +14,16 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-LEAF_CHARS = 512
+#: The least characters of a new leaf, and how many such an edited one may hold before the tree is built anew.
+LEAF_CHARS, MOST_SHARED = 512, 4
 CUT = re.compile(r"(?<=\S)[ \n]")
 #: Personal data that the query masks, and what replaces it.
 MASKS = ((re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)"), "[IP]"), (re.compile(r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"), "[PHONE]"),
@@ -106,22 +111,27 @@ class TokenTree:
         last = self.leaf_at(max(start, end - 1))[0]
         old = "".join(self.leaves[first : last + 1])
         region = old[: start - at] + replacement + old[end - at :]
-        while first > 0 and not safe(self.leaves[first - 1], region):
+        while first > 0 and (not self.leaves[first - 1] or not safe(self.leaves[first - 1], region)):
             first -= 1
             region = self.leaves[first] + region
-        while last + 1 < len(self.leaves) and not safe(region or " ", self.leaves[last + 1]):
+        while last + 1 < len(self.leaves) and (not self.leaves[last + 1] or not safe(region or " ", self.leaves[last + 1])):
             last += 1
             region += self.leaves[last]
         self.encoded_chars += len(region)
-        if first == last and 0 < len(region) <= 4 * LEAF_CHARS:
-            self.leaves[first] = region
-            node = self.size + first
-            self.tokens[node], self.chars[node] = self.count(region), len(region)
-            while node > 1:
-                node //= 2
-                self._sum(node)
+        fresh, slots = leaf_texts(region), last + 1 - first
+        # Neighbouring leaves may share a slot; slots that are left over stay empty.
+        share = -(-len(fresh) // slots)
+        if share <= MOST_SHARED:
+            fresh = ["".join(fresh[i * share : (i + 1) * share]) for i in range(slots)]
+            for leaf, text in enumerate(fresh, first):
+                self.leaves[leaf] = text
+                self.tokens[self.size + leaf], self.chars[self.size + leaf] = self.count(text), len(text)
+            low, high = (self.size + first) // 2, (self.size + last) // 2
+            while low:
+                for node in range(low, high + 1):
+                    self._sum(node)
+                low, high = low // 2, high // 2
             return None
-        fresh = leaf_texts(region)
         kept = self.tokens[self.size : self.size + len(self.leaves)]
         self.leaves[first : last + 1] = fresh
         return self._build(kept[:first] + [self.count(x) for x in fresh] + kept[last + 1 :])
@@ -137,13 +147,74 @@ def masking_edits(text: str) -> list[Edit]:
     return sorted(taken, reverse=True)
 
 
-def gather_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``edits`` (array of start, end, replacement) from a table with a ``seq`` column.
+def gather_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """``docs`` with ``edits_col`` (array of start, end, replacement) from a table with a ``seq`` column.
 
     The edits of one document depend on each other, so one task applies them in ``seq`` order.
+    Those of a null id go to the rows of a null id. A column of ``docs`` by that name gives way.
     """
-    listed = edits.groupBy(F.col(id_col).alias("__id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))), lambda e: e.dropFields("seq")).alias("edits"))
-    return docs.join(listed, docs[id_col] == F.col("__id"), "left").drop("__id")
+    listed = edits.groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))), lambda e: e.dropFields("seq")).alias("__edits"))
+    kept = docs.drop(edits_col)
+    return kept.join(listed, kept[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left").drop("__id").withColumnRenamed("__edits", edits_col)
+
+
+LEAVES = T.ArrayType(T.StructType([T.StructField("chars", T.IntegerType()), T.StructField("tokens", T.IntegerType())]))
+
+
+def _each(picked: DataFrame, made: list[tuple[str, T.DataType]], ranks_path: str, pattern: str, row) -> DataFrame:
+    """``picked`` (key, text, more) as key, then the columns that ``row(count, text, more)`` makes."""
+    schema = T.StructType([picked.schema[0], *[T.StructField(n, t) for n, t in made]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, kinds = encoder(ranks_path, pattern), [to_arrow_type(t) for _, t in made]
+        for batch in batches:
+            out = [row(count, text or "", more) for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist() if batch.num_columns > 2 else repeat(None, batch.num_rows), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names=schema.names)
+
+    return picked.mapInArrow(run, schema)
+
+
+def _picked(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
+
+
+def _kept_leaves(tree: TokenTree) -> list[dict]:
+    return [{"chars": len(x), "tokens": n} for x, n in zip(tree.leaves, tree.tokens[tree.size :], strict=False) if x]
+
+
+def count_leaves(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table that edits work on: the id, ``text``, ``leaves`` (array of chars, tokens) and ``n_tokens``.
+
+    A null or empty text has no leaves and no tokens. Repeated rows and null ids are rows like
+    others. No rows give no rows.
+    """
+    def row(count, text: str, _) -> tuple:
+        tree = TokenTree.of(text, count)
+        return text, _kept_leaves(tree), tree.total
+
+    made = [("text", T.StringType()), ("leaves", LEAVES), ("n_tokens", T.LongType())]
+    return _each(_picked(docs, id_col, text_col), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
+
+
+def apply_edits(counted: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """A table of :func:`count_leaves` after the edits of ``edits_col``, with ``encoded_chars``, what they had encoded again.
+
+    Texts and leaves that no edit touches are taken over as they are.
+    """
+    def row(count, text: str, more: dict) -> tuple:
+        leaves, at, tokens = [], 0, []
+        for leaf in more["leaves"] or []:
+            leaves.append(text[at : at + leaf["chars"]])
+            tokens.append(leaf["tokens"])
+            at += leaf["chars"]
+        tree = TokenTree(leaves, tokens, count)
+        for e in more["edits"] or []:
+            tree.edit(e["start"], e["end"], e["replacement"] or "")
+        return tree.text(), _kept_leaves(tree), tree.total, tree.encoded_chars
+
+    made = [("text", T.StringType()), ("leaves", LEAVES), ("n_tokens", T.LongType()), ("encoded_chars", T.LongType())]
+    more = F.struct(F.col("leaves"), F.col(f"`{edits_col}`").alias("edits")).alias("more")
+    return _each(_picked(counted, id_col, "text", more), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
 
 
 def recount(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
@@ -152,24 +223,17 @@ def recount(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     Edits come from ``edits_col`` (places count code points of the text as the edits before
     left it), else they mask personal data. A null or empty text has no tokens; a null list
     no edits; places beyond the end mean the end. Repeated rows and null ids are rows like
-    others; columns other than those named are not read. No rows give no rows.
+    others; columns other than those named are not read, whatever their names. A very long
+    text is one row's work. No rows give no rows.
     """
-    picked = docs.select(id_col, text_col, *([edits_col] if edits_col else []))
-    names = [id_col, "n_tokens", "n_edits", "n_tokens_after", "encoded_chars"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(ranks_path, pattern)
-        for batch in batches:
-            rows = []
-            given = batch.column(2).to_pylist() if edits_col else None
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                tree = TokenTree.of(text or "", count)
-                before = tree.total
-                edits = [(e["start"], e["end"], e["replacement"] or "") for e in given[i] or []] if edits_col else masking_edits(text or "")
-                for e in edits:
-                    tree.edit(*e)
-                rows.append((before, len(edits), tree.total, tree.encoded_chars))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]], names=names)
-
-    kind = picked.schema[0].dataType.simpleString()
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, n_edits long, n_tokens_after long, encoded_chars long")
+    def row(count, text: str, given: list | None) -> tuple:
+        tree = TokenTree.of(text, count)
+        before = tree.total
+        edits = [(e["start"], e["end"], e["replacement"] or "") for e in given or []] if edits_col else masking_edits(text)
+        for e in edits:
+            tree.edit(*e)
+        return before, len(edits), tree.total, tree.encoded_chars
+
+    made = [(n, T.LongType()) for n in ("n_tokens", "n_edits", "n_tokens_after", "encoded_chars")]
+    more = [F.col(f"`{edits_col}`").alias("edits")] if edits_col else []
+    return _each(_picked(docs, id_col, text_col, *more), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
