@@ -38,14 +38,13 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.llm.shared import materialise
+from traitloom.llm.shared import materialise, slices
 
 #: A boundary falls after a unit where the rolling hash over two units is divisible by this.
 #: A chunk closes with this many words at the least and this many units at the most.
@@ -267,7 +266,7 @@ def _long_lists(values: list[np.ndarray]) -> pa.Array:
 def _hashes(rows: DataFrame) -> DataFrame:
     """(id, text_hash, key, hashes, twice): a text's chunk hashes and window names, each once, and those that it has twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
             once, twice = [], []
             for group in grouped(texts):
@@ -320,9 +319,9 @@ def _sifted(sieve: Sieve, column: str, df: DataFrame) -> Column:
     """Whether a sieve may hold a column of longs; the other columns stay in the JVM."""
     shared = df.sparkSession.sparkContext.broadcast(sieve)
 
-    @F.pandas_udf("boolean")
-    def holds(values: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.holds(values.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def holds(values: pa.Array) -> pa.Array:
+        return pa.array(shared.value.holds(values.to_numpy(zero_copy_only=False)))
 
     return holds(F.col(column))
 
@@ -362,17 +361,17 @@ FOUND = [("kind", T.IntegerType()), ("at", T.IntegerType()), ("hash", T.LongType
          ("before", T.ArrayType(T.LongType())), ("after", T.ArrayType(T.LongType())), ("windows", T.ArrayType(T.LongType()))]
 
 
-def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
-    """The chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
-    (kind, at, name, hashes of the windows) of each text that the sieve holds.
+def _found(rows: DataFrame, holders: Sieve, sieve: Sieve, crowded: set[int]) -> DataFrame:
+    """Of the rows whose key ``holders`` holds, the chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
+    (kind, at, name, hashes of the windows) that the sieve holds.
 
     Windows of crowded names come one by one under a hash of their own, and a task gives out
     as LATER those that stand after another it has seen; so few rows of one hash are shuffled.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((sieve, np.array(sorted(crowded), np.int64)))
+    shared = rows.sparkSession.sparkContext.broadcast((holders, sieve, np.array(sorted(crowded), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, crowded = shared.value
+        holders, sieve, crowded = shared.value
         earliest = Earliest()
         arrow = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         names = ["id", "text_hash", *[n for n, _ in FOUND]]
@@ -384,8 +383,9 @@ def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([*keys, *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names=names)
 
         id_type = None
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column(0).type
+            batch = batch.filter(pa.array(holders.holds(batch.column(3).to_numpy(zero_copy_only=False))))
             ids, text_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for group in grouped(texts):
@@ -420,7 +420,7 @@ def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
             part = left[at : at + 10_000]
             yield packed([pa.array([r[7][c] for r in part], t) for c, t in enumerate((id_type, pa.int64()))], part, arrow)
 
-    picked = rows.select("id", "text_hash", "text")
+    picked = rows.select("id", "text_hash", "text", "key")
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:2], *[T.StructField(n, t) for n, t in FOUND]]))
 
 
@@ -553,7 +553,7 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
         return cut_runs(text, chunked, min_words, sorted({32 * e["at"] + i for e in entries if not e["chunk"] for i in range(32) if e["x"] >> i & 1}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(0).field(text_at).to_pylist()
             out = [cut("" if t is None else t, *r) for t, *r in zip(texts, *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
@@ -571,7 +571,7 @@ def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     total = repeated.agg(F.sum("n")).first()[0] or 0
     crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
     holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id")).withColumn("key", F.xxhash64("id", "text_hash")), "holders")
-    found = materialise(_found(rows.where(_sifted(_sieve(holders, "key"), "key", rows)), sieve, crowded), "found")
+    found = materialise(_found(rows, _sieve(holders, "key"), sieve, crowded), "found")
     entry = lambda chunk, at, x, y, several: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), several.alias("several")).alias("entry")
     chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after"), F.col("several")))
     windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0), F.lit(True)))
