@@ -266,6 +266,23 @@ def test_line_dedup_of_crowded_windows_and_text_ids(spark, monkeypatch):
 def test_word_hashes_of_long_words_and_pieces():
     r = random.Random(1)
     words = ["".join(r.choices("abcé", k=k)) for k in (1, 3, 70, 1000, linededup.GROUP_BYTES // 2, 2 * linededup.GROUP_BYTES + 9, 5, 8)] * 2
-    hashes, starts = linededup.word_hashes(" \n".join(words).encode())
+    found = linededup.Words(" ".join(words).encode())
     half = len(words) // 2
-    assert len(hashes) == len(words) and (hashes[:half] == hashes[half:]).all() and len(set(hashes.tolist())) == half and starts[0] == 0
+    assert len(found.hashes) == len(words) and (found.hashes[:half] == found.hashes[half:]).all() and len(set(found.hashes.tolist())) == half and found.starts[0] == 0
+    again = linededup.Words(" \n".join([*words[:3], *words]).encode())
+    assert (again.hashes[:3] == found.hashes[:3]).all() and (again.hashes[3:] == found.hashes).all()
+
+
+def test_texts_together_are_cut_as_each_alone():
+    r = random.Random(4)
+    for _ in range(200):
+        texts = ["".join(r.choices("ab.!? \n\té  .\n", k=r.randrange(120))).encode() for _ in range(5)]
+        group = linededup.Texts(texts)
+        for i, text in enumerate(texts):
+            ends = [m.end() for m in re.finditer(rb"[.!?][ \t]+|\n", text)]
+            units = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True) if b > a]
+            alone = linededup.line_chunks(text)
+            assert [u for own, _ in alone for u in own] == units and [h for _, held in alone for h in held] == [u.strip() for u in units if u.strip()]
+            assert [held for _, held in alone if held] == [group.held(k) for k in range(group.chunk_bounds[i], group.chunk_bounds[i + 1])]
+    long = "\n".join(f"{prose(k, 9)}. {prose(k + 1, 12)}!" for k in range(6000)).encode()
+    assert b"".join(u for own, _ in linededup.line_chunks(long) for u in own) == long

@@ -34,7 +34,6 @@ is the same.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,55 +55,20 @@ WINDOW, ANCHOR = 50, 25
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Bits of a sieve for each hash, how many of them a hash sets, and bits at most and at least in all.
-SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 16, 4, 1 << 28, 1 << 12
+SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 32, 6, 1 << 28, 1 << 12
 #: Bytes of texts whose words are hashed at a time, so that the numbers stay in a core's cache.
 GROUP_BYTES = 1 << 17
 #: A name held by more texts than this, and than this part of all, is crowded; so there are few of them.
 CROWD, CROWD_SHARE = 2000, 1000
 #: Windows of crowded names that a task remembers.
 REMEMBERED = 200_000
-WORD = re.compile(rb"\S+")
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
-BLANK = re.compile(rb"\s")
-IS_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+IS_SPACE, IS_STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?"))
+POWER_TURN = GROUP_BYTES
 POWERS, INVERSE = (np.multiply.accumulate(np.array([1] + [x] * (2 * GROUP_BYTES), np.uint64)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
 CHUNK, OPEN, LATER = 0, 1, 2
 
 
-def units(text: bytes) -> list[bytes]:
-    """The units of a text, with the white space that follows each; joined they give the text."""
-    ends = [m.end() for m in BREAK.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False) if b > a]
-
-
-def line_chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
-    """The chunks of a text: their units, and the stripped units that are not blank.
-
-    A blank unit goes with the chunk before it.
-    """
-    out: list[tuple[list[bytes], list[bytes]]] = []
-    own, held, words, before = [], [], 0, 0
-    for unit in units(text):
-        content = unit.strip()
-        if not content:
-            (own if own or not out else out[-1][0]).append(unit)
-            continue
-        own.append(unit)
-        held.append(content)
-        words += content.count(b" ") + 1
-        number = xxhash.xxh64_intdigest(content)
-        rolled = (before * MULTIPLIER + number) & MASK
-        before = number
-        if (words >= LEAST_WORDS and (rolled >> 32) % DIVISOR == 0) or len(held) >= MAX_UNITS:
-            out.append((own, held))
-            own, held, words = [], [], 0
-    if own:
-        out.append((own, held))
-    return out
-
-
 def distinct_windows(names: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """The windows (place, name) that overlap no equal one before."""
     out, last = [], {}
@@ -115,57 +79,153 @@ def distinct_windows(names: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return out
 
 
-def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
-    """All that is compared: the chunks of lines, then for each word the window that begins with it.
-
-    A window has no units of its own, and its content begins with a line break, as no chunk's does.
-    """
-    words = text.split()
-    windows = [(i, b" ".join(words[i : i + WINDOW])) for i in range(len(words) - WINDOW + 1)]
-    listed = dict(distinct_windows(windows))
-    return line_chunks(text) + [([], [b"", w] if i in listed else []) for i, w in windows]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def _piece_hashes(data: bytes, at: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes and starts of the words of a piece of bytes that begins and ends between words.
+class Words:
+    """The words of some bytes: where they start and end, and their hashes.
 
-    A word's hash is a difference of sums of bytes times powers, taken back to the first power.
+    The hash of a stretch of bytes is a difference of sums of bytes times powers, taken back
+    to the first power, so that of any stretch costs the same. Bytes are taken in pieces of
+    about GROUP_BYTES that end between units; a longer unit is hashed by itself.
     """
-    own = np.frombuffer(data, np.uint8, end - at, at)
-    gap = np.ones(end - at + 2, bool)
-    np.take(IS_SPACE, own, out=gap[1:-1])
-    edges = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(end - at + 1, np.uint64)
-    np.multiply(own, POWERS[: end - at], out=sums[1:], casting="unsafe")
-    np.cumsum(sums, out=sums)
-    hashes = sums[ends] - sums[starts]
-    hashes *= INVERSE[starts]
-    hashes += (ends - starts).astype(np.uint64)
-    return mixed(hashes), starts + at
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the start of every word."""
-    parts, at = [], 0
-    while at < len(data):
-        cut = BLANK.search(data, at + GROUP_BYTES) if at + GROUP_BYTES < len(data) else None
-        end = cut.start() if cut else len(data)
-        if end - at <= 2 * GROUP_BYTES:
-            parts.append(_piece_hashes(data, at, end))
+
+    def __init__(self, data: bytes):
+        parts, at = [], 0
+        while at < len(data):
+            cut = BREAK.search(data, at + GROUP_BYTES) if at + GROUP_BYTES < len(data) else None
+            end = cut.end() if cut else len(data)
+            parts.append(self._piece(data, at, end))
+            at = end
+        join = lambda k, t: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, t)
+        self.starts, self.ends, self.hashes = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        #: The units, each up to the next: where they start, their first words and the hashes of their contents.
+        self.unit_starts, self.unit_hashes = join(3, np.int64), join(4, np.uint64)
+        self.unit_words = np.searchsorted(self.starts, np.append(self.unit_starts, len(data)))
+
+    @staticmethod
+    def _piece(data: bytes, at: int, end: int) -> tuple[np.ndarray, ...]:
+        own = np.frombuffer(data, np.uint8, end - at, at)
+        gap = np.ones(end - at + 2, bool)
+        np.take(IS_SPACE, own, out=gap[1:-1])
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        blank = (own == 32) | (own == 9)
+        turns = np.flatnonzero(np.append(blank, False) != np.append(False, blank))
+        first, after = turns[::2], turns[1::2]
+        stops = after[(first > 0) & IS_STOP[own[np.maximum(first, 1) - 1]]]
+        breaks = np.sort(np.concatenate([stops, np.flatnonzero(own == 10) + 1]))
+        units = np.append(0, breaks[breaks < len(own)])
+        word = np.searchsorted(starts, np.append(units, len(own)))
+        filled = word[1:] > word[:-1]
+        contents = np.zeros(len(units), np.uint64)
+        if len(own) <= 2 * GROUP_BYTES:
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.multiply(own, POWERS[: len(own)], out=sums[1:], casting="unsafe")
+            np.cumsum(sums, out=sums)
+            stretch = lambda a, b: mixed((sums[b] - sums[a]) * INVERSE[a] + (b - a).astype(np.uint64))
         else:
-            for m in WORD.finditer(data, at, end):
-                small = m.end() - m.start() <= 2 * GROUP_BYTES
-                parts.append(_piece_hashes(data, *m.span()) if small else (np.array([xxhash.xxh64_intdigest(m.group())], np.uint64), np.array([m.start()])))
-        at = end
-    hashes, starts = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
-    return np.concatenate(hashes), np.concatenate(starts)
+            stretch = lambda a, b: np.array([Words._long(data[at + x : at + y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.uint64)
+        contents[filled] = stretch(starts[word[:-1][filled]], ends[word[1:][filled] - 1])
+        return starts + at, ends + at, stretch(starts, ends), units + at, contents
+
+    @staticmethod
+    def _long(stretch: bytes) -> int:
+        """The hash of a stretch within a long piece; of one that short pieces can hold, the same as there."""
+        if len(stretch) > 2 * GROUP_BYTES:
+            return xxhash.xxh64_intdigest(stretch)
+        own = np.frombuffer(stretch, np.uint8).astype(np.uint64)
+        return int(mixed(np.array([(own * POWERS[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))], np.uint64))[0])
+
+
+class Texts:
+    """Several texts at once: the units, chunks and words of each."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.data = texts, b"\n".join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        #: Where each text ends in the joined bytes; a line break follows.
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.begins = self.ends - sizes
+        self.words = Words(self.data)
+        starts = self.words.unit_starts
+        of = np.searchsorted(self.ends, starts, "right")
+        inside = (of < len(texts)) & (starts < self.ends[np.minimum(of, len(texts) - 1)]) if texts else np.zeros(0, bool)
+        self.unit_of, self.unit_start = of[inside], starts[inside]
+        self.unit_first, self.unit_last = self.words.unit_words[:-1][inside], self.words.unit_words[1:][inside]
+        self.unit_hash = self.words.unit_hashes[inside]
+        self._chunk()
+
+    def _chunk(self) -> None:
+        filled = np.flatnonzero(self.unit_last > self.unit_first)
+        of, own = self.unit_of[filled], self.unit_hash[filled]
+        fresh = np.append(True, of[1:] != of[:-1]) if len(of) else np.zeros(0, bool)
+        before = np.where(fresh, np.uint64(0), np.append(np.uint64(0), own[:-1])) if len(of) else own
+        closes = ((before * np.uint64(MULTIPLIER) + own) >> np.uint64(32)) % np.uint64(DIVISOR) == 0
+        counts = (self.unit_last - self.unit_first)[filled]
+        heads, words, n, done = [], 0, 0, True
+        for k, (new, close, count) in enumerate(zip(fresh.tolist(), closes.tolist(), counts.tolist(), strict=True)):
+            if done or new:
+                heads.append(k)
+                words = n = 0
+            words += count
+            n += 1
+            done = (close and words >= LEAST_WORDS) or n >= MAX_UNITS
+        heads = np.array(heads, np.int64)
+        tails = np.append(heads[1:], len(filled)) if len(heads) else heads
+        sums = np.append(np.uint64(0), np.cumsum(own * POWERS[np.arange(len(own)) % POWER_TURN]))
+        hashes = mixed((sums[tails] - sums[heads]) * INVERSE[heads % POWER_TURN] + (tails - heads).astype(np.uint64)) if len(heads) else np.zeros(0, np.uint64)
+        for j in np.flatnonzero(heads // POWER_TURN != (tails - 1) // POWER_TURN).tolist():
+            part = own[heads[j] : tails[j]]
+            hashes[j] = mixed((part * POWERS[: len(part)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(part)))[0]
+        #: The units that are not blank, and of a chunk the first of them and the one after its last.
+        self.filled, self.heads, self.tails = filled, heads, tails
+        #: The text of a chunk, its number in the text, its hash, and its first unit; the blank ones before a text's first chunk are its.
+        self.chunk_of = of[heads] if len(heads) else np.zeros(0, np.int64)
+        first = np.searchsorted(self.chunk_of, np.arange(len(self.texts)))
+        self.chunk_at = np.arange(len(heads)) - first[self.chunk_of] if len(heads) else heads
+        self.chunk_hash = hashes.view(np.int64)
+        self.chunk_bounds = np.searchsorted(self.chunk_of, np.arange(len(self.texts) + 1))
+        self.unit_bounds = np.searchsorted(self.unit_of, np.arange(len(self.texts) + 1))
+        self.word_bounds = np.searchsorted(self.words.starts, np.append(self.begins, len(self.data)))
+
+    def held(self, chunk: int) -> list[bytes]:
+        """The stripped units of a chunk that are not blank."""
+        out = []
+        for u in self.filled[self.heads[chunk] : self.tails[chunk]].tolist():
+            out.append(self.data[self.words.starts[self.unit_first[u]] : self.words.ends[self.unit_last[u] - 1]])
+        return out
+
+    def unit_hashes(self, chunk: int) -> list[int]:
+        return self.unit_hash[self.filled[self.heads[chunk] : self.tails[chunk]]].view(np.int64).tolist()
+
+
+def line_chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
+    """The chunks of a text: their units, and the stripped units that are not blank.
+
+    A blank unit goes with the chunk before it.
+    """
+    cut = Texts([text])
+    ends = np.r_[cut.unit_start[1:], len(text)] if len(cut.unit_start) else cut.unit_start
+    units = [text[a:b] for a, b in zip(cut.unit_start.tolist(), ends.tolist(), strict=True)]
+    if not len(cut.heads):
+        return [(units, [])] if units else []
+    firsts = [0, *cut.filled[cut.heads[1:]].tolist(), len(units)]
+    return [(units[firsts[k] : firsts[k + 1]], cut.held(k)) for k in range(len(cut.heads))]
+
+
+def chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
+    """All that is compared: the chunks of lines, then for each word the window that begins with it.
+
+    A window has no units of its own, and its content begins with a line break, as no chunk's does.
+    """
+    words = text.split()
+    windows = [(i, b" ".join(words[i : i + WINDOW])) for i in range(len(words) - WINDOW + 1)]
+    listed = dict(distinct_windows(windows))
+    return line_chunks(text) + [([], [b"", w] if i in listed else []) for i, w in windows]
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -194,10 +254,9 @@ def least_of(runs: np.ndarray, n: int) -> np.ndarray:
 class Stretches:
     """Of several texts, the stretches of neighbouring windows that share a name."""
 
-    def __init__(self, texts: list[bytes]):
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.words, starts = word_hashes(b"\n".join(texts))
-        last = np.searchsorted(starts, ends)
+    def __init__(self, cut: Texts):
+        texts, self.words = cut.texts, cut.words.hashes
+        last = np.searchsorted(cut.words.starts, cut.ends)
         first = np.r_[0, last[:-1]]
         if len(self.words) < WINDOW:
             self.of, self.at, self.start, self.length, self.names = (np.zeros(0, np.int64) for _ in range(5))
@@ -242,16 +301,12 @@ def grouped(texts: list[bytes]) -> Iterator[range]:
 
 def listed_windows(text: bytes) -> list[int]:
     """The windows of a text but those that overlap an equal one before."""
-    found = Stretches([text])
+    found = Stretches(Texts([text]))
     hashes, begins = found.windows(np.arange(len(found.names)))
     at = np.arange(len(hashes)) + np.repeat(found.at - begins, found.length)
     return at[hashes != 0].tolist()
 
 
-def content_hash(held: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b"\n".join(held)) - (1 << 63)
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every row's id, text, the hash of its text and one of both; rows equal in id and text are one document."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -264,23 +319,26 @@ def _long_lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
-    """(id, text_hash, key, hashes, twice): a text's chunk hashes and window names, each once, and those that it has twice."""
+    """(id, text_hash, key, hashes, names, twice): a text's chunk hashes and window names, each once, and those of both that it has twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
-            once, twice = [], []
+            hashes, names, twice = [], [], []
             for group in grouped(texts):
-                found = Stretches([texts[i] for i in group])
+                cut = Texts([texts[i] for i in group])
+                found = Stretches(cut)
                 bounds = np.searchsorted(found.of, np.arange(len(group) + 1))
-                for k, i in enumerate(group):
-                    names, length = found.names[bounds[k] : bounds[k + 1]], found.length[bounds[k] : bounds[k + 1]]
-                    chunked = np.array([content_hash(held) for _, held in line_chunks(texts[i]) if held], np.int64)
-                    own, counts = np.unique(np.concatenate([chunked, names, names[length > WINDOW - ANCHOR + 1]]), return_counts=True)
-                    once.append(own)
-                    twice.append(own[counts > 1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _long_lists(once), _long_lists(twice)], names=["id", "text_hash", "key", "hashes", "twice"])
-
-    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("hashes", "twice")]
+                for k in range(len(group)):
+                    own, n = np.unique(cut.chunk_hash[cut.chunk_bounds[k] : cut.chunk_bounds[k + 1]], return_counts=True)
+                    named, length = found.names[bounds[k] : bounds[k + 1]], found.length[bounds[k] : bounds[k + 1]]
+                    # The run of words that names so long a stretch stands at two places.
+                    name, m = np.unique(np.concatenate([named, named[length > WINDOW - ANCHOR + 1]]), return_counts=True)
+                    hashes.append(own)
+                    names.append(name)
+                    twice.append(np.concatenate([own[n > 1], name[m > 1]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(_long_lists, (hashes, names, twice))], names=["id", "text_hash", "key", "hashes", "names", "twice"])
+
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("hashes", "names", "twice")]
     picked = rows.select("id", "text_hash", "key", "text")
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:3], *lists]))
 
@@ -327,18 +385,22 @@ def _sifted(sieve: Sieve, column: str, df: DataFrame) -> Column:
 
 
 def _holders(hashed: DataFrame, sieve: Sieve) -> DataFrame:
-    """(id, text_hash) of the texts with a hash that the sieve holds."""
+    """(id, text_hash, chunked, named) of the texts of which the sieve holds a chunk's hash or a window's name."""
     shared = hashed.sparkSession.sparkContext.broadcast(sieve)
 
+    def any_held(lists: pa.Array) -> np.ndarray:
+        counted = np.r_[0, np.cumsum(shared.value.holds(lists.flatten().to_numpy(zero_copy_only=False)))]
+        ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+        return counted[ends[1:]] > counted[ends[:-1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            counted = np.r_[0, np.cumsum(shared.value.holds(lists.flatten().to_numpy(zero_copy_only=False)))]
-            ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
-            yield batch.select([0, 1]).filter(pa.array(counted[ends[1:]] > counted[ends[:-1]]))
+            chunked, named = any_held(batch.column(2)), any_held(batch.column(3))
+            told = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(chunked), pa.array(named)], names=["id", "text_hash", "chunked", "named"])
+            yield told.filter(pa.array(chunked | named))
 
-    picked = hashed.select("id", "text_hash", "hashes")
-    return picked.mapInArrow(run, picked.drop("hashes").schema)
+    picked = hashed.select("id", "text_hash", "hashes", "names")
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:2], T.StructField("chunked", T.BooleanType()), T.StructField("named", T.BooleanType())]))
 
 
 class Earliest:
@@ -361,44 +423,45 @@ FOUND = [("kind", T.IntegerType()), ("at", T.IntegerType()), ("hash", T.LongType
          ("before", T.ArrayType(T.LongType())), ("after", T.ArrayType(T.LongType())), ("windows", T.ArrayType(T.LongType()))]
 
 
-def _found(rows: DataFrame, holders: Sieve, sieve: Sieve, crowded: set[int]) -> DataFrame:
-    """Of the rows whose key ``holders`` holds, the chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
+def _found(rows: DataFrame, chunked: Sieve, named: Sieve, sieve: Sieve, crowded: set[int]) -> DataFrame:
+    """Of the rows whose key ``chunked`` or ``named`` holds, the chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
     (kind, at, name, hashes of the windows) that the sieve holds.
 
     Windows of crowded names come one by one under a hash of their own, and a task gives out
     as LATER those that stand after another it has seen; so few rows of one hash are shuffled.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((holders, sieve, np.array(sorted(crowded), np.int64)))
+    shared = rows.sparkSession.sparkContext.broadcast((chunked, named, sieve, np.array(sorted(crowded), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        holders, sieve, crowded = shared.value
+        chunked, named, sieve, crowded = shared.value
         earliest = Earliest()
         arrow = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         names = ["id", "text_hash", *[n for n, _ in FOUND]]
 
-        def units_of(cut: list, k: int) -> list[int]:
-            return [content_hash([u]) for u in cut[k][1]] if 0 <= k < len(cut) else []
-
         def packed(keys: list[pa.Array], out: list[tuple], types: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([*keys, *[pa.array([r[k] for r in out], t) for k, t in enumerate(types)]], names=names)
 
         id_type = None
         for batch in slices(batches):
             id_type = batch.column(0).type
-            batch = batch.filter(pa.array(holders.holds(batch.column(3).to_numpy(zero_copy_only=False))))
+            keys = batch.column(3).to_numpy(zero_copy_only=False)
+            has_chunks, has_names = chunked.holds(keys), named.holds(keys)
+            picked = np.flatnonzero(has_chunks | has_names)
+            batch, has_chunks, has_names = batch.take(pa.array(picked)), has_chunks[picked], has_names[picked]
             ids, text_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for group in grouped(texts):
                 of, out = [], []
-                for i in group:
-                    cut = line_chunks(texts[i])
-                    hashes = np.array([content_hash(held) for _, held in cut], np.int64)
-                    for k in np.flatnonzero(sieve.holds(hashes)).tolist():
-                        if cut[k][1]:
-                            of.append(i)
-                            out.append((CHUNK, k, int(hashes[k]), b"\n".join(cut[k][1]), units_of(cut, k - 1)[::-1], units_of(cut, k + 1), None))
-                found = Stretches([texts[i] for i in group])
-                held = np.flatnonzero(sieve.holds(found.names))
+                cut = Texts([texts[i] for i in group])
+                held = sieve.holds(cut.chunk_hash) & has_chunks[group.start : group.stop][cut.chunk_of]
+                for k in np.flatnonzero(held).tolist():
+                    i, at = int(cut.chunk_of[k]), int(cut.chunk_at[k])
+                    before = cut.unit_hashes(k - 1)[::-1] if at else []
+                    after = cut.unit_hashes(k + 1) if k + 1 < cut.chunk_bounds[i + 1] else []
+                    of.append(group[i])
+                    out.append((CHUNK, at, int(cut.chunk_hash[k]), b"\n".join(cut.held(k)), before, after, None))
+                found = Stretches(cut)
+                held = np.flatnonzero(sieve.holds(found.names) & has_names[group.start : group.stop][found.of])
                 windows, begins = found.windows(held)
                 one_by_one = np.isin(found.names[held], crowded)
                 for s, begin, single in zip(held.tolist(), begins.tolist(), one_by_one.tolist(), strict=True):
@@ -434,42 +497,6 @@ def _common(a: str, b: str) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(F.size(a))
 
 
-def _parted(own: list[bytes], lead: int, tail: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
-    """A chunk's units: its first ``lead`` that are not blank, the middle, and its last ``tail``."""
-    places = [i for i, u in enumerate(own) if u.strip()]
-    lead = min(lead, len(places))
-    tail = min(tail, len(places) - lead)
-    a = places[lead - 1] + 1 if lead else 0
-    b = places[len(places) - tail] if tail else len(own)
-    return own[:a], own[a:b], own[b:]
-
-
-def _window_spans(text: bytes, windows: list[int]) -> list[tuple[int, int]]:
-    """Where the windows' words stand with the white space that follows them: spans that do not touch, ascending."""
-    if not windows:
-        return []
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    spans: list[tuple[int, int]] = []
-    for k in windows:
-        a, b = starts[k], starts[k + WINDOW]
-        if spans and a <= spans[-1][1]:
-            a, _ = spans.pop()
-        spans.append((a, b))
-    return spans
-
-
-def _outside(unit: bytes, at: int, spans: list[tuple[int, int]]) -> Iterator[bytes]:
-    """The parts of a unit, which begins at ``at``, in none of the spans."""
-    done, end = at, at + len(unit)
-    for a, b in spans[bisect_right(spans, at, key=lambda x: x[1]) :]:
-        if a >= end:
-            break
-        if a > done:
-            yield unit[done - at : a - at]
-        done = min(b, end)
-    yield unit[done - at :]
-
-
 def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int, windows: Iterable[int] = ()) -> tuple[str, int, int]:
     """The text without its runs of repeated chunks and its repeated windows, and the units and words removed.
 
@@ -477,37 +504,84 @@ def cut_runs(text: str, repeated: dict[int, tuple[int, int]], min_words: int, wi
     belong to it. Numbers beyond those, and ``windows`` from 0, are of windows. A unit of
     which words stay is not counted as removed.
     """
-    whole = text.encode("utf-8")
-    cut = line_chunks(whole)
-    keep, run = [], []
+    cut = Texts([text.encode("utf-8", "surrogatepass")])
+    n = max(1, len(cut.heads))
+    listed = sorted({*windows, *(k - n for k in repeated if k >= n)})
+    return _cut(cut, 0, {k: v for k, v in repeated.items() if k < n}, min_words, np.array(listed, np.int64))
+
+
+def _gone(cut: Texts, text: int, repeated: dict[int, tuple[int, int]], min_words: int) -> list[int]:
+    """The units of a text's runs of repeated chunks."""
+    c0, c1 = cut.chunk_bounds[text : text + 2].tolist()
+    u0, u1 = cut.unit_bounds[text : text + 2].tolist()
+    counts = (cut.unit_last[u0:u1] - cut.unit_first[u0:u1]).tolist()
+    firsts = [0, *(cut.filled[cut.heads[c0 + 1 : c1]] - u0).tolist(), u1 - u0]
+    gone, run = [], []
 
     def end_run() -> None:
-        contents = [u for u in run if u.strip()]
-        gone = len(contents) > 1 and sum(len(u.split()) for u in contents) >= min_words
-        keep.extend((u, not gone) for u in run)
+        contents = [counts[u] for u in run if counts[u]]
+        if len(contents) > 1 and sum(contents) >= min_words:
+            gone.extend(run)
         run.clear()
 
-    for k, (own, _) in enumerate(cut):
+    for k in range(c1 - c0):
         if k in repeated:
-            run.extend(own)
+            run.extend(range(firsts[k], firsts[k + 1]))
+            continue
+        lead, tail = repeated.get(k - 1, (0, 0))[1], repeated.get(k + 1, (0, 0))[0]
+        if not lead and not tail:
+            if run:
+                end_run()
             continue
-        lead, middle, tail = _parted(own, repeated.get(k - 1, (0, 0))[1], repeated.get(k + 1, (0, 0))[0])
-        run.extend(lead)
-        if middle:
+        own = range(firsts[k], firsts[k + 1])
+        places = [u for u in own if counts[u]]
+        lead = min(lead, len(places))
+        tail = min(tail, len(places) - lead)
+        a = places[lead - 1] + 1 if lead else own.start
+        b = places[len(places) - tail] if tail else own.stop
+        run.extend(range(own.start, a))
+        if b > a:
             end_run()
-            keep.extend((u, True) for u in middle)
-        run.extend(tail)
+        run.extend(range(b, own.stop))
     end_run()
-    out, gone_units, gone_words, at = [], 0, 0, 0
-    spans = _window_spans(whole, sorted({*windows, *(k - len(cut) for k in repeated if k >= len(cut))}))
-    for unit, stays in keep:
-        left = b"".join(_outside(unit, at, spans)) if stays else b""
-        at += len(unit)
-        out.append(left)
-        if left != unit:
-            gone_words += len(unit.split()) - len(left.split())
-            gone_units += bool(unit.strip()) and not left.strip()
-    return b"".join(out).decode("utf-8"), gone_units, gone_words
+    return [u0 + u for u in gone]
+
+
+def _cut(cut: Texts, text: int, repeated: dict[int, tuple[int, int]], min_words: int, windows: np.ndarray) -> tuple[str, int, int]:
+    """:func:`cut_runs` for one of several texts."""
+    begin, end = int(cut.begins[text]), int(cut.ends[text])
+    w0, w1 = cut.word_bounds[text : text + 2].tolist()
+    gone = _gone(cut, text, repeated, min_words) if repeated else []
+    spans = []
+    if gone:
+        after = np.minimum(np.append(cut.unit_start, end)[np.array(gone) + 1], end)
+        spans += zip(cut.unit_start[gone].tolist(), after.tolist(), strict=True)
+    if len(windows):
+        starts = np.append(cut.words.starts[w0:w1], end)
+        spans += zip(starts[windows].tolist(), starts[windows + WINDOW].tolist(), strict=True)
+    if not spans:
+        return cut.texts[text].decode("utf-8", "surrogatepass"), 0, 0
+    spans.sort()
+    left, froms, tos, at = [], [], [], begin
+    for a, b in spans:
+        if b <= at and froms:
+            continue
+        if a > at or not froms:
+            left.append(cut.data[at:a])
+            froms.append(a)
+            tos.append(b)
+        else:
+            tos[-1] = b
+        at = b
+    left.append(cut.data[at:end])
+    own = cut.words.starts[w0:w1]
+    # Whether each word lies in one of the spans: the last span that begins at or before it has not ended.
+    last = np.searchsorted(froms, own, "right") - 1
+    lost = np.append(0, np.cumsum((last >= 0) & (own < np.array(tos)[last])))
+    u0, u1 = cut.unit_bounds[text : text + 2].tolist()
+    first, after = cut.unit_first[u0:u1] - w0, cut.unit_last[u0:u1] - w0
+    gone_units = int(((lost[after] - lost[first] == after - first) & (after > first)).sum())
+    return b"".join(left).decode("utf-8", "surrogatepass"), gone_units, int(lost[-1])
 
 
 def _same_place(a: str, b: str) -> Column:
@@ -541,21 +615,33 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
     """``marked`` (row, key_id, rep_id, rep_text, entries) as (row, clean, removed_units, removed_words)."""
     schema = T.StructType([marked.schema["row"], T.StructField("clean", T.StringType()), T.StructField("removed_units", T.LongType()), T.StructField("removed_words", T.LongType())])
 
-    def cut(text: str, key, rep, rep_text: str | None, entries: list[dict] | None) -> tuple[str, int, int]:
-        if rep_text is not None and key != rep:
-            if text != rep_text:
-                return text, 0, 0
-            whole = text.encode("utf-8", "surrogatepass")
-            return cut_runs(text, {k: (0, 0) for k, (_, held) in enumerate(line_chunks(whole)) if held}, min_words, listed_windows(whole))
-        if not entries:
-            return text, 0, 0
-        chunked = {e["at"]: (e["x"], e["y"]) for e in entries if e["chunk"]}
-        return cut_runs(text, chunked, min_words, sorted({32 * e["at"] + i for e in entries if not e["chunk"] for i in range(32) if e["x"] >> i & 1}))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(0).field(text_at).to_pylist()
-            out = [cut("" if t is None else t, *r) for t, *r in zip(texts, *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            plain = ["" if t is None else t for t in batch.column(0).field(text_at).to_pylist()]
+            keys, reps, rep_texts = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            lists = batch.column(4)
+            ends = np.append(0, np.cumsum(np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)))
+            entries = lists.flatten()
+            chunk, at, x, y = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("chunk", "at", "x", "y"))
+            copies = [r is not None and k != f for k, f, r in zip(keys, reps, rep_texts, strict=True)]
+            # A copy is cut if its bytes are those of the first; others if their lists hold something.
+            touched = [i for i, t in enumerate(plain) if (t == rep_texts[i] if copies[i] else ends[i + 1] > ends[i])]
+            out = [(t, 0, 0) for t in plain]
+            texts = [plain[i].encode("utf-8", "surrogatepass") for i in touched]
+            for group in grouped(texts):
+                cut = Texts([texts[j] for j in group])
+                for text, j in enumerate(group):
+                    i = touched[j]
+                    if copies[i]:
+                        n = int(cut.chunk_bounds[text + 1] - cut.chunk_bounds[text])
+                        out[i] = _cut(cut, text, dict.fromkeys(range(n), (0, 0)), min_words, np.array(listed_windows(texts[j]), np.int64))
+                        continue
+                    own = slice(ends[i], ends[i + 1])
+                    of_chunks = chunk[own].astype(bool)
+                    repeated = dict(zip(at[own][of_chunks].tolist(), zip(x[own][of_chunks].tolist(), y[own][of_chunks].tolist(), strict=True), strict=True))
+                    blocks, masks = at[own][~of_chunks].astype(np.int64), x[own][~of_chunks]
+                    bits = (masks[:, None] >> np.arange(32) & 1).astype(bool)
+                    out[i] = _cut(cut, text, repeated, min_words, (32 * blocks[:, None] + np.arange(32))[bits])
             columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", "clean", "removed_units", "removed_words"])
 
@@ -564,14 +650,15 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
 
 def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     """(text_hash, id, entry) for what goes from the first of equal texts: its chunks and its blocks of windows."""
-    spread = hashed.select("text_hash", F.explode("hashes").alias("hash"))
+    spread = hashed.select("text_hash", F.explode(F.concat("hashes", "names")).alias("hash"))
     shared = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("hash", "n")
     repeated = materialise(shared.union(hashed.select(F.explode("twice").alias("hash"), F.lit(1).cast("long").alias("n"))), "repeated")
     sieve = _sieve(repeated)
     total = repeated.agg(F.sum("n")).first()[0] or 0
     crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
-    holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id")).withColumn("key", F.xxhash64("id", "text_hash")), "holders")
-    found = materialise(_found(rows, _sieve(holders, "key"), sieve, crowded), "found")
+    holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id"), F.bool_or("chunked").alias("chunked"), F.bool_or("named").alias("named"))
+                          .withColumn("key", F.xxhash64("id", "text_hash")), "holders")
+    found = materialise(_found(rows, _sieve(holders.where("chunked"), "key"), _sieve(holders.where("named"), "key"), sieve, crowded), "found")
     entry = lambda chunk, at, x, y, several: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), several.alias("several")).alias("entry")
     chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after"), F.col("several")))
     windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0), F.lit(True)))
