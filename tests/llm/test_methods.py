@@ -263,6 +263,14 @@ def test_line_dedup_of_crowded_windows_and_text_ids(spark, monkeypatch):
     assert got["d000"]["removed_words"] == 0 and all(got[i]["removed_words"] == 70 and passage not in got[i]["clean"] for i, _ in rows[1:])
 
 
+def test_line_dedup_by_sieves_as_by_keys(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = lambda: {(r["row"]["doc_id"], r["clean"], r["removed_words"]) for r in linededup.dedup_lines(docs).collect()}
+    by_keys = rows()
+    monkeypatch.setattr(linededup, "MOST_KEYS", 0)
+    assert rows() == by_keys
+
+
 def test_word_hashes_of_long_words_and_pieces():
     r = random.Random(1)
     words = ["".join(r.choices("abcé", k=k)) for k in (1, 3, 70, 1000, linededup.GROUP_BYTES // 2, 2 * linededup.GROUP_BYTES + 9, 5, 8)] * 2

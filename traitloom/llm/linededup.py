@@ -60,6 +60,8 @@ SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 32, 6, 1 << 28, 1 << 12
 GROUP_BYTES = 1 << 17
 #: A name held by more texts than this, and than this part of all, is crowded; so there are few of them.
 CROWD, CROWD_SHARE = 2000, 1000
+#: Keys that are broadcast at most.
+MOST_KEYS = 1 << 20
 #: Windows of crowded names that a task remembers.
 REMEMBERED = 200_000
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
@@ -384,6 +386,21 @@ def _sifted(sieve: Sieve, column: str, df: DataFrame) -> Column:
     return holds(F.col(column))
 
 
+def _flagged(rows: DataFrame, keys: DataFrame, column: str, flags: list[str]) -> DataFrame:
+    """``rows`` with boolean columns: whether ``keys`` may hold the row's key under a flag.
+
+    Up to MOST_KEYS keys are counted and broadcast, and the flags are exact; more become sieves.
+    Exact joins follow, so the result is the same either way.
+    """
+    told = keys.groupBy(column).agg(*[F.bool_or(f).alias(f"is_{f}") for f in flags])
+    if told.count() <= MOST_KEYS:
+        joined = rows.join(F.broadcast(told), column, "left")
+        return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(f"is_{f}", F.lit(False)).alias(f) for f in flags])
+    for f in flags:
+        rows = rows.withColumn(f, _sifted(_sieve(keys.where(f), column), column, rows))
+    return rows
+
+
 def _holders(hashed: DataFrame, sieve: Sieve) -> DataFrame:
     """(id, text_hash, chunked, named) of the texts of which the sieve holds a chunk's hash or a window's name."""
     shared = hashed.sparkSession.sparkContext.broadcast(sieve)
@@ -423,17 +440,17 @@ FOUND = [("kind", T.IntegerType()), ("at", T.IntegerType()), ("hash", T.LongType
          ("before", T.ArrayType(T.LongType())), ("after", T.ArrayType(T.LongType())), ("windows", T.ArrayType(T.LongType()))]
 
 
-def _found(rows: DataFrame, chunked: Sieve, named: Sieve, sieve: Sieve, crowded: set[int]) -> DataFrame:
-    """Of the rows whose key ``chunked`` or ``named`` holds, the chunks (kind, at, hash, content, hashes of the units before and after) and the stretches of windows
+def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
+    """Of the rows that are ``chunked`` the chunks (kind, at, hash, content, hashes of the units before and after), of those that are ``named`` the stretches of windows
     (kind, at, name, hashes of the windows) that the sieve holds.
 
     Windows of crowded names come one by one under a hash of their own, and a task gives out
     as LATER those that stand after another it has seen; so few rows of one hash are shuffled.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((chunked, named, sieve, np.array(sorted(crowded), np.int64)))
+    shared = rows.sparkSession.sparkContext.broadcast((sieve, np.array(sorted(crowded), np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunked, named, sieve, crowded = shared.value
+        sieve, crowded = shared.value
         earliest = Earliest()
         arrow = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
         names = ["id", "text_hash", *[n for n, _ in FOUND]]
@@ -444,10 +461,7 @@ def _found(rows: DataFrame, chunked: Sieve, named: Sieve, sieve: Sieve, crowded:
         id_type = None
         for batch in slices(batches):
             id_type = batch.column(0).type
-            keys = batch.column(3).to_numpy(zero_copy_only=False)
-            has_chunks, has_names = chunked.holds(keys), named.holds(keys)
-            picked = np.flatnonzero(has_chunks | has_names)
-            batch, has_chunks, has_names = batch.take(pa.array(picked)), has_chunks[picked], has_names[picked]
+            has_chunks, has_names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
             ids, text_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for group in grouped(texts):
@@ -483,7 +497,7 @@ def _found(rows: DataFrame, chunked: Sieve, named: Sieve, sieve: Sieve, crowded:
             part = left[at : at + 10_000]
             yield packed([pa.array([r[7][c] for r in part], t) for c, t in enumerate((id_type, pa.int64()))], part, arrow)
 
-    picked = rows.select("id", "text_hash", "text", "key")
+    picked = rows.where("chunked OR named").select("id", "text_hash", "text", "chunked", "named")
     return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:2], *[T.StructField(n, t) for n, t in FOUND]]))
 
 
@@ -658,7 +672,7 @@ def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
     holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id"), F.bool_or("chunked").alias("chunked"), F.bool_or("named").alias("named"))
                           .withColumn("key", F.xxhash64("id", "text_hash")), "holders")
-    found = materialise(_found(rows, _sieve(holders.where("chunked"), "key"), _sieve(holders.where("named"), "key"), sieve, crowded), "found")
+    found = materialise(_found(_flagged(rows, holders, "key", ["chunked", "named"]), sieve, crowded), "found")
     entry = lambda chunk, at, x, y, several: F.struct(F.lit(chunk).alias("chunk"), F.col(at).alias("at"), x.cast("long").alias("x"), y.cast("long").alias("y"), several.alias("several")).alias("entry")
     chunks_gone = _later_chunks(found).select("id", "text_hash", entry(True, "at", F.col("n_before"), F.col("n_after"), F.col("several")))
     windows_gone = _later_windows(found).select("id", "text_hash", entry(False, "block", F.col("mask"), F.lit(0), F.lit(True)))
@@ -670,7 +684,8 @@ def _first_texts(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     """(text_hash, rep_id, rep_text) of each text that stands under several ids: the smallest id, or null if all are."""
     counted = hashed.groupBy("text_hash").agg(F.min("id").alias("rep_id"), F.max("id").alias("last_id"), F.count_if(F.col("id").isNull()).alias("nulls"))
     copied = materialise(counted.where("rep_id <> last_id OR (rep_id IS NOT NULL AND nulls > 0)").select("text_hash", "rep_id", F.xxhash64("rep_id", "text_hash").alias("key")), "copied")
-    c, r = copied.alias("c"), rows.where(_sifted(_sieve(copied, "key"), "key", rows)).select("id", "text_hash", "text").alias("r")
+    picked = _flagged(rows, copied.select("key", F.lit(True).alias("first")), "key", ["first"]).where("first")
+    c, r = copied.alias("c"), picked.select("id", "text_hash", "text").alias("r")
     whole = r.join(c, (F.col("r.text_hash") == F.col("c.text_hash")) & (F.col("r.id") == F.col("c.rep_id")))
     return whole.groupBy("c.text_hash", "c.rep_id").agg(F.min("r.text").alias("rep_text"))
 
@@ -692,11 +707,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunked = F.transform(F.filter("entries", lambda e: e["chunk"]), lambda e: e["at"])
     lists = lists.where(F.exists("entries", lambda e: e["several"] | (e["x"] + e["y"] > 0) | F.array_contains(chunked, e["at"] + 1)))
     info = materialise(lists.join(_first_texts(rows, hashed), "text_hash", "full"), "info")
-    touched = _sifted(_sieve(info, "text_hash"), "text_hash", rows)
-    own, known = rows.where(touched).select("row", "id", "text_hash").alias("o"), info.alias("i")
+    told = _flagged(rows, info.select("text_hash", F.lit(True).alias("touched")), "text_hash", ["touched"])
+    own, known = told.where("touched").select("row", "id", "text_hash").alias("o"), info.alias("i")
     first = F.coalesce(F.col("i.rep_id"), F.col("o.id"))
     marked = own.join(known, F.col("o.text_hash") == F.col("i.text_hash"), "left").select("o.row", F.col("o.id").alias("key_id"), first.alias("rep_id"), "i.rep_text", "i.entries")
-    same = rows.where(~touched).select("row", F.col("text").alias("clean"), F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_words"))
+    same = told.where("NOT touched").select("row", F.col("text").alias("clean"), F.lit(0).cast("long").alias("removed_units"), F.lit(0).cast("long").alias("removed_words"))
     return same.union(_rewritten(marked, docs.columns.index(text_col), min_words))
 
 
