@@ -31,6 +31,8 @@ END_ID = 1
 #: Pieces of a shard, and the fill from which a bin is left alone after the first round.
 SHARD_PIECES = 8192
 FULL_ENOUGH = 0.995
+#: Tasks of a round of packing at most.
+MOST_TASKS = 1 << 16
 #: Words kept with their ids in each of a worker's two generations, and the longest kept.
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
@@ -242,7 +244,8 @@ def _packed(numbered: DataFrame, pieces: int, capacity: int, shard_pieces: int,
                              "offset": ends - lengths[order], "fill": np.repeat([int(lengths[b].sum()) for b in bins], sizes)})
 
     dealt = numbered.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("long"))
-    return dealt.groupBy("shard").applyInPandas(run, "row_id long, length long, sequence_id long, offset long, fill long")
+    # The number of tasks is given, since a shard's few bytes hide its work.
+    return dealt.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(run, "row_id long, length long, sequence_id long, offset long, fill long")
 
 
 def pack(pieces: DataFrame, sequence_tokens: int = SEQUENCE_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -265,7 +268,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     ``ids_crc32``, ``sequence_id``, ``offset`` and, ``with_ids``, the token ``ids`` themselves.
 
     A null or empty text is its end token alone. Repeated rows and null ids are packed like
-    any other row. No rows give no rows. Columns other than the id and the text are not read.
+    any other row. No rows give no rows. Columns other than the id and the text are not read,
+    whatever their names. A very long text is tokenised by one task and cut into pieces. Which
+    of equally long pieces goes where is settled by their places in the table of pieces.
     """
     pieces = token_pieces(docs, tokenizer, {"key": F.col(f"`{id_col}`")}, F.col(f"`{text_col}`"), sequence_tokens, end_id, with_ids)
     return pack(pieces, sequence_tokens).withColumnRenamed("key", id_col)

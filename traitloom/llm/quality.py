@@ -186,7 +186,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Per row: the id, the measures, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
     A null, empty or wordless text fails the base rule. Repeated rows are judged alike, each
-    by its own text. Null ids stay null. No rows give no rows. Other columns are not read.
+    by its own text. Null ids stay null. No rows give no rows. Other columns are not read,
+    whatever their names. A very long text is one row's work, and its words' hashes are held
+    at once. A posterior of exactly KEEP_FROM keeps. Repeated windows are told by their hashes.
     """
     found = materialise(measured(docs, F.col(f"`{text_col}`"), {"id": F.col(f"`{id_col}`")}), "measures")
     model = fit_votes(found)
@@ -195,7 +197,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``."""
+    """The rows of ``docs`` that :func:`judge` keeps, with the columns of ``docs``, whatever their names; rows with null ids are rows like others."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     found = materialise(measured(docs, F.col(f"`{text_col}`"), {"row": row}), "measured")
     model = fit_votes(found)
