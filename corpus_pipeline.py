@@ -1,4 +1,9 @@
-"""The training-data pipeline: stages over the documents table, each written as Parquet and reread."""
+"""The training-data pipeline: stages over the documents table, each written as Parquet and reread.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names
+are handled as the operators' docstrings say; all columns of the documents pass through all
+stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,27 @@ from traitloom.llm.shared import materialise, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule or that the voting rules find bad go."""
+    """Documents that fail the base rule (null, empty and very short ones too) or that the voting rules find bad go."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that stand earlier in the corpus are cut from the texts; all documents stay."""
+    """Passages that stand earlier in the corpus are cut from the texts; all documents stay, those that lost all as empty texts."""
     return linededup.with_clean_text(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, a similarity of 0.8 or 5 bits)."""
+    """The document of smallest id of each group of near duplicates stays (five-word shingles, a similarity of 0.8 or 5 bits); empty ones are a group."""
     return minhash.drop_similar(docs, shingle_words=5, percent=80, max_distance=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty ones hold none."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents as pieces of sequences of 4096 tokens."""
+    """The remaining documents as pieces of sequences of 4096 tokens; a null or empty one is its end token."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -12,8 +12,8 @@ from traitloom.functions.tokens import JS_SPACE
 
 CHUNK_WORDS, OVERLAP_WORDS = 260, 35
 #: Scripts and the language code each stands for, tested in this order.
-SCRIPTS = (("[\\x{3040}-\\x{30ff}]", "ja"), ("[\\x{ac00}-\\x{d7af}]", "ko"), ("[\\x{0370}-\\x{03ff}\\x{1f00}-\\x{1fff}]", "el"), ("[\\x{0400}-\\x{04ff}]", "ru"), ("[\\x{0590}-\\x{05ff}]", "he"),
-           ("[\\x{0600}-\\x{06ff}]", "ar"), ("[\\x{0900}-\\x{097f}]", "hi"), ("[\\x{4e00}-\\x{9fff}]", "zh"))
+SCRIPTS = (("[\\x{3040}-\\x{30ff}]", "ja"), ("[\\x{ac00}-\\x{d7af}]", "ko"), ("[\\x{0400}-\\x{04ff}]", "ru"), ("[\\x{0590}-\\x{05ff}]", "he"), ("[\\x{0600}-\\x{06ff}]", "ar"),
+           ("[\\x{0370}-\\x{03ff}\\x{1f00}-\\x{1fff}]", "el"), ("[\\x{0900}-\\x{097f}]", "sa"), ("[\\x{4e00}-\\x{9fff}]", "zh"))
 #: Letters that do not decompose.
 LETTERS = {"æ": "ae", "œ": "oe", "ø": "o", "ß": "ss", "ð": "d", "þ": "th", "ł": "l", "đ": "d"}
 
@@ -49,6 +49,11 @@ def word_count(text: Column) -> Column:
     return F.size(word_list(text))
 
 
+def normalized_lookup(text: Column) -> Column:
+    """The form under which names are looked up: compatibility forms folded, small letters."""
+    return F.lower(unicode_form(normalize_space(text), "NFKC"))
+
+
 def strip_diacritics(text: Column) -> Column:
     return F.regexp_replace(unicode_form(text, "NFD"), r"\p{M}+", "")
 
@@ -72,11 +77,26 @@ def title_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unicode_form(F.coalesce(text, F.lit("")), "NFKC")), r"[^\p{L}\p{N}]+", " "))
 
 
-def strip_parens(text: Column, depth: int = 4) -> Column:
-    """Without parentheses, nested ones to ``depth``."""
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\s*\([^()]*\)", "")
-    return F.trim(text)
+def settled(text: Column, pattern: str, opening: str) -> Column:
+    """Without the matches of a pattern, again and again until none is left.
+
+    No nesting is deeper than there are openings; a round that changes nothing ends the work.
+    """
+    def step(state: Column, _: Column) -> Column:
+        shorter = let(F.regexp_replace(state["text"], pattern, ""), lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
+        return F.when(state["done"], state).otherwise(shorter)
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(opening))))
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    return F.when(text.rlike(opening), F.aggregate(rounds, start, step, lambda state: state["text"])).otherwise(text)
+
+
+def strip_parens(text: Column) -> Column:
+    """Without parentheses, however deep they are nested, and without the blanks and stops they leave behind."""
+    out = settled(text, r"\s*\([^()]*\)", r"\(")
+    for pattern, to in ((r"\s+", " "), (r"\s+([,;.])", "$1"), (r"\s*;\s*;\s*", "; "), (r"^[\s,;]+|[\s,;]+$", "")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.trim(out)
 
 
 def chunk_text(text: Column, words: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
@@ -84,12 +104,18 @@ def chunk_text(text: Column, words: int = CHUNK_WORDS, overlap: int = OVERLAP_WO
     paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), lambda p: F.trim(p) != "")
     step = words - overlap
 
-    def windows(paragraph: Column) -> Column:
-        own = word_list(paragraph)
+    def cut(own: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil((F.size(own) - words) / F.lit(step)).cast("int"))
         return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(own, k * step + 1, words), " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(paragraphs, windows))
+    return F.flatten(F.transform(paragraphs, lambda p: let(word_list(p), cut)))
+
+
+def chunk_count(text: Column, words: int = CHUNK_WORDS, overlap: int = OVERLAP_WORDS) -> Column:
+    """How many chunks :func:`chunk_text` makes of a text."""
+    paragraphs = F.split(F.coalesce(text, F.lit("")), r"\n\s*\n")
+    each = F.transform(paragraphs, lambda p: let(word_count(p), lambda n: F.when(n > 0, 1 + F.greatest(F.lit(0), F.ceil((n - words) / F.lit(words - overlap)).cast("int"))).otherwise(0)))
+    return F.aggregate(each, F.lit(0), lambda total, n: total + n)
 
 
 def script_language(text: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Openings that are taken off a token once.
 PREFIXES = ("goddess of ", "god of ", "the ", "patron of ", "patroness of ", "protector of ", "guardian of ", "personification of ", "spirit of ", "muse of ", "deity of ")
+#: Words that are no names though they may have a capital.
+KEEP_LOWER = ("nile",)
 #: White space as JavaScript sees it; Java's own class lacks the no-break space and the byte order mark.
 JS_SPACE = r"[\s\p{Z}\x{FEFF}]"
 
@@ -79,8 +81,8 @@ def superset_of(category: str, token: Column, vocabulary: Vocabulary, other: str
 
 
 def strip_the(text: Column) -> Column:
-    """Takes a small "the" off the parts of a list, unless a capital follows."""
-    return F.regexp_replace(text, r"(^|[,;]\s*)the\s+(?![A-Z])", "$1")
+    """Takes "the" off the parts of a list, unless a name follows: a word with a capital, but for those in KEEP_LOWER."""
+    return F.regexp_replace(text, rf"(^|[,;]\s*)[Tt][Hh][Ee]\s+(?=[^,;\s])(?:(?![A-Z])|(?=(?i:{'|'.join(KEEP_LOWER)})(?:[\s,;-]|$)))", "$1")
 
 
 def strip_tokens(text: Column, drop: list[str]) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from traitloom.functions.text import collapse_space
+from traitloom.functions.text import collapse_space, settled
 
 #: The named entities that are read.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 BOILERPLATE = r"(?is)<(script|style|noscript|nav|header|footer|aside|form)\b[^>]*>.*?</\1\s*>"
 COMMENT = r"(?s)<!--.*?-->"
 #: Extensions, their content types and formats.
@@ -16,9 +16,21 @@ EXTENSIONS = {"txt": "text/plain", "xml": "application/xml", "html": "text/html"
 
 
 def unescape_html(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Each entity that is a number or one of the named ones read once; others stay."""
+    pattern = r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def read(entity: Column) -> Column:
+        body = F.substring(entity, 2, F.length(entity) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 9), 16, 10).try_cast("long")).otherwise(F.regexp_extract(body, "^#([0-9]+)", 1).try_cast("long"))
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(body.startswith("#"), F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char)).otherwise(F.try_element_at(names, F.lower(body))), entity)
+
+    def joined(t: Column) -> Column:
+        parts, found = F.split(t, pattern, -1), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), read)
+        return F.array_join(F.zip_with(parts, found, lambda p, e: F.concat(F.coalesce(p, F.lit("")), F.coalesce(e, F.lit("")))), "")
+
+    return F.when(text.rlike(pattern), joined(text)).otherwise(text)
 
 
 def strip_boilerplate(html: Column) -> Column:
@@ -90,11 +102,16 @@ def content_type(name: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), extension), F.lit("application/octet-stream"))
 
 
-def clean_wikitext(text: Column, depth: int = 6) -> Column:
-    """Plain text of wiki text: comments, references, templates (nested to ``depth``), links and quotes."""
+def clean_wikitext(text: Column) -> Column:
+    """Plain text of wiki text without comments, references, templates however deep, link marks and quotes."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, ""), r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", "")
-    for _ in range(depth):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
+    text = settled(text, r"\{\{[^{}]*\}\}", r"\{\{")
     text = F.regexp_replace(text, r"(?i)\[\[(?:file|image|category):[^\[\]]*\]\]", "")
     text = F.regexp_replace(F.regexp_replace(text, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1"), r"\[\[([^\[\]]*)\]\]", "$1")
     return F.trim(F.regexp_replace(F.regexp_replace(text, "'{2,}", ""), "<[^>]*>", ""))
+
+
+def xml_texts(xml: Column, name: str) -> Column:
+    """The texts of a document's elements of a local name, in order, whatever their prefix; inner tags go. Elements of one name do not nest."""
+    found = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)<((?:[\w.-]+:)?{name})(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>"), F.lit(2))
+    return F.transform(found, lambda x: F.trim(F.regexp_replace(unescape_html(F.regexp_replace(x, "<[^>]*>", "")), r"\s+", " ")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traitloom.functions.names import bare_letters, name_variants
 from traitloom.sources.scratch import materialise
 
 
@@ -104,26 +105,33 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 def name_cascade(probes: DataFrame, names: DataFrame) -> DataFrame:
     """Each probe (probe, name, tradition) resolved to a figure (id, name, tradition).
 
-    Levels in order: the same name and tradition, the same name anywhere, a name that begins
-    with it. A level decides if it has exactly one match; several there are ambiguous.
+    Levels in order: the same name and tradition, the same name anywhere, a variant of the
+    spelling, a name that begins with a variant and goes on with a blank, a bracket or a
+    hyphen. The first level with matches decides: by its only match, else by the smallest of
+    those of the probe's tradition; else it is ambiguous. (A name that several figures of one
+    tradition share is decided at the first level only if it is the only one.)
     """
-    known = names.select(F.col("id"), F.lower("name").alias("known"), F.col("tradition").alias("known_tradition"))
-    keyed = probes.select("probe", F.lower("name").alias("wanted"), "tradition")
-    first_word = F.substring_index("known", " ", 1)
-    same = keyed.join(known, F.col("wanted") == F.col("known"))
-    levels = (same.where(F.col("tradition") == F.col("known_tradition")), same, keyed.join(known, (F.col("wanted") == first_word) & (F.col("wanted") != F.col("known"))))
-    found = None
-    for rank, level in enumerate(levels, 1):
-        counted = level.groupBy("probe").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).withColumn("level", F.lit(rank))
-        found = counted if found is None else found.unionByName(counted)
-    best = found.groupBy("probe").agg(F.min_by(F.struct("id", "n", "level"), "level").alias("b"))
-    return probes.select("probe").join(best, "probe", "left").select(
-        "probe", F.when(F.col("b.n") == 1, F.col("b.id")).alias("id"), F.col("b.level").alias("level"), F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("ambiguous"))
+    own = lambda level, key: names.select("id", F.col("tradition").alias("own_tradition"), F.lit(level).alias("level"), key.alias("key"))
+    starts = F.transform(F.filter(F.sequence(F.lit(1), F.length("plain")), lambda i: F.substr("plain", i, F.lit(1)).isin(" ", "(", "-")), lambda i: F.substr("plain", F.lit(1), i - 1))
+    heads = names.withColumn("plain", bare_letters(F.col("name")))
+    keys = (own(2, F.col("name")).union(own(3, F.explode(name_variants(F.col("name")))))
+            .union(heads.select("id", F.col("tradition").alias("own_tradition"), F.lit(4).alias("level"), F.explode(F.array_distinct(F.concat(starts, F.array("plain")))).alias("key"))))
+    wanted = probes.select("probe", "tradition", F.lit(2).alias("level"), F.col("name").alias("key"))
+    for level in (3, 4):
+        wanted = wanted.union(probes.select("probe", "tradition", F.lit(level).alias("level"), F.explode(name_variants(F.col("name"))).alias("key")))
+    hits = wanted.join(keys, ["level", "key"]).select("probe", "level", "id", (F.col("tradition") == F.col("own_tradition")).alias("same")).distinct()
+    counted = hits.groupBy("probe", "level").agg(F.count("*").alias("n"), F.min("id").alias("only"), F.count_if("same").alias("n_same"), F.min(F.when(F.col("same"), F.col("id"))).alias("first_same"))
+    best = counted.groupBy("probe").agg(F.min_by(F.struct("n", "only", "n_same", "first_same", "level"), "level").alias("b")).select("probe", "b.*")
+    found = F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("first_same"))
+    level = F.when((F.col("level") == 2) & (F.col("n_same") > 0), 1).otherwise(F.col("level"))
+    return probes.select("probe").join(best, "probe", "left").select("probe", found.alias("id"), level.alias("level"), (F.coalesce("n", F.lit(0)) > 1).__and__(F.col("first_same").isNull()).alias("ambiguous"))
 
 
 def identification(targets: DataFrame, names: DataFrame) -> DataFrame:
     """For each (id, tradition, target name) the figure meant: another tradition first, then the smallest id."""
     known = names.select(F.col("id").alias("found"), F.lower("name").alias("key"), F.col("tradition").alias("found_tradition"))
+    # Two of each name and tradition are enough, since only the figure itself is left out.
+    known = known.withColumn("rn", F.row_number().over(Window.partitionBy("key", "found_tradition").orderBy("found"))).where("rn <= 2").drop("rn")
     hits = targets.join(known, F.lower("target") == F.col("key")).where("found <> id")
     order = Window.partitionBy("id", "target").orderBy((F.col("found_tradition") == F.col("tradition")).asc(), "found")
     return hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", "target", "found")

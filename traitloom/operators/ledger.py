@@ -112,8 +112,13 @@ def salvage(done: Column, planned: Column) -> Column:
     return F.concat(done, F.transform(rest, lambda t: F.struct(t.alias("title"), F.lit("skipped").alias("status"))))
 
 
+def to_retry(status: Column) -> Column:
+    return ~status.isin(*FETCHED)
+
+
 def retry_list(items: Column) -> Column:
-    return F.filter(items, lambda x: ~x["status"].isin(*FETCHED))
+    """The items of a written list, an array of (title, status), that are to be tried again."""
+    return F.filter(items, lambda x: to_retry(x["status"]))
 
 
 def outcome(fetched: Column, locked: Column, blocked: Column, failed: Column, candidates: Column) -> Column:
@@ -122,6 +127,34 @@ def outcome(fetched: Column, locked: Column, blocked: Column, failed: Column, ca
             .when(candidates == 0, "no_candidates").otherwise("skipped"))
 
 
+def finished(executions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Executions (id, status, run_id, error, report) after outcomes (id, run_id, summary, error): completed with a summary, failed without one; others stay."""
+    o = outcomes.select(F.col("id").alias("__id"), F.col("run_id").alias("__run"), F.col("summary").alias("__summary"), F.coalesce("error", F.lit("no summary")).alias("__error"))
+    both = executions.join(o, F.col("id") == F.col("__id"), "left")
+    done, good = F.col("__id").isNotNull() & (F.col("status") == "running"), F.col("__summary").isNotNull()
+    return both.select("id", F.when(done, F.when(good, "completed").otherwise("failed")).otherwise(F.col("status")).alias("status"), F.when(done, F.col("__run")).otherwise(F.col("run_id")).alias("run_id"),
+                       F.when(done & ~good, F.col("__error")).otherwise(F.col("error")).alias("error"), F.when(done & good, F.col("__summary")).otherwise(F.col("report")).alias("report"), "email_status")
+
+
+def released(routines: DataFrame, ended: DataFrame) -> DataFrame:
+    """Routines (id, active_execution_id) without the claims of executions that ended; a later claim is never cleared."""
+    own = ended.select(F.col("id").alias("__ended")).distinct()
+    return routines.join(own, F.col("active_execution_id") == F.col("__ended"), "left").select("id", F.when(F.col("__ended").isNull(), F.col("active_execution_id")).alias("active_execution_id"))
+
+
+def recovered(executions: DataFrame) -> DataFrame:
+    """Executions after a restart: what was running failed and its report is unsent; a report that was being sent is unknown and is not sent again."""
+    running = F.col("status") == "running"
+    return executions.select("id", F.when(running, "failed").otherwise(F.col("status")).alias("status"), "run_id", F.when(running, "ended before completion").otherwise(F.col("error")).alias("error"), "report",
+                             F.when(running, "pending").when(F.col("email_status") == "sending", "unknown").otherwise(F.col("email_status")).alias("email_status"))
+
+
+def unsent(executions: DataFrame) -> DataFrame:
+    """(id, action) for reports that wait after a restart: a failure's, a completed run's, or none can be made."""
+    waiting = executions.where(F.col("status").isin("completed", "failed") & (F.col("email_status") == "pending"))
+    return waiting.select("id", F.when(F.col("status") == "failed", "send_failure").when(F.col("run_id").isNotNull() & F.col("report").isNotNull(), "send_report").otherwise("mark_unknown").alias("action"))
+
+
 def new_executions(proposed: DataFrame, known: DataFrame) -> DataFrame:
     """Executions whose key is not known yet, each once."""
     return proposed.dropDuplicates(["execution_key"]).join(known.select("execution_key"), "execution_key", "left_anti")

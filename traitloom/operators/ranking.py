@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The most distinct tokens of a batch of catalogue searches.
+MOST_TOKENS = 10_000
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. The rank filter is pushed below the shuffle, so a crowded key costs little."""
@@ -13,7 +16,61 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    return df.orderBy(*order).limit(k)
+    """The first ``k`` rows; the order must end in a key, so that ties are settled."""
+    return df.orderBy(*order).limit(clamped(k, 0, 1 << 30))
+
+
+def clamped(n: int | None, least: int, most: int, default: int | None = None) -> int:
+    """A number of rows asked for, within bounds; the default where none is given."""
+    return max(least, min(n if n is not None else default if default is not None else most, most))
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool, allowed: tuple[str, ...], key: str = "id") -> DataFrame:
+    """Rows by a column chosen at run time, whatever its case and accents' order in Unicode; nulls as empty texts, ties by key."""
+    if column not in allowed:
+        raise ValueError(f"no column to sort by: {column!r}")
+    value = F.collate(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")), "UNICODE")
+    return df.orderBy(value.desc() if descending else value.asc(), F.col(key))
+
+
+def first_seen(rows: DataFrame, url: str, query: str, place: str) -> DataFrame:
+    """Results of several queries with each address once, as the first query found it first."""
+    known = rows.where(F.coalesce(F.col(url), F.lit("")) != "")
+    return first_by(known, [url], [F.col(query), F.col(place)])
+
+
+def fallback_editions(records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates (work_id, edition_id) to try next: editions not attempted yet of works that were tried and have no file.
+
+    ``records`` has (work_id, edition_id, download_status, file). Each call is one pass; the
+    caller stops after a few or when nothing is left.
+    """
+    fetched = records.where(F.col("download_status").isin("downloaded", "already_present") & F.col("file").isNotNull()).select("work_id").distinct()
+    attempted = records.where("download_status <> 'not_selected'")
+    blocked = attempted.select("work_id").distinct().join(fetched, "work_id", "left_anti")
+    return candidates.join(blocked, "work_id", "left_semi").join(attempted.select("edition_id").distinct(), "edition_id", "left_anti")
+
+
+def after_pass(records: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Records with those of the same edition in a later pass in their place."""
+    return records.join(fresh.select("edition_id").distinct(), "edition_id", "left_anti").unionByName(fresh.select(*records.columns))
+
+
+def token_overlap(catalogue: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """Per query (query, tokens) the entries (id, title, author) that hold most of its tokens, as parts of words too.
+
+    A catalogue has millions of entries and a query few tokens, so the entries stay where they
+    are: the distinct tokens, at most MOST_TOKENS, are looked for in one pass.
+    """
+    tokens = [r["t"] for r in queries.select(F.explode("tokens").alias("t")).distinct().orderBy("t").limit(MOST_TOKENS + 1).collect()]
+    if len(tokens) > MOST_TOKENS:
+        raise ValueError(f"more than {MOST_TOKENS} tokens")
+    hay = F.lower(F.concat_ws(" ", "title", "author"))
+    held = F.filter(F.array(*map(F.lit, tokens)).cast("array<string>"), lambda t: F.contains(F.col("__hay"), t))
+    found = catalogue.withColumn("__hay", hay).select("id", F.explode(held).alias("t"))
+    scored = found.join(queries.select("query", F.explode(F.array_distinct("tokens")).alias("t")), "t").groupBy("query", "id").agg(F.count("*").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
 def best_file(files: DataFrame, formats: list[str]) -> DataFrame:
@@ -32,28 +89,16 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(2 * F.size(F.array_intersect(wa, wb)) / total)
 
 
-def volume_number(title: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(title), r"\b(?:vol(?:ume)?|part|book)\.?\s*(\d{1,3})\b", 1), F.lit("")).try_cast("int")
-
-
-def candidate_score(title: Column, author: Column, other_title: Column, other_author: Column, year: Column, other_year: Column) -> Column:
-    """0.85 of the titles' likeness and 0.15 of the authors', moved by years and volumes, within 0 and 1."""
-    base = 0.85 * dice(title, other_title) + 0.15 * dice(author, other_author)
-    by_year = F.when(year.isNull() | other_year.isNull(), 0.0).when(year == other_year, 0.1).otherwise(-0.1)
-    a, b = volume_number(title), volume_number(other_title)
-    by_volume = F.when(a.isNull() & b.isNull(), 0.0).when(a == b, 0.1).when(a.isNull() | b.isNull(), -0.05).otherwise(-0.35)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + by_year + by_volume))
-
-
-def accepted_matches(scored: DataFrame, least: float = 0.62, margin: float = 0.05) -> DataFrame:
+def accepted_matches(scored: DataFrame, least: float = 0.62, margin: float = 0.05, same_work=None) -> DataFrame:
     """Per probe the best match, if it is good enough and no other work comes close.
 
-    ``scored`` has (probe, id, work, score).
+    ``scored`` has (probe, id, work, score). ``same_work`` tells from two works whether they
+    are one; without it they are if they are equal.
     """
     order = Window.partitionBy("probe").orderBy(F.col("score").desc(), "id")
     two = scored.withColumn("rn", F.row_number().over(order)).where("rn <= 2")
     pair = two.groupBy("probe").agg(*[F.max(F.when(F.col("rn") == r, F.struct("id", "work", "score"))).alias(n) for r, n in ((1, "best"), (2, "rival"))])
-    close = F.coalesce((F.col("best.score") - F.col("rival.score") < margin) & (F.col("best.work") != F.col("rival.work")), F.lit(False))
+    close = F.coalesce((F.col("best.score") - F.col("rival.score") < margin) & ~(same_work or (lambda a, b: a == b))(F.col("best.work"), F.col("rival.work")), F.lit(False))
     return pair.where((F.col("best.score") >= least) & ~close).select("probe", F.col("best.id").alias("id"), F.col("best.score").alias("score"))
 
 

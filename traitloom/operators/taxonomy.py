@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.sources.scratch import materialise
 
-def closure(tree: DataFrame, depth: int = 8) -> DataFrame:
+
+def closure(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance), every node with itself too.
 
-    One join doubles the reach, so a tree of depth 8 takes three. Nodes under a missing
-    parent keep what lies below them.
+    One join doubles the reach, so a tree of depth d takes about log2(d) of them; the first
+    that adds no pair is the last. Nodes under a missing parent keep what lies below them.
+    Nodes in a circle reach each other at the least distance.
     """
     nodes = tree.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance"))
     steps = tree.where("parent_id is not null").select(F.col("parent_id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(1).alias("distance"))
-    reach, known = 1, nodes.unionByName(steps)
-    while reach < depth:
+    shortest = lambda pairs: materialise(pairs.groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance")), "closure")
+    known, before = shortest(nodes.unionByName(steps)), -1
+    while (size := known.count()) != before:
+        before = size
         a, b = known.alias("a"), known.alias("b")
-        known = a.join(b, F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant", (F.col("a.distance") + F.col("b.distance")).alias("distance")).distinct()
-        reach *= 2
+        known = shortest(a.join(b, F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant", (F.col("a.distance") + F.col("b.distance")).alias("distance")))
     return known
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitloom.functions import tokens as tk
+from traitloom.sources.scratch import materialise
 
 TRAIT = ["category", "token"]
 
@@ -75,30 +76,38 @@ def cooccurrence(traits: DataFrame, threshold: int) -> DataFrame:
     Prefix filtering, which is exact: with each figure's traits ranked rarest first, a pair
     sharing t traits shares two of them (one if t is 1) among the first size - t + 2 of both.
     Candidates come from an equality join on such couples; the whole sets then verify them.
+    Traits are numbered rarest first, so that rows hold numbers only.
     """
     width = min(2, threshold)
-    frequency = trait_counts(traits)
-    ranked = traits.join(frequency, TRAIT).select("figure_id", F.struct(F.col("n_figures").alias("n"), "category", "token").alias("t"))
+    numbered = materialise(trait_counts(traits).where("n_figures > 1").orderBy("n_figures", *TRAIT).select(*TRAIT, F.monotonically_increasing_id().alias("t")), "trait-numbers")
+    ranked = traits.join(numbered, TRAIT).select("figure_id", "t")
     sets = ranked.groupBy("figure_id").agg(F.array_sort(F.collect_list("t")).alias("own")).where(F.size("own") >= threshold)
     sets = sets.withColumn("head", F.slice("own", F.lit(1), F.size("own") - threshold + width))
     if width == 1:
-        keys = F.transform("head", lambda x: F.array(x))
+        keys = F.transform("head", lambda x: F.struct(x.alias("x"), x.alias("y")))
     else:
-        keys = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.array(x, y))))
-    keyed = sets.select("figure_id", "own", "head", F.explode(keys).alias("key"))
+        keys = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    keyed = sets.select("figure_id", "own", F.explode(keys).alias("key")).select("figure_id", "own", "key.x", "key.y")
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.figure_id") < F.col("b.figure_id")))
-    # a pair is made by each couple that it shares: only the rarest counts
-    rarest = F.slice(F.array_intersect("a.head", "b.head"), 1, width)
-    common = F.size(F.array_intersect("a.own", "b.own"))
-    return pairs.where((F.col("a.key") == rarest) & (common >= threshold)).select(
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.figure_id") < F.col("b.figure_id")))
+    # A pair is made by each couple that it shares: only that of its rarest common traits counts.
+    shared = F.array_intersect("a.own", "b.own")
+    common = F.size(shared)
+    return pairs.where((common >= threshold) & (F.get(shared, F.lit(0)) == F.col("a.x")) & (F.get(shared, F.lit(width - 1)) == F.col("a.y"))).select(
         F.col("a.figure_id").alias("src"), F.col("b.figure_id").alias("dst"), common.cast("long").alias("weight"))
 
 
+def distances(sets: DataFrame, queries: DataFrame) -> DataFrame:
+    """(a, b, distance): the Jaccard distance of each query's set (id, t) to all that share an element with it; all others are at 1."""
+    sized = lambda df, name: df.select(F.col("id").alias(name), F.size("t").alias(f"n_{name}"), F.explode("t").alias("x"))
+    met = sized(queries, "a").join(sized(sets, "b"), "x").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return met.select("a", "b", F.round(1 - F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k")), 6).alias("distance"))
+
+
 def ego(traits: DataFrame, focal: int, least: int = 1) -> DataFrame:
     """(figure_id, weight, common) of the figures that share traits with one of them."""
     own = traits.where(F.col("figure_id") == focal).select(*TRAIT)
-    shared = traits.where(F.col("figure_id") != focal).join(F.broadcast(own), TRAIT, "left_semi")
+    shared = traits.where(F.col("figure_id") != focal).join(own, TRAIT, "left_semi")
     return shared.groupBy("figure_id").agg(F.count("*").alias("weight"), F.array_sort(F.collect_list(F.concat_ws("::", *TRAIT))).alias("common")).where(F.col("weight") >= least)
 
 
@@ -160,7 +169,7 @@ def radial_places(figures: DataFrame, weight: str, ring: str) -> DataFrame:
     before = sizes.alias("x").join(sizes.alias("y"), F.col(f"y.{ring}") < F.col(f"x.{ring}"), "left").groupBy(F.col(f"x.{ring}").alias("ring_key")).agg(F.coalesce(F.sum("y.ring_n"), F.lit(0)).alias("before"))
     n, low, high = figures.agg(F.count("*"), F.min(weight), F.max(weight)).first()
     own = F.row_number().over(Window.partitionBy(ring).orderBy(F.col(weight).desc(), "figure_id"))
-    placed = figures.withColumn("own", own).join(F.broadcast(before), F.col(ring) == F.col("ring_key"))
+    placed = figures.withColumn("own", own).join(before, F.col(ring) == F.col("ring_key"))
     angle = 2 * F.pi() * (F.col("before") + F.col("own") - 1) / F.lit(max(1, n))
     share = (F.col(weight) - F.lit(low)) / F.lit(high - low) if n and high > low else F.lit(0.5)
     radius = F.pow(1 - share, 0.85)

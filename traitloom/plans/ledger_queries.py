@@ -163,9 +163,9 @@ def fetch_queue(spark, d):
     return ledger.queue(b, held, candidates).select("id", "url", "title")
 
 
-@query("J21_verdict_cache", "WITH c AS (SELECT doc_id, quality FROM labels) SELECT d.doc_id, c.quality FROM documents d LEFT JOIN c USING (doc_id) WHERE lang = 'fr'")
+@query("J21_verdict_cache", "WITH c AS (SELECT doc_id, quality FROM labels) SELECT d.doc_id, c.quality FROM documents d LEFT JOIN c USING (doc_id)")
 def verdict_cache(spark, d):
-    return table(spark, d, "documents").where("lang = 'fr'").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
 @query("J21_cache_misses", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -202,9 +202,9 @@ def _streamed(spark, d, make, mode="append"):
     return spark.read.schema(made.schema).parquet(f"{at}/out")
 
 
-@query("T1_blocker_stream", "SELECT event_id, user_id AS source_id FROM events WHERE event_type = 'error'")
+@query("T1_blocker_stream", "SELECT event_id, user_id AS source_id, CASE WHEN props IS NULL THEN 'unknown' " + " ".join(f"WHEN regexp_matches(props, '{p}') THEN '{r}'" for r, p in stream.REASONS) + " ELSE 'other' END AS reason FROM events WHERE event_type = 'error'")
 def blocker_stream(spark, d):
-    return _streamed(spark, d, stream.blockers).select("event_id", "source_id")
+    return _streamed(spark, d, stream.blockers).select("event_id", "source_id", "reason")
 
 
 @query("T2_idempotent_executions", "SELECT execution_key, min(event_id) AS event_id FROM (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS execution_key, event_id FROM events) GROUP BY 1")
@@ -238,8 +238,7 @@ def orphans(spark, d):
 
 @query("T9_retry_list", f"WITH {I} SELECT list_name, run_id, count(*) FILTER (NOT ({FETCHED})) AS n_retry FROM items GROUP BY ALL")
 def retry_list(spark, d):
-    lists = st.items(spark, d).groupBy("list_name", "run_id").agg(F.collect_list(F.struct("title", "status")).alias("items"))
-    return lists.select("list_name", "run_id", F.size(ledger.retry_list(F.col("items"))).cast("long").alias("n_retry"))
+    return st.items(spark, d).groupBy("list_name", "run_id").agg(F.count_if(ledger.to_retry(F.col("status"))).alias("n_retry"))
 
 
 @query("T13_timezone_guard", "SELECT user_id, bool_and(CAST(ts AS DATE) = CAST(ts + INTERVAL 9 HOUR AS DATE)) AS safe FROM events GROUP BY user_id")
@@ -265,3 +264,36 @@ def sessions(spark, d):
 def group_pairs(spark, d):
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     return graph.group_pairs(table(spark, d, "nation").select(F.col("n_regionkey").alias("group"), F.col("n_nationkey").alias("id"), F.row_number().over(w).alias("pos")))
+
+
+@query("T4_slot_claims")
+def slot_claims(spark, d):
+    """Users claim the slot of their list at each event and release it at a purchase."""
+    def make(e):
+        requests = e.select((F.col("user_id") % 5).alias("slot"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), "user_id").alias("holder"), F.when(F.col("event_type") == "purchase", "release").otherwise("claim").alias("action"))
+        return stream.claims(requests)
+
+    return _streamed(spark, d, make)
+
+
+@query("T12_ttl_cache")
+def ttl_cache(spark, d):
+    """Whether each event's user is still in a cache of six hours."""
+    def make(e):
+        return stream.cached(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("ts").cast("double").__truediv__(1e6).alias("at")), 6 * 3600.0)
+
+    return _streamed(spark, d, make)
+
+
+@query("T10_progress", "SELECT user_id % 50 AS run_id, arg_max(event_type, event_id) AS phase, max(event_id) AS done FROM events GROUP BY 1")
+def progress(spark, d):
+    """The newest snapshot of each run, overwritten batch by batch."""
+    at = f"{scratch_folder(spark)}/progress-{uuid.uuid4().hex}"
+
+    def write(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/{number}")
+
+    e = stream.read_events(spark, f"{d}/events.parquet").select((F.col("user_id") % 50).alias("run_id"), F.col("event_type").alias("phase"), F.col("event_id").alias("done"), F.lit(0).alias("total"), F.col("event_id").alias("seq"))
+    stream.run_batches(stream.progress(e), write, f"{at}/checkpoint")
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{at}/out")
+    return written.groupBy("run_id").agg(F.max_by(F.struct("phase", "done"), "batch").alias("p")).select("run_id", "p.phase", "p.done")

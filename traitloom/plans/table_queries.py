@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from traitloom.functions import tokens as tk
 from traitloom.functions import web
-from traitloom.operators import graph, ranking
+from traitloom.operators import graph, ranking, validation
 from traitloom.plans import stand_in as st
 from traitloom.plans.registry import query, table
 
@@ -163,11 +163,12 @@ def allowed_urls(spark, d):
     return table(spark, d, "pages").select("page_id", web.url_allowed(F.col("url"), ["example.net", "example.com"], ["/en"]).alias("allowed"))
 
 
-@query("P31_lead_gate", """SELECT page_id, CASE WHEN NOT starts_with(url, 'https://') THEN 'insecure' WHEN NOT contains(url, 'example.com') THEN 'unregistered' WHEN contains(url, '/fr') THEN 'not_automated' END AS reason FROM pages""")
+@query("P31_lead_gate", r"""WITH r(host, automated) AS (VALUES ('example.com', true), ('example.org', false)), p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host FROM pages),
+    h AS (SELECT page_id, bool_or(automated) AS automated FROM p JOIN r ON p.host = r.host OR ends_with(p.host, '.' || r.host) GROUP BY 1)
+    SELECT page_id AS lead_id, CASE WHEN NOT regexp_matches(url, '(?i)^https://') THEN 'not_https' WHEN automated IS NULL THEN 'unregistered_host' WHEN NOT automated THEN 'automated_download_forbidden' END AS reason FROM p LEFT JOIN h USING (page_id)""")
 def lead_gate(spark, d):
-    url = F.col("url")
-    reason = F.when(~url.startswith("https://"), "insecure").when(~url.contains("example.com"), "unregistered").when(url.contains("/fr"), "not_automated")
-    return table(spark, d, "pages").select("page_id", reason.alias("reason"))
+    registry = spark.createDataFrame([("example.com", True), ("example.org", False)], "host string, automated boolean")
+    return validation.lead_gate(table(spark, d, "pages").select(F.col("page_id").alias("lead_id"), "url"), registry).select("lead_id", "reason")
 
 
 @query("J6_id_remap", """WITH o AS (SELECT n_nationkey AS old, 'm' || (n_nationkey % 7) AS name FROM nation), w AS (SELECT s_nationkey + 100 AS new, 'm' || (s_nationkey % 7) AS name FROM supplier WHERE s_nationkey < 5 GROUP BY ALL), i AS (SELECT old, new FROM o JOIN w USING (name)), e AS (SELECT n_nationkey AS src, n_regionkey AS dst, 'in' AS relation FROM nation)
@@ -207,20 +208,23 @@ def dimensions(spark, d):
             .join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.col("n_name").alias("tradition"), F.col("r_name").alias("family")))
 
 
-@query("J13_name_cascade", """WITH p AS (SELECT p_partkey AS probe, lower(p_name) AS w, p_brand AS t FROM part WHERE p_size <= 10), k AS (SELECT p_partkey AS id, lower(p_name) AS n, p_brand AS kt FROM part WHERE p_size > 45), f AS (
-    SELECT probe, count(DISTINCT id) AS c, min(id) AS id, 1 AS level FROM p JOIN k ON w = n AND t = kt GROUP BY probe UNION ALL SELECT probe, count(DISTINCT id), min(id), 2 FROM p JOIN k ON w = n GROUP BY probe),
-    b AS (SELECT probe, arg_min(id, level) AS id, arg_min(c, level) AS c, min(level) AS level FROM f GROUP BY probe)
-    SELECT p.probe, CASE WHEN c = 1 THEN id END AS id, level, coalesce(c > 1, false) AS ambiguous FROM p LEFT JOIN b USING (probe)""")
+@query("J13_name_cascade", """WITH p AS (SELECT p_partkey AS probe, CASE WHEN p_partkey % 4 = 2 THEN upper(p_name) WHEN p_partkey % 4 = 3 THEN split_part(p_name, ' ', 1) ELSE p_name END AS name, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE 'none' END AS t FROM part),
+    v AS (SELECT probe, t, name, unnest(list_distinct([lower(name), replace(lower(name), 'v', 'w'), replace(lower(name), 'w', 'v')])) AS variant FROM p), n AS (SELECT p_partkey AS id, p_name AS name, p_brand AS t FROM part WHERE p_partkey % 3 = 0),
+    nv AS (SELECT id, t, unnest(list_distinct([lower(name), replace(lower(name), 'v', 'w'), replace(lower(name), 'w', 'v')])) AS variant FROM n),
+    h AS (SELECT probe, 2 AS level, id, p.t = n.t AS same FROM p JOIN n USING (name) UNION SELECT probe, 3, id, v.t = nv.t FROM v JOIN nv USING (variant) UNION SELECT probe, 4, id, v.t = n.t FROM v JOIN n ON lower(n.name) = variant OR lower(split_part(n.name, ' ', 1)) = variant),
+    c AS (SELECT probe, level, count(*) AS k, min(id) AS one, count(*) FILTER (same) AS ks, min(id) FILTER (same) AS fs FROM h GROUP BY probe, level), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY probe ORDER BY level) = 1)
+    SELECT probe, CASE WHEN k = 1 THEN one ELSE fs END AS id, CASE WHEN level = 2 AND ks > 0 THEN 1 ELSE level END AS level, coalesce(k, 0) > 1 AND fs IS NULL AS ambiguous FROM p LEFT JOIN b USING (probe)""")
 def name_cascade(spark, d):
-    f = st.figures(spark, d)
-    return graph.name_cascade(f.where("n <= 10").select(F.col("id").alias("probe"), "name", "tradition"), f.where("n > 45").select("id", "name", "tradition"))
+    f, k = st.figures(spark, d), F.col("id") % 4
+    probes = f.select(F.col("id").alias("probe"), F.when(k == 2, F.upper("name")).when(k == 3, F.split_part("name", F.lit(" "), F.lit(1))).otherwise(F.col("name")).alias("name"), F.when(k == 0, F.col("tradition")).otherwise("none").alias("tradition"))
+    return graph.name_cascade(probes, f.where("id % 3 = 0").select("id", "name", "tradition"))
 
 
-@query("J15_identification", """WITH h AS (SELECT a.p_partkey AS id, a.p_name AS target, b.p_partkey AS found, row_number() OVER (PARTITION BY a.p_partkey, a.p_name ORDER BY (a.p_brand = b.p_brand), b.p_partkey) AS rn FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey WHERE a.p_size = 3)
+@query("J15_identification", """WITH h AS (SELECT a.p_partkey AS id, a.p_name AS target, b.p_partkey AS found, row_number() OVER (PARTITION BY a.p_partkey, a.p_name ORDER BY (a.p_brand = b.p_brand), b.p_partkey) AS rn FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey)
     SELECT id, target, found FROM h WHERE rn = 1""")
 def identification(spark, d):
     f = st.figures(spark, d)
-    return graph.identification(f.where("n = 3").select("id", "tradition", F.col("name").alias("target")), f.select("id", "name", "tradition"))
+    return graph.identification(f.select("id", "tradition", F.col("name").alias("target")), f.select("id", "name", "tradition"))
 
 
 @query("J16_new_edges", f"WITH {E}, k AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE relation = 'A'), p AS (SELECT DISTINCT least(n_nationkey, n_regionkey) AS a, greatest(n_nationkey, n_regionkey) AS b FROM nation) SELECT a AS src, b AS dst FROM p ANTI JOIN k USING (a, b)")
@@ -229,18 +233,18 @@ def new_edges(spark, d):
     return graph.new_edges(proposed, st.edges(spark, d).where("relation = 'A'")).distinct()
 
 
-@query("J17_backfill", "SELECT p.p_partkey AS id, count(*) AS n FROM part p JOIN (SELECT p_name || '::' || p_brand AS k FROM part WHERE p_size = 5) o ON p.p_name || '::' || p.p_brand = o.k GROUP BY 1")
+@query("J17_backfill", "SELECT p_partkey AS id, count(*) OVER (PARTITION BY p_name || '::' || p_brand) AS n FROM part")
 def backfill(spark, d):
     f = st.figures(spark, d).withColumn("k", F.concat_ws("::", "name", "tradition"))
-    return f.join(f.where("n = 5").select("k"), "k").groupBy("id").agg(F.count("*").alias("n"))
+    return f.select("id", "k").join(f.groupBy("k").agg(F.count("*").alias("n")), "k").select("id", "n")
 
 
-@query("J18_upsert", """WITH a AS (SELECT lower(p_name) AS k, max(p_size) AS size FROM part WHERE p_partkey < 40 GROUP BY 1), b AS (SELECT lower(p_name) AS k, min(p_size) AS size FROM part WHERE p_partkey >= 1900 GROUP BY 1)
+@query("J18_upsert", """WITH a AS (SELECT lower(p_name) AS k, max(p_size) AS size FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT lower(p_name) AS k, min(p_size) AS size FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS name, coalesce(b.size, a.size) AS size FROM a FULL JOIN b ON a.k = b.k""")
 def upsert(spark, d):
     f = st.figures(spark, d)
-    old = f.where("id < 40").groupBy(F.lower("name").alias("k")).agg(F.max("n").alias("old"))
-    new = f.where("id >= 1900").groupBy(F.lower("name").alias("k")).agg(F.min("n").alias("new"))
+    old = f.where("id % 2 = 0").groupBy(F.lower("name").alias("k")).agg(F.max("n").alias("old"))
+    new = f.where("id % 2 = 1").groupBy(F.lower("name").alias("k")).agg(F.min("n").alias("new"))
     return old.join(new, "k", "full_outer").select(F.col("k").alias("name"), F.coalesce("new", "old").alias("size"))
 
 
@@ -267,10 +271,11 @@ def related_nodes(spark, d):
     return graph.related(st.edges(spark, d), 5)
 
 
-@query("J24_token_overlap", "WITH q(t) AS (VALUES ('red'), ('ring'), ('small')), s AS (SELECT p_partkey AS id, count(*) AS score FROM part, q WHERE contains(lower(p_name), t) GROUP BY 1) SELECT id, score FROM s ORDER BY score DESC, id LIMIT 25")
+@query("J24_token_overlap", """WITH q AS (SELECT p_partkey AS query, unnest(list_distinct(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 100 = 0), s AS (SELECT query, p_partkey AS id, count(*) AS score FROM part, q WHERE contains(lower(p_name || ' ' || p_brand), t) GROUP BY ALL)
+    SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS "rank" FROM s QUALIFY "rank" <= 25""")
 def token_overlap(spark, d):
-    score = sum(F.contains(F.lower("name"), F.lit(t)).cast("long") for t in ("red", "ring", "small"))
-    return ranking.top_k(st.figures(spark, d).select("id", score.alias("score")).where("score > 0"), 25, [F.col("score").desc(), F.col("id")])
+    f = st.figures(spark, d)
+    return ranking.token_overlap(f.select("id", F.col("name").alias("title"), F.col("tradition").alias("author")), f.where("id % 100 = 0").select(F.col("id").alias("query"), F.split("name", " ").alias("tokens")), 25)
 
 
 @query("J25_counts_per_source", "SELECT s.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE lang = 'de' GROUP BY 1) c USING (source)")

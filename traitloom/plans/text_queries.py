@@ -32,22 +32,22 @@ def word_count(spark, d):
 
 @query("F8_slug")
 def slug(spark, d):
-    return docs(spark, d).select("doc_id", tx.slug(F.substring_index("text", " ", 6)).alias("slug"))
+    return docs(spark, d).select("doc_id", tx.slug(text()).alias("slug"))
 
 
 @query("F9_title_key")
 def title_key(spark, d):
-    return docs(spark, d).select("doc_id", tx.title_key(F.substring_index("text", ".", 1)).alias("key"))
+    return docs(spark, d).select("doc_id", tx.title_key(text()).alias("key"))
 
 
-@query("F10_strip_diacritics", "SELECT doc_id, strip_accents(text) AS text FROM documents WHERE lang IN ('fr', 'es')")
+@query("F10_strip_diacritics", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def strip_diacritics(spark, d):
-    return docs(spark, d).where(F.col("lang").isin("fr", "es")).select("doc_id", tx.strip_diacritics(text()).alias("text"))
+    return docs(spark, d).select("doc_id", tx.strip_diacritics(text()).alias("text"))
 
 
-@query("F12_transliterate", "SELECT doc_id, replace(strip_accents(text), 'ß', 'ss') AS text FROM documents WHERE lang = 'de'")
+@query("F12_transliterate", "SELECT doc_id, strip_accents(" + "".join("replace(" for _ in tx.LETTERS) + "text" + "".join(f", '{a}', '{b}')" for a, b in tx.LETTERS.items()) + ") AS text FROM documents")
 def transliterate(spark, d):
-    return docs(spark, d).where("lang = 'de'").select("doc_id", tx.transliterate(text()).alias("text"))
+    return docs(spark, d).select("doc_id", tx.transliterate(text()).alias("text"))
 
 
 @query("F17_array_replace", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda x: CASE x WHEN 'hot' THEN 'warm' ELSE x END), ' ') AS words FROM part")
@@ -60,19 +60,20 @@ def record_id(spark, d):
     return st.figures(spark, d).select("id", tx.record_id(F.col("tradition").alias("brand"), F.col("name").alias("name")).alias("record_id"))
 
 
-@query("F20_chunk_text", r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\s\p{Z}\x{FEFF}]+'), lambda x: x <> '') AS own FROM documents WHERE NOT regexp_matches(text, '\n\s*\n')),
-    k AS (SELECT doc_id, own, unnest(range(0, CAST(greatest(0, ceil((len(own) - 260) / 225.0)) AS BIGINT) + 1)) AS chunk FROM w WHERE len(own) > 0)
-    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, array_to_string(own[chunk * 225 + 1 : chunk * 225 + 260], ' ') AS text FROM k""")
+PARAGRAPHS = r"""p AS (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) AS para, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) AS pi FROM documents),
+    w AS (SELECT doc_id, pi, list_filter(string_split_regex(para, '[\s\p{Z}\x{FEFF}]+'), lambda x: x <> '') AS own FROM p WHERE trim(para) <> ''),
+    k AS (SELECT doc_id, pi, own, unnest(range(0, CAST(greatest(0, ceil((len(own) - 260) / 225.0)) AS BIGINT) + 1)) AS c FROM w WHERE len(own) > 0)"""
+
+
+@query("F20_chunk_text", f"WITH {PARAGRAPHS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pi, c) - 1 AS INTEGER) AS chunk, array_to_string(own[c * 225 + 1 : c * 225 + 260], ' ') AS text FROM k")
 def chunk_text(spark, d):
-    whole = docs(spark, d).where(~text().rlike(r"\n\s*\n"))
-    return whole.select("doc_id", F.posexplode(tx.chunk_text(text())).alias("chunk", "text"))
+    return docs(spark, d).select("doc_id", F.posexplode(tx.chunk_text(text())).alias("chunk", "text"))
 
 
-@query("W5_chunk_ordinals", r"""WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[\s\p{Z}\x{FEFF}]+'), lambda x: x <> '')) AS n FROM documents WHERE NOT regexp_matches(text, '\n\s*\n'))
-    SELECT doc_id, doc_id || '#chunk-' || unnest(range(0, CAST(greatest(0, ceil((n - 260) / 225.0)) AS BIGINT) + 1)) AS locator FROM w WHERE n > 0""")
+@query("W5_chunk_ordinals", f"WITH {PARAGRAPHS} SELECT doc_id, doc_id || '#chunk-' || (row_number() OVER (PARTITION BY doc_id ORDER BY pi, c)) AS locator FROM k")
 def chunk_ordinals(spark, d):
-    whole = docs(spark, d).where(~text().rlike(r"\n\s*\n"))
-    return whole.select("doc_id", F.posexplode(tx.chunk_text(text())).alias("chunk", "text")).select("doc_id", F.concat("doc_id", F.lit("#chunk-"), "chunk").alias("locator"))
+    numbered = docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), tx.chunk_count(text()))).alias("chunk")).where("chunk > 0")
+    return numbered.select("doc_id", F.concat("doc_id", F.lit("#chunk-"), "chunk").alias("locator"))
 
 
 @query("F21_cleanup_transcription")
@@ -95,14 +96,27 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", web.html_title(F.col("html")).alias("title"), F.size(web.content_links(F.col("html"), F.col("url"))).alias("n_links"))
 
 
-@query("F25_clean_wikitext", r"SELECT doc_id, trim(regexp_replace(text, '''{2,}|<[^>]*>', '', 'g')) AS text FROM documents WHERE NOT contains(text, '[[') AND NOT contains(text, '{{')")
+def _nested(times, inner, pattern, to=""):
+    """SQL that replaces a pattern again and again; the supplied texts nest no deeper."""
+    for _ in range(times):
+        inner = f"regexp_replace({inner}, '{pattern}', '{to}', 'g')"
+    return inner
+
+
+@query("F25_clean_wikitext", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _nested(5, r"regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>', '', 'g')", r"\{\{[^{}]*\}\}")
+       + r", '(?i)\[\[(?:file|image|category):[^\[\]]*\]\]', '', 'g'), '\[\[[^\[\]|]*\|([^\[\]]*)\]\]', '\1', 'g'), '\[\[([^\[\]]*)\]\]', '\1', 'g'), '\x27{2,}', '', 'g'), '<[^>]*>', '', 'g')) AS text FROM documents")
 def clean_wikitext(spark, d):
-    return docs(spark, d).where(~F.contains("text", F.lit("[[")) & ~F.contains("text", F.lit("{{"))).select("doc_id", web.clean_wikitext(text()).alias("text"))
+    return docs(spark, d).select("doc_id", web.clean_wikitext(text()).alias("text"))
 
 
-@query("F29_script_language", "SELECT doc_id, CAST(NULL AS VARCHAR) AS script FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x{24F}]')")
+@query("F12_strip_parens", r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _nested(6, "text", r"\s*\([^()]*\)") + r", '\s+', ' ', 'g'), '\s+([,;.])', '\1', 'g'), '\s*;\s*;\s*', '; ', 'g'), '^[\s,;]+|[\s,;]+$', '', 'g')) AS text FROM documents")
+def strip_parens(spark, d):
+    return docs(spark, d).select("doc_id", tx.strip_parens(text()).alias("text"))
+
+
+@query("F29_script_language", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{code}'" for p, code in tx.SCRIPTS) + " END AS script FROM documents")
 def script_language(spark, d):
-    return docs(spark, d).where(~text().rlike(r"[^\x00-\x{24F}]")).select("doc_id", tx.script_language(text()).alias("script"))
+    return docs(spark, d).select("doc_id", tx.script_language(text()).alias("script"))
 
 
 @query("F30_region_inference", """WITH k(region, keyword) AS (VALUES ('north', 'the'), ('north', 'ring'), ('south', 'les'), ('south', 'une'), ('east', 'und'), ('east', 'der'), ('west', 'ring'), ('west', 'una')), w AS (SELECT DISTINCT doc_id AS id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS keyword FROM documents),
@@ -164,10 +178,9 @@ def edition_plan(spark, d):
     return rights.plan_editions(e, rights.Policy()).select("work_id", "edition_id", "rank")
 
 
-@query("F33_embedded_notice", "SELECT doc_id, text AS notice FROM documents WHERE octet_length(encode(text)) <= 65536")
+@query("F33_embedded_notice")
 def embedded_notice(spark, d):
-    whole = docs(spark, d).where(F.octet_length("text") <= 65536)
-    return whole.select("doc_id", rights.embedded_notice(F.encode("text", "UTF-8")).alias("notice"))
+    return docs(spark, d).select("doc_id", rights.embedded_notice(F.encode("text", "UTF-8")).alias("notice"))
 
 
 @query("F36_compact_error", r"SELECT doc_id, CASE WHEN length(t) > 300 THEN substr(t, 1, 299) || '…' ELSE t END AS message FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\s\p{Z}\x{FEFF}]+', ' ', 'g')) AS t FROM documents)")
@@ -180,9 +193,9 @@ def iso_format(spark, d):
     return table(spark, d, "events").select("event_id", tx.iso_format(F.col("ts")).alias("iso"))
 
 
-@query("F40_content_type", "SELECT page_id, 'application/octet-stream' AS kind FROM pages WHERE NOT regexp_matches(url, '\\.(txt|xml|html?|json|pdf|csv)([?#].*)?$')")
+@query("F40_content_type", "SELECT page_id, CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in web.EXTENSIONS.items()) + " ELSE 'application/octet-stream' END AS kind FROM pages")
 def content_type(spark, d):
-    return table(spark, d, "pages").where(~F.col("url").rlike(r"\.(txt|xml|html?|json|pdf|csv)([?#].*)?$")).select("page_id", web.content_type(F.col("url")).alias("kind"))
+    return table(spark, d, "pages").select("page_id", web.content_type(F.col("url")).alias("kind"))
 
 
 @query("F43_math", "SELECT p_partkey AS id, round(log10(p_size + 1), 9) AS scale, round(pow(p_size / 50.0, 0.85), 9) AS radius, least(1.0, greatest(0.0, p_retailprice / 1000 - 0.95)) AS clamp FROM part")
@@ -191,9 +204,10 @@ def math(spark, d):
     return f.select("id", F.round(F.log10(F.col("n") + 1), 9).alias("scale"), F.round(F.pow(F.col("n") / 50.0, 0.85), 9).alias("radius"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("price") / 1000 - 0.95)).alias("clamp"))
 
 
-@query("P25_markup", "SELECT page_id, true AS markup FROM pages WHERE regexp_matches(html, '^<!DOCTYPE')")
+@query("P25_markup", r"""WITH h AS (SELECT page_id, html, trim(substr(html, 1, 2000)) AS head FROM pages)
+    SELECT page_id, regexp_matches(head, '(?i)^<(?:!doctype|\?xml|html)') OR len(regexp_extract_all(head, '</?[a-zA-Z][^>]*>')) >= 10 OR (regexp_matches(head, '^[\[{]') AND json_valid(html)) AS markup FROM h""")
 def markup(spark, d):
-    return table(spark, d, "pages").where(F.col("html").rlike("^<!DOCTYPE")).select("page_id", web.looks_like_markup(F.col("html")).alias("markup"))
+    return table(spark, d, "pages").select("page_id", web.looks_like_markup(F.col("html")).alias("markup"))
 
 
 @query("P26_interstitial", "SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)(captcha|are you (a )?human|checking your browser|enable javascript)') AS interstitial FROM pages")
@@ -218,10 +232,21 @@ def secondary_marker(spark, d):
     return docs(spark, d).select("doc_id", F.get(found, F.lit(0)).alias("marker"))
 
 
-@query("P19_validation", """SELECT doc_id, CASE WHEN trim(source) = '' THEN 1 ELSE 0 END + CASE WHEN n_chars <> length(text) THEN 1 ELSE 0 END AS n_broken FROM documents""")
+def _as_records(spark, d):
+    """Documents as resource records, some of them broken."""
+    one = lambda x, name: F.lit(x).alias(name)
+    return docs(spark, d).select(F.col("source").alias("deity"), F.col("lang").alias("tradition"), one("unknown", "gender"), one("alias", "matched_alias"), F.when(F.col("doc_id") % 11 == 0, "poem").otherwise("text_excerpt").alias("record_type"),
+                                 one("work", "source_work"), one("author", "source_author"), one("corpus", "corpus"), one("primary_source", "origin"), F.col("doc_id").cast("string").alias("locator"), text().alias("excerpt"),
+                                 F.when(F.col("doc_id") % 13 == 0, "ftp://x").otherwise("https://x/y").alias("url"), F.concat(F.lit("rec"), F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("id"),
+                                 (tx.word_count(text()) + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("n_words"), F.col("doc_id"))
+
+
+@query("P19_validation", r"""SELECT doc_id, CASE WHEN trim(coalesce(source, '')) = '' THEN 1 ELSE 0 END + CASE WHEN trim(coalesce(lang, '')) = '' THEN 1 ELSE 0 END + CASE WHEN trim(coalesce(text, '')) = '' THEN 1 ELSE 0 END
+    + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE 0 END AS n_broken FROM documents""")
 def validation(spark, d):
-    broken = F.array_compact(F.array(F.when(F.trim("source") == "", F.lit("missing:source")), F.when(F.col("n_chars") != F.length("text"), F.lit("n_chars"))))
-    return docs(spark, d).select("doc_id", F.size(broken).alias("n_broken"))
+    rows = _as_records(spark, d)
+    broken = records.violations(dict(rows.drop("doc_id").dtypes))
+    return rows.select("doc_id", F.size(broken).alias("n_broken"))
 
 
 @query("S7_json_lines", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")

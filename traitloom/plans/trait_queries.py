@@ -145,18 +145,18 @@ def dichotomy(spark, d):
 
 @query("G8_formal_concepts")
 def formal_concepts(spark, d):
-    found = lattice.concepts(st.traits(spark, d).where("category <> 'size'"), 20, 30)
+    found = lattice.concepts(st.traits(spark, d), 20, 30)
     return found.select("concept", "n_extent", "n_intent", F.array_join("intent", "|").alias("intent"))
 
 
 @query("G9_cover_edges")
 def cover_edges(spark, d):
-    return lattice.covers(lattice.concepts(st.traits(spark, d).where("category <> 'size'"), 20, 30))
+    return lattice.covers(lattice.concepts(st.traits(spark, d), 20, 30))
 
 
 @query("W11_lattice_layers")
 def lattice_layers(spark, d):
-    return lattice.layers(lattice.concepts(st.traits(spark, d).where("category <> 'size'"), 20, 30))
+    return lattice.layers(lattice.concepts(st.traits(spark, d), 20, 30))
 
 
 @query("G10_correspondence")
@@ -191,13 +191,11 @@ def top_traits(spark, d):
     return tr.trait_counts(st.traits(spark, d)).orderBy(F.col("n_figures").desc(), "category", "token").limit(40)
 
 
-@query("U1_jaccard", """WITH s AS (SELECT p_partkey AS id, p_brand AS b, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS t FROM part WHERE p_size = 1)
-    SELECT x.id AS a, y.id AS b, round(1 - len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS distance FROM s x JOIN s y ON x.b = y.b AND x.id < y.id""")
+@query("U1_jaccard", """WITH s AS (SELECT p_partkey AS id, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS t FROM part)
+    SELECT x.id AS a, y.id AS b, round(1 - len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS distance FROM s x JOIN s y ON x.id % 100 = 0 AND x.id <> y.id AND len(list_intersect(x.t, y.t)) > 0""")
 def jaccard(spark, d):
-    s = st.figures(spark, d).where("n = 1").select("id", "tradition", F.array_distinct(F.split(F.concat_ws(" ", "name", F.lower("kind")), " ")).alias("t"))
-    x, y = s.alias("x"), s.alias("y")
-    distance = 1 - F.size(F.array_intersect("x.t", "y.t")) / F.greatest(F.lit(1), F.size(F.array_union("x.t", "y.t")))
-    return x.join(y, (F.col("x.tradition") == F.col("y.tradition")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(distance, 6).alias("distance"))
+    s = st.figures(spark, d).select("id", F.array_distinct(F.split(F.concat_ws(" ", "name", F.lower("kind")), " ")).alias("t"))
+    return tr.distances(s, s.where("id % 100 = 0"))
 
 
 @query("W10_radial_places", """WITH f AS (SELECT p_partkey AS figure_id, p_brand AS ring, p_size AS w, p_retailprice FROM part), r AS (

@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traitloom.functions.text import word_count
+from traitloom.sources.scratch import materialise
+
 #: The fields of a resource record; the second list is optional.
 REQUIRED = ("deity", "tradition", "gender", "matched_alias", "record_type", "source_work", "source_author", "corpus", "origin", "locator", "excerpt")
 OPTIONAL = ("url", "artwork_title", "artwork_date", "artwork_medium", "artwork_classification", "match_confidence", "excerpt_original", "original_language", "translation_method", "translator_note")
+RECORD_TYPES = ("text_excerpt", "art_description", "museum_object")
+MUSEUM_FIELDS = ("url", "artwork_title", "artwork_date", "artwork_medium", "artwork_classification", "match_confidence")
 RECORD = T.StructType([*[T.StructField(n, T.StringType()) for n in (*REQUIRED, "translator", "id", *OPTIONAL)], T.StructField("n_words", T.IntegerType())])
 
 
@@ -47,12 +52,15 @@ def dedupe(records: DataFrame, order: str) -> DataFrame:
     return keyed.withColumn("rn", rn).where("rn = 1").drop("rn", "print")
 
 
-def number(records: DataFrame, order: str, prefix: str = "rec") -> DataFrame:
-    """Ids ``rec000000`` in order. Ranges are sorted apart and then counted up, so no task sees all rows."""
-    ranged = records.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+def number(records: DataFrame, order: str, prefix: str = "rec", column: str = "id") -> DataFrame:
+    """Ids ``rec000000`` in order. Ranges are sorted apart and then counted up, so no task sees all rows.
+
+    The ranges are written before they are counted, so that both readings see the same ones.
+    """
+    ranged = materialise(records.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id()).withColumn("own", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("p")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), F.col("part") == F.col("p")).withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("before") + F.col("own")).cast("string"), 6, "0"))).drop("part", "own", "p", "before")
+    return ranged.join(before, F.col("part") == F.col("p")).withColumn(column, F.concat(F.lit(prefix), F.lpad((F.col("before") + F.col("own")).cast("string"), F.greatest(F.lit(6), F.length((F.col("before") + F.col("own")).cast("string"))), F.lit("0")))).drop("part", "own", "p", "before")
 
 
 def violations(columns: dict[str, str]) -> Column:
@@ -60,13 +68,14 @@ def violations(columns: dict[str, str]) -> Column:
     checks = [F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", f"missing:{c}") if c in columns else F.lit(f"missing:{c}") for c in REQUIRED]
     checks += [F.lit(f"unknown:{c}") for c in columns if c not in (*REQUIRED, *OPTIONAL, "translator", "id", "n_words")]
     if "record_type" in columns:
-        checks.append(F.when(~F.col("record_type").isin("passage", "artwork"), "type"))
+        checks.append(F.when(~F.col("record_type").isin(*RECORD_TYPES), "type"))
+        checks += [F.when((F.col("record_type") == "museum_object") & (F.col(c).isNull() if c in columns else F.lit(True)), f"museum:{c}") for c in MUSEUM_FIELDS]
     if "n_words" in columns and "excerpt" in columns:
-        checks.append(F.when(F.col("n_words") != F.size(F.filter(F.split("excerpt", r"\s+"), lambda w: w != "")), "words"))
+        checks.append(F.when(F.coalesce(F.col("n_words") != word_count(F.col("excerpt")), F.lit(True)), "words"))
     if "url" in columns:
         checks.append(F.when(F.col("url").isNotNull() & ~F.col("url").rlike("^https?://"), "url"))
     if "id" in columns:
-        checks.append(F.when(F.col("id").isNotNull() & ~F.col("id").rlike("^rec[0-9]{6,}$"), "id"))
+        checks.append(F.when(F.col("id").isNotNull() & ~F.col("id").rlike("^rec[0-9a-f]{6,32}$"), "id"))
     return F.array_compact(F.array(*checks))
 
 
@@ -101,7 +110,9 @@ def match_entities(texts: DataFrame, entities: list[tuple[str, str, list[str]]],
                                 rows.append((i, *entity, m.group()))
             yield pd.DataFrame(rows, columns=["id", "name", "tradition", "alias"])
 
-    return texts.select("id", "text").mapInPandas(run, "id long, name string, tradition string, alias string")
+    picked = texts.select("id", "text")
+    named = [T.StructField(c, T.StringType()) for c in ("name", "tradition", "alias")]
+    return picked.mapInPandas(run, T.StructType([picked.schema["id"], *named]))
 
 
 def list_rows(text: Column) -> Column:

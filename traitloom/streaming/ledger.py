@@ -84,6 +84,29 @@ def claims(requests: DataFrame) -> DataFrame:
     return requests.groupBy("slot").applyInPandasWithState(step, "slot long, seq long, holder string, verdict string", "active string", "append", GroupStateTimeout.NoTimeout)
 
 
+def cached(requests: DataFrame, max_age: float) -> DataFrame:
+    """Whether each request (key, seq, at) is served from a cache or fetched anew, ``max_age`` seconds after the last fetch.
+
+    The state is one time for each key. Rows of a key are taken in ``seq`` order within a trigger.
+    """
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetched = state.get[0] if state.exists else None
+        out = []
+        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
+            hit = fetched is not None and row.at - fetched <= max_age
+            fetched = fetched if hit else row.at
+            out.append((key[0], row.seq, "hit" if hit else "miss"))
+        state.update((fetched,))
+        yield pd.DataFrame(out, columns=["key", "seq", "verdict"])
+
+    return requests.groupBy("key").applyInPandasWithState(step, "key long, seq long, verdict string", "fetched double", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """The newest snapshot of each run's progress; an update-mode aggregate, so a sink overwrites by run."""
+    return events.groupBy("run_id").agg(F.max_by(F.struct("phase", "done", "total"), "seq").alias("p"), F.max("seq").alias("seq")).select("run_id", "p.*", "seq")
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there into Parquet files, then stop; a restart goes on where this ended."""
     df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
