@@ -406,3 +406,16 @@ def test_unescape_agrees_with_the_library_on_pages(spark):
     for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select(F.col("html"), web.unescape_html(F.col("html")).alias("u")).collect():
         want = re.sub(r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", lambda m: html_lib.unescape(m[0]) if m[1][0] == "#" or m[1].lower() in known else m[0], r["html"])
         assert r["u"] == want
+
+
+def test_reasons_and_duties_of_rights(spark):
+    from traitloom.operators import rights
+
+    rows = [("see creativecommons.org/licenses/by/4.0 all rights reserved", None, None, None, "conflict", ["conflict"]), ("cc0 ", None, None, None, "marker", []), ("creative commons cc by-nc-nd", None, None, None, "marker", ["attribution", "no_derivatives", "noncommercial"]),
+            ("creative commons cc by-sa", None, None, None, "marker", ["attribution", "share_alike"]), ("rightsstatements.org/vocab/inc/1.0", None, None, None, "statement", ["restricted"]), ("rightsstatements.org/vocab/noc-us/1.0", None, None, None, "statement", ["us_stated"]),
+            ("all rights reserved", None, None, None, "restricted", ["restricted"]), ("public domain in the united states", None, None, None, "us_only", ["us_only"]), ("public domain", None, None, None, "claimed", ["elsewhere"]), ("", "open_license", None, None, "unnamed", ["unnamed"]),
+            ("", None, 1900, None, "died", ["died"]), ("", None, None, None, "nothing", ["nothing"])]
+    frame = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, text string, claim string, died int, printed int")
+    verdict = rights.assess(F.col("text"), F.col("claim"), F.array().cast("array<string>"), F.col("died"), F.col("printed"), rights.Policy())
+    for x in frame.select("i", verdict.alias("v")).collect():
+        assert x["v"]["reason"] == rights.REASONS[rows[x["i"]][4]] and x["v"]["obligations"] == [rights.DUTIES[k] for k in rows[x["i"]][5]], rows[x["i"]]

@@ -18,6 +18,35 @@ LATE_MARKERS = ("restricted by copyright", "protected by copyright", "copyrighte
 NO_DERIVATIVES = ("/by-nd/", "/by-nc-nd/", "cc by-nd", "cc by-nc-nd", "no derivatives", "noderivatives")
 NONCOMMERCIAL = ("/by-nc", "cc by-nc", "noncommercial")
 SHARE_ALIKE = ("/by-sa/", "cc by-sa", "sharealike")
+#: Why a text is judged as it is, and what its use obliges to.
+REASONS = {
+    "conflict": "open licence marker conflicts with restrictive copyright evidence",
+    "marker": "standardized Creative Commons marker",
+    "statement": "standardized RightsStatements.org marker",
+    "restricted": "explicit copyright restriction",
+    "us_only": "explicit United States-only public-domain statement",
+    "claimed": "explicit public-domain claim",
+    "unnamed": "open-license claim lacks a recognized licence marker",
+    "died": "edition copyright author death year exceeds life-plus-70",
+    "printed": "publication date exceeds conservative 95-year term",
+    "nothing": "no conclusive rights evidence",
+}
+DUTIES = {
+    "conflict": "resolve_conflicting_rights_evidence",
+    "attribution": "attribution",
+    "no_derivatives": "no_derivatives",
+    "noncommercial": "noncommercial_only",
+    "share_alike": "share_alike",
+    "restricted": "do_not_publish_without_permission",
+    "limited": "review_known_restrictions",
+    "us_stated": "public_domain_determination_is_us_only",
+    "us_only": "verify_status_outside_the_united_states",
+    "elsewhere": "verify_target_jurisdiction",
+    "unnamed": "identify_exact_open_license",
+    "died": "human_review_of_authorship_and_term_exceptions",
+    "printed": "human_review_of_us_publication_history",
+    "nothing": "rights_review_required",
+}
 NOTICE_BYTES = 64 << 10
 
 
@@ -70,32 +99,30 @@ def assess(text: Column, claim: Column, territories: Column, death_year: Column,
     by = some_cc & (text.contains("/by/") | text.rlike(r"\bcc by(?:\s|$)"))
     cc = zero | mark | nd | nc | sa | by
     plain_restriction = (claim == "copyrighted") | _any(text, RESTRICTIONS)
-    limits = F.array_compact(F.array(F.lit("attribution"), F.when(nd, F.lit("no_derivatives")), F.when(nc, F.lit("noncommercial_only")), F.when(sa, F.lit("share_alike"))))
-    by_marker = "standardized Creative Commons marker"
+    limits = F.array_compact(F.array(F.lit(DUTIES["attribution"]), F.when(nd, F.lit(DUTIES["no_derivatives"])), F.when(nc, F.lit(DUTIES["noncommercial"])), F.when(sa, F.lit(DUTIES["share_alike"]))))
     named = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit("UNSPECIFIED")))
     vocab = "rightsstatements.org/vocab/"
-    by_vocab = "standardized RightsStatements.org marker"
     died = death_year <= policy.current_year - 71 if target in ("FR", "EU") else F.lit(False)
     printed = publication_year <= policy.current_year - 96 if target == "US" else F.lit(False)
     chosen = (
-        F.when(cc & plain_restriction, verdict("conflicting", "low", own, False, ("resolve_conflicting_rights_evidence",), "open licence marker conflicts with restrictive copyright evidence"))
-        .when(zero | mark, verdict("public_domain", "high", world, True, (), by_marker))
-        .when(nd | nc, verdict("restricted_license", "high", world, ~nd, limits, by_marker))
-        .when(sa, verdict("open_license", "high", world, True, ("attribution", "share_alike"), by_marker))
-        .when(by, verdict("open_license", "high", world, True, ("attribution",), by_marker))
-        .when(text.contains(vocab + "inc"), verdict("copyrighted", "high", own, False, ("do_not_publish_without_permission",), by_vocab))
-        .when(_any(text, (vocab + "noc-nc", vocab + "noc-oklr", vocab + "noc-cr")), verdict("restricted_license", "high", own, False, ("review_known_restrictions",), by_vocab))
-        .when(text.contains(vocab + "noc-us"), verdict("public_domain_jurisdictional", "high", us, True, ("public_domain_determination_is_us_only",), by_vocab))
-        .when(plain_restriction | text.contains(FEW_WORKS), verdict("copyrighted", "high", own, False, ("do_not_publish_without_permission",), "explicit copyright restriction"))
-        .when(_any(text, US_ONLY), verdict("public_domain" if target == "US" else "public_domain_jurisdictional", "high", us, True, ("verify_status_outside_the_united_states",), "explicit United States-only public-domain statement"))
-        .when(_any(text, LATE_MARKERS), verdict("copyrighted", "high", own, False, ("do_not_publish_without_permission",), "explicit copyright restriction"))
+        F.when(cc & plain_restriction, verdict("conflicting", "low", own, False, (DUTIES["conflict"],), REASONS["conflict"]))
+        .when(zero | mark, verdict("public_domain", "high", world, True, (), REASONS["marker"]))
+        .when(nd | nc, verdict("restricted_license", "high", world, ~nd, limits, REASONS["marker"]))
+        .when(sa, verdict("open_license", "high", world, True, (DUTIES["attribution"], DUTIES["share_alike"]), REASONS["marker"]))
+        .when(by, verdict("open_license", "high", world, True, (DUTIES["attribution"],), REASONS["marker"]))
+        .when(text.contains(vocab + "inc"), verdict("copyrighted", "high", own, False, (DUTIES["restricted"],), REASONS["statement"]))
+        .when(_any(text, (vocab + "noc-nc", vocab + "noc-oklr", vocab + "noc-cr")), verdict("restricted_license", "high", own, False, (DUTIES["limited"],), REASONS["statement"]))
+        .when(text.contains(vocab + "noc-us"), verdict("public_domain_jurisdictional", "high", us, True, (DUTIES["us_stated"],), REASONS["statement"]))
+        .when(plain_restriction | text.contains(FEW_WORKS), verdict("copyrighted", "high", own, False, (DUTIES["restricted"],), REASONS["restricted"]))
+        .when(_any(text, US_ONLY), verdict("public_domain" if target == "US" else "public_domain_jurisdictional", "high", us, True, (DUTIES["us_only"],), REASONS["us_only"]))
+        .when(_any(text, LATE_MARKERS), verdict("copyrighted", "high", own, False, (DUTIES["restricted"],), REASONS["restricted"]))
         .when((claim == "public_domain") | _any(text, ("public domain", "no known copyright")), verdict(
             F.when(covers(named), "public_domain").otherwise("public_domain_jurisdictional"), F.when(F.size(own) > 0, "high").otherwise("medium"), named, True,
-            F.when(covers(named), F.array().cast("array<string>")).otherwise(F.array(F.lit("verify_target_jurisdiction"))), "explicit public-domain claim"))
-        .when(claim == "open_license", verdict("unknown", "low", own, False, ("identify_exact_open_license",), "open-license claim lacks a recognized licence marker"))
-        .when(F.coalesce(died, F.lit(False)), verdict("public_domain_likely", "medium", F.array(F.lit(target)), True, ("human_review_of_authorship_and_term_exceptions",), "edition copyright author death year exceeds life-plus-70"))
-        .when(F.coalesce(printed, F.lit(False)), verdict("public_domain_likely", "medium", us, True, ("human_review_of_us_publication_history",), "publication date exceeds conservative 95-year term"))
-        .otherwise(verdict("unknown", "low", own, False, ("rights_review_required",), "no conclusive rights evidence")))
+            F.when(covers(named), F.array().cast("array<string>")).otherwise(F.array(F.lit(DUTIES["elsewhere"]))), REASONS["claimed"]))
+        .when(claim == "open_license", verdict("unknown", "low", own, False, (DUTIES["unnamed"],), REASONS["unnamed"]))
+        .when(F.coalesce(died, F.lit(False)), verdict("public_domain_likely", "medium", F.array(F.lit(target)), True, (DUTIES["died"],), REASONS["died"]))
+        .when(F.coalesce(printed, F.lit(False)), verdict("public_domain_likely", "medium", us, True, (DUTIES["printed"],), REASONS["printed"]))
+        .otherwise(verdict("unknown", "low", own, False, (DUTIES["nothing"],), REASONS["nothing"])))
 
     def finished(v: Column) -> Column:
         is_open = v["status"] == "open_license"
