@@ -419,3 +419,55 @@ def test_reasons_and_duties_of_rights(spark):
     verdict = rights.assess(F.col("text"), F.col("claim"), F.array().cast("array<string>"), F.col("died"), F.col("printed"), rights.Policy())
     for x in frame.select("i", verdict.alias("v")).collect():
         assert x["v"]["reason"] == rights.REASONS[rows[x["i"]][4]] and x["v"]["obligations"] == [rights.DUTIES[k] for k in rows[x["i"]][5]], rows[x["i"]]
+
+
+def flat(t):
+    return re.sub(SPACE, " ", t).strip(" ")
+
+
+def bare_page(t):
+    t = re.sub(r"<!--.*?-->", " ", t, flags=re.S)
+    return re.sub(r"<(script|style|noscript|nav|header|footer|aside|form)\b[^>]*>.*?</\1\s*>", " ", t, flags=re.S | re.I)
+
+
+def test_pages_prose_titles_and_links(spark):
+    pages = {r["page_id"]: (r["html"] or "", r["url"]) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    prose = {i: len(flat(re.sub("<[^>]*>", " ", bare_page(t)))) for i, (t, _) in pages.items()}
+    hrefs = {i: list(dict.fromkeys(re.findall(r"""(?i)<a\s[^>]*?href=["']([^"'#]+)["']""", bare_page(t)))) for i, (t, _) in pages.items()}
+    assert got(spark, "F22_prose_length", "page_id", "prose") == prose
+    assert got(spark, "P27_index_pages", "page_id", "n_links") == {i: len(h) for i, h in hrefs.items()}
+    assert got(spark, "P27_index_pages", "page_id", "is_index") == {i: len(h) >= 8 and prose[i] < 220 * len(h) for i, h in hrefs.items()}
+    titles = {}
+    for i, (t, _) in pages.items():
+        m = re.search(r"(?is)<title[^>]*>(.*?)</title>", t)
+        named = {"amp", "lt", "gt", "quot", "apos", "nbsp"}
+        read = lambda x: re.sub(r"&(#[xX]?[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);", lambda m: html_lib.unescape(m[0]) if m[1][0] == "#" or m[1].lower() in named else m[0], x)
+        titles[i] = flat(re.sub("<[^>]*>", " ", read(m[1]))) if m and m[1].strip(" ") else None
+    assert got(spark, "F23_html_title", "page_id", "title") == titles
+
+    def inner(url, own):
+        scheme, host = re.match(r"(\w+)://([^/:?#]+)", url).groups()
+        full = [h if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", h) else f"{scheme}:{h}" if h.startswith("//") else f"{scheme}://{host}{h}" if h.startswith("/") else f"{scheme}://{host}/{h}" for h in own]
+        return len({h for h in full if (m := re.match(r"\w+://([^/:?#]+)", h)) and m[1] == host})
+
+    links = got(spark, "F23_html_title", "page_id", "n_links")
+    assert {i: inner(u, hrefs[i]) for i, (_, u) in pages.items() if u and not re.search(r"[^\x21-\x7e]", u + "".join(hrefs[i]))}.items() <= links.items()
+
+
+def test_links_of_pages(spark):
+    page = '<nav><a href="/n">n</a></nav><a href="/a">a</a><A class=x HREF="b?c=1">b</A><a href="//h.org/d">d</a><a href="https://h.org/a">a</a><a href="http://o.org/">o</a><a href="#f">f</a><a href="mailto:x@h.org">m</a>'
+    assert one(spark, web.content_links(F.lit(page), F.lit("https://h.org/x/y")).alias("u"))["u"] == ["https://h.org/a", "https://h.org/b?c=1", "https://h.org/d"]
+    index = "".join(f'<p><a href="/{i}">{i}</a></p>' for i in range(9))
+    assert [one(spark, web.is_index_page(F.lit(p)).alias("i"))["i"] for p in (index, index[:100], index + "prose " * 400)] == [True, False, False]
+
+
+def test_transcriptions(spark, docs):
+    def cleaned(t):
+        lines = [x.strip(" ") for x in re.split("\r?\n", t)]
+        short = [x for x in lines if x and len(x) < 60]
+        often = {x for x in short if short.count(x) >= 5}
+        kept = [x for x in lines if not re.fullmatch(r"[\[(]?\d{1,4}[\])]?", x) and x not in often]
+        parts = [p for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", "\n".join(kept)) if p.strip(" ")]
+        return "\n\n".join(re.sub(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", " ", re.sub(r"-\n(?=[a-z])", "", p)).strip(" ") for p in parts)
+
+    assert got(spark, "F21_cleanup_transcription", "doc_id", "text") == {i: cleaned(t) for i, t in docs.items()}
