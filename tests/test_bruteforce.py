@@ -471,3 +471,10 @@ def test_transcriptions(spark, docs):
         return "\n\n".join(re.sub(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", " ", re.sub(r"-\n(?=[a-z])", "", p)).strip(" ") for p in parts)
 
     assert got(spark, "F21_cleanup_transcription", "doc_id", "text") == {i: cleaned(t) for i, t in docs.items()}
+
+
+def test_genders_by_wording(spark):
+    none = F.create_map().cast("map<string,string>")
+    rows = {"She met her sister and he left": "Female", "He took his bow. She slept": "Male", "a hero of old": "Male", "the god among gods": None, "the god of rain": "Male", "a nymph": "Female", "it stands": None}
+    for text, want in rows.items():
+        assert one(spark, wiki.gender(none, F.lit(text)).alias("g"))["g"] == want, text

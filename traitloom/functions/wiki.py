@@ -22,6 +22,19 @@ TRADITIONS = (("Norse", ("norse mythology", "norse god", "old norse", "edda", "a
 KIN_FIELDS = (("parents", "child of"), ("father", "child of"), ("mother", "child of"), ("consort", "married to"), ("spouse", "married to"), ("siblings", "sibling of"), ("children", "parent of"), ("offspring", "parent of"))
 
 
+#: Infobox fields and wordings that tell a figure's domain, and words that are none.
+DOMAIN_FIELDS = ("god_of", "godof", "role", "sphere", "domain")
+DOMAIN_WORDINGS = (r"(?:god(?:dess)?|deity|personification|patron|guardian|spirit|titan) (?:of|associated with) ([^.]{3,80})", r"(?:god|goddess) of ([^.,]{3,60})", r"the (?:god|goddess) of ([^.,]{3,60})",
+                   r"personification of ([^.,]{3,60})", r"(?:patron(?:ess)?|protector|guardian) of ([^.,]{3,60})", r"(?:muse|nymph|spirit) of ([^.,]{3,60})", r"presided over ([^.,]{3,60})", r"associated with ([^.,]{3,60})", r"represented ([^.,]{3,60})")
+LITTLE_WORDS = ("the", "a", "an", "and", "or", "in", "to", "of", "for", "with", "by", "as", "is", "was", "were", "are", "has", "had", "have", "being", "who", "which", "that")
+#: Wordings of births, deaths, fame and deeds, and the sections that tell a myth.
+BORN = r"born (?:of|from|to)|(?:son|daughter|child|offspring) of|born when|sprang from|emerged from|created from|arose from|hatched from"
+DIED = r"killed by|slain by|murdered by|struck down by|died (?:of|when|after|during|in)|put to death|executed|sacrificed|perished"
+KNOWN_FOR = (r"(?:best )?known for", r"famous for", r"noted for", r"most (?:notable|important|significant) (?:act|deed|feat|role|myth) (?:was|is|involves?)")
+DEEDS = r"slew|killed|defeated|conquered|overthrew|rescued|freed|created|founded|built|discovered|stole|retrieved|journeyed to|descended to|ascended to|transformed|cursed|punished|tricked"
+MYTH_SECTIONS = ("mythology", "myth", "legend", "story", "role")
+
+
 def _all(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -109,11 +122,57 @@ def tradition(text: Column, default: str) -> Column:
 
 
 def gender(box: Column, text: Column) -> Column:
-    """What the infobox says, else what the wording tells; null if neither does."""
+    """What the infobox says, else what the wording or the pronouns of its beginning tell; null if none does."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    start = F.substring(lower, 1, 200)
-    return (F.coalesce(F.try_element_at(box, F.lit("gender")), F.try_element_at(box, F.lit("sex")),
-                       F.when(lower.rlike(r"\bgoddess\b"), "Female").when(start.rlike(r"\bgod\b") & ~start.rlike(r"\bgods\b"), "Male").when(lower.rlike(r"\b(?:heroine|priestess|nymph|princess)\b"), "Female")))
+    start = lambda n: F.substring(lower, 1, n)
+    count = lambda words: F.regexp_count(start(500), F.lit(rf"\b(?:{words})\b"))
+    he, she = count("he|his"), count("she|her")
+    told = (F.when(lower.rlike(r"\bgoddess\b"), "Female").when(start(200).rlike(r"\bgod\b") & ~start(200).rlike(r"\bgods\b"), "Male").when(lower.rlike(r"\b(?:heroine|priestess|nymph|princess)\b"), "Female")
+            .when(start(300).rlike(r"\b(?:hero|priest)\b"), "Male").when((he > she) & (he >= 2), "Male").when((she > he) & (she >= 2), "Female"))
+    return F.coalesce(_field(box, ("gender", "sex")), told)
+
+
+def _field(box: Column, keys: tuple[str, ...]) -> Column:
+    """The first of an infobox's fields that it has."""
+    return F.coalesce(*[F.try_element_at(box, F.lit(k)) for k in keys])
+
+
+def _sentence(text: Column, most: int, pattern: str) -> Column:
+    """The first sentence that holds a wording, if it has fewer than 200 letters, from a text's beginning."""
+    found = F.trim(F.regexp_extract(F.substring(F.coalesce(text, F.lit("")), 1, most), rf"(?i)([^.]*(?:{pattern})[^.]*\.)", 1))
+    return F.when((found != "") & (F.length(found) < 200), found)
+
+
+def domain(box: Column, text: Column) -> Column:
+    """What a figure is said to be god, patron or spirit of: the infobox, else the first wording with words of its own."""
+    def said(pattern: str) -> Column:
+        found = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i){pattern}", 1))
+        own = F.trim(F.regexp_replace(F.regexp_replace(found, rf"(?i)\b(?:{'|'.join(LITTLE_WORDS)})\b", " "), r"\s+", " "))
+        return F.when(F.length(own).between(3, 80), found)
+
+    return F.coalesce(_field(box, DOMAIN_FIELDS), *[said(p) for p in DOMAIN_WORDINGS])
+
+
+def birth(box: Column, text: Column) -> Column:
+    """The sentence that tells of a figure's birth, else the parents that the infobox names."""
+    parents = F.array_join(F.array_compact(F.array(*[F.when(F.try_element_at(box, F.lit(k)).isNotNull(), F.concat(F.lit(f"{k}: "), F.try_element_at(box, F.lit(k)))) for k in ("parents", "father", "mother")])), "; ")
+    return F.coalesce(_sentence(text, 2000, BORN), F.nullif(parents, F.lit("")))
+
+
+def death(text: Column) -> Column:
+    return _sentence(text, 3000, DIED)
+
+
+def _section(parts: Column, title: str) -> Column:
+    return F.get(F.filter(parts, lambda s: s["title"] == title), F.lit(0))["text"]
+
+
+def deed(text: Column, parts: Column) -> Column:
+    """What a figure is known for: a wording, else a sentence of a deed, in the section of its myth if there is one."""
+    own = F.coalesce(*[_section(parts, t) for t in MYTH_SECTIONS], F.substring(F.coalesce(text, F.lit("")), 1, 2000))
+    known = [F.nullif(F.trim(F.regexp_extract(own, rf"(?i){p} ([^.]{{10,120}})\.", 1)), F.lit("")) for p in KNOWN_FOR]
+    done = F.trim(F.regexp_extract(own, rf"(?i)([^.]*(?:{DEEDS})[^.]*\.)", 1))
+    return F.coalesce(*known, F.when(F.length(done).between(21, 199), done))
 
 
 def relations(box: Column) -> Column:

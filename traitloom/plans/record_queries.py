@@ -528,6 +528,17 @@ def gender(spark, d):
     return _parts(spark, d).select("id", wiki.gender(F.create_map().cast("map<string,string>"), text).alias("gender"))
 
 
+@query("F27_attributes", """SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'rain' END AS domain, CASE WHEN p_size % 2 = 0 THEN 'She was the daughter of ' || p_name || '.' ELSE 'father: ' || p_brand END AS birth,
+    CASE WHEN p_size % 2 = 1 THEN 'Then ' || p_name || ' was slain by ' || p_brand || '.' END AS death, CASE WHEN p_size % 2 = 0 THEN 'taming the ' || p_name || ' of old' ELSE 'Then ' || p_name || ' stole fire from all the gods.' END AS deed FROM part""")
+def attributes(spark, d):
+    even, k = F.col("n") % 2 == 0, F.col("n") % 3
+    text = F.concat(F.when(k == 0, F.concat(F.lit("A god of "), "name", F.lit("."))).otherwise("A figure of note."), F.when(even, F.concat(F.lit(" She was the daughter of "), "name", F.lit("."))).otherwise(F.concat(F.lit(" Then "), "name", F.lit(" was slain by "), "tradition", F.lit("."))))
+    myth = F.concat(F.when(even, F.concat(F.lit("He was best known for taming the "), "name", F.lit(" of old."))).otherwise(F.concat(F.lit("Then "), "name", F.lit(" stole fire from all the gods."))))
+    box = F.map_from_entries(F.filter(F.array(F.struct(F.lit("father").alias("key"), F.col("tradition").alias("value")), F.struct(F.lit("sphere").alias("key"), F.when(k == 1, "rain").alias("value"))), lambda e: e["value"].isNotNull()))
+    parts = F.array(F.struct(F.lit("story").alias("title"), myth.alias("text")))
+    return _parts(spark, d).select("id", wiki.domain(box, text).alias("domain"), wiki.birth(box, text).alias("birth"), wiki.death(text).alias("death"), wiki.deed(text, parts).alias("deed"))
+
+
 @query("F31_candidate_score")
 def candidate_score(spark, d):
     f = _parts(spark, d)
