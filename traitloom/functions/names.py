@@ -31,6 +31,12 @@ IDENTIFIED = (r"\bidentified\s+with\b", r"\bequated\s+with\b", r"\bequivalent\s+
               r"\bsame\s+as\b", r"\bassimilated\s+(?:to|with)\b", r"\bcorresponds?\s+to\b", r"\bmerged\s+with\b", r"\bidentif(?:ied|ication)\b")
 
 
+#: How a spouse field begins, what in it says that spouses are siblings, and what is no name.
+SPOUSE_OF = (r"(?i)^(?:wife of |husband of |wife-sister of |husband-brother of |sister-brother to |brother-sister to )", "(?i)^(?:former wife of |former husband of )")
+SIBLINGS = r"\(.*(?:sister|brother).*\)|sister-brother|brother-sister|wife-sister|husband-brother"
+ASIDE = r"(?i)^(?:his|her|in homer|in hesiod|then separated|after |importing |with sons? |with daughters? |in some|popular tradition|by .* in )"
+
+
 def _replaced(text: Column, letters: dict[str, str]) -> Column:
     for a, b in letters.items():
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -96,14 +102,13 @@ def kin_targets(rest: Column) -> Column:
 def spouse_hints(raw: Column) -> Column:
     """(hints, also_sibling): the names a spouse field holds, and whether it says that they are siblings too."""
     lower = F.lower(F.trim(raw))
-    sibling = lower.rlike(r"\(.*(?:sister|brother).*\)|sister-brother|brother-sister|wife-sister|husband-brother")
+    sibling = lower.rlike(SIBLINGS)
     times = F.regexp_extract(raw, r"(?i)married\s+\w+\s+times?\s*\(([^)]+)\)", 1)
     listed = F.filter(F.transform(F.split(times, r",|;|\sand\s"), lambda x: F.trim(x)), lambda x: x != "")
-    body = F.regexp_replace(F.regexp_replace(raw, r"(?i)^(?:wife of |husband of |wife-sister of |husband-brother of |sister-brother to |brother-sister to )", ""), "(?i)^(?:former wife of |former husband of )", "")
+    body = F.regexp_replace(F.regexp_replace(raw, SPOUSE_OF[0], ""), SPOUSE_OF[1], "")
     parts = F.split(F.trim(F.regexp_replace(body, r"\([^)]*\)", " ")), r"\s+and\s+|,|;|\s*/\s*")
     clean = F.transform(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.trim(F.regexp_replace(x, r"(?i)^the\s+", "")))
-    aside = r"(?i)^(?:his|her|in homer|in hesiod|then separated|after |importing |with sons? |with daughters? |in some|popular tradition|by .* in )"
-    hints = F.filter(clean, lambda x: ((F.length(x) > 1) & ~x.rlike(aside)) | x.rlike(r"^[A-ZÀ-Ÿ]"))
+    hints = F.filter(clean, lambda x: ((F.length(x) > 1) & ~x.rlike(ASIDE)) | x.rlike(r"^[A-ZÀ-Ÿ]"))
     return F.when(times != "", F.struct(listed.alias("hints"), F.lit(False).alias("also_sibling"))).otherwise(F.struct(hints.alias("hints"), sibling.alias("also_sibling")))
 
 

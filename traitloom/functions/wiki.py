@@ -35,6 +35,16 @@ DEEDS = r"slew|killed|defeated|conquered|overthrew|rescued|freed|created|founded
 MYTH_SECTIONS = ("mythology", "myth", "legend", "story", "role")
 
 
+#: The marks of wiki text and what stands for each in Markdown, in the order in which they are read.
+HIDDEN = [(COMMENT, " "), (r"(?i)<ref[^>]*/>", " "), (r"(?is)<ref\b[^>]*>.*?</ref>", " "), (r"(?is)<(noinclude|includeonly|gallery|timeline|score|syntaxhighlight|source)\b[^>]*>.*?</\1>", " ")]
+MARKS = [(r"(?ms)^\{\|.*?^\|\}", " "), (r"(?i)\[\[(?:File|Image|Category)[^\]]*(?:\[\[[^\]]*\]\][^\]]*)*\]\]", " "), (r"\[\[[^\]|]*\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"),
+         (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\s\]]+\]", " ")]
+HEADINGS = [(rf"(?m)^={{{level}}}[ \t]*(?!=)(.*?)[ \t]*={{{level}}}[ \t]*$", "#" * level + " $1") for level in range(6, 1, -1)]
+EMPHASIS = [("(?s)\x27{5}(.*?)\x27{5}", "***$1***"), ("(?s)\x27{3}(.*?)\x27{3}", "**$1**"), ("(?s)\x27{2}(.*?)\x27{2}", "*$1*")]
+LEFT_OVER = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</?[a-z][^>]*>", " ")]
+TIDY = [(r"(?m)[ \t]+$", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+
+
 def _all(text: Column, steps: list[tuple[str, str]]) -> Column:
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -43,15 +53,9 @@ def _all(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 def wikitext_to_markdown(text: Column) -> Column:
     """Wiki text as Markdown: headings, emphasis and link texts stay; templates, tables, references and files go."""
-    out = _all(F.coalesce(text, F.lit("")), [
-        (COMMENT, " "), (r"(?i)<ref[^>]*/>", " "), (r"(?is)<ref\b[^>]*>.*?</ref>", " "), (r"(?is)<(noinclude|includeonly|gallery|timeline|score|syntaxhighlight|source)\b[^>]*>.*?</\1>", " ")])
-    out = _all(settled(out, r"\{\{[^{}]*\}\}", r"\{\{"), [
-        (r"(?ms)^\{\|.*?^\|\}", " "), (r"(?i)\[\[(?:File|Image|Category)[^\]]*(?:\[\[[^\]]*\]\][^\]]*)*\]\]", " "), (r"\[\[[^\]|]*\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"),
-        (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"\[https?://[^\s\]]+\]", " ")])
-    for level in range(6, 1, -1):
-        out = F.regexp_replace(out, rf"(?m)^={{{level}}}[ \t]*(?!=)(.*?)[ \t]*={{{level}}}[ \t]*$", "#" * level + " $1")
-    out = _all(out, [("(?s)'''''(.*?)'''''", "***$1***"), ("(?s)'''(.*?)'''", "**$1**"), ("(?s)''(.*?)''", "*$1*"), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?[a-z][^>]*>", " ")])
-    return _all(unescape_html(out), [(r"(?m)[ \t]+$", ""), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")])
+    out = settled(_all(F.coalesce(text, F.lit("")), HIDDEN), r"\{\{[^{}]*\}\}", r"\{\{")
+    out = _all(out, [*MARKS, *HEADINGS, *EMPHASIS, *LEFT_OVER])
+    return _all(unescape_html(out), TIDY)
 
 
 def html_to_markdown(html: Column) -> Column:
