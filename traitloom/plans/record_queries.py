@@ -556,9 +556,11 @@ def family_role(spark, d):
     return _parts(spark, d).select("id", role["action"].alias("action"), role["of_whom"].alias("of_whom"))
 
 
-@query("F34_targets", "SELECT p_partkey AS id, [p_name, p_brand] AS targets, ['Hera', p_brand] AS hints FROM part")
+@query("F34_targets", "SELECT p_partkey AS id, p_name || '|' || p_brand AS targets, 'Hera|' || p_brand AS hints FROM part")
 def targets(spark, d):
-    return _parts(spark, d).select("id", names.kin_targets(F.concat(F.lit("the "), "name", F.lit(" (twice), gods and a "), "tradition")).alias("targets"), names.spouse_hints(F.concat(F.lit("wife of the Hera (sister) and "), "tradition", F.lit("; his love")))["hints"].alias("hints"))
+    kin = names.kin_targets(F.concat(F.lit("the "), "name", F.lit(" (twice), gods and a "), "tradition"))
+    hints = names.spouse_hints(F.concat(F.lit("wife of the Hera (sister) and "), "tradition", F.lit("; his love")))["hints"]
+    return _parts(spark, d).select("id", F.array_join(kin, "|").alias("targets"), F.array_join(hints, "|").alias("hints"))
 
 
 @query("F35_event_type", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'the-prefix' WHEN 1 THEN 'identity-keyword' WHEN 2 THEN '3 hyphens' ELSE '1-2 hyphens' END AS bucket FROM part")
@@ -579,14 +581,14 @@ def item_identifier(spark, d):
     return _parts(spark, d).select("id", archive.item_identifier(url).alias("identifier"), part.alias("encoded"))
 
 
-@query("F39_wiki_languages", "SELECT doc_id, CASE lang WHEN 'en' THEN ['en'] ELSE [lang, 'en'] END AS languages FROM documents")
+@query("F39_wiki_languages", "SELECT doc_id, CASE lang WHEN 'en' THEN 'en' ELSE lang || '|en' END AS languages FROM documents")
 def wiki_languages(spark, d):
-    return docs(spark, d).select("doc_id", archive.wiki_languages(F.concat(F.upper("lang"), F.lit("-x")), F.lit(None).cast("string"), F.lit("la")).alias("languages"))
+    return docs(spark, d).select("doc_id", F.array_join(archive.wiki_languages(F.concat(F.upper("lang"), F.lit("-x")), F.lit(None).cast("string"), F.lit("la")), "|").alias("languages"))
 
 
-@query("F41_xml_text", "SELECT p_partkey AS id, [p_name, p_brand] AS texts FROM part")
+@query("F41_xml_text", "SELECT p_partkey AS id, p_name || '|' || p_brand AS texts FROM part")
 def xml_text(spark, d):
-    return _parts(spark, d).select("id", web.xml_texts(F.concat(F.lit('<a xmlns:q="u"><q:n>'), "name", F.lit("</q:n><n k='1'><b>"), "tradition", F.lit("</b></n></a>")), "n").alias("texts"))
+    return _parts(spark, d).select("id", F.array_join(web.xml_texts(F.concat(F.lit('<a xmlns:q="u"><q:n>'), "name", F.lit("</q:n><n k='1'><b>"), "tradition", F.lit("</b></n></a>")), "n"), "|").alias("texts"))
 
 
 @query("F45_wikisource_page", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'fr' END AS language, CASE WHEN p_size % 2 = 0 THEN p_name END AS title FROM part")
