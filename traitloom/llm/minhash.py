@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traitloom.llm.shared import materialise, row_hash
+from traitloom.llm.shared import materialise, row_hash, slices
 from traitloom.llm.simhash import SEED, component_roots, first_by_links, hamming_links, majority, shingle_hashes
 
 BANDS, ROWS = 40, 5
@@ -60,7 +60,7 @@ def _with_bands(whole: DataFrame, shingle_words: int) -> DataFrame:
     schema = T.StructType([whole.schema["doc"], *[T.StructField(c, T.LongType()) for c in ("print", "fp", "n")], T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 parts = list(shingle_hashes(text, shingle_words))
@@ -75,7 +75,7 @@ def _with_bands(whole: DataFrame, shingle_words: int) -> DataFrame:
 def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     """(fp, shingles) of ``texts`` (fp, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [shingle_set(t, shingle_words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
