@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import decontaminate, langid, licenses, linededup, packing, quality, secrets, simhash, tokencounts, warc
+from traitloom.llm import conversations, decontaminate, fillmiddle, langid, licenses, linededup, packing, quality, secrets, simhash, tokencounts, warc
 from traitloom.llm.shared import table
 
 
@@ -65,6 +65,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by their ids and repaired by the cheapest edits."""
+    turns = conversations.damaged(table(spark, sf_dir, "conversations"))
+    found = conversations.whole_digests(conversations.repair(turns, copies=F.col("copies")))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut at two line ends with its middle last, and the text rebuilt from that."""
+    made = fillmiddle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fillmiddle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base measures alone, which SQL can express."""
     found = quality.measured(table(spark, sf_dir, "documents"), F.col("text"), {"doc_id": F.col("doc_id")})
@@ -98,6 +111,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op12_conversations": op12_conversations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 #: DuckDB SQL with the same rows, for the queries that SQL can express.
@@ -141,4 +156,16 @@ ORACLE_SQL = {
                CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM q LEFT JOIN f USING (payload_digest)""",
+    "op13_fill_in_middle": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
+        ), h AS (
+            SELECT doc_id, text, l, len(l) AS n, CAST('0x' || d[1:8] AS BIGINT) % (len(l) + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (len(l) + 1) AS b, CAST('0x' || d[25:32] AS BIGINT) % 100 AS o FROM t
+        ), c AS (
+            SELECT doc_id, text, n, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN o < 50 THEN 'spm' ELSE 'psm' END AS form,
+                   array_to_string(l[1 : least(a, b)], '') AS p, array_to_string(l[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(l[greatest(a, b) + 1 :], '') AS s FROM h
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM c""",
 }
