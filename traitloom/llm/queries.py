@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitloom.llm import conversations, decontaminate, fillmiddle, langid, licenses, linededup, packing, quality, secrets, simhash, tokencounts, warc
+from traitloom.llm import conversations, decontaminate, fillmiddle, langid, licenses, linededup, packing, preference, quality, secrets, simhash, tokencounts, warc
 from traitloom.llm.shared import table
 
 
@@ -65,6 +65,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text by a ranking learned from labels; rows of remainder 0 are kept from training."""
+    docs = table(spark, sf_dir, "documents")
+    ranked = preference.rank(docs, preference.train(docs, table(spark, sf_dir, "labels")))
+    return ranked.select("doc_id", preference.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by their ids and repaired by the cheapest edits."""
     turns = conversations.damaged(table(spark, sf_dir, "conversations"))
@@ -111,6 +118,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op11_preference": op11_preference,
     "op12_conversations": op12_conversations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
