@@ -1,19 +1,13 @@
-"""Tables of the product as Parquet: export, import, inserts, updates, manifests, reviews and reports.
-
-A table is a folder of versions; a change writes a new version beside the present one and
-then names it in a small file, so a reader sees the old table or the new one whole. Several
-tables change together by naming their versions in one file.
-"""
+"""Tables of the product: export, import, manifests, reviews and reports, over versioned tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.functions.text import iso_format
-from traitloom.sources.records import merge_catalogs
+from traitloom.sources.records import merge_catalogs, number_rows
+from traitloom.sources.versioned import Store
 
 #: The tables of a full export, in the order in which they are loaded, and those of the public one.
 TABLES = ("projects", "nodes", "edges", "sources", "suggestions", "news", "publications", "traitHierarchy", "traitHabitat", "traitCrossCut")
@@ -25,72 +19,6 @@ REFERENCES = {"nodeId": "nodes", "suggestionSourceNodeId": "nodes", "suggestionT
 DECISIONS, PUBLIC_STATES = ("approve_public", "keep_locked"), ("public_domain", "open_license")
 
 
-class Store:
-    """Named tables under a folder that all executors share."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> dict[str, str]:
-        """The present version of each table, by the newest list of versions."""
-        lists = self._path(f"{self.folder}/_versions")
-        if not self._files.exists(lists):
-            return {}
-        newest = max(f.getPath().getName() for f in self._files.listStatus(lists) if not f.getPath().getName().startswith((".", "_")))
-        return {r["name"]: r["version"] for r in self.spark.read.json(f"{lists.toString()}/{newest}").collect()}
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}/{self.versions()[name]}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write new versions of tables and make them the present ones all at once.
-
-        A list of versions with a higher number is written under another name and renamed; if
-        another writer was first, the rename fails and nothing has changed.
-        """
-        held, fresh = self.versions(), {}
-        for name, rows in tables.items():
-            fresh[name] = uuid.uuid4().hex
-            rows.write.parquet(f"{self.folder}/{name}/{fresh[name]}")
-        lists = self._path(f"{self.folder}/_versions")
-        taken = [f.getPath().getName() for f in self._files.listStatus(lists)] if self._files.exists(lists) else []
-        number = 1 + max((int(t) for t in taken if t.isdigit()), default=0)
-        draft = self._path(f"{self.folder}/_drafts/{uuid.uuid4().hex}")
-        self.spark.createDataFrame(list((held | fresh).items()), "name string, version string").coalesce(1).write.json(draft.toString())
-        self._files.mkdirs(lists)
-        target = self._path(f"{self.folder}/_versions/{number:012d}")
-        if self._files.exists(target) or not self._files.rename(draft, target):
-            raise RuntimeError("another writer changed the tables first")
-
-    def insert(self, name: str, rows: DataFrame, key: str = "id") -> DataFrame:
-        """Add rows with the next ids and give them back; a key's order within the rows is that of their columns."""
-        held = self.read(name)
-        last = held.agg(F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))).first()[0]
-        numbered = number_rows(rows.drop(key), key, last).select(*held.columns)
-        self.commit({name: held.unionByName(numbered)})
-        return self.read(name).where(F.col(key) > last)
-
-    def update(self, name: str, changes: DataFrame, allowed: tuple[str, ...], key: str = "id") -> None:
-        """Set the allowed fields of rows by key; null means unchanged. Other fields of ``changes`` are an error."""
-        unknown = set(changes.columns) - {key, *allowed}
-        if unknown:
-            raise ValueError(f"fields that may not be set: {sorted(unknown)}")
-        held, own = self.read(name).alias("h"), changes.alias("c")
-        joined = held.join(own, F.col(f"h.{key}") == F.col(f"c.{key}"), "left")
-        self.commit({name: joined.select(*[F.coalesce(f"c.{c}", f"h.{c}").alias(c) if c in changes.columns and c != key else F.col(f"h.{c}").alias(c) for c in self.read(name).columns])})
-
-
-def number_rows(rows: DataFrame, key: str, last: int) -> DataFrame:
-    """``rows`` with ``key`` counted up from ``last`` in the order of their columns; no task sees all rows."""
-    from traitloom.sources.records import number
-
-    ordered = rows.withColumn("__order", F.struct(*rows.columns))
-    return number(ordered, "__order", "", "__number").withColumn(key, F.col("__number").cast("long") + 1 + last).drop("__number", "__order")
-
-
 def export(tables: dict[str, DataFrame], path: str, names: tuple[str, ...] = TABLES) -> None:
     """One folder of JSON lines for each table. A document that held them all would pass through one task."""
     for name in names:
