@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The most distinct tokens of a batch of catalogue searches.
-MOST_TOKENS = 10_000
+from traitloom.operators.dictionary import held_parts
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -59,15 +58,12 @@ def after_pass(records: DataFrame, fresh: DataFrame) -> DataFrame:
 def token_overlap(catalogue: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """Per query (query, tokens) the entries (id, title, author) that hold most of its tokens, as parts of words too.
 
-    A catalogue has millions of entries and a query few tokens, so the entries stay where they
-    are: the distinct tokens, at most MOST_TOKENS, are looked for in one pass.
+    The distinct tokens, as many as there are, become automata that pass over the entries where
+    they are; only (entry, token) pairs are shuffled. An empty token is not looked for.
     """
-    tokens = [r["t"] for r in queries.select(F.explode("tokens").alias("t")).distinct().orderBy("t").limit(MOST_TOKENS + 1).collect()]
-    if len(tokens) > MOST_TOKENS:
-        raise ValueError(f"more than {MOST_TOKENS} tokens")
     hay = F.lower(F.concat_ws(" ", "title", "author"))
-    held = F.filter(F.array(*map(F.lit, tokens)).cast("array<string>"), lambda t: F.contains(F.col("__hay"), t))
-    found = catalogue.withColumn("__hay", hay).select("id", F.explode(held).alias("t"))
+    tokens = queries.select(F.explode("tokens").alias("entry")).distinct()
+    found = held_parts(catalogue.select("id", hay.alias("text")), tokens).withColumnRenamed("entry", "t")
     scored = found.join(queries.select("query", F.explode(F.array_distinct("tokens")).alias("t")), "t").groupBy("query", "id").agg(F.count("*").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -264,6 +264,30 @@ def entity_matching(spark, d):
     return records.match_entities(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), list(ENTITIES)).drop("alias")
 
 
+def named_parts(spark, d):
+    """A catalogue of five surfaces for each part, and one entity for each brand."""
+    p, key = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    parts = p.select(F.concat_ws(" ", "p_brand", "p_name", key).alias("name"), F.col("p_brand").alias("tradition"),
+                     F.array(F.concat_ws(" ", "p_type", key), F.concat_ws("-", "p_size", "p_type", key), F.concat(F.lit("No. "), key), F.concat_ws("/", key, "p_size")).alias("aliases"))
+    return parts.union(p.select(F.col("p_brand").alias("name"), F.lit("brand").alias("tradition"), F.array().cast("array<string>").alias("aliases")).distinct())
+
+
+def order_texts(spark, d):
+    """What each order sells in words: parts by their names in small letters, by an alias, or by their brand alone."""
+    p, key = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    kind = (F.col("l_partkey") + F.col("l_orderkey")) % 3
+    word = F.when(kind == 0, F.lower(F.concat_ws(" ", "p_brand", "p_name", key))).when(kind == 1, F.concat_ws(" ", "p_type", key)).otherwise(F.col("p_brand"))
+    said = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", word.alias("word"))
+    return said.groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit("Sold: "), F.array_join(F.sort_array(F.collect_list("word")), "; "), F.lit(".")).alias("text"))
+
+
+@query("J1_catalogue_matching", """SELECT DISTINCT l_orderkey AS id, CASE WHEN (l_partkey + l_orderkey) % 3 = 2 THEN p_brand ELSE p_brand || ' ' || p_name || ' ' || p_partkey END AS name,
+    CASE WHEN (l_partkey + l_orderkey) % 3 = 2 THEN 'brand' ELSE p_brand END AS tradition FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def catalogue_matching(spark, d):
+    """A catalogue table of thousands of names: the longest name wins over the brand that it begins with."""
+    return records.match_entities(order_texts(spark, d), named_parts(spark, d)).drop("alias")
+
+
 @query("A23_corpus_verify", "SELECT count(*) FILTER (doc_id % 10 <> 0) AS ok, count(*) FILTER (doc_id % 10 = 0) AS changed, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS unlisted FROM documents")
 def corpus_verify(spark, d):
     files = docs(spark, d).select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))

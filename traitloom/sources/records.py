@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitloom.functions.text import word_count
+from traitloom.operators.dictionary import match_catalog
 from traitloom.sources.scratch import materialise
 
 #: The fields of a resource record; the second list is optional.
@@ -85,40 +82,16 @@ def violations(columns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def match_entities(texts: DataFrame, entities: list[tuple[str, str, list[str]]], least_long: int = 5) -> DataFrame:
+def match_entities(texts: DataFrame, entities: DataFrame | list[tuple[str, str, list[str]]], least_long: int = 5) -> DataFrame:
     """(id, name, tradition, alias): entities named in texts (id, text), each once by its first surface.
 
     Canonical names of five letters or more match in any case, all others exactly; a match is
-    bounded by characters that are no letter or digit. The catalogue is a list of bounded
-    size, compiled once in a task into two patterns, longest first.
+    bounded by characters that are no letter or digit. The catalogue is a table (name,
+    tradition, aliases) of any size, or a short list.
     """
-    loose, exact = {}, {}
-    for name, tradition, aliases in entities:
-        (loose if len(name) >= least_long else exact).setdefault(name.lower() if len(name) >= least_long else name, []).append((name, tradition))
-        for alias in aliases:
-            exact.setdefault(alias, []).append((name, tradition))
-
-    def pattern(keys, flags: int = 0):
-        listed = "|".join(re.escape(k) for k in sorted(keys, key=lambda k: (-len(k), k)))
-        return re.compile(rf"(?<![^\W_])(?:{listed})(?![^\W_])", flags) if listed else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passes = ((pattern(loose, re.IGNORECASE), loose, str.lower), (pattern(exact), exact, str))
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch["id"], batch["text"], strict=True):
-                seen = set()
-                for compiled, known, key in passes:
-                    for m in compiled.finditer(text or "") if compiled else ():
-                        for entity in known.get(key(m.group()), ()):
-                            if entity not in seen:
-                                seen.add(entity)
-                                rows.append((i, *entity, m.group()))
-            yield pd.DataFrame(rows, columns=["id", "name", "tradition", "alias"])
-
-    picked = texts.select("id", "text")
-    named = [T.StructField(c, T.StringType()) for c in ("name", "tradition", "alias")]
-    return picked.mapInPandas(run, T.StructType([picked.schema["id"], *named]))
+    if not isinstance(entities, DataFrame):
+        entities = texts.sparkSession.createDataFrame([(n, t, list(a)) for n, t, a in entities], "name string, tradition string, aliases array<string>")
+    return match_catalog(texts, entities, least_long)
 
 
 def list_rows(text: Column) -> Column:
