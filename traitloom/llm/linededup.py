@@ -7,15 +7,16 @@ in a text shifts no later boundary. A chunk found twice or more in the corpus st
 first occurrence (smallest document, then earliest place) and goes elsewhere, if its bytes
 equal those of the first and if it stands in a run of such chunks of more than one unit and
 at least ``min_words`` words: a common line alone stays. A run reaches on into the chunks
-beside it as far as the hashes of their units equal those beside the first occurrence, so a
-passage goes whole although its ends share chunks with other text.
+beside it as far as the XXH3 hashes of their units' bytes equal those beside the first
+occurrence, so a passage goes whole although its ends share chunks with other text.
 
 Beside the chunks, each window of WINDOW words that stands earlier in the corpus goes, however
 lines and sentences cut it: by itself, since it is a passage, not a common line. A window is
 named by the least hash among the runs of ANCHOR words in it; equal windows have equal names,
 and few words of a text give many windows one name, so only windows whose name stands at two
-or more places are compared, by name and a second hash of all their words. Of equal windows
-of one text that overlap, the first counts.
+or more places are compared, by name and by XXH3 of all their bytes. Names and chunk hashes
+are sums, which are quick but can be made equal for different texts; so nothing goes by them
+alone. Of equal windows of one text that overlap, the first counts.
 
 The work goes in four readings of the texts, and only hashes are grouped over all of them:
 
@@ -202,7 +203,8 @@ class Texts:
         return out
 
     def unit_hashes(self, chunk: int) -> list[int]:
-        return self.unit_hash[self.filled[self.heads[chunk] : self.tails[chunk]]].view(np.int64).tolist()
+        """XXH3 of the bytes of each unit of a chunk."""
+        return [xxhash.xxh3_64_intdigest(unit) - (1 << 63) for unit in self.held(chunk)]
 
 
 def line_chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
@@ -257,7 +259,7 @@ class Stretches:
     """Of several texts, the stretches of neighbouring windows that share a name."""
 
     def __init__(self, cut: Texts):
-        texts, self.words = cut.texts, cut.words.hashes
+        texts, self.words, self.cut = cut.texts, cut.words.hashes, cut
         last = np.searchsorted(cut.words.starts, cut.ends)
         first = np.r_[0, last[:-1]]
         if len(self.words) < WINDOW:
@@ -273,12 +275,25 @@ class Stretches:
         self.start, self.length, self.of = start[kept], length[kept], of[start[kept]]
         self.at, self.names = self.start - first[self.of], names[self.start].view(np.int64)
 
-    def windows(self, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the windows of the stretches ``held``, end to end, and where each stretch's begin; 0 for those not listed."""
+    def _digests(self, index: np.ndarray) -> np.ndarray:
+        """XXH3 of the bytes of windows, their words parted by one space each."""
+        sizes = self.cut.words.ends - self.cut.words.starts
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        plain, digest = b" ".join(self.cut.data.split()), xxhash.xxh3_64_intdigest
+        spans = zip(begins[index].tolist(), (begins + sizes)[index + WINDOW - 1].tolist(), strict=True)
+        return np.array([digest(plain[a:b]) for a, b in spans], np.uint64)
+
+    def windows(self, held: np.ndarray, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the windows of the stretches ``held``, end to end, and where each stretch's begin; 0 for those not listed.
+
+        ``exact`` hashes are of the windows' bytes; others, of sums, are equal where those are
+        and cost less, but do not tell all different windows apart.
+        """
         length = self.length[held]
         ends = np.cumsum(length)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[held] - (ends - length), length)
-        hashes = np.maximum(run_hashes(self.words, WINDOW)[index] if len(index) else np.zeros(0, np.uint64), np.uint64(1)).view(np.int64)
+        hashes = np.zeros(0, np.uint64) if not len(index) else self._digests(index) if exact else run_hashes(self.words, WINDOW)[index]
+        hashes = np.maximum(hashes, np.uint64(1)).view(np.int64)
         of, at = np.repeat(self.of[held], length), np.arange(len(index)) + np.repeat(self.at[held] - (ends - length), length)
         order = np.lexsort((hashes, of))
         again = np.flatnonzero((hashes[order[1:]] == hashes[order[:-1]]) & (of[order[1:]] == of[order[:-1]]))
@@ -304,7 +319,7 @@ def grouped(texts: list[bytes]) -> Iterator[range]:
 def listed_windows(text: bytes) -> list[int]:
     """The windows of a text but those that overlap an equal one before."""
     found = Stretches(Texts([text]))
-    hashes, begins = found.windows(np.arange(len(found.names)))
+    hashes, begins = found.windows(np.arange(len(found.names)), exact=False)
     at = np.arange(len(hashes)) + np.repeat(found.at - begins, found.length)
     return at[hashes != 0].tolist()
 
