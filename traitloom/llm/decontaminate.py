@@ -4,6 +4,8 @@ The benchmark's items are the indexed side; its terms are pairs of neighbouring
 keeps ordinary prose from matching. An item's score for a passage is the share of the item's
 own BM25 weight that the passage's terms cover, so one threshold serves items of any length.
 Every passage of every document (overlapping windows, each item fits into one) is a query.
+Items are grouped by the power of two that their words fit into, and each group has passages
+of its own width and an index of its own, so a long item changes nothing for short ones.
 A passage whose terms' greatest weights can't reach the threshold is passed over at once;
 the others are searched, all items over the threshold are fetched, and an item counts if
 five-word shingles of its question and of its answer are found in the passage.
@@ -149,10 +151,9 @@ class Index:
                     if c[0] < item:
                         advance(c, item)
 
-    def hits(self, text: str | None, tops: np.ndarray, threshold: float) -> list[dict]:
-        """The verified items of a text, each with its best passage."""
-        words = words_of(text)
-        known = list(map(self.terms.get, pairs_of(words)))
+    def hits(self, words: list[bytes], pairs: list[bytes], tops: np.ndarray, threshold: float) -> list[dict]:
+        """The verified items of a text, given as its words and their pairs, each with its best passage."""
+        known = list(map(self.terms.get, pairs))
         at = [i for i, t in enumerate(known) if t is not None]
         if not at:
             return []
@@ -203,46 +204,60 @@ def build_index(items: list[tuple[object, str, str]], frequency: dict[bytes, int
     return Index(terms, [Postings(*x) for x in found], kept, half)
 
 
-def indexes(benchmark: DataFrame, id_col: str, question: Column, answer: Column, index_bytes: int) -> Iterator[Index]:
-    """The blocks of the index, one at a time; only one block's items come to the driver at once."""
+def half_passage(words: int) -> int:
+    """Half of the width of the passages in which an item of so many words is looked for."""
+    return max(HALF_PASSAGE, 1 << (words - 1).bit_length())
+
+
+def indexes(benchmark: DataFrame, id_col: str, question: Column, answer: Column, index_bytes: int) -> Iterator[list[Index]]:
+    """The blocks of the index, one at a time, each by width of passages; only one block's items come to the driver at once."""
     items = benchmark.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(question, F.lit("")).alias("q"), F.coalesce(answer, F.lit("")).alias("a"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(b, len(w), t) for b, q, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                    for w in [words_of(q) + words_of(a)] for t in set(pairs_of(w)) or [b""]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "words", "term"])
+            rows = [(b, t) for b, q, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                    for t in set(pairs_of(words_of(q) + words_of(a))) or [b""]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "term"])
 
     size = items.agg(F.sum(F.octet_length("q") + F.octet_length("a")).alias("bytes"), F.count("*").alias("n")).first()
     blocks = max(1, -(-(size["bytes"] or 0) // index_bytes))
     dealt = materialise(items.withColumn("block", F.pmod(F.xxhash64("id", "q", "a"), F.lit(blocks))), "items")
-    found = materialise(dealt.select("block", "q", "a").mapInArrow(terms, "block long, words long, term binary"), "terms")
-    longest = found.agg(F.max("words")).first()[0] or 0
+    found = materialise(dealt.select("block", "q", "a").mapInArrow(terms, "block long, term binary"), "terms")
     frequency = found.groupBy("term").agg(F.count("*").alias("n"))
     total = (size["n"] or 1), max(1.0, found.count() / max(1, size["n"] or 1))
     for block in range(blocks):
         counts = found.where(F.col("block") == block).select("term").distinct().join(frequency, "term")
         rows = [(r["id"], r["q"], r["a"]) for r in dealt.where(F.col("block") == block).orderBy("id").collect()]
-        rows = [r for r in rows if words_of(r[1]) + words_of(r[2])]
-        if rows:
-            yield build_index(rows, {bytes(r["term"]): r["n"] for r in counts.collect()}, *total, max(HALF_PASSAGE, longest))
+        grouped: dict[int, list[tuple]] = {}
+        for r in rows:
+            if n := len(words_of(r[1])) + len(words_of(r[2])):
+                grouped.setdefault(half_passage(n), []).append(r)
+        if grouped:
+            frequencies = {bytes(r["term"]): r["n"] for r in counts.collect()}
+            yield [build_index(own, frequencies, *total, half) for half, own in sorted(grouped.items())]
 
 
-def _searched(texts: DataFrame, index: Index, threshold: float, hits: T.ArrayType) -> DataFrame:
+def _searched(texts: DataFrame, index: list[Index], threshold: float, hits: T.ArrayType) -> DataFrame:
     """``texts`` (any column, text) as that column and ``hits``, what a block of the index finds."""
     shared = texts.sparkSession.sparkContext.broadcast(index)
     name = texts.columns[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, kind = shared.value.tops(), to_arrow_type(hits)
+        groups, kind = [(own, own.tops()) for own in shared.value], to_arrow_type(hits)
+
+        def found_in(text: str | None) -> list[dict]:
+            words = words_of(text)
+            pairs = pairs_of(words)
+            return [hit for own, tops in groups for hit in own.hits(words, pairs, tops, threshold)]
+
         for batch in batches:
-            found = [shared.value.hits(t, tops, threshold) for t in batch.column(1).to_pylist()]
+            found = [found_in(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=[name, "hits"])
 
     return texts.mapInArrow(run, T.StructType([texts.schema[0], T.StructField("hits", hits)]))
 
 
-def _blocks(benchmark: DataFrame, item_id_col: str, question: Column | None, answer: Column | None, index_bytes: int) -> tuple[list[Index] | Iterator[Index], T.ArrayType]:
+def _blocks(benchmark: DataFrame, item_id_col: str, question: Column | None, answer: Column | None, index_bytes: int) -> tuple[Iterator[list[Index]], T.ArrayType]:
     if question is None:
         question, answer = split_item(F.col("text"))
     return indexes(benchmark, item_id_col, question, answer, index_bytes), T.ArrayType(hit_type(benchmark.select(F.col(f"`{item_id_col}`")).schema[0].dataType))
