@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -306,3 +307,29 @@ def test_line_dedup_of_words_whose_sums_are_equal(spark):
     texts = [" ".join([*half[:30], one, *half[30:]]), " ".join([*half[:30], two, *half[30:]]), f"First here.\n{one} is one. Then comes more and more of it.\n{prose(42, 30)}", f"Second here.\n{two} is one. Then comes more and more of it.\n{prose(42, 30)}"]
     got = {r["row"]["doc_id"]: r["clean"] for r in linededup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)).collect()}
     assert got[0] == texts[0] and got[2] == texts[2] and two in got[1] and two in got[3]
+
+
+def test_a_long_item_changes_no_hit_of_a_short_one(spark):
+    """The answer far from its question is no hit, whatever other items there are; the long item is found where it stands."""
+    question, answer, long = prose(51, 20), "zanzibar", prose(52, 5000)
+    docs = spark.createDataFrame([(1, f"{question} {prose(53, 3000)} {answer}", "en", "s", 1), (2, f"{prose(54, 500)} {question} {answer}", "en", "s", 1), (3, f"{prose(55, 100)} {long} {prose(56, 100)}", "en", "s", 1)], DOCS)
+    short = spark.createDataFrame([(1, f"{question}\n{answer}")], "item_id long, text string")
+    both = short.union(spark.createDataFrame([(2, f"{long}\n{prose(52, 5000).split()[-1]}")], short.schema))
+    found = lambda items: {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found(short) == {(2, 1)} and found(both) == {(2, 1), (3, 2)}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(docs, both).collect()} == {1}
+    assert [decontaminate.half_passage(n) for n in (1, 64, 65, 128, 5001)] == [64, 64, 128, 128, 8192]
+
+
+def test_secrets_in_a_dense_string_of_a_megabyte(spark):
+    """One string without a gap is scored in time proportional to its length."""
+    r = random.Random(2)
+    dense = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    docs = spark.createDataFrame([(1, dense), (2, f"token={'%032x' % r.getrandbits(128)}{'Q7z' * 9}"), (3, "some plain words stand here")], "doc_id long, text string")
+    secrets.find_secrets(docs.where("doc_id > 1")).collect()
+    began = time.time()
+    got = {x["doc_id"]: x["spans"] for x in secrets.find_secrets(docs).collect()}
+    assert got[1] in ("", "random:0:1000000") and time.time() - began < 30
+    value = spark.createDataFrame([(dense,)], "value string").select(secrets.mean_bits(F.col("value"), [1.0] * secrets.STATES**2)).cache()
+    began = time.time()
+    assert value.first()[0] == pytest.approx(1.0) and time.time() - began < 10

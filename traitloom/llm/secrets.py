@@ -91,7 +91,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _codes(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1))))
+    """The places of a string's characters in the alphabet. The string is cut up once: asking for one place after another walks to it from the start each time."""
+    return F.transform(F.split(value, ""), lambda x: F.instr(F.lit(ALPHABET), x))
 
 
 def _transitions(strings: DataFrame, label: int) -> DataFrame:
