@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traitloom.operators import traits as tr
+from traitloom.operators.dealing import dealt
 from traitloom.sources.scratch import materialise
 
 
@@ -85,24 +86,11 @@ def best_split(traits: DataFrame, exclusion: float = 0.8, coverage: float = 0.1,
 def divided(own: DataFrame, left: str, right: str) -> DataFrame:
     """(figure_id, side) of the figures that hold one of two traits; those with both go, in the order of their ids, to the side that is smaller so far, left if equal.
 
-    Where such a figure goes depends on all before it, so one task reads two numbers for each
-    figure, in order, and keeps two counts.
+    No task sees all figures: ranges of ids are summarised by what they do to the difference of the sides.
     """
     label = F.concat_ws("::", "category", "token")
     held = own.where(label.isin(left, right)).groupBy("figure_id").agg(F.bool_or(label == left).alias("l"), F.bool_or(label == right).alias("r"))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [0, 0]
-        for batch in batches:
-            sides = []
-            for l, r in zip(batch["l"].tolist(), batch["r"].tolist(), strict=True):
-                side = int(counts[0] > counts[1]) if l and r else int(r)
-                counts[side] += 1
-                sides.append("LR"[side])
-            yield pd.DataFrame({"figure_id": batch["figure_id"], "side": sides})
-
-    kind = held.schema["figure_id"].dataType.simpleString()
-    return held.repartition(1).sortWithinPartitions("figure_id").mapInPandas(deal, f"figure_id {kind}, side string")
+    return dealt(held, "figure_id", F.col("l"), F.col("r"))
 
 
 def dichotomy(traits: DataFrame, depth: int = 3, least_group: int = 4) -> list[dict]:
