@@ -279,22 +279,6 @@ def test_dichotomies(spark):
     assert [(x["path"], x["left"], x["right"]) for x in entry.queries()["G6_dichotomy"](spark, FOLDER).collect()] == [w[:3] for w in brute_tree(stand, 2)]
 
 
-def test_concepts_and_covers(spark):
-    r = random.Random(5)
-    traits = {f: {f"t{k}" for k in range(9) if r.random() < 0.45} for f in range(25)}
-    frame = spark.createDataFrame([(f, "c", t) for f, own in traits.items() for t in own], "figure_id long, category string, token string")
-    figures = [f for f in traits if traits[f]]
-    extent = lambda t: frozenset(f for f in figures if t in traits[f])
-    single = {extent(f"t{k}") for k in range(9)}
-    single = {e for e in single if 2 <= len(e) <= len(figures) - 1}
-    closed = single | {a & b for a in single for b in single if len(a & b) >= 2}
-    found = lattice.concepts(frame, 2, 1000)
-    assert {frozenset(x["extent"]): set(x["intent"]) for x in found.collect()} == {e: {f"c::t{k}" for k in range(9) if e <= extent(f"t{k}")} for e in closed}
-    name = {x["concept"]: frozenset(x["extent"]) for x in found.collect()}
-    want = {(u, v) for u in name for v in name if name[v] < name[u] and not any(name[v] < name[w] < name[u] for w in name)}
-    assert {(x["upper"], x["lower"]) for x in lattice.covers(found).collect()} == want
-
-
 def test_correspondence_on_driver_and_in_tables(spark):
     r = np.random.default_rng(3)
     z = (r.random((40, 12)) < 0.35).astype(float)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from traitloom.functions import text as tx
 from traitloom.functions import tokens as tk
 from traitloom.functions import web
-from traitloom.operators import graph, lattice, ledger, ranking, rights, taxonomy
+from traitloom.operators import concepts, graph, lattice, ledger, ranking, rights, taxonomy
 from traitloom.operators import traits as tr
 from traitloom.sources import records
 from traitloom.streaming import ledger as stream
@@ -120,13 +120,15 @@ def test_concepts_against_plain_python(spark, figures):
         extent[f"{r['category']}::{r['token']}"].add(r["figure_id"])
     n = len({i for e in extent.values() for i in e})
     seeds = {frozenset(e) for e in extent.values() if 3 <= len(e) < n}
-    every = seeds | {a & b for a in seeds for b in seeds if len(a & b) >= 3}
+    every = seeds | {a & b for a in seeds for b in seeds if len(a & b) >= 3} | {frozenset(i for e in extent.values() for i in e)}
     want = {(tuple(sorted(e)), tuple(sorted(t for t, own in extent.items() if len(own) < n and e <= own))) for e in every}
-    got = lattice.concepts(found, 3, 1000)
-    assert {(tuple(r["extent"]), tuple(r["intent"])) for r in got.collect()} == want
-    by = {r["concept"]: set(r["extent"]) for r in got.collect()}
+    lattice = concepts.concepts(found, 3, 1000)
+    by = defaultdict(set)
+    for r in lattice.members().collect():
+        by[r["concept"]].add(r["at"])
+    assert {(tuple(sorted(by[r["concept"]])), tuple(r["intent"])) for r in lattice.found.collect()} == want
     cover = {(a, b) for a in by for b in by if by[b] < by[a] and not any(by[b] < by[c] < by[a] for c in by)}
-    assert {(r["upper"], r["lower"]) for r in lattice.covers(got).collect()} == cover
+    assert {(r["upper"], r["lower"]) for r in concepts.covers(lattice).collect()} == cover
 
 
 def test_correspondence_against_numpy(spark, figures):

@@ -1,4 +1,4 @@
-"""Formal concepts, their cover edges, dichotomies and correspondence analysis of traits."""
+"""Dichotomies, nearest vectors and correspondence analysis of traits."""
 
 from __future__ import annotations
 
@@ -16,49 +16,6 @@ from traitloom.operators.dealing import dealt
 from traitloom.sources.scratch import materialise
 
 
-def concepts(traits: DataFrame, least_support: int, most: int) -> DataFrame:
-    """(concept, extent, intent, n_extent, n_intent): trait extents and one round of pairwise
-    intersections, closed; the ``most`` largest by extent, then intent, then extent's ids.
-
-    Extents are equal-keyed before they meet, and seeds are cut by rank to six for each
-    concept asked for, as this is a picture of bounded size.
-    """
-    named = traits.withColumn("trait", F.concat_ws("::", "category", "token"))
-    total = named.select("figure_id").distinct().count()
-    extents = named.groupBy("trait").agg(F.array_sort(F.collect_set("figure_id")).alias("extent"))
-    usable = extents.where(F.size("extent").between(least_support, max(0, total - 1)))
-    seeds = usable.select("extent").distinct().orderBy(F.size("extent").desc(), "extent").limit(max(6 * most, 400))
-    keyed = seeds.withColumn("seed", F.sha2(F.to_json("extent"), 256))
-    placed = keyed.select("seed", "extent", F.explode("extent").alias("figure_id"))
-    a, b = placed.alias("a"), placed.alias("b")
-    meet = a.join(b, (F.col("a.figure_id") == F.col("b.figure_id")) & (F.col("a.seed") < F.col("b.seed")))
-    crossed = meet.groupBy(F.col("a.seed").alias("s"), F.col("b.seed").alias("t")).agg(F.array_sort(F.collect_list("a.figure_id")).alias("extent")).select("extent")
-    all_extents = seeds.union(crossed.where(F.size("extent") >= least_support)).distinct()
-    open_traits = extents.where(F.size("extent") < total).select("trait")
-    holders = named.select("figure_id", "trait").join(open_traits, "trait", "left_semi")
-    inside = all_extents.select("extent", F.explode("extent").alias("figure_id")).join(holders, "figure_id").groupBy("extent", "trait").agg(F.count("*").alias("k"))
-    closed = inside.where(F.col("k") == F.size("extent")).groupBy("extent").agg(F.array_sort(F.collect_list("trait")).alias("intent"))
-    ranked = closed.select("extent", "intent", F.size("extent").alias("n_extent"), F.size("intent").alias("n_intent")).orderBy(F.col("n_extent").desc(), F.col("n_intent").desc(), "extent").limit(most)
-    return ranked.withColumn("concept", F.substring(F.sha2(F.array_join(F.col("extent").cast("array<string>"), ","), 256), 1, 12))
-
-
-def covers(found: DataFrame) -> DataFrame:
-    """(upper, lower): strict containment of extents with nothing between."""
-    placed = found.select("concept", F.size("extent").alias("n"), F.explode("extent").alias("figure_id"))
-    a, b = placed.alias("a"), placed.alias("b")
-    shared = a.join(b, (F.col("a.figure_id") == F.col("b.figure_id")) & (F.col("a.n") > F.col("b.n"))).groupBy(F.col("a.concept").alias("upper"), F.col("b.concept").alias("lower")).agg(F.count("*").alias("k"), F.max("b.n").alias("n"))
-    below = shared.where("k = n").select("upper", "lower")
-    between = below.alias("x").join(below.alias("y"), F.col("x.lower") == F.col("y.upper")).select(F.col("x.upper").alias("upper"), F.col("y.lower").alias("lower")).distinct()
-    return below.join(between, ["upper", "lower"], "left_anti")
-
-
-def layers(found: DataFrame) -> DataFrame:
-    """Each concept's layer, by size of extent, and place in it."""
-    layer = F.dense_rank().over(Window.orderBy(F.col("n_extent").desc()))
-    placed = found.select("concept", "n_extent", layer.alias("layer"))
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy("concept")))
-
-
 def best_split(traits: DataFrame, exclusion: float = 0.8, coverage: float = 0.1, least_figures: int = 3, top: int = 40):
     """The pair of traits that best divides the figures, as a Row (left, right, score), or None.
 

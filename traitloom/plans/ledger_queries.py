@@ -12,6 +12,7 @@ from traitloom.plans import stand_in as st
 from traitloom.plans.registry import query, table
 from traitloom.sources import records
 from traitloom.sources.scratch import scratch_folder
+from traitloom.streaming import keyed
 from traitloom.streaming import ledger as stream
 
 I, B = st.ITEMS_SQL, st.BLOCKERS_SQL
@@ -278,11 +279,43 @@ def slot_claims(spark, d):
 
 @query("T12_ttl_cache")
 def ttl_cache(spark, d):
-    """Whether each event's user is still in a cache of six hours."""
+    """Whether each event's user is still in a cache of six hours; what is older leaves the state by a timer."""
+    keyed.with_timers(spark)
+    return _streamed(spark, d, lambda e: keyed.cached(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts"), 6 * 3600.0))
+
+
+@query("T4_leased_claims", """
+    WITH RECURSIVE e AS (SELECT user_id AS slot, epoch(ts) AS t, event_type = 'purchase' AS freed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('purchase', 'error')),
+    s AS (SELECT DISTINCT slot, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS since, CAST(0 AS BIGINT) AS claimed, CAST(0 AS BIGINT) AS released FROM e
+        UNION ALL SELECT s.slot, e.k, CASE WHEN freed THEN NULL WHEN t - since <= 86400 THEN since ELSE t END,
+            claimed + CASE WHEN NOT freed AND coalesce(t - since > 86400, true) THEN 1 ELSE 0 END, released + CASE WHEN freed AND coalesce(t - since <= 86400, false) THEN 1 ELSE 0 END
+        FROM s JOIN e ON s.slot = e.slot AND e.k = s.k + 1)
+    SELECT slot, claimed, released FROM s QUALIFY row_number() OVER (PARTITION BY slot ORDER BY k DESC) = 1""")
+def leased_claims(spark, d):
+    """Each user's errors claim a slot for a day at most, which a purchase releases: the claims and releases that took effect."""
+    keyed.with_timers(spark)
+
     def make(e):
-        return stream.cached(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("ts").cast("double").__truediv__(1e6).alias("at")), 6 * 3600.0)
+        own = e.where("event_type IN ('purchase', 'error')")
+        return keyed.leased(own.select(F.col("user_id").alias("slot"), F.col("event_id").alias("seq"), "ts", F.lit("h").alias("holder"), F.when(F.col("event_type") == "purchase", "release").otherwise("claim").alias("action")), 86400.0)
 
-    return _streamed(spark, d, make)
+    return _streamed(spark, d, make).groupBy("slot").agg(F.count_if(F.col("verdict") == "claimed").alias("claimed"), F.count_if(F.col("verdict") == "released").alias("released"))
+
+
+@query("J27_resolution_stream", """
+    WITH b AS (SELECT event_id AS blocker_id, user_id, ts FROM events WHERE event_type = 'error'), r AS (SELECT event_id AS resolution_id, user_id, ts AS done FROM events WHERE event_type = 'purchase')
+    SELECT blocker_id, b.user_id AS source_id, resolution_id FROM b LEFT JOIN r ON b.user_id = r.user_id AND done >= ts AND done <= ts + INTERVAL 6 HOUR
+    WHERE ts < (SELECT least(max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type = 'purchase')) FROM events) - INTERVAL 8 HOUR""")
+def resolution_stream(spark, d):
+    """Errors and the purchases of the same user within six hours as two streams; of blockers whose time had passed when the streams ended."""
+    def make(e):
+        blocked = e.where("event_type = 'error'").select(F.col("event_id").alias("blocker_id"), F.col("user_id").alias("source_id"), "ts")
+        return stream.resolutions(blocked, e.where("event_type = 'purchase'").select(F.col("event_id").alias("resolution_id"), F.col("user_id").alias("source_id"), F.col("ts").alias("resolved_at")))
+
+    ends = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).agg(*[F.max(F.when(F.col("event_type") == k, F.col("ts"))).alias(k) for k in ("error", "purchase")])
+    over = ends.select((F.least("error", "purchase") - F.expr("INTERVAL 8 HOURS")).alias("over"))
+    # One row on the right.
+    return _streamed(spark, d, make).join(F.broadcast(over), F.col("ts") < F.col("over")).select("blocker_id", "source_id", "resolution_id")
 
 
 @query("T10_progress", "SELECT user_id % 50 AS run_id, arg_max(event_type, event_id) AS phase, max(event_id) AS done FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traitloom.functions import tokens as tk
-from traitloom.operators import lattice, taxonomy
+from traitloom.operators import concepts, lattice, taxonomy
 from traitloom.operators import traits as tr
 from traitloom.plans import stand_in as st
 from traitloom.plans.registry import query, table
@@ -145,18 +145,18 @@ def dichotomy(spark, d):
 
 @query("G8_formal_concepts")
 def formal_concepts(spark, d):
-    found = lattice.concepts(st.traits(spark, d), 20, 30)
+    found = concepts.concepts(st.traits(spark, d), 20, 30).found
     return found.select("concept", "n_extent", "n_intent", F.array_join("intent", "|").alias("intent"))
 
 
 @query("G9_cover_edges")
 def cover_edges(spark, d):
-    return lattice.covers(lattice.concepts(st.traits(spark, d), 20, 30))
+    return concepts.covers(concepts.concepts(st.traits(spark, d), 20, 30))
 
 
 @query("W11_lattice_layers")
 def lattice_layers(spark, d):
-    return lattice.layers(lattice.concepts(st.traits(spark, d), 20, 30))
+    return concepts.layers(concepts.concepts(st.traits(spark, d), 20, 30))
 
 
 @query("G10_correspondence")

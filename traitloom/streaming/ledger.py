@@ -84,22 +84,20 @@ def claims(requests: DataFrame) -> DataFrame:
     return requests.groupBy("slot").applyInPandasWithState(step, "slot long, seq long, holder string, verdict string", "active string", "append", GroupStateTimeout.NoTimeout)
 
 
-def cached(requests: DataFrame, max_age: float) -> DataFrame:
-    """Whether each request (key, seq, at) is served from a cache or fetched anew, ``max_age`` seconds after the last fetch.
-
-    The state is one time for each key. Rows of a key are taken in ``seq`` order within a trigger.
+def resolutions(blockers: DataFrame, resolved: DataFrame, within: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """(blocker_id, source_id, ts, resolution_id, resolved_at): blockers with each resolution of their source that follows in time, or without any.
+
+    Two streams are joined: ``blockers`` (blocker_id, source_id, ts) and ``resolved``
+    (resolution_id, source_id, resolved_at). A blocker waits in the state until both streams
+    have passed the end of its time, and comes out unresolved, once, if none has come by then.
+    A resolution waits only as long as a blocker that it may follow can still come. Rows later
+    than ``delay`` are dropped. Of tables the result is the same, all at once.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fetched = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            hit = fetched is not None and row.at - fetched <= max_age
-            fetched = fetched if hit else row.at
-            out.append((key[0], row.seq, "hit" if hit else "miss"))
-        state.update((fetched,))
-        yield pd.DataFrame(out, columns=["key", "seq", "verdict"])
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key long, seq long, verdict string", "fetched double", "append", GroupStateTimeout.NoTimeout)
+    b = blockers.withWatermark("ts", delay) if blockers.isStreaming else blockers
+    r = resolved.withColumnRenamed("source_id", "resolved_source")
+    r = r.withWatermark("resolved_at", delay) if resolved.isStreaming else r
+    on = f"source_id = resolved_source AND resolved_at >= ts AND resolved_at <= ts + INTERVAL {within}"
+    return b.join(r, F.expr(on), "left_outer").select("blocker_id", "source_id", "ts", "resolution_id", "resolved_at")
 
 
 def progress(events: DataFrame) -> DataFrame:
