@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from traitloom.operators import concepts
+from traitloom.operators import concepts, taxonomy
 
 ROWS = "figure_id {}, category string, token string"
 
@@ -77,3 +77,19 @@ def test_no_row_grows_with_an_extent(spark):
     assert blocks.where("trait = 'c::all'").count() == 1563 and [t for _, t in blocks.dtypes] == ["string", "bigint", "bigint"]
     found = concepts.concepts(frame, 10, 20)
     assert sorted(x["n_extent"] for x in found.found.collect()) == sorted([100_000, 50_000, 50_000, 33_334, 33_333, 33_333, 16_667, 16_667, 16_667, 16_667, 16_666, 16_666])
+
+
+def test_distinct_members_up_a_deep_tree(spark):
+    """Members shared between branches count once above them; text members are numbered, null ones left out."""
+    r = random.Random(8)
+    parent = {0: None} | {i: r.randrange(max(0, i - 3), i) for i in range(1, 40)}
+    for member, kind in ((lambda k: k * 7 - 900, "long"), (lambda k: f"m{k}", "string")):
+        own = [(r.randrange(40), member(r.randrange(300))) for _ in range(900)] + [(3, None)]
+        tree = spark.createDataFrame([(i, f"n{i}", p) for i, p in parent.items()], "id int, name string, parent_id int")
+        got = {x["id"]: x["distinct_count"] for x in taxonomy.distinct_up(tree, spark.createDataFrame(own, f"id int, member {kind}")).collect()}
+        below = defaultdict(set)
+        for i, m in own:
+            while i is not None and m is not None:
+                below[i].add(m)
+                i = parent[i]
+        assert got == {i: len(m) for i, m in below.items()}

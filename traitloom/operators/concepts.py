@@ -12,9 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from traitloom.sources.records import number
+from traitloom.operators.bitsets import member_blocks
 from traitloom.sources.scratch import materialise
 
 #: Fewer figures have no concepts worth a picture.
@@ -43,12 +42,7 @@ def _print() -> list[Column]:
 def trait_blocks(traits: DataFrame) -> DataFrame:
     """(trait, block, bits) of traits (figure_id, category, token); figures whose ids are no whole numbers are numbered."""
     named = traits.where("token IS NOT NULL").select("figure_id", F.concat_ws("::", "category", "token").alias("trait"))
-    at = F.col("figure_id")
-    if not isinstance(traits.schema["figure_id"].dataType, (T.LongType, T.IntegerType, T.ShortType)):
-        ids = number(named.select("figure_id").distinct(), "figure_id", "", "at").select(F.col("figure_id").alias("numbered"), F.col("at").cast("long").alias("at"))
-        named, at = named.join(ids, F.col("figure_id") == F.col("numbered")), F.col("at")
-    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-    return named.select("trait", at.cast("long").alias("at")).groupBy("trait", F.shiftright("at", 6).alias("block")).agg(F.bit_or(bit).alias("bits"))
+    return member_blocks(named, ["trait"], "figure_id")
 
 
 def concepts(traits: DataFrame, least_support: int, most: int) -> Lattice:

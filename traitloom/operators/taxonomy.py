@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.operators.bitsets import distinct_counts, member_blocks
 from traitloom.sources.scratch import materialise
 
 
@@ -39,8 +40,14 @@ def roll_up(tree: DataFrame, leaf_counts: DataFrame) -> DataFrame:
 
 
 def distinct_up(tree: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct members (id, member) under each node."""
-    return closure(tree).join(members, F.col("descendant") == F.col("id")).groupBy(F.col("ancestor").alias("id")).agg(F.count_distinct("member").alias("distinct_count"))
+    """Distinct members (id, member) under each node.
+
+    Members become blocks of bits at their own nodes, and only blocks go up to the ancestors,
+    where they are merged: a node and block is one row, however many members stand below.
+    """
+    own = member_blocks(members, ["id"], "member")
+    above = closure(tree).join(own, F.col("descendant") == F.col("id")).select(F.col("ancestor").alias("id"), "block", "bits")
+    return distinct_counts(above, ["id"]).select("id", F.col("n").alias("distinct_count"))
 
 
 def pruned(tree: DataFrame, leaf_counts: DataFrame, least: int) -> DataFrame:
@@ -58,4 +65,7 @@ def cross_cut(groups: DataFrame, tree: DataFrame, holders: DataFrame) -> DataFra
     ``groups`` has (group, trait_id, standalone), ``holders`` (figure_id, token).
     """
     named = groups.join(tree.select(F.col("id").alias("trait_id"), "name"), "trait_id", "left").select("group", F.lower(F.coalesce("standalone", "name")).alias("token"))
-    return named.join(holders, "token").groupBy("group").agg(F.count_distinct("figure_id").alias("n_figures"), F.count_distinct("token").alias("n_traits"))
+    wanted = named.distinct()
+    figures = member_blocks(holders.join(wanted.select("token").distinct(), "token", "left_semi"), ["token"], "figure_id").join(wanted, "token")
+    traits = figures.groupBy("group").agg(F.count_distinct("token").alias("n_traits"))
+    return distinct_counts(figures, ["group"]).withColumnRenamed("n", "n_figures").join(traits, "group")
