@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from traitloom.functions.markup import texts_of
 from traitloom.functions.text import collapse_space, settled
 
 #: The named entities that are read.
@@ -112,6 +113,5 @@ def clean_wikitext(text: Column) -> Column:
 
 
 def xml_texts(xml: Column, name: str) -> Column:
-    """The texts of a document's elements of a local name, in order, whatever their prefix; inner tags go. Elements of one name do not nest."""
-    found = F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(rf"(?s)<((?:[\w.-]+:)?{name})(?:\s[^>]*)?(?<!/)>(.*?)</\1\s*>"), F.lit(2))
-    return F.transform(found, lambda x: F.trim(F.regexp_replace(unescape_html(F.regexp_replace(x, "<[^>]*>", "")), r"\s+", " ")))
+    """The texts of a document's elements of a local name, in order, whatever their prefix and however they nest; inner tags go."""
+    return texts_of(xml, name)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from traitloom.functions.markup import to_markdown
 from traitloom.functions.text import let, settled
 from traitloom.functions.web import COMMENT, clean_wikitext, strip_boilerplate, unescape_html
 
-#: Link texts that only lead about a site.
-NAVIGATION = r"(?i)^(?:next|previous|prev|index|contents|home|back|up|top)(?: page| chapter)?\W*$"
 #: Sections with which an article's body ends.
 LAST_SECTIONS = ("See also", "References", "External", "Notes", "Sources", "Bibliography", "Further")
 #: Traditions and the words of an article's beginning that tell them, in this order.
@@ -59,26 +58,11 @@ def wikitext_to_markdown(text: Column) -> Column:
 
 
 def html_to_markdown(html: Column) -> Column:
-    """A page's prose as Markdown: headings, emphasis, lists, quotes and outward links stay.
+    """A page's prose as Markdown: headings, emphasis, lists within lists, quotes and outward links stay.
 
-    Images and navigation go; of links within the site the text stays. Nested lists are flat.
+    Images and navigation go; of links within the site the text stays.
     """
-    out = _all(strip_boilerplate(html), [(r"(?is)<head\b.*?</head>", " "), (r"\s+", " "), (r"(?i)<img\b[^>]*>", ""), (r"(?i)<(?:br)\s*/?>", "\n"), (r"(?i)<hr\s*/?>", "\n\n---\n\n")])
-    links = F.regexp_extract_all(out, F.lit(r"(?i)(<a\b[^>]*>.*?</a>)"), F.lit(1))
-
-    def link(a: Column) -> Column:
-        inner = F.trim(F.regexp_replace(F.regexp_replace(a, r"(?i)^<a\b[^>]*>|</a>$", ""), r"\s+", " "))
-        target = F.regexp_extract(a, r"""(?i)\bhref\s*=\s*["']([^"']*)["']""", 1)
-        plain = F.trim(F.regexp_replace(inner, "<[^>]*>", ""))
-        return F.when(plain.rlike(NAVIGATION) | (plain == ""), F.lit("")).when(target.rlike("(?i)^https?://"), F.concat(F.lit("["), plain, F.lit("]("), target, F.lit(")"))).otherwise(inner)
-
-    parts = F.split(out, r"(?i)<a\b[^>]*>.*?</a>", -1)
-    out = F.array_join(F.flatten(F.zip_with(parts, F.transform(links, link), lambda p, x: F.array(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit(""))))), "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?i)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}>", "\n\n" + "#" * level + " $1\n\n")
-    out = _all(out, [(r"(?i)<(?:strong|b)\b[^>]*>\s*(.*?)\s*</(?:strong|b)>", "**$1**"), (r"(?i)<(?:em|i)\b[^>]*>\s*(.*?)\s*</(?:em|i)>", "_$1_"), (r"(?i)<code\b[^>]*>(.*?)</code>", "`$1`"),
-                     (r"(?i)\s*<li\b[^>]*>\s*", "\n- "), (r"(?i)<blockquote\b[^>]*>\s*(?:<p\b[^>]*>)?\s*", "\n\n> "), (r"(?i)\s*</?(?:p|div|ul|ol|section|article|main|table|tr|blockquote|body|html|h[1-6])\b[^>]*>\s*", "\n\n"), ("<[^>]*>", "")])
-    return F.regexp_replace(_all(unescape_html(out), [(r"(?m)^[ \t]+|[ \t]+$", ""), (r"\n{3,}", "\n\n")]), r"^\s+|\s+$", "")
+    return to_markdown(F.regexp_replace(strip_boilerplate(html), r"(?is)<head\b.*?</head>", " "))
 
 
 def infobox(text: Column) -> Column:
