@@ -13,7 +13,7 @@ from traitloom.functions import tokens as tk
 from traitloom.functions import web
 from traitloom.operators import concepts, graph, lattice, ledger, ranking, rights, taxonomy
 from traitloom.operators import traits as tr
-from traitloom.sources import records
+from traitloom.sources import records, store
 from traitloom.streaming import ledger as stream
 
 
@@ -194,10 +194,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "o.xml").write_text("<r><record><header><identifier>i1</identifier></header><metadata><dc><title>A</title><title>B</title><type>Text</type></dc></metadata></record></r>")
     row = records.read_oai_records(spark, str(tmp_path / "o.xml")).first()
     assert row["identifier"] == "i1" and row["title"] == ["A", "B"]
-    files = spark.createDataFrame([("p", "public", "s1", "x"), ("q", "locked", "s2", "y")], "path string, partition string, sha256 string, content string")
-    for _ in range(2):
-        records.write_corpus(files, str(tmp_path / "corpus"))
-    assert spark.read.parquet(str(tmp_path / "corpus")).count() == 2
+    files, kept = spark.createDataFrame([("p", "public", "x"), ("q", "locked", "y")], "path string, partition string, content string"), store.Store(spark, f"file://{tmp_path}/corpus")
+    assert [store.write_corpus(kept, files, F.current_timestamp()) for _ in range(2)] == [2, 0]
+    assert kept.read("corpus").count() == 2 and kept.read("sidecars").count() == 2
 
 
 def test_records(spark):

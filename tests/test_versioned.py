@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from traitloom.sources import store
 from traitloom.sources.versioned import ConflictError, Store
 
 ROWS = "id long, name string, size int"
@@ -160,3 +161,29 @@ def test_lookup_opens_few_files(spark, kept, apart):
     one = kept.lookup("t", [17])
     assert scanned(one) == 1 and [tuple(r) for r in one.collect()] == [(17, "17")]
     assert scanned(kept.lookup("t", [17, 39_999])) == 2
+
+
+def test_a_corpus_holds_a_content_once(spark, kept):
+    """Two writers of overlapping files, of which the second is told and looks again; null contents, equal contents under two paths, and sidecars."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    files = spark.createDataFrame([("p/1", "p", "one"), ("p/2", "p", "two"), ("p/3", "p", "one"), ("q/1", "q", "one"), ("q/2", "q", None)], "path string, partition string, content string")
+    assert store.write_corpus(kept, files.where("path < 'p/2'"), at) == 1
+    between = [True]
+
+    def racing(work, attempts=8, own=kept.transact):
+        def slow(change):
+            made = work(change)
+            if between.pop():
+                between.append(False)
+                own(lambda other: other.add("corpus", spark.createDataFrame([("x", "z/9", "z", "nine")], store.CORPUS["corpus"])))
+            else:
+                between.append(False)
+            return made
+        return own(slow, attempts)
+
+    kept.transact = racing
+    assert store.write_corpus(kept, files, at) == 3
+    assert store.write_corpus(kept, files, at) == 0
+    held = sorted((r["path"], r["content"]) for r in kept.read("corpus").collect())
+    assert held == [("p/1", "one"), ("p/2", "two"), ("q/1", "one"), ("q/2", None), ("z/9", "nine")]
+    assert sorted((r["path"], r["content_bytes"]) for r in kept.read("sidecars").collect()) == [("p/1", 3), ("p/2", 3), ("q/1", 3), ("q/2", None)]

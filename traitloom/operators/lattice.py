@@ -89,12 +89,17 @@ def leaves(traits: DataFrame, depth: int = 3, least_group: int = 4) -> DataFrame
     return reduce(DataFrame.union, parts) if parts else traits.select(F.lit("").alias("path"), F.lit("").alias("trait"), "figure_id").limit(0)
 
 
-def _principal(gram: DataFrame, masses: DataFrame, axes: int, rounds: int = 60):
+#: The relative change of the axes' inertia in a step below which they have settled.
+SETTLED = 1e-7
+
+
+def _principal(gram: DataFrame, masses: DataFrame, axes: int, rounds: int = 200):
     """The leading eigenvalues and eigenvectors, by trait number ``j``, of the standardised table's products.
 
     ``gram`` has (i, j, v), ``masses`` (j, c). Orthogonal iteration: a step is a join with the
     table of products and a sum; only products of the axes themselves reach the driver. A few
-    more axes than asked for are carried along, which makes the others settle sooner.
+    more axes than asked for are carried along, which makes the others settle sooner. Axes that
+    have not settled after ``rounds`` steps are an error, never a result.
     """
     root = masses.select("j", F.sqrt("c").alias("s"))
     names = [f"v{k}" for k in range(axes + 5)]
@@ -112,11 +117,11 @@ def _principal(gram: DataFrame, masses: DataFrame, axes: int, rounds: int = 60):
         found, turn = np.sqrt(np.maximum(found[order], 0)), turn[:, order]
         scale = turn / np.where(found > 1e-15, found, 1.0)
         rows = moved.select("j", "s", *[sum((F.col(a) * F.lit(float(scale[i, k])) for i, a in enumerate(names)), F.lit(0.0)).alias(n) for k, n in enumerate(names)])
-        if values is not None and np.allclose(values, found, rtol=1e-10, atol=1e-14):
-            values = found
-            break
+        settled = values is not None and np.allclose(values[:axes], found[:axes], rtol=SETTLED, atol=1e-14)
         values = found
-    return values[:axes], rows.select("j", "s", *names[:axes])
+        if settled:
+            return values[:axes], rows.select("j", "s", *names[:axes])
+    raise RuntimeError(f"the axes have not settled after {rounds} rounds")
 
 
 def correspondence(traits: DataFrame, axes: int = 5, least_figures: int = 1, driver_traits: int = 1000):

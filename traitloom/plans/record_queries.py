@@ -119,9 +119,20 @@ def legacy_jsonl(spark, d):
     return _named("legacy_jsonl", lines)
 
 
-@query("S16_adapter_dispatch", "SELECT f AS family FROM (VALUES ('iiif'), ('legacy_jsonl'), ('mediawiki'), ('oai_dc'), ('plain_text'), ('tei')) t(f)")
+@query("S16_adapter_dispatch", f"""WITH {J1}, k AS (SELECT id, CASE id % 5 WHEN 0 THEN 'plain_text' WHEN 1 THEN 'tei' WHEN 2 THEN 'oai_dc' WHEN 3 THEN 'mediawiki' ELSE 'gopher' END AS family FROM t)
+    SELECT id, family, deity FROM k JOIN m USING (id) WHERE family <> 'gopher' UNION ALL SELECT id, family, NULL FROM k WHERE family = 'gopher'""")
 def adapter_dispatch(spark, d):
-    return spark.createDataFrame([(f,) for f in sorted(adapters.ADAPTERS)], "family string")
+    """Documents as payloads of four families and of one that has no adapter: the entities that each family's adapter names, and what is refused."""
+    k, text = F.col("doc_id") % 5, _escaped(F.col("text"))
+    page = F.to_json(F.struct(F.struct(F.create_map(F.col("doc_id").cast("string"), F.struct(F.concat(F.lit("doc "), "doc_id").alias("title"), text.alias("extract"))).alias("pages")).alias("query")))
+    payload = (F.when(k == 1, F.concat(F.lit("<TEI><text><body><p>"), text, F.lit("</p></body></text></TEI>")))
+               .when(k == 2, F.concat(F.lit('<OAI-PMH><record><metadata><oai_dc:dc xmlns:dc="x"><dc:title>doc '), "doc_id", F.lit("</dc:title><dc:description>"), text, F.lit("</dc:description></oai_dc:dc></metadata></record></OAI-PMH>")))
+               .when(k == 3, page).otherwise(F.col("text")))
+    family = F.element_at(F.array(*map(F.lit, ("plain_text", "tei", "oai_dc", "mediawiki", "gopher"))), (k + 1).cast("int"))
+    payloads = docs(spark, d).select(F.col("doc_id").cast("string").alias("source_id"), payload.alias("payload"), F.concat(F.lit("doc "), "doc_id").alias("source_work"), family.alias("family"))
+    good, _, refused = adapters.run_each(payloads, list(ENTITIES))
+    named = good.select(F.regexp_extract("source_work", "([0-9]+)$", 1).cast("long").alias("id"), "family", "deity").distinct()
+    return named.union(refused.select(F.col("source_id").cast("long"), "family", F.lit(None).cast("string")))
 
 
 @query("F42_make_record", r"SELECT p_partkey AS id, p_name AS deity, p_brand || ' says' AS excerpt, CAST(len(list_filter(string_split_regex(p_brand || ' says', '\s+'), lambda w: w <> '')) AS INTEGER) AS n_words FROM part")
@@ -165,10 +176,24 @@ def json_lists(spark, d):
     return _lists(spark, d, '{"sources":[', F.to_json(F.struct(F.col("name").alias("work"), F.col("kind").alias("author"))), "]}", ".json")
 
 
-@query("S21_refused_lists", """SELECT * FROM (VALUES ('a.pdf', 'unsupported file type .pdf'), ('b', 'broken JSON'), ('c', 'no items'), ('d', '3 items, at most 2'), ('e', 'an address that is not https'), ('f', 'an entry without a title'), ('g', NULL)) t(name, error)""")
+@query("S21_refused_lists", """
+    WITH l AS (SELECT l_orderkey, count(*) AS lines, count(DISTINCT p_name || '|' || p_type) AS n, max(p_size) AS largest FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
+    SELECT 'order ' || l_orderkey || CASE WHEN l_orderkey % 5 = 3 THEN '.pdf' ELSE '' END AS name,
+           CASE WHEN l_orderkey % 5 = 3 THEN 'unsupported file type .pdf' WHEN l_orderkey % 5 = 4 THEN 'broken JSON' WHEN l_orderkey % 5 = 0 AND largest > 48 THEN 'an address that is not https'
+                WHEN n > 4 THEN n || ' items, at most 4' END AS error,
+           CAST(CASE WHEN l_orderkey % 5 > 2 OR n > 4 OR (l_orderkey % 5 = 0 AND largest > 48) THEN 0 ELSE n END AS INTEGER) AS n_items FROM l""")
 def refused_lists(spark, d):
-    rows = [("a.pdf", "x"), ("b.json", "{"), ("c.txt", "# none\n"), ("d.csv", "a,b\nc,d\ne,f"), ("e.csv", "title,url\nx,http://a"), ("f.json", '[{"author": "y"}]'), ("g.txt", "One - A\nTwo\none — a")]
-    return lists.parse_lists(spark.createDataFrame(rows, "path string, content string"), most=2).select("name", "error")
+    """Each order's parts as a list of works, in files of four kinds: CSV with addresses, text, JSON, one that is not read, and JSON that is cut off."""
+    p = table(spark, d, "part")
+    lines = table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).withColumn("k", F.col("l_orderkey") % 5)
+    url = F.concat(F.when(F.col("p_size") > 48, "http").otherwise("https"), F.lit("://h/"), "p_partkey")
+    line = F.when(F.col("k") == 0, F.concat_ws(",", "p_name", "p_type", url)).when(F.col("k") == 1, F.concat_ws(" - ", "p_name", "p_type")).otherwise(F.to_json(F.struct(F.col("p_name").alias("title"), F.col("p_type").alias("author"))))
+    files = lines.groupBy("l_orderkey", "k").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    content = F.when(F.col("k") == 0, F.concat(F.lit("title,author,url\n"), F.array_join("lines", "\n"))).when(F.col("k") < 2, F.array_join("lines", "\n")).otherwise(
+        F.concat(F.lit("["), F.array_join("lines", ","), F.when(F.col("k") == 4, "").otherwise("]")))
+    ending = F.element_at(F.array(*map(F.lit, (".csv", ".txt", ".json", ".pdf", ".json"))), (F.col("k") + 1).cast("int"))
+    read = lists.parse_lists(files.select(F.concat(F.lit("x/order "), "l_orderkey", ending).alias("path"), content.alias("content")), most=4)
+    return read.select("name", "error", F.size("items").alias("n_items"))
 
 
 @query("S22_read_catalog", "SELECT p_name AS name, p_brand AS tradition, CAST(1 AS BIGINT) AS n_aliases, count(*) AS n FROM part GROUP BY ALL")
@@ -194,14 +219,16 @@ def catalog_of_records(spark, d):
     return store.catalog_of_records(rows, rejected).select(F.lower("name").alias("name"), F.size("aliases").cast("long").alias("n_aliases"))
 
 
-@query("S24_write_corpus", "SELECT source AS partition, count(DISTINCT text) AS n FROM documents GROUP BY 1")
+@query("S24_write_corpus", "SELECT source AS partition, count(DISTINCT text) AS n, count(DISTINCT text) AS n_sidecars, CAST(0 AS BIGINT) AS twice FROM documents GROUP BY 1")
 def write_corpus(spark, d):
-    """Texts once by checksum within a partition, whatever is written again."""
-    path = folder(spark, "corpus")
-    files = docs(spark, d).select(F.col("source").alias("partition"), F.concat("source", F.lit("/"), F.sha2("text", 256)).alias("path"), F.sha2(F.concat("source", "text"), 256).alias("sha256"), "text").dropDuplicates(["sha256"])
-    for part in (files.where("sha256 < '8'"), files):
-        records.write_corpus(part, path)
-    return spark.read.parquet(path).groupBy(F.col("partition").cast("string").alias("partition")).agg(F.count("*").alias("n"))
+    """Texts once within a partition, each with its sidecar, whatever is written again; how many a second writing added."""
+    kept = store.Store(spark, folder(spark, "corpus"))
+    files = docs(spark, d).select(F.col("source").alias("partition"), F.concat("source", F.lit("/"), "doc_id").alias("path"), F.col("text").alias("content"))
+    for part in (files.where("content < 'M'"), files):
+        store.write_corpus(kept, part, F.lit("2024-01-01").cast("timestamp"))
+    twice = store.write_corpus(kept, files, F.lit("2024-01-02").cast("timestamp"))
+    count = lambda name, n: kept.read(name).groupBy("partition").agg(F.count("*").alias(n))
+    return count("corpus", "n").join(count("sidecars", "n_sidecars"), "partition").withColumn("twice", F.lit(twice).cast("long"))
 
 
 @query("S25_manifest", "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256 FROM documents")

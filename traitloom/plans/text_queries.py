@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traitloom.functions import archive
 from traitloom.functions import text as tx
 from traitloom.functions import web
 from traitloom.functions.tokens import replace_in_array
@@ -135,16 +136,18 @@ def dice(spark, d):
     return f.select("id", F.round(ranking.dice(F.concat_ws(" ", "name", "kind"), F.lit(first)), 6).alias("score"))
 
 
-@query("O9_accepted_matches", """WITH s AS (SELECT a.p_partkey AS probe, b.p_partkey AS id, b.p_brand AS work, 0.85 * (CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0.5 END) + 0.15 * CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS score
+@query("O9_accepted_matches", """WITH s AS (SELECT a.p_partkey AS probe, b.p_partkey AS id, b.p_name AS work, 0.85 * (CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 0.5 END) + 0.15 * CASE WHEN a.p_type = b.p_type THEN 1.0 ELSE 0.0 END AS score
     FROM part a JOIN part b ON split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey),
     r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rn FROM s), x AS (SELECT * FROM r WHERE rn = 1), y AS (SELECT * FROM r WHERE rn = 2)
-    SELECT x.probe, x.id, x.score FROM x LEFT JOIN y USING (probe) WHERE x.score >= 0.62 AND NOT coalesce(x.score - y.score < 0.05 AND x.work <> y.work, false)""")
+    SELECT x.probe, x.id, CAST(round(x.score, 6) AS DOUBLE) AS score FROM x LEFT JOIN y USING (probe) WHERE x.score >= 0.62 AND NOT coalesce(x.score - y.score < 0.05 AND x.work <> y.work, false)""")
 def accepted_matches(spark, d):
     f = st.figures(spark, d).withColumn("w", F.split_part("name", F.lit(" "), F.lit(1)))
     a, b = f.alias("a"), f.alias("b")
     pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.id") != F.col("b.id")))
-    score = F.lit(0.85) * F.when(F.col("a.name") == F.col("b.name"), 1.0).otherwise(0.5) + F.lit(0.15) * F.when(F.col("a.kind") == F.col("b.kind"), 1.0).otherwise(0.0)
-    return ranking.accepted_matches(pairs.select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), F.col("b.tradition").alias("work"), score.alias("score")))
+    none = F.lit(None).cast("int")
+    score = archive.candidate_score(F.col("a.name"), F.col("a.kind"), none, {"title": F.col("b.name"), "creator": F.col("b.kind"), "year": none, "volume": none, "identifier": F.lit(None).cast("string")})
+    scored = pairs.select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), F.col("b.name").alias("work"), score.alias("score"))
+    return ranking.accepted_matches(scored, same_work=archive.same_work).withColumn("score", F.round("score", 6))
 
 
 def _assessed(spark, d):

@@ -161,7 +161,7 @@ def lattice_layers(spark, d):
 
 @query("G10_correspondence")
 def correspondence(spark, d):
-    placed, _ = lattice.correspondence(st.traits(spark, d), axes=3)
+    placed, _ = lattice.correspondence(st.traits(spark, d), axes=5)
     return placed
 
 

@@ -7,6 +7,7 @@ DataFrame of records; ``run`` picks it by family and puts aside what breaks a re
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,3 +120,13 @@ def run(family: str, payloads: DataFrame, entities: Entities) -> tuple[DataFrame
         raise ValueError(f"no adapter for the source family {family!r}")
     records = ADAPTERS[family](payloads, entities)
     return put_aside(records, violations({f.name: f.dataType.simpleString() for f in records.schema if isinstance(f.dataType, (T.StringType, T.IntegerType))}))
+
+
+def run_each(payloads: DataFrame, entities: Entities) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Payloads of all families (``family`` beside the rest), each read by its family's adapter: good records, broken ones, and payloads of unknown families.
+
+    Records carry their family; each adapter reads its own payloads only.
+    """
+    made = [[f.withColumn("family", F.lit(family)) for f in run(family, payloads.where(F.col("family") == family).drop("family"), entities)] for family in sorted(ADAPTERS)]
+    good, broken = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own) for own in zip(*made, strict=True))
+    return good, broken, payloads.where(~F.coalesce(F.col("family").isin(*ADAPTERS), F.lit(False)))

@@ -137,18 +137,6 @@ def wiki_pages(payload: Column) -> Column:
     return F.array_sort(F.map_values(pages))
 
 
-def write_corpus(files: DataFrame, path: str) -> None:
-    """Add files (path, partition, sha256, content) that the corpus doesn't hold yet, by partition."""
-    spark = files.sparkSession
-    try:
-        held = spark.read.parquet(path).select("sha256")
-        files = files.join(held, "sha256", "left_anti")
-    except Exception as e:  # the corpus does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    files.write.mode("append").partitionBy("partition").parquet(path)
-
-
 def verify_corpus(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Counts of files that agree with the manifest (path, sha256), differ, are missing or are not listed."""
     actual = files.select("path", F.sha2("content", 256).alias("actual"))

@@ -121,6 +121,34 @@ def provenance(payloads: DataFrame, records: DataFrame, sources: DataFrame, retr
         F.coalesce("record_count", F.lit(0)).alias("record_count"), F.struct("license", "terms_url", "reuse_notes").alias("rights"))
 
 
+#: Tables of a corpus kept in a store: its files by checksum, and a sidecar for each.
+CORPUS = {"corpus": "sha256 string, path string, partition string, content string", "sidecars": "sha256 string, path string, content_bytes long, partition string, stored_at string"}
+
+
+def write_corpus(kept: Store, files: DataFrame, stored_at: Column) -> int:
+    """Add files (path, partition, content) that the corpus doesn't hold yet, each with its sidecar, as one change; gives how many.
+
+    A content is held once in each partition, whoever else writes at the same time: a writer
+    that comes second looks again at what is held. Of equal contents the first path stays.
+    """
+    checksum = F.sha2(F.concat(F.coalesce("partition", F.lit("")), F.lit("/"), F.coalesce("content", F.lit(""))), 256)
+    distinct = files.withColumn("sha256", checksum).groupBy("sha256").agg(*[F.min_by(c, "path").alias(c) for c in ("path", "partition", "content")])
+
+    def add(change) -> int:
+        for name, schema in CORPUS.items():
+            if name not in change.tables:
+                change.write(name, kept.spark.createDataFrame([], schema), key="sha256")
+        fresh = distinct.join(change.read("corpus").select("sha256"), "sha256", "left_anti")
+        change.add("corpus", fresh)
+        added = change.tables["corpus"].segments[-1]
+        # The sidecars tell of the files as they were written.
+        written = kept.scan(change.tables["corpus"], added)
+        change.add("sidecars", written.select("sha256", "path", F.octet_length("content").cast("long").alias("content_bytes"), "partition", iso_format(stored_at).alias("stored_at")))
+        return added.rows
+
+    return kept.transact(add)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """A report with tabs between columns and a heading."""
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
