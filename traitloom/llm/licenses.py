@@ -1,19 +1,26 @@
 """Licence notices in texts: a positional index of rare template words.
 
-The rarest words of each licence template, by inverse document frequency, propose relative
-positions: so many that the others cannot reach the least share without one of them. At each
-position proposed all words of the template are counted, and a template whose words agree on
-one is accepted if the text also holds its mandatory key phrases. The templates are a bounded
-list, given or read from a table, so the index is a constant of the plan; the list below has
-the opening notices of common licences. Everything is DataFrame functions; a text without any key phrase is passed over after one pattern match.
+The index has postings (template, place) of each template's rarest words, by inverse document
+frequency: so many that the others cannot reach the least share without one of them. A text's
+words are looked up in it, each posting proposes a relative position of its template, and
+positions that several words propose are one. At each position proposed all words of the
+template are counted, and a template whose words agree on one is accepted if the text also
+holds its mandatory key phrases.
+
+Templates are rows, given or read from a table. Postings and templates are constants of the
+plan, whose form does not depend on how many there are: the postings lie in an array by the
+hash of their word, so a word costs one step. They come in blocks of bounded bytes, each
+looked up by itself. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,32 +65,51 @@ TEMPLATES = (
     Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
 )
-#: Templates of a list at most, for it is part of the plan.
-MOST_TEMPLATES = 1000
+#: Bytes of the templates of a block, which are part of the plan; and places of the index for each word in it.
+BLOCK_BYTES, ROOM = 4 << 20, 4
 
 
 def vocabulary(templates: tuple[Template, ...]) -> list[str]:
     return sorted({w for t in templates for w in t.text.split()})
 
 
-def any_key(templates: tuple[Template, ...]) -> str:
-    """Texts without a match hold neither a base phrase nor a template's key phrases."""
-    return "(?i)(?:" + "|".join(GAP.join(p.split()) for p in sorted({p for p, _ in BASE} | {t.keys[0] for t in templates})) + ")"
-
-
 def read_templates(listed: DataFrame) -> tuple[Template, ...]:
-    """The templates of a table (label, text, keys: array of phrases), whole licence texts as well; at most MOST_TEMPLATES.
+    """The templates of a table (label, text, keys: array of phrases), whole licence texts as well.
 
-    Texts and phrases are cut into words as :func:`words` does. Rows with nulls, or without words or phrases, are left out.
+    Texts and phrases are cut into words as :func:`words` does. Rows with nulls, or without
+    words or phrases, are left out. A list of licences is reference data, as large as the
+    licences there are; the driver holds it.
     """
     cut = lambda c: F.array_join(words(c), " ")
     rows = listed.dropna(subset=["label", "text", "keys"]).select("label", cut(F.col("text")).alias("text"), F.filter(F.transform("keys", cut), lambda k: k != "").alias("keys"))
-    found = rows.where((F.col("text") != "") & (F.size("keys") > 0)).distinct().orderBy("label", "text").limit(MOST_TEMPLATES + 1).collect()
-    if len(found) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} licence templates")
+    found = rows.where((F.col("text") != "") & (F.size("keys") > 0)).distinct().orderBy("label", "text").collect()
     return tuple(Template(r["label"], r["text"], tuple(r["keys"])) for r in found)
 
 
+def blocks_of(templates: tuple[Template, ...], block_bytes: int = BLOCK_BYTES) -> Iterator[list[Template]]:
+    block, size = [], 0
+    for t in templates:
+        if block and size + len(t.text) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append(t)
+        size += len(t.text)
+    if block:
+        yield block
+
+
+def by_hash(entries: dict[str, object], kind: str):
+    """A function from a column of words to the values (of a Spark type) under them, none or one as an array: a hash table that the plan holds."""
+    size = max(1, ROOM * len(entries))
+    places: list[list[dict]] = [[] for _ in range(size)]
+    for word, value in entries.items():
+        places[xxhash.xxh64_intdigest(word.encode(), 42) % size].append({"w": word, "x": value})
+    held = F.from_json(F.lit(json.dumps(places)), f"array<array<struct<w:string,x:{kind}>>>")
+    # As a long the hash is less by 2^64 where it is negative.
+    at = lambda w: let(F.xxhash64(w), lambda h: F.pmod(h % size + F.when(h < 0, (1 << 64) % size).otherwise(0), F.lit(size)).cast("int"))
+    return lambda w: F.filter(F.get(held, at(w)), lambda e: e["w"] == w)
+
+
 def words(text: Column) -> Column:
     """The words of a text, A-Z in small letters."""
     return F.filter(F.split(F.translate(text, CAPITALS, SMALL), GAP), lambda w: w != "")
@@ -104,12 +130,13 @@ def phrase_places(own: Column, phrase: str) -> Column:
 
 def frequencies(docs: DataFrame, text: Column, known: list[str]) -> dict[str, float]:
     """Inverse document frequencies of the template words, over all documents."""
-    held = docs.select(F.array_intersect(F.split(F.translate(text, CAPITALS, SMALL), GAP), F.array(*[F.lit(w) for w in known])).alias("held"))
-    # An empty word, which none of these is, stands for the document itself.
-    counted = held.select(F.explode(F.concat("held", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    numbered = by_hash({w: i for i, w in enumerate(known)}, "int")
+    held = docs.select(F.array_distinct(F.transform(F.flatten(F.transform(words(text), numbered)), lambda e: e["x"])).alias("held"))
+    # A number that no word has stands for the document itself.
+    counted = held.select(F.explode(F.concat("held", F.array(F.lit(-1)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     count = {r["w"]: r["n"] for r in counted.collect()}
-    n = count.pop("", 0)
-    return {w: math.log(1 + (n - count.get(w, 0) + 0.5) / (count.get(w, 0) + 0.5)) for w in known}
+    n = count.pop(-1, 0)
+    return {w: math.log(1 + (n - count.get(i, 0) + 0.5) / (count.get(i, 0) + 0.5)) for i, w in enumerate(known)}
 
 
 def rare_places(template: Template, idf: dict[str, float]) -> list[int]:
@@ -125,21 +152,32 @@ def rare_places(template: Template, idf: dict[str, float]) -> list[int]:
     return sorted(rare)
 
 
-def _agreement(own: Column, rare: Column, template: Template, idf: dict[str, float]) -> Column:
-    """The greatest share of the template's weight whose words stand at one relative position.
+def _accepted(own: Column, line: Column, templates: list[Template], idf: dict[str, float]) -> Column:
+    """Label and share of each template that a text's words hold at a relative position with the least share or more, and its key phrases anywhere."""
+    postings: dict[str, list[dict]] = {}
+    rows = []
+    for number, t in enumerate(templates):
+        listed = t.text.split()
+        total = sum(idf[w] for w in listed) or 1.0
+        rows.append({"label": t.label, "words": listed, "weights": [idf[w] / total for w in listed], "keys": [f" {k} " for k in t.keys]})
+        for place in rare_places(t, idf):
+            postings.setdefault(listed[place], []).append({"t": number, "p": place})
+    index = by_hash(postings, "array<struct<t:int,p:int>>")
+    held = F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,words:array<string>,weights:array<double>,keys:array<string>>>")
+    found = F.flatten(F.transform(own, lambda w, i: F.flatten(F.transform(index(w), lambda e: F.transform(e["x"], lambda x: F.struct(x["t"].alias("t"), (i - x["p"]).alias("d")))))))
 
-    Shares below the least may be missed.
-    """
-    listed = template.text.split()
-    total = sum(idf[w] for w in listed) or 1.0
-    words_at = F.from_json(F.lit(json.dumps([{"w": w, "p": i, "x": idf[w] / total} for i, w in enumerate(listed)])), "array<struct<w:string,p:int,x:double>>")
-    proposing = F.from_json(F.lit(json.dumps([{"w": listed[i], "p": i} for i in rare_places(template, idf)])), "array<struct<w:string,p:int>>")
-    offsets = F.array_distinct(F.flatten(F.transform(rare, lambda r: F.transform(F.filter(proposing, lambda p: p["w"] == r["word"]), lambda p: r["at"] - p["p"]))))
-    shares = F.transform(offsets, lambda d: F.aggregate(words_at, F.lit(0.0), lambda s, p: s + F.when(F.get(own, d + p["p"]) == p["w"], p["x"]).otherwise(0.0)))
-    return F.coalesce(F.array_max(shares), F.lit(0.0))
+    def share(t: Column, d: Column) -> Column:
+        agreeing = F.zip_with(t["words"], F.sequence(F.lit(0), F.size(t["words"]) - 1), lambda w, k: F.coalesce(F.get(own, d + k) == w, F.lit(False)))
+        return F.aggregate(F.zip_with(agreeing, t["weights"], lambda a, x: F.when(a, x).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+
+    def judged(c: Column) -> Column:
+        return let(F.get(held, c["t"]), lambda t: F.struct(t["label"].alias("label"), F.when(F.forall(t["keys"], lambda k: F.contains(line, k)), share(t, c["d"])).otherwise(0.0).alias("share")))
+
+    return F.filter(F.transform(F.array_distinct(found), judged), lambda x: x["share"] >= LEAST_SHARE)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: the id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` and ``score`` (1 with a base phrase, else the best accepted template's share).
 
@@ -150,23 +188,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     idf = frequencies(docs, text, vocabulary(templates))
-    proposing = F.array(*[F.lit(w) for w in sorted({t.text.split()[i] for t in templates for i in rare_places(t, idf)})]).cast("array<string>")
-    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-                         F.when(text.rlike(any_key(templates)), words(text)).otherwise(F.array().cast("array<string>")).alias("own"))
+    accepting = list(blocks_of(templates, block_bytes))
 
     def look(own: Column) -> Column:
-        rare = F.filter(F.transform(own, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(proposing, x["word"]))
         line = F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))
+        accepted = let(line, lambda x: F.concat(*[_accepted(own, x, block, idf) for block in accepting])) if accepting else F.array().cast("array<struct<label:string,share:double>>")
+        bases = [F.when(F.contains(line, F.lit(f" {p} ")), phrase_places(own, p)).otherwise(F.array().cast("array<bigint>")).alias(f"base_{i}") for i, (p, _) in enumerate(BASE)]
+        return F.struct(F.size(own).cast("long").alias("n_words"), *bases, accepted.alias("accepted"))
 
-        def judged(r: Column) -> Column:
-            return F.array(*[F.struct(F.lit(t.label).alias("label"), F.when(
-                F.array_position(F.array(*[line.contains(f" {k} ") for k in t.keys]), F.lit(False)) > 0, 0.0).otherwise(_agreement(own, r, t, idf)).alias("share")) for t in templates]).cast("array<struct<label:string,share:double>>")
-
-        accepted = F.filter(let(rare, judged), lambda x: x["share"] >= LEAST_SHARE)
-        return F.struct(*[phrase_places(own, p).alias(f"base_{i}") for i, (p, _) in enumerate(BASE)], accepted.alias("accepted"))
-
-    none = F.struct(*[F.array().cast("array<bigint>").alias(f"base_{i}") for i in range(len(BASE))], F.array().cast("array<struct<label:string,share:double>>").alias("accepted"))
-    looked = marked.withColumn("got", F.when(F.size("own") > 0, let(F.col("own"), look)).otherwise(none)).select("id", "n_words", "got.*")
+    looked = docs.select(F.col(f"`{id_col}`").alias("id"), let(words(text), look).alias("got")).select("id", "got.*")
     bases = [F.when(F.size(f"base_{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]
     places = F.concat(*[F.col(f"base_{i}") for i in range(len(BASE))])
     base_labels = F.array_sort(F.array_compact(F.array(*bases)))
