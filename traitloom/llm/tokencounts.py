@@ -196,10 +196,12 @@ def count_leaves(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     return _each(_picked(docs, id_col, text_col), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
 
 
-def apply_edits(counted: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+def apply_edits(counted: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", edits_col: str = "edits", changed_only: bool = False) -> DataFrame:
     """A table of :func:`count_leaves` after the edits of ``edits_col``, with ``encoded_chars``, what they had encoded again.
 
-    Texts and leaves that no edit touches are taken over as they are.
+    Rows without edits are taken over as they are and never leave the JVM; of the others the
+    leaves that no edit touches keep their counts. ``changed_only`` gives the rows with edits
+    alone, so that a versioned table need only write these.
     """
     def row(count, text: str, more: dict) -> tuple:
         leaves, at, tokens = [], 0, []
@@ -214,7 +216,12 @@ def apply_edits(counted: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     made = [("text", T.StringType()), ("leaves", LEAVES), ("n_tokens", T.LongType()), ("encoded_chars", T.LongType())]
     more = F.struct(F.col("leaves"), F.col(f"`{edits_col}`").alias("edits")).alias("more")
-    return _each(_picked(counted, id_col, "text", more), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
+    edited = F.coalesce(F.size(f"`{edits_col}`") > 0, F.lit(False))
+    changed = _each(_picked(counted.where(edited), id_col, "text", more), made, ranks_path, pattern, row).withColumnRenamed("key", id_col)
+    if changed_only:
+        return changed
+    same = counted.where(~edited).select(F.col(f"`{id_col}`"), F.coalesce("text", F.lit("")).alias("text"), "leaves", "n_tokens", F.lit(0).cast("long").alias("encoded_chars"))
+    return changed.union(same)
 
 
 def recount(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
