@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -172,6 +173,8 @@ def test_second_batch_of_edits_encodes_only_its_regions(spark):
     counted, texts = tokencounts.count_leaves(docs, *args), {i: t or "" for i, t in rows}
     for batch, (start, end, new) in enumerate([(9000, 9003, "changed"), (0, 1200, " gone "), (15000, 15000, prose(50, 900)), (40, 41, "")]):
         edits = spark.createDataFrame([(i, 1, start, end, new) for i in (0, 2, None)], "doc_id long, seq long, start long, end long, replacement string")
+        changed = tokencounts.apply_edits(tokencounts.gather_edits(counted, edits), *args, changed_only=True)
+        assert {r["doc_id"] for r in changed.collect()} == {0, 2, None}
         counted = tokencounts.apply_edits(tokencounts.gather_edits(counted, edits), *args)
         for i in (0, 2, None):
             t = texts[i]
@@ -333,3 +336,59 @@ def test_secrets_in_a_dense_string_of_a_megabyte(spark):
     value = spark.createDataFrame([(dense,)], "value string").select(secrets.mean_bits(F.col("value"), [1.0] * secrets.STATES**2)).cache()
     began = time.time()
     assert value.first()[0] == pytest.approx(1.0) and time.time() - began < 10
+
+
+def test_word_and_run_hashes_tell_bytes_apart():
+    """Words of all lengths around eight bytes and the longest short one, and runs that differ in one word or in order."""
+    words = [b"a" * n + b"b" * m for n in range(70) for m in range(12) if n + m] + ["é☃".encode(), b"\x00", b"\x00\x00", b"\x00a"]
+    words = list(dict.fromkeys(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    prints = linededup.word_prints(b" ".join(words), ends - [len(w) for w in words], ends)
+    again = linededup.word_prints(b"xx " + b" ".join(words), ends - [len(w) for w in words] + 3, ends + 3)
+    assert len(set(prints.tolist())) == len(words) and np.array_equal(prints, again)
+    r = np.random.default_rng(1)
+    line = r.choice(prints, 400)
+    runs = linededup.mixed_runs(line, 50)
+    assert len(runs) == 351 and len(set(runs.tolist())) == 351
+    assert linededup.mixed_runs(line[7:57], 50)[0] == runs[7] and linededup.mixed_runs(line[7:57][::-1], 50)[0] != runs[7] and len(linededup.mixed_runs(line[:49], 50)) == 0
+    turns = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    one, two = (linededup.mixed_runs(prints[(turns ^ k) + 5], 2048)[0] for k in (0, 1))
+    assert one != two
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 5000])
+def test_a_thousand_whole_licence_texts(spark, block_bytes):
+    """1000 templates of 300 words, many of which share their words: planned in seconds, labels as by counting at every place."""
+    r = random.Random(17)
+    pool = [f"w{k}" for k in range(400)] + [f"rare{k}" for k in range(3000)]
+    made = lambda n: " ".join(r.choice(pool) for _ in range(n))
+    n = 1000 if block_bytes > 10_000 else 60
+    templates = [licenses.Template(f"l{k}", made(300), ()) for k in range(n)]
+    templates = tuple(licenses.Template(t.label, t.text, (" ".join(t.text.split()[3:6]),)) for t in templates)
+    docs = []
+    for i in range(40):
+        w = r.choice(templates).text.split()
+        for _ in range(r.choice([0, 20, 90, 200])):
+            w[r.randrange(len(w))] = r.choice(pool)
+        docs.append((i, f"{made(r.randrange(50))} {' '.join(w[r.choice([0, 0, 8, 160]):])} {made(30)}"))
+    began = time.time()
+    got = {x["doc_id"]: (x["labels"], x["score"]) for x in licenses.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string"), templates=templates, block_bytes=block_bytes).collect()}
+    assert time.time() - began < 60
+    cut = {i: t.split() for i, t in docs}
+    held = Counter(w for own in cut.values() for w in set(own))
+    idf = {w: math.log(1 + (len(docs) - held[w] + 0.5) / (held[w] + 0.5)) for w in licenses.vocabulary(templates)}
+    for i, own in cut.items():
+        places, line, accepted = defaultdict(list), f" {' '.join(own)} ", {}
+        for at, w in enumerate(own):
+            places[w].append(at)
+        for t in templates:
+            if f" {t.keys[0]} " in line:
+                agree = Counter()
+                for p, w in enumerate(t.text.split()):
+                    for at in places.get(w, ()):
+                        agree[at - p] += idf[w]
+                share = max(agree.values(), default=0) / sum(idf[w] for w in t.text.split())
+                if share >= licenses.LEAST_SHARE:
+                    accepted[t.label] = share
+        assert got[i][0] == ",".join(sorted(accepted)) and got[i][1] == pytest.approx(min(1.0, max(accepted.values(), default=0.0)))
+    assert sum(bool(x) for x, _ in got.values()) > 10

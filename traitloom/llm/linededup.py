@@ -14,9 +14,9 @@ Beside the chunks, each window of WINDOW words that stands earlier in the corpus
 lines and sentences cut it: by itself, since it is a passage, not a common line. A window is
 named by the least hash among the runs of ANCHOR words in it; equal windows have equal names,
 and few words of a text give many windows one name, so only windows whose name stands at two
-or more places are compared, by name and by XXH3 of all their bytes. Names and chunk hashes
-are sums, which are quick but can be made equal for different texts; so nothing goes by them
-alone. Of equal windows of one text that overlap, the first counts.
+or more places are compared, by name and by a hash of all their words' bytes. Names and chunk
+hashes are sums, which are quick but can be made equal for different texts; so nothing goes by
+them alone. Of equal windows of one text that overlap, the first counts.
 
 The work goes in four readings of the texts, and only hashes are grouped over all of them:
 
@@ -69,6 +69,8 @@ BREAK = re.compile(rb"[.!?][ \t]+|\n")
 IS_SPACE, IS_STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?"))
 POWER_TURN = GROUP_BYTES
 POWERS, INVERSE = (np.multiply.accumulate(np.array([1] + [x] * (2 * GROUP_BYTES), np.uint64)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
+#: Bytes of a word that are hashed with those of all others at once.
+LONG_WORD = 64
 CHUNK, OPEN, LATER = 0, 1, 2
 
 
@@ -246,6 +248,38 @@ def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(runs)
 
 
+def word_prints(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word: eight at a time, mixed after each; of words beyond LONG_WORD bytes, XXH3."""
+    sizes = ends - starts
+    lanes = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
+    out = sizes.astype(np.uint64) * np.uint64(MULTIPLIER)
+    short = np.flatnonzero(sizes <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        short = short[sizes[short] > at]
+        if not len(short):
+            break
+        left = np.minimum(sizes[short] - at, 8)
+        bits = lanes[starts[short] + at] & (np.uint64(MASK) >> (64 - 8 * left).astype(np.uint64))
+        out[short] = mixed((out[short] ^ bits) * np.uint64(MULTIPLIER))
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out
+
+
+def mixed_runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` words, by doubling, mixed at each step."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    runs, size = words, 1
+    for bit in f"{n:b}"[1:]:
+        runs = mixed(runs[: len(words) - 2 * size + 1] * np.uint64(MULTIPLIER) + runs[size:])
+        size *= 2
+        if bit == "1":
+            runs = mixed(runs[: len(words) - size] * np.uint64(MULTIPLIER) + words[size:])
+            size += 1
+    return runs
+
+
 def least_of(runs: np.ndarray, n: int) -> np.ndarray:
     """The least of each ``n`` consecutive elements."""
     width, reach = 1, runs
@@ -276,17 +310,19 @@ class Stretches:
         self.at, self.names = self.start - first[self.of], names[self.start].view(np.int64)
 
     def _digests(self, index: np.ndarray) -> np.ndarray:
-        """XXH3 of the bytes of windows, their words parted by one space each."""
-        sizes = self.cut.words.ends - self.cut.words.starts
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        plain, digest = b" ".join(self.cut.data.split()), xxhash.xxh3_64_intdigest
-        spans = zip(begins[index].tolist(), (begins + sizes)[index + WINDOW - 1].tolist(), strict=True)
-        return np.array([digest(plain[a:b]) for a, b in spans], np.uint64)
+        """Hashes of the words of windows, from the bytes of each word; mixed at each step, so that no sum can be made equal."""
+        words, held = self.cut.words, np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(held, index, 1)
+        np.subtract.at(held, index + WINDOW, 1)
+        covered = np.cumsum(held[:-1]) > 0
+        place = np.cumsum(covered) - 1
+        prints = word_prints(self.cut.data, words.starts[covered], words.ends[covered])
+        return mixed_runs(prints, WINDOW)[place[index]]
 
     def windows(self, held: np.ndarray, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The hashes of the windows of the stretches ``held``, end to end, and where each stretch's begin; 0 for those not listed.
 
-        ``exact`` hashes are of the windows' bytes; others, of sums, are equal where those are
+        ``exact`` hashes are mixed from the words' bytes; others, of sums, are equal where those are
         and cost less, but do not tell all different windows apart.
         """
         length = self.length[held]
