@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from traitloom.functions import archive, names, recipes, web, wiki
+from traitloom.functions import attributes as attributes_of
 from traitloom.functions import text as tx
 from traitloom.functions import tokens as tk
 from traitloom.operators import lattice, ledger, ranking, taxonomy, validation
@@ -566,6 +567,16 @@ def attributes(spark, d):
     return _parts(spark, d).select("id", wiki.domain(box, text).alias("domain"), wiki.birth(box, text).alias("birth"), wiki.death(text).alias("death"), wiki.deed(text, parts).alias("deed"))
 
 
+@query("F27_objects_and_looks", """SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'silver ' || p_name || ', trident' WHEN 1 THEN 'the ' || p_brand || ', crown' END AS objects, CASE p_size % 3 WHEN 0 THEN 'owl' WHEN 1 THEN 'wolf' END AS animals,
+    CASE p_size % 2 WHEN 0 THEN 'friend of ' || p_name ELSE 'cunning' END AS character, CASE p_size % 2 WHEN 0 THEN 'a maker of ' || p_brand || ', bearded' END AS looks FROM part""")
+def objects_and_looks(spark, d):
+    k, even = F.col("n") % 3, F.col("n") % 2 == 0
+    owned = F.when(k == 0, F.concat(F.lit("She bore a silver "), "name", F.lit(". A trident. The owl was sacred."))).when(k == 1, F.concat(F.lit("Wolves come. The wolf form."), F.lit(" A crown."))).otherwise(F.lit("No more."))
+    text = F.concat(owned, F.when(even, F.concat(F.lit(" Renowned as the friend of "), "name", F.lit(". A bearded one, portrayed as a maker of "), "tradition", F.lit("."))).otherwise(F.lit(" He was cunning.")))
+    box = F.when(k == 1, F.create_map(F.lit("weapon"), F.concat(F.lit("the "), "tradition"))).otherwise(F.create_map().cast("map<string,string>"))
+    return _parts(spark, d).select("id", attributes_of.objects(box, text).alias("objects"), attributes_of.animals(box, text).alias("animals"), attributes_of.character(text).alias("character"), attributes_of.looks(text).alias("looks"))
+
+
 @query("F31_candidate_score")
 def candidate_score(spark, d):
     f = _parts(spark, d)
