@@ -164,6 +164,48 @@ ORACLE_SQL = {
                CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM q LEFT JOIN f USING (payload_digest)""",
+    "op12_conversations": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END)) AS t
+        ), k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                       lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 20 AS code FROM conversations, crc
+        ), d AS (
+            SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM d
+        ), r AS (
+            SELECT *, substr(role, 1, 1) AS own, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+                   CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o
+        ), c AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND before || own NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1
+        ), i AS (  -- up to two inserts after a last role: what they cost, their audit, their lines, the role after them
+            SELECT * FROM (VALUES ('', 0, '', '', ''), ('', 5, 'I', 'user:' || chr(10), 'u'), ('', 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 'a'), ('s', 0, '', '', 's'), ('s', 5, 'I', 'user:' || chr(10), 'u'),
+                ('s', 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 'a'), ('u', 0, '', '', 'u'), ('u', 5, 'I', 'assistant:' || chr(10), 'a'), ('u', 10, 'II', 'assistant:' || chr(10) || 'user:' || chr(10), 'u'),
+                ('a', 0, '', '', 'a'), ('a', 5, 'I', 'user:' || chr(10), 'u'), ('a', 10, 'II', 'user:' || chr(10) || 'assistant:' || chr(10), 'a')) x(last, extra, letters, lines, after)
+        ), e AS (  -- the edits of each row: its role in the end, its price, letter and line
+            SELECT conv_id, pos, NULL AS becomes, 2 AS price, 'D' AS letter, '' AS line FROM r
+            UNION ALL SELECT conv_id, pos, own, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', role || ':' || text || chr(10) FROM r WHERE fault NOT IN ('blank', 'duplicate')
+            UNION ALL SELECT conv_id, pos, substr(x, 1, 1), CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', x || ':' || text || chr(10) FROM r, (VALUES ('user'), ('assistant')) v(x) WHERE fault NOT IN ('blank', 'duplicate')
+        ), s AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS pos, '' AS last, 0 AS cost, '' AS audit, '' AS repaired FROM c
+            UNION ALL
+            SELECT conv_id, pos, last, cost, audit, repaired FROM (
+                SELECT s.conv_id, e.pos, coalesce(becomes, after) AS last, cost + extra + price AS cost, audit || letters || letter AS audit, repaired || lines || line AS repaired
+                FROM s JOIN i USING (last) JOIN e ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND e.pos = s.pos + 1
+                WHERE becomes IS NULL OR after || becomes IN ('s', 'u', 'su', 'ua', 'au'))
+            QUALIFY row_number() OVER (PARTITION BY conv_id, last ORDER BY cost, audit) = 1
+        ), f AS (
+            SELECT s.conv_id, cost + extra AS cost, audit || letters AS audit, repaired || lines AS repaired FROM s JOIN i USING (last) JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND pos = n WHERE after = 'a' OR (after = '' AND letters = '')
+            QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY cost + extra, audit || letters) = 1
+        )
+        SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(regexp_replace(coalesce(repaired, ''), '\n\z', '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN f ON a.conv_id IS NOT DISTINCT FROM f.conv_id""",
     "op13_fill_in_middle": r"""
         WITH t AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents
