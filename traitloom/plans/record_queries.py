@@ -88,35 +88,51 @@ def plain_text(spark, d):
     return _named("plain_text", _payloads(spark, d, F.col("text")))
 
 
-@query("S11_tei", f"WITH {J1} SELECT id, deity FROM m")
+def _read_as(family, payloads, **columns):
+    """Id, entity and some fields of a family's records, each once."""
+    good, _ = adapters.run(family, payloads, list(ENTITIES))
+    return good.select(F.regexp_extract("source_work", "([0-9]+)$", 1).cast("long").alias("id"), "deity", *[F.col(c).alias(n) for n, c in columns.items()]).distinct()
+
+
+@query("S11_tei", f"WITH {J1} SELECT id, deity, 'doc ' || id AS work, lang || ' of ' || source AS author FROM m JOIN documents ON id = doc_id")
 def tei(spark, d):
-    head = F.concat(F.lit("<TEI><teiHeader><fileDesc><titleStmt><title>doc "), "doc_id", F.lit("</title></titleStmt></fileDesc></teiHeader><text><body><p>"))
-    return _named("tei", _payloads(spark, d, F.concat(head, _escaped(F.col("text")), F.lit("</p></body></text></TEI>"))))
+    """Documents of one paragraph, or of one line of verse, with title and author in their heads."""
+    head = F.concat(F.lit("<TEI><teiHeader><fileDesc><titleStmt><title>doc "), "doc_id", F.lit("</title><author>"), "lang", F.lit(" of <i>"), "source", F.lit("</i></author></titleStmt></fileDesc></teiHeader><text><body>"))
+    mark = F.when(F.col("doc_id") % 2 == 0, "p").otherwise("l")
+    return _read_as("tei", _payloads(spark, d, F.concat(head, F.lit("<"), mark, F.lit(">"), _escaped(F.col("text")), F.lit("</"), mark, F.lit("></body></text></TEI>"))), work="source_work", author="source_author")
 
 
-@query("S12_oai", f"WITH {J1} SELECT id, deity FROM m")
+@query("S12_oai", f"WITH {J1} SELECT id, deity, lang || '; ' || source AS author, CAST(n_chars AS VARCHAR) AS dated, 'prose; page' AS kind, 'https://h/' || id AS url FROM m JOIN documents ON id = doc_id")
 def oai(spark, d):
-    record = F.concat(F.lit('<OAI-PMH><record><metadata><oai_dc:dc xmlns:dc="x"><dc:title>doc '), "doc_id", F.lit("</dc:title><dc:description>"), _escaped(F.col("text")), F.lit("</dc:description></oai_dc:dc></metadata></record></OAI-PMH>"))
-    return _named("oai_dc", _payloads(spark, d, record))
+    """Records with elements that stand twice: creators, types, and identifiers of which one is an address."""
+    element = lambda name, value: F.concat(F.lit(f"<dc:{name}>"), value, F.lit(f"</dc:{name}>"))
+    fields = [element("title", F.concat(F.lit("doc "), "doc_id")), element("creator", F.col("lang")), element("creator", F.col("source")), element("date", F.col("n_chars").cast("string")), element("type", F.lit("prose")), element("type", F.lit("page")),
+              element("identifier", F.lit("no address")), element("identifier", F.concat(F.lit("https://h/"), "doc_id")), element("description", _escaped(F.col("text")))]
+    record = F.concat(F.lit('<OAI-PMH><record><metadata><oai_dc:dc xmlns:dc="x">'), *fields, F.lit("</oai_dc:dc></metadata></record></OAI-PMH>"))
+    return _read_as("oai_dc", _payloads(spark, d, record), author="source_author", dated="artwork_date", kind="artwork_classification", url="url")
 
 
-@query("S13_iiif", f"WITH {J1} SELECT id, deity FROM m")
+@query("S13_iiif", f"WITH {J1} SELECT id, deity, 'doc ' || id AS title, 'https://i/' || id AS url FROM m")
 def iiif(spark, d):
-    none = lambda x: F.create_map(F.lit("none"), F.array(x))
-    manifest = F.to_json(F.struct(none(F.concat(F.lit("doc "), "doc_id")).alias("label"), F.array(F.struct(none(F.lit("about")).alias("label"), none(F.col("text")).alias("value"))).alias("metadata")))
-    return _named("iiif", _payloads(spark, d, manifest))
+    """Manifests whose label and metadata are maps of languages, not the same for all."""
+    named = lambda x: F.create_map(F.coalesce("lang", F.lit("none")), F.array(x, F.lit("second")))
+    label = F.create_map(F.coalesce("lang", F.lit("none")), F.array(F.concat(F.lit("doc "), "doc_id")))
+    manifest = F.to_json(F.struct(F.concat(F.lit("https://i/"), "doc_id").alias("id"), label.alias("label"), F.array(F.struct(named(F.lit("about")).alias("label"), named(F.col("text")).alias("value"))).alias("metadata")))
+    return _read_as("iiif", _payloads(spark, d, manifest), title="artwork_title", url="url")
 
 
-@query("S14_mediawiki", f"WITH {J1} SELECT id, deity FROM m")
+@query("S14_mediawiki", f"WITH {J1} SELECT id, deity, 'https://w/' || id AS url FROM m")
 def mediawiki(spark, d):
-    page = F.create_map(F.col("doc_id").cast("string"), F.struct(F.concat(F.lit("doc "), "doc_id").alias("title"), _escaped(F.col("text")).alias("extract")))
-    return _named("mediawiki", _payloads(spark, d, F.to_json(F.struct(F.struct(page.alias("pages")).alias("query")))))
+    """Query results of two pages, one of which has no extract."""
+    entry = lambda title, url, extract: F.struct(title.alias("title"), url.alias("fullurl"), extract.alias("extract"))
+    page = F.create_map(F.col("doc_id").cast("string"), entry(F.concat(F.lit("doc "), "doc_id"), F.concat(F.lit("https://w/"), "doc_id"), _escaped(F.col("text"))), F.lit("-1"), entry(F.lit("File:x 0"), F.lit("https://w/file"), F.lit(None).cast("string")))
+    return _read_as("mediawiki", _payloads(spark, d, F.to_json(F.struct(F.struct(page.alias("pages")).alias("query")))), url="url")
 
 
 @query("S15_legacy_jsonl", f"WITH {J1} SELECT id, deity FROM m")
 def legacy_jsonl(spark, d):
     good, _ = adapters.run("plain_text", _payloads(spark, d, F.col("text")), list(ENTITIES))
-    lines = good.groupBy("deity").agg(F.array_join(F.collect_list(F.to_json(F.struct(*good.columns))), "\n").alias("payload")).select(F.col("deity").alias("source_id"), "payload")
+    lines = good.groupBy("source_work").agg(F.array_join(F.collect_list(F.to_json(F.struct(*good.columns))), "\n").alias("payload")).select(F.col("source_work").alias("source_id"), "payload")
     return _named("legacy_jsonl", lines)
 
 
@@ -152,13 +168,14 @@ def catalog_csv(spark, d):
     return records.read_catalog_csv(spark, path).select(F.col("Text#").cast("long").alias("id"), F.col("Title").alias("title"))
 
 
-LISTED = "SELECT p_brand AS name, p_name AS title, p_type AS author, min(p_partkey) AS first FROM part GROUP BY ALL"
+LISTED = "SELECT p_brand || ' shelf ' || (p_partkey // 100) AS name, p_name AS title, p_type AS author, min(p_partkey) AS first FROM part GROUP BY ALL"
 
 
 def _lists(spark, d, head, line, foot, suffix):
-    """A list of works for each brand, as one file."""
-    own = st.figures(spark, d).groupBy("tradition").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
-    files = own.select(F.concat(F.lit("/lists/"), "tradition", F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.array_join("lines", "," if foot else "\n"), F.lit(foot)).alias("content"))
+    """A list of works for each shelf of a brand, as one file; a shelf has a hundred works at most."""
+    shelf = F.concat("tradition", F.lit(" shelf "), F.floor(F.col("id") / 100).cast("string")).alias("shelf")
+    own = st.figures(spark, d).groupBy(shelf).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    files = own.select(F.concat(F.lit("/lists/"), "shelf", F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.array_join("lines", "," if foot else "\n"), F.lit(foot)).alias("content"))
     return lists.parse_lists(files, most=10**9).select("name", F.explode("items").alias("i")).select("name", "i.title", "i.author")
 
 
@@ -199,7 +216,8 @@ def refused_lists(spark, d):
 
 @query("S22_read_catalog", "SELECT p_name AS name, p_brand AS tradition, CAST(1 AS BIGINT) AS n_aliases, count(*) AS n FROM part GROUP BY ALL")
 def read_catalog(spark, d):
-    rows = st.figures(spark, d).groupBy("kind").agg(F.to_json(F.collect_list(F.struct(F.col("name").alias("deity"), "tradition", F.array("kind").alias("aliases")))).alias("j"))
+    shelf = F.floor(F.col("id") / 100).alias("shelf")
+    rows = st.figures(spark, d).groupBy("kind", shelf).agg(F.to_json(F.collect_list(F.struct(F.col("name").alias("deity"), "tradition", F.array("kind").alias("aliases")))).alias("j"))
     documents = rows.select(F.concat(F.lit('{"entities":'), "j", F.lit("}")).alias("document"))
     read = documents.select(F.explode(store.read_catalog(F.col("document"))).alias("e")).select("e.*")
     return read.groupBy("name", "tradition", F.size("aliases").cast("long").alias("n_aliases")).agg(F.count("*").alias("n"))
