@@ -267,7 +267,13 @@ def group_pairs(spark, d):
     return graph.group_pairs(table(spark, d, "nation").select(F.col("n_regionkey").alias("group"), F.col("n_nationkey").alias("id"), F.row_number().over(w).alias("pos")))
 
 
-@query("T4_slot_claims")
+@query("T4_slot_claims", """
+    WITH RECURSIVE e AS (SELECT user_id % 5 AS slot, event_id AS seq, 'u' || user_id AS holder, event_type = 'purchase' AS freed, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS k FROM events),
+    s AS (SELECT DISTINCT slot, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS holder, '' AS verdict, CAST(NULL AS VARCHAR) AS active FROM e
+        UNION ALL SELECT e.slot, e.k, e.seq, e.holder, CASE WHEN freed AND coalesce(active = e.holder, false) THEN 'released' WHEN freed THEN 'ignored' WHEN active IS NULL THEN 'claimed' ELSE 'skipped' END,
+            CASE WHEN freed AND coalesce(active = e.holder, false) THEN NULL WHEN freed THEN active ELSE coalesce(active, e.holder) END
+        FROM s JOIN e ON s.slot = e.slot AND e.k = s.k + 1)
+    SELECT slot, seq, holder, verdict FROM s WHERE k > 0""")
 def slot_claims(spark, d):
     """Users claim the slot of their list at each event and release it at a purchase."""
     def make(e):
@@ -277,7 +283,11 @@ def slot_claims(spark, d):
     return _streamed(spark, d, make)
 
 
-@query("T12_ttl_cache")
+@query("T12_ttl_cache", """
+    WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS DOUBLE) AS fetched, '' AS verdict FROM e
+        UNION ALL SELECT e.key, e.k, e.seq, CASE WHEN t - fetched <= 21600 THEN fetched ELSE t END, CASE WHEN t - fetched <= 21600 THEN 'hit' ELSE 'miss' END FROM s JOIN e ON s.key = e.key AND e.k = s.k + 1)
+    SELECT key, seq, verdict FROM s WHERE k > 0""")
 def ttl_cache(spark, d):
     """Whether each event's user is still in a cache of six hours; what is older leaves the state by a timer."""
     keyed.with_timers(spark)
