@@ -43,13 +43,13 @@ def test_concepts_covers_and_layers(spark, spread):
     edges = {(u, v) for u in name for v in name if name[v] < name[u] and not any(name[v] < name[w] < name[u] for w in name)}
     assert {(x["upper"], x["lower"]) for x in concepts.covers(lattice).collect()} == edges
     sizes = sorted({len(i) for i in want.values()})
-    by_layer = defaultdict(list)
+    by_layer, intents = defaultdict(list), {x["concept"]: x["intent"] for x in lattice.found.collect()}
     for x in concepts.layers(lattice).collect():
         assert x["layer"] == sizes.index(x["n_intent"]) + 1 and x["y"] == pytest.approx((x["layer"] - 1) / max(1, len(sizes) - 1))
         by_layer[x["layer"]].append(x)
     for own in by_layer.values():
         own.sort(key=lambda x: x["place"])
-        assert [x["place"] for x in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: (-x["n_extent"], x["concept"]))
+        assert [x["place"] for x in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda x: (-x["n_extent"], intents[x["concept"]]))
         assert [x["x"] for x in own] == pytest.approx([(k + 1) / (len(own) + 1) for k in range(len(own))])
 
 

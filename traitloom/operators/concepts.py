@@ -46,7 +46,7 @@ def trait_blocks(traits: DataFrame) -> DataFrame:
 
 
 def concepts(traits: DataFrame, least_support: int, most: int) -> Lattice:
-    """The ``most`` largest concepts by extent, then intent, then fingerprint.
+    """The ``most`` largest concepts by extent, then size of intent, then intent, which is unlike for each.
 
     Extents are that of all figures, those of traits that ``least_support`` figures hold but not
     all, and one round of pairwise intersections of these. An intent has all traits that
@@ -85,7 +85,7 @@ def concepts(traits: DataFrame, least_support: int, most: int) -> Lattice:
     intents = inside.join(F.broadcast(wanted.select("print", "n", "n_blocks")), "print").where("k = n_blocks").groupBy("print").agg(F.max("n").alias("n_extent"), F.array_sort(F.collect_list("trait")).alias("intent"))
     spark = traits.sparkSession
     top = spark.createDataFrame([(whole["print"], total, [])] if total >= LEAST_FIGURES and most else [], "print string, n_extent long, intent array<string>")
-    ranked = top.union(intents.select("print", "n_extent", "intent")).withColumn("n_intent", F.size("intent")).orderBy(F.col("n_extent").desc(), F.col("n_intent").desc(), "print").limit(most)
+    ranked = top.union(intents.select("print", "n_extent", "intent")).withColumn("n_intent", F.size("intent")).orderBy(F.col("n_extent").desc(), F.col("n_intent").desc(), "intent").limit(most)
     found = materialise(ranked.select(F.substring("print", 1, 12).alias("concept"), "print", "n_extent", "n_intent", "intent"), "concepts")
     chosen = F.broadcast(found.select("concept", "print"))
     everyone = everyone.select(F.lit(whole["print"]).alias("print"), "block", "bits")
@@ -110,7 +110,7 @@ def layers(lattice: Lattice) -> DataFrame:
     The concepts are as many as a picture shows, so one task may order them.
     """
     layer = F.dense_rank().over(Window.orderBy("n_intent"))
-    place = Window.partitionBy("layer").orderBy(F.col("n_extent").desc(), "concept")
-    placed = lattice.found.select("concept", "n_extent", "n_intent", layer.alias("layer")).withColumn("place", F.row_number().over(place))
+    place = Window.partitionBy("layer").orderBy(F.col("n_extent").desc(), "intent")
+    placed = lattice.found.select("concept", "intent", "n_extent", "n_intent", layer.alias("layer")).withColumn("place", F.row_number().over(place))
     width, last = F.count("*").over(Window.partitionBy("layer")), F.max("layer").over(Window.partitionBy())
-    return placed.select("concept", "n_extent", "n_intent", "layer", "place", (F.col("place") / (width + 1)).alias("x"), ((F.col("layer") - 1) / F.greatest(F.lit(1), last - 1)).alias("y"))
+    return placed.select("concept", "intent", "n_extent", "n_intent", "layer", "place", (F.col("place") / (width + 1)).alias("x"), ((F.col("layer") - 1) / F.greatest(F.lit(1), last - 1)).alias("y"))

@@ -143,20 +143,35 @@ def dichotomy(spark, d):
     return spark.createDataFrame([(r["path"], r["left"], r["right"], float(r["score"])) for r in rows], "path string, left string, right string, score double")
 
 
-@query("G8_formal_concepts")
+#: The thirty largest concepts of traits that twenty figures or more hold, each by its intent (l) and extent (e).
+CONCEPTS = f"""{T}, tr AS (SELECT DISTINCT category || '::' || token AS trait, figure_id FROM traits), n AS (SELECT count(DISTINCT figure_id) AS n FROM tr),
+    ex AS (SELECT trait, list_sort(list(figure_id)) AS e FROM tr GROUP BY 1), seeds AS (SELECT DISTINCT e FROM ex, n WHERE len(e) BETWEEN 20 AND n - 1),
+    met AS (SELECT DISTINCT list_sort(list_intersect(a.e, b.e)) AS e FROM seeds a JOIN seeds b ON a.e < b.e),
+    every AS (SELECT e FROM seeds UNION SELECT e FROM met WHERE len(e) >= 20 UNION SELECT list_sort(list(DISTINCT figure_id)) FROM tr),
+    closed AS (SELECT every.e, coalesce(list_sort(list(trait) FILTER (trait IS NOT NULL)), []) AS l FROM every CROSS JOIN n LEFT JOIN ex ON len(ex.e) < n AND len(every.e) <= len(ex.e) AND len(list_intersect(every.e, ex.e)) = len(every.e) GROUP BY 1),
+    top AS (SELECT e, l, len(e) AS n_extent, len(l) AS n_intent, array_to_string(l, '|') AS intent FROM closed ORDER BY n_extent DESC, n_intent DESC, l LIMIT 30)"""
+
+
+@query("G8_formal_concepts", f"WITH {CONCEPTS} SELECT n_extent, CAST(n_intent AS INTEGER) AS n_intent, intent FROM top")
 def formal_concepts(spark, d):
     found = concepts.concepts(st.traits(spark, d), 20, 30).found
-    return found.select("concept", "n_extent", "n_intent", F.array_join("intent", "|").alias("intent"))
+    return found.select("n_extent", "n_intent", F.array_join("intent", "|").alias("intent"))
 
 
-@query("G9_cover_edges")
+@query("G9_cover_edges", f"""WITH {CONCEPTS}, b AS (SELECT u.intent AS upper, o.intent AS lower FROM top u JOIN top o ON u.n_extent > o.n_extent AND len(list_intersect(u.e, o.e)) = o.n_extent)
+    SELECT upper, lower FROM b EXCEPT SELECT x.upper, y.lower FROM b x JOIN b y ON x.lower = y.upper""")
 def cover_edges(spark, d):
-    return concepts.covers(concepts.concepts(st.traits(spark, d), 20, 30))
+    lattice = concepts.concepts(st.traits(spark, d), 20, 30)
+    named = lambda c: lattice.found.select(F.col("concept").alias(f"{c}_id"), F.array_join("intent", "|").alias(c))
+    edges = concepts.covers(lattice).withColumnsRenamed({"upper": "u", "lower": "l"})
+    return edges.join(named("upper"), F.col("u") == F.col("upper_id")).join(named("lower"), F.col("l") == F.col("lower_id")).select("upper", "lower")
 
 
-@query("W11_lattice_layers")
+@query("W11_lattice_layers", f"""WITH {CONCEPTS}, y AS (SELECT *, dense_rank() OVER (ORDER BY n_intent) AS layer FROM top), p AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY n_extent DESC, l) AS place, count(*) OVER (PARTITION BY layer) AS w, max(layer) OVER () AS last FROM y)
+    SELECT intent, CAST(layer AS INTEGER) AS layer, CAST(place AS INTEGER) AS place, round(place / (w + 1), 6) AS x, round((layer - 1) / greatest(1, last - 1), 6) AS y FROM p""")
 def lattice_layers(spark, d):
-    return concepts.layers(concepts.concepts(st.traits(spark, d), 20, 30))
+    placed = concepts.layers(concepts.concepts(st.traits(spark, d), 20, 30))
+    return placed.select(F.array_join("intent", "|").alias("intent"), "layer", "place", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("G10_correspondence")
