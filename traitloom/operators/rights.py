@@ -67,8 +67,8 @@ def _any(text: Column, needles: tuple[str, ...]) -> Column:
 
 
 def embedded_notice(payload: Column) -> Column:
-    """The first and the last 64 KiB of a file as text."""
-    head, tail = (F.decode(F.substring(payload, at, NOTICE_BYTES), "UTF-8") for at in (1, -NOTICE_BYTES))
+    """The first and the last 64 KiB of a file as text; bytes that are no UTF-8, such as a letter cut in two, as U+FFFD."""
+    head, tail = (F.make_valid_utf8(F.substring(payload, at, NOTICE_BYTES).cast("string")) for at in (1, -NOTICE_BYTES))
     return F.when(F.octet_length(payload) > NOTICE_BYTES, F.concat_ws("\n", head, tail)).otherwise(head)
 
 
