@@ -17,3 +17,8 @@ def test_notices_cut_within_a_letter(spark):
     assert shown == "a" + "é" * 32_767 + "�\n" + "é" * 32_768
     shown = spark.range(1).select(rights.embedded_notice(F.encode(F.lit("é" * 50_000 + "b"), "UTF-8")).alias("n")).first()["n"]
     assert shown == "é" * 32_768 + "\n�" + "é" * 32_767 + "b"
+
+
+def test_text_lists_are_whole(spark):
+    rows = entry.queries()["S19_txt_lists"](spark, FOLDER).collect()
+    assert {(r["name"], r["title"], r["author"]) for r in rows} == {(f["tradition"], f["name"], f["kind"]) for f in st.figures(spark, FOLDER).collect()} and len(rows) == len(set(rows))

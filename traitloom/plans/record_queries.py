@@ -171,9 +171,9 @@ def catalog_csv(spark, d):
 LISTED = "SELECT p_brand || ' shelf ' || (p_partkey // 100) AS name, p_name AS title, p_type AS author, min(p_partkey) AS first FROM part GROUP BY ALL"
 
 
-def _lists(spark, d, head, line, foot, suffix):
-    """A list of works for each shelf of a brand, as one file; a shelf has a hundred works at most."""
-    shelf = F.concat("tradition", F.lit(" shelf "), F.floor(F.col("id") / 100).cast("string")).alias("shelf")
+def _lists(spark, d, head, line, foot, suffix, whole=False):
+    """A list of works for each shelf of a brand, as one file; a shelf has a hundred works at most. Or one for each whole brand."""
+    shelf = (F.col("tradition") if whole else F.concat("tradition", F.lit(" shelf "), F.floor(F.col("id") / 100).cast("string"))).alias("shelf")
     own = st.figures(spark, d).groupBy(shelf).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda x: x["line"]).alias("lines"))
     files = own.select(F.concat(F.lit("/lists/"), "shelf", F.lit(suffix)).alias("path"), F.concat(F.lit(head), F.array_join("lines", "," if foot else "\n"), F.lit(foot)).alias("content"))
     return lists.parse_lists(files, most=10**9).select("name", F.explode("items").alias("i")).select("name", "i.title", "i.author")
@@ -184,9 +184,9 @@ def csv_lists(spark, d):
     return _lists(spark, d, "Language,Author, NAME \n", F.concat(F.lit("en,"), "kind", F.lit(',"'), "name", F.lit(', ""x"""')), "", ".csv")
 
 
-@query("S19_txt_lists", f"SELECT name, title, author FROM ({LISTED})")
+@query("S19_txt_lists", "SELECT p_brand AS name, p_name AS title, p_type AS author FROM part GROUP BY ALL")
 def txt_lists(spark, d):
-    return _lists(spark, d, "# works\n\n", F.concat("name", F.when(F.col("n") % 2 == 0, " — ").otherwise(" - "), "kind"), "", ".txt")
+    return _lists(spark, d, "# works\n\n", F.concat("name", F.when(F.col("n") % 2 == 0, " — ").otherwise(" - "), "kind"), "", ".txt", whole=True)
 
 
 @query("S20_json_lists", f"SELECT name, title, author FROM ({LISTED})")

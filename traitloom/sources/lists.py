@@ -91,7 +91,9 @@ def parse_lists(files: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
                        F.when(kind == "json", json_entries(content).isNull()).otherwise(F.lit(False)).alias("broken"))
     key = lambda x: F.concat(F.lower(x["title"]), F.lit("|"), F.lower(F.coalesce(x["author"], F.lit(""))))
     titled = F.filter("items", lambda x: x["title"].isNotNull())
-    unique = let(titled, lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+    new = lambda at: F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1)["key"] != x["key"], F.lit(True)))
+    # Equal keys stand side by side once sorted, so that a long list takes no comparison of all with all.
+    unique = let(titled, lambda own: let(F.array_sort(F.transform(own, lambda x, i: F.struct(key(x).alias("key"), i.alias("i")))), lambda at: F.transform(F.array_sort(F.transform(new(at), lambda x: x["i"])), lambda i: F.get(own, i))))
     named = raw.withColumn("unique", unique)
     bad_url = F.exists("items", lambda x: x["url"].isNotNull() & ~x["url"].rlike("(?i)^https://"))
     error = (F.when(F.col("name") == "", "no name").when(~F.col("kind").isin("csv", "json", "txt", "text", ""), F.concat(F.lit("unsupported file type ."), "kind")).when(F.col("broken"), "broken JSON")
