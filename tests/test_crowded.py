@@ -22,3 +22,14 @@ def test_notices_cut_within_a_letter(spark):
 def test_text_lists_are_whole(spark):
     rows = entry.queries()["S19_txt_lists"](spark, FOLDER).collect()
     assert {(r["name"], r["title"], r["author"]) for r in rows} == {(f["tradition"], f["name"], f["kind"]) for f in st.figures(spark, FOLDER).collect()} and len(rows) == len(set(rows))
+
+
+def test_cascade_over_many_figures_of_one_name(spark):
+    n, began = 60_000, time.monotonic()
+    names = spark.range(n).select("id", F.when(F.col("id") < n - 1, "Odin").otherwise("Vali").alias("name"), F.when(F.col("id") % 2 == 0, "north").otherwise("south").alias("tradition")).union(
+        spark.createDataFrame([(7, "Wali", None), (8, "Odin", "south")], "id long, name string, tradition string"))
+    probes = spark.range(n).select(F.col("id").alias("probe"), F.when(F.col("id") == 0, "Wali").when(F.col("id") == 1, "wali").when(F.col("id") == 2, "none").otherwise("Odin").alias("name"),
+                                   F.when(F.col("id") % 3 == 0, "south").when(F.col("id") % 3 == 1, "east").otherwise(None).alias("tradition"))
+    got = {r["probe"]: (r["id"], r["level"], r["ambiguous"]) for r in graph.name_cascade(probes, names).collect()}
+    assert len(got) == n and [got[i] for i in range(7)] == [(7, 2, False), (None, 3, True), (None, None, False), (1, 1, False), (None, 2, True), (None, 2, True), (1, 1, False)]
+    assert time.monotonic() - began < 120

@@ -111,17 +111,23 @@ def name_cascade(probes: DataFrame, names: DataFrame) -> DataFrame:
     those of the probe's tradition; else it is ambiguous. (A name that several figures of one
     tradition share is decided at the first level only if it is the only one.)
     """
-    own = lambda level, key: names.select("id", F.col("tradition").alias("own_tradition"), F.lit(level).alias("level"), key.alias("key"))
+    # Figures of the same names and traditions match alike, and so do probes: each kind is matched once.
+    forms = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("name", "tradition"))).alias("forms"))
+    kinds = forms(names, "id").groupBy("forms").agg(F.min("id").alias("first"), F.count("*").alias("held")).select("first", "held", F.inline("forms"))
+    asked = forms(probes, "probe")
+    askers = asked.groupBy("forms").agg(F.min("probe").alias("asker"))
+    wanting = askers.select("asker", F.inline("forms"))
+    own = lambda df, level, key: df.select("first", "held", F.col("tradition").alias("own_tradition"), F.lit(level).alias("level"), key.alias("key"))
     starts = F.transform(F.filter(F.sequence(F.lit(1), F.length("plain")), lambda i: F.substr("plain", i, F.lit(1)).isin(" ", "(", "-")), lambda i: F.substr("plain", F.lit(1), i - 1))
-    heads = names.withColumn("plain", bare_letters(F.col("name")))
-    keys = (own(2, F.col("name")).union(own(3, F.explode(name_variants(F.col("name")))))
-            .union(heads.select("id", F.col("tradition").alias("own_tradition"), F.lit(4).alias("level"), F.explode(F.array_distinct(F.concat(starts, F.array("plain")))).alias("key"))))
-    wanted = probes.select("probe", "tradition", F.lit(2).alias("level"), F.col("name").alias("key"))
+    heads = kinds.withColumn("plain", bare_letters(F.col("name")))
+    keys = own(kinds, 2, F.col("name")).union(own(kinds, 3, F.explode(name_variants(F.col("name"))))).union(own(heads, 4, F.explode(F.array_distinct(F.concat(starts, F.array("plain"))))))
+    wanted = wanting.select("asker", "tradition", F.lit(2).alias("level"), F.col("name").alias("key"))
     for level in (3, 4):
-        wanted = wanted.union(probes.select("probe", "tradition", F.lit(level).alias("level"), F.explode(name_variants(F.col("name"))).alias("key")))
-    hits = wanted.join(keys, ["level", "key"]).select("probe", "level", "id", (F.col("tradition") == F.col("own_tradition")).alias("same")).distinct()
-    counted = hits.groupBy("probe", "level").agg(F.count("*").alias("n"), F.min("id").alias("only"), F.count_if("same").alias("n_same"), F.min(F.when(F.col("same"), F.col("id"))).alias("first_same"))
-    best = counted.groupBy("probe").agg(F.min_by(F.struct("n", "only", "n_same", "first_same", "level"), "level").alias("b")).select("probe", "b.*")
+        wanted = wanted.union(wanting.select("asker", "tradition", F.lit(level).alias("level"), F.explode(name_variants(F.col("name"))).alias("key")))
+    hits = wanted.join(keys, ["level", "key"]).select("asker", "level", "first", "held", (F.col("tradition") == F.col("own_tradition")).alias("same")).distinct()
+    counted = hits.groupBy("asker", "level").agg(F.sum("held").alias("n"), F.min("first").alias("only"), F.sum(F.when(F.col("same"), F.col("held")).otherwise(0)).alias("n_same"), F.min(F.when(F.col("same"), F.col("first"))).alias("first_same"))
+    best = counted.groupBy("asker").agg(F.min_by(F.struct("n", "only", "n_same", "first_same", "level"), "level").alias("b")).select("asker", "b.*")
+    best = asked.join(askers.join(best, "asker"), "forms").drop("forms", "asker")
     found = F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("first_same"))
     level = F.when((F.col("level") == 2) & (F.col("n_same") > 0), 1).otherwise(F.col("level"))
     return probes.select("probe").join(best, "probe", "left").select("probe", found.alias("id"), level.alias("level"), (F.coalesce("n", F.lit(0)) > 1).__and__(F.col("first_same").isNull()).alias("ambiguous"))
