@@ -33,3 +33,25 @@ def test_cascade_over_many_figures_of_one_name(spark):
     got = {r["probe"]: (r["id"], r["level"], r["ambiguous"]) for r in graph.name_cascade(probes, names).collect()}
     assert len(got) == n and [got[i] for i in range(7)] == [(7, 2, False), (None, 3, True), (None, None, False), (1, 1, False), (None, 2, True), (None, 2, True), (1, 1, False)]
     assert time.monotonic() - began < 120
+
+
+def test_identification_beside_oneself(spark):
+    names = [(1, "Thor", "a"), (2, "thor", "a"), (3, "Thor", "b"), (4, "Thor", "c"), (5, "Thor", "d"), (6, "Odin", "a"), (7, "Odin", "a"), (8, "Loki", None), (9, "Loki", "x"), (10, "Baldr", "a")]
+    targets = [(i, t, n) for i, n, t in names] + [(3, "a", "Thor"), (20, None, "Thor"), (21, "a", "thor"), (22, "x", "Loki"), (23, "q", "no one")]
+
+    def plain(i, wanted):
+        own = [t for k, t, n in targets if (k, n) == (i, wanted)]
+        met = [((0 if t is None or f is None else 1 + (t == f)), j) for t in own for j, n, f in names if n.lower() == wanted.lower() and j != i]
+        return min(met)[1] if met else None
+
+    want = {(i, n): plain(i, n) for i, _, n in targets}
+    rows = graph.identification(spark.createDataFrame(targets, "id long, tradition string, target string"), spark.createDataFrame(names, "id long, name string, tradition string")).collect()
+    assert {(r["id"], r["target"]): r["found"] for r in rows} == {k: v for k, v in want.items() if v is not None} and len(rows) == sum(v is not None for v in want.values())
+
+
+def test_identification_reads_few_of_a_crowded_name(spark):
+    n = 20_000
+    names = spark.range(n).select("id", F.lit("Thor").alias("name"), F.concat(F.lit("t"), F.col("id") % 5000).alias("tradition"))
+    began = time.monotonic()
+    got = graph.identification(names.select("id", "tradition", F.col("name").alias("target")), names).groupBy("found").count().collect()
+    assert {r["found"]: r["count"] for r in got} == {0: n - 4, 1: 4} and time.monotonic() - began < 60

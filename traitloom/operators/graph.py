@@ -136,8 +136,13 @@ def name_cascade(probes: DataFrame, names: DataFrame) -> DataFrame:
 def identification(targets: DataFrame, names: DataFrame) -> DataFrame:
     """For each (id, tradition, target name) the figure meant: another tradition first, then the smallest id."""
     known = names.select(F.col("id").alias("found"), F.lower("name").alias("key"), F.col("tradition").alias("found_tradition"))
-    # Two of each name and tradition are enough, since only the figure itself is left out.
-    known = known.withColumn("rn", F.row_number().over(Window.partitionBy("key", "found_tradition").orderBy("found"))).where("rn <= 2").drop("rn")
-    hits = targets.join(known, F.lower("target") == F.col("key")).where("found <> id")
-    order = Window.partitionBy("id", "target").orderBy((F.col("found_tradition") == F.col("tradition")).asc(), "found")
-    return hits.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("id", "target", "found")
+    # Two of each name and tradition are enough, since only the figure itself is left out, and of each name three traditions and the figures without one.
+    two = known.withColumn("rn", F.row_number().over(Window.partitionBy("key", "found_tradition").orderBy("found"))).where("rn <= 2")
+    own = two.groupBy("key", "found_tradition").agg(F.array_sort(F.collect_list(F.struct("found", "found_tradition"))).alias("own"))
+    nearest = Window.partitionBy("key", F.col("found_tradition").isNull()).orderBy(F.col("own")[0]["found"])
+    others = own.withColumn("rn", F.row_number().over(nearest)).where("rn <= 3").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("others"))
+    met = targets.withColumn("key", F.lower("target")).join(others, "key").join(own.withColumnRenamed("found_tradition", "tradition"), ["key", "tradition"], "left")
+    usable = F.filter(F.concat("others", F.coalesce("own", F.array().cast(own.schema["own"].dataType))), lambda x: x["found"] != F.col("id"))
+    # A comparison with no tradition comes first, as null does in an order.
+    best = F.array_min(F.transform(usable, lambda x: F.struct((x["found_tradition"] == F.col("tradition")).alias("same"), x["found"].alias("found"))))
+    return met.withColumn("best", best).where("best IS NOT NULL").groupBy("id", "target").agg(F.min("best")["found"].alias("found"))
