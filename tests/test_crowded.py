@@ -55,3 +55,14 @@ def test_identification_reads_few_of_a_crowded_name(spark):
     began = time.monotonic()
     got = graph.identification(names.select("id", "tradition", F.col("name").alias("target")), names).groupBy("found").count().collect()
     assert {r["found"]: r["count"] for r in got} == {0: n - 4, 1: 4} and time.monotonic() - began < 60
+
+
+def test_overlap_of_many_copies(spark):
+    n, began = 60_000, time.monotonic()
+    catalogue = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "red ring").when(F.col("id") % 3 == 1, "red bolt").otherwise("blue bolt").alias("title"), F.lit("Smith").alias("author"))
+    queries = spark.range(3000).select(F.col("id").alias("query"), F.array(F.when(F.col("id") % 2 == 0, "red").otherwise("blue"), F.lit("bolt"), F.lit("bolt"), F.lit("")).alias("tokens"))
+    got = {}
+    for r in ranking.token_overlap(catalogue, queries, 3).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"], r["score"]))
+    assert len(got) == 3000 and sorted(got[0]) == [(1, 1, 2), (2, 4, 2), (3, 7, 2)] and sorted(got[1]) == [(1, 2, 2), (2, 5, 2), (3, 8, 2)]
+    assert time.monotonic() - began < 90
