@@ -1,11 +1,13 @@
 """Many copies of few kinds: kinds are matched once, and the work grows with the rows, not with their pairs."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from traitloom.operators import graph, ranking, rights
+from traitloom.operators import traits as tr
 from traitloom.plans import stand_in as st
 
 FOLDER = "/root/testdata/sf0.001"
@@ -66,3 +68,15 @@ def test_overlap_of_many_copies(spark):
         got.setdefault(r["query"], []).append((r["rank"], r["id"], r["score"]))
     assert len(got) == 3000 and sorted(got[0]) == [(1, 1, 2), (2, 4, 2), (3, 7, 2)] and sorted(got[1]) == [(1, 2, 2), (2, 5, 2), (3, 8, 2)]
     assert time.monotonic() - began < 90
+
+
+def test_distances_of_classes_hold_all_pairs(spark):
+    rows = entry.queries()["U1_jaccard"](spark, FOLDER).collect()
+    rep = {r["a"]: r["b"] for r in rows if r["kind"] == "member"}
+    apart = {(r["a"], r["b"]): r["distance"] for r in rows if r["kind"] == "pair"}
+    sets = {f["id"]: {*f["name"].split(" "), f["kind"].lower()} for f in st.figures(spark, FOLDER).collect()}
+    assert rep.keys() == sets.keys()
+    for a in (i for i in sets if i % 100 == 0):
+        for b in sets:
+            want = round(1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+            assert a == b or want == (0 if rep[a] == rep[b] else apart.get((rep[a], rep[b]), 1))
