@@ -80,3 +80,11 @@ def test_distances_of_classes_hold_all_pairs(spark):
         for b in sets:
             want = round(1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
             assert a == b or want == (0 if rep[a] == rep[b] else apart.get((rep[a], rep[b]), 1))
+
+
+def test_graph_of_classes_holds_all_pairs(spark):
+    rows = entry.queries()["G4_cooccurrence_graph"](spark, FOLDER).collect()
+    rep, own = ({r["src"]: r[c] for r in rows if r["kind"] == "member"} for c in ("dst", "weight"))
+    linked = {(r["src"], r["dst"]): r["weight"] for r in rows if r["kind"] == "pair"}
+    got = {(a, b): own[a] if rep[a] == rep[b] else w for a in rep for b in rep if a < b and (rep[a] == rep[b] or (w := linked.get((min(rep[a], rep[b]), max(rep[a], rep[b])))))}
+    assert got == {(r["src"], r["dst"]): r["weight"] for r in tr.cooccurrence(st.traits(spark, FOLDER), 3).collect()}
