@@ -88,3 +88,20 @@ def test_graph_of_classes_holds_all_pairs(spark):
     linked = {(r["src"], r["dst"]): r["weight"] for r in rows if r["kind"] == "pair"}
     got = {(a, b): own[a] if rep[a] == rep[b] else w for a in rep for b in rep if a < b and (rep[a] == rep[b] or (w := linked.get((min(rep[a], rep[b]), max(rep[a], rep[b])))))}
     assert got == {(r["src"], r["dst"]): r["weight"] for r in tr.cooccurrence(st.traits(spark, FOLDER), 3).collect()}
+
+
+def test_top_pairs_of_crowded_classes(spark):
+    r = random.Random(5)
+    for copies, most in ((1, 5), (4, 20), (40, 20)):
+        kinds = [r.sample(range(8), r.randrange(1, 6)) for _ in range(8)]
+        sets = {i: set(kinds[r.randrange(8)]) for i in range(8 * copies)}
+        frame = spark.createDataFrame([(i, "c", f"t{x}") for i, s in sets.items() for x in s], "figure_id long, category string, token string")
+        want = sorted((-len(sets[a] & sets[b]), a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2)[:most]
+        assert [(-x["weight"], x["src"], x["dst"]) for x in tr.cooccurrence_top(frame, 2, most).collect()] == want
+
+
+def test_top_pairs_without_all_pairs(spark):
+    n, began = 40_000, time.monotonic()
+    frame = spark.range(n).select(F.col("id").alias("figure_id"), F.lit("c").alias("category"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("d"), (F.col("id") % 2).cast("string"))).alias("token"))
+    assert [(x["src"], x["dst"], x["weight"]) for x in tr.cooccurrence_top(frame, 3, 3).collect()] == [(0, 2, 4), (0, 4, 4), (0, 6, 4)]
+    assert time.monotonic() - began < 90
