@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from traitloom.functions import archive
 from traitloom.operators import graph, ranking, rights
 from traitloom.operators import traits as tr
 from traitloom.plans import stand_in as st
@@ -105,3 +106,16 @@ def test_top_pairs_without_all_pairs(spark):
     frame = spark.range(n).select(F.col("id").alias("figure_id"), F.lit("c").alias("category"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("d"), (F.col("id") % 2).cast("string"))).alias("token"))
     assert [(x["src"], x["dst"], x["weight"]) for x in tr.cooccurrence_top(frame, 3, 3).collect()] == [(0, 2, 4), (0, 4, 4), (0, 6, 4)]
     assert time.monotonic() - began < 90
+
+
+def test_candidate_scores_of_kinds_hold_all_pairs(spark):
+    rows = entry.queries()["F31_candidate_score"](spark, FOLDER).collect()
+    rep, own = ({r["probe"]: r[c] for r in rows if r["row"] == "member"} for c in ("id", "score"))
+    scores = {(r["probe"], r["id"]): r["score"] for r in rows if r["row"] == "pair"}
+    f = st.figures(spark, FOLDER)
+    a, b, word = f.where("id % 100 = 0").alias("a"), f.alias("b"), lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    item = {"title": F.concat("b.name", F.lit(" vol. "), F.col("b.n") % 4), "creator": F.col("b.kind"), "year": F.col("b.n"), "volume": F.lit(None).cast("int"), "identifier": F.lit("x")}
+    score = F.round(archive.candidate_score(F.concat("a.name", F.lit(", volume II")), F.col("a.kind"), F.col("a.n"), item), 6)
+    want = a.join(b, (word("a.name") == word("b.name")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), score.alias("s")).collect()
+    assert len(rep) == f.count() and want
+    assert all(x["s"] == (own[x["probe"]] if rep[x["probe"]] == rep[x["id"]] else scores[rep[x["probe"]], rep[x["id"]]]) for x in want)

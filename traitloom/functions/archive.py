@@ -76,19 +76,29 @@ def candidate_score(title: Column, author: Column, year: Column, item: dict[str,
     0.8. The same year adds 0.1 and one more than five years off takes it; a wanted volume
     adds 0.1, takes 0.05 if the item states none and 0.35 if another.
     """
+    return let(candidate_likeness(title, author, item), lambda k: candidate_total(k, year, item["year"]))
+
+
+def candidate_likeness(title: Column, author: Column, item: dict[str, Column]) -> Column:
+    """The parts of ``candidate_score`` that do not depend on years: a struct of likeness and volume."""
     def scored(k: Column) -> Column:
         by_run = let(longest_run(k["w"], k["t"]), lambda r: F.when((r["length"] >= 4) & (r["distinctive"] >= 2), 0.8).otherwise(0.0))
         by_author = F.when(named, 0.15 * token_similarity(k["a"], k["c"]))
-        return let(F.greatest(token_similarity(k["w"], k["t"]), by_run), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.85 * x + F.coalesce(by_author, 0.075 * x) + by_year + by_volume)))
+        return let(F.greatest(token_similarity(k["w"], k["t"]), by_run), lambda x: F.struct((0.85 * x + F.coalesce(by_author, 0.075 * x)).alias("likeness"), by_volume.alias("volume")))
 
     named = (F.coalesce(author, F.lit("")) != "") & (F.coalesce(item["creator"], F.lit("")) != "")
-    apart = F.abs(year - item["year"])
-    by_year = F.when(year.isNull() | item["year"].isNull() | (year == 0) | (item["year"] == 0), 0.0).when(apart == 0, 0.1).when(apart > 5, -0.1).otherwise(0.0)
     wanted, own = volume_number(title), item_volume(item["volume"], item["title"], item["identifier"])
     by_volume = F.when(wanted.isNull(), 0.0).when(own.isNull(), -0.05).when(own == wanted, 0.1).otherwise(-0.35)
     return let(F.struct(*[title_tokens(c).alias(n) for n, c in zip("wtac", (title, item["title"], author, item["creator"]), strict=True)]), scored)
 
 
+def candidate_total(parts: Column, year: Column, item_year: Column) -> Column:
+    """The score from the struct of ``candidate_likeness`` and both years."""
+    apart = F.abs(year - item_year)
+    by_year = F.when(year.isNull() | item_year.isNull() | (year == 0) | (item_year == 0), 0.0).when(apart == 0, 0.1).when(apart > 5, -0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts["likeness"] + by_year + parts["volume"]))
+
+
 def same_work(a: Column, b: Column) -> Column:
     """Whether two titles name one work: like enough, or with a long run in common."""
     def alike(k: Column) -> Column:
