@@ -119,3 +119,14 @@ def test_candidate_scores_of_kinds_hold_all_pairs(spark):
     want = a.join(b, (word("a.name") == word("b.name")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), score.alias("s")).collect()
     assert len(rep) == f.count() and want
     assert all(x["s"] == (own[x["probe"]] if rep[x["probe"]] == rep[x["id"]] else scores[rep[x["probe"]], rep[x["id"]]]) for x in want)
+
+
+def test_accepted_matches_of_many_copies(spark, tmp_path):
+    n = 30_000
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 1000 == 0, "red bolt").otherwise("red ring").alias("p_name"), F.lit("b").alias("p_brand"), F.when(F.col("id") % 2 == 0, "PROMO").otherwise("SMALL").alias("p_type"),
+                                 F.lit(3).alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    began = time.monotonic()
+    got = {r["probe"]: (r["id"], r["score"]) for r in entry.queries()["O9_accepted_matches"](spark, str(tmp_path)).collect()}
+    assert len(got) == n and [got[i] for i in (0, 1000, 1, 2, 3, 4)] == [(1000, 1.0), (0, 1.0), (3, 1.0), (4, 1.0), (1, 1.0), (2, 1.0)]
+    assert time.monotonic() - began < 90

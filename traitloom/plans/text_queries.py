@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from traitloom.functions import archive
@@ -12,6 +13,7 @@ from traitloom.operators import ranking, rights
 from traitloom.plans import stand_in as st
 from traitloom.plans.registry import query, table
 from traitloom.sources import records
+from traitloom.sources.scratch import materialise
 
 def text():
     return F.col("text")
@@ -141,13 +143,20 @@ def dice(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY score DESC, id) AS rn FROM s), x AS (SELECT * FROM r WHERE rn = 1), y AS (SELECT * FROM r WHERE rn = 2)
     SELECT x.probe, x.id, CAST(round(x.score, 6) AS DOUBLE) AS score FROM x LEFT JOIN y USING (probe) WHERE x.score >= 0.62 AND NOT coalesce(x.score - y.score < 0.05 AND x.work <> y.work, false)""")
 def accepted_matches(spark, d):
+    """Parts of one name, type and size score alike: names and types are scored once, and the best of a kind are among the first three of each."""
     f = st.figures(spark, d).withColumn("w", F.split_part("name", F.lit(" "), F.lit(1)))
-    a, b = f.alias("a"), f.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.id") != F.col("b.id")))
-    none = F.lit(None).cast("int")
+    looks = f.select("w", "name", "kind").distinct()
+    a, b, none = looks.alias("a"), looks.alias("b"), F.lit(None).cast("int")
     score = archive.candidate_score(F.col("a.name"), F.col("a.kind"), none, {"title": F.col("b.name"), "creator": F.col("b.kind"), "year": none, "volume": none, "identifier": F.lit(None).cast("string")})
-    scored = pairs.select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), F.col("b.name").alias("work"), score.alias("score"))
-    return ranking.accepted_matches(scored, same_work=archive.same_work).withColumn("score", F.round("score", 6))
+    scored = materialise(a.join(b, F.col("a.w") == F.col("b.w")).select(F.col("a.name").alias("name"), F.col("a.kind").alias("kind"), F.col("b.name").alias("work"), F.col("b.kind").alias("other"), score.alias("score")), "scored")
+    rank = F.row_number().over(Window.partitionBy("name", "kind", "n").orderBy("id"))
+    first = materialise(f.select("id", "name", "kind", "n").withColumn("rn", rank).where("rn <= 3").drop("rn"), "first-of-kind")
+    asked = first.select("name", "kind", "n").distinct().alias("q").join(scored.alias("s"), (F.col("q.name") == F.col("s.name")) & F.col("q.kind").eqNullSafe(F.col("s.kind"))).select("q.*", "work", "other", "score").alias("q")
+    met = asked.join(first.alias("b"), (F.col("q.work") == F.col("b.name")) & F.col("q.other").eqNullSafe(F.col("b.kind")) & (F.col("q.n") == F.col("b.n"))).select("q.name", "q.kind", "q.n", "b.id", "work", "score")
+    best = met.withColumn("rn", F.row_number().over(Window.partitionBy("name", "kind", "n").orderBy(F.col("score").desc(), "id"))).where("rn <= 3").alias("b")
+    p = f.alias("p")
+    pairs = p.join(best, (F.col("p.name") == F.col("b.name")) & F.col("p.kind").eqNullSafe(F.col("b.kind")) & (F.col("p.n") == F.col("b.n")) & (F.col("p.id") != F.col("b.id")))
+    return ranking.accepted_matches(pairs.select(F.col("p.id").alias("probe"), F.col("b.id").alias("id"), "work", "score"), same_work=archive.same_work).withColumn("score", F.round("score", 6))
 
 
 def _assessed(spark, d):
