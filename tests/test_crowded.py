@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from traitloom.functions import archive
-from traitloom.operators import graph, ranking, rights
+from traitloom.operators import dictionary, graph, ranking, rights
 from traitloom.operators import traits as tr
 from traitloom.plans import stand_in as st
 
@@ -130,3 +130,22 @@ def test_accepted_matches_of_many_copies(spark, tmp_path):
     got = {r["probe"]: (r["id"], r["score"]) for r in entry.queries()["O9_accepted_matches"](spark, str(tmp_path)).collect()}
     assert len(got) == n and [got[i] for i in (0, 1000, 1, 2, 3, 4)] == [(1000, 1.0), (0, 1.0), (3, 1.0), (4, 1.0), (1, 1.0), (2, 1.0)]
     assert time.monotonic() - began < 90
+
+
+def test_entries_looked_up_by_a_join(spark, monkeypatch):
+    """Words, marks at the ends, letters beyond ASCII and more shapes than are looked up: as with one automaton."""
+    r = random.Random(3)
+    pieces = ["Ring", "ring", "É", "ß", "No", "7", "42", "x²"]
+    made = lambda n: "".join(r.choice(pieces) + r.choice([" ", "-", ". ", "/", "  ("]) for _ in range(n)).strip(" ")
+    texts = spark.createDataFrame([(i, made(12)) for i in range(60)] + [(60, None), (61, "")], "id long, text string")
+    rows = {(loose, dictionary.folded(e) if loose else e) for e in [made(r.randrange(1, 4)) for _ in range(150)] + ["(", "--", ". "] for loose in (True, False)}
+    entries = spark.createDataFrame(sorted(rows), "loose boolean, entry string")
+    got = lambda size: sorted(tuple(x) for x in dictionary.find_entries(texts, entries, size).collect())
+    want = got(1 << 20)
+    assert len(want) > 100 and got(2000) == want
+    monkeypatch.setattr(dictionary, "MOST_SHAPES", 2)
+    assert got(2000) == want
+    monkeypatch.setattr(dictionary, "MOST_SHAPES", 32)
+    monkeypatch.setattr(dictionary, "_places", None)  # Words alone need no pass for each block.
+    words = entries.where("entry RLIKE '^[a-zA-Z]+$'")
+    assert dictionary.find_entries(texts, words, 8).count() > 20
