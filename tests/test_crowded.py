@@ -2,11 +2,13 @@
 
 import random
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from traitloom.functions import archive
+from traitloom.functions import text as tx
 from traitloom.operators import dictionary, graph, ranking, rights
 from traitloom.operators import traits as tr
 from traitloom.plans import stand_in as st
@@ -149,3 +151,12 @@ def test_entries_looked_up_by_a_join(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "_places", None)  # Words alone need no pass for each block.
     words = entries.where("entry RLIKE '^[a-zA-Z]+$'")
     assert dictionary.find_entries(texts, words, 8).count() > 20
+
+
+def test_forms_of_texts(spark):
+    """As Python's own; this cannot tell how much memory it took."""
+    rows = ["plain", "", None, "é", "é", "ﬁ ½ Å", "가", "ạ̈b", "x²\x00y"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        got = frame.select("i", tx.unicode_form(F.col("t"), form).alias("x")).collect()
+        assert {r["i"]: r["x"] for r in got} == {i: t if t is None else unicodedata.normalize(form, t) for i, t in enumerate(rows)}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +25,19 @@ def let(value: Column, body) -> Column:
 
 
 def unicode_form(text: Column, form: str) -> Column:
-    """NFC, NFD, NFKC or NFKD. Spark has none of its own; plain ASCII texts never leave the JVM."""
+    """NFC, NFD, NFKC or NFKD. Spark has none of its own; plain ASCII texts never leave the JVM.
 
-    @F.pandas_udf("string")
-    def convert(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else unicodedata.normalize(form, x))
+    A user function is called for all rows whatever branch it stands in, so ASCII texts go to it as
+    nulls. Arrow decomposes the column as it is, without an object for each text.
+    """
+
+    @F.arrow_udf("string")
+    def convert(values: pa.Array) -> pa.Array:
+        # Arrow's composed forms do not compose.
+        return pc.utf8_normalize(values, form) if form.endswith("D") else pa.array((None if x is None else unicodedata.normalize(form, x) for x in values.to_pylist()), pa.string())
 
-    return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(convert(text))
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, text).otherwise(convert(F.when(~plain, text)))
 
 
 def normalize_space(text: Column) -> Column:
