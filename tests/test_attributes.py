@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+
+import __spark_entry__ as entry
 from traitloom.functions import attributes as at
 
 PIECES = ["She wields a golden net of fire", "armed with the Spear, and more", "His symbols are the owl and the crown", "sacred to all is the white bull", "An owl was sacred", "He rode a ram", "a peacock and a cock stood by", "elephants pull it",
@@ -62,3 +65,12 @@ def test_attributes_against_plain_python(spark):
     for i, box, text in rows:
         assert got[i] == brute(box, text), (text, box)
     assert got[999] == (None,) * 4 and sum(bool(x) for v in got.values() for x in v) > 400
+
+
+@pytest.mark.parametrize("name", ["F27_objects_and_looks"])
+def test_work_is_dealt_over_the_cores(spark, name):
+    """The parts are one small file, which is read by one task."""
+    folder = "/root/testdata/sf0.001"
+    assert spark.read.parquet(f"{folder}/part.parquet").rdd.getNumPartitions() == 1
+    held = entry.queries()[name](spark, folder).rdd.glom().map(len).collect()
+    assert sum(n > 0 for n in held) >= spark.sparkContext.defaultParallelism

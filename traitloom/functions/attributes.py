@@ -79,38 +79,52 @@ def _around(text: Column, word: Column, before: int, after: int) -> Column:
     return let(F.instr(text, word), lambda at: F.substr(text, F.greatest(F.lit(1), at - before), F.least(at - 1, F.lit(before)) + (F.length(word) + after if after else F.lit(0))))
 
 
+def _with_lower(text: Column, most: int) -> Column:
+    """A text, and its first letters in small ones: what many words are looked for in is made once."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(whole.alias("text"), F.substring(F.lower(whole), 1, most).alias("lower"))
+
+
 def objects(box: Column, text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
     own = _fields(box, OBJECT_FIELDS)
-    parts = F.concat(own, F.array_except(_said(text, OBJECT_WORDINGS, 3, 80), own))
-    weapons = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({OBJECTS})\b"), F.lit(1)), F.lower))
-    return _joined(_with_new(parts, weapons, lambda w: F.lit(True)))
+
+    def found(text: Column) -> Column:
+        parts = F.concat(own, F.array_except(_said(text, OBJECT_WORDINGS, 3, 80), own))
+        weapons = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({OBJECTS})\b"), F.lit(1)), F.lower))
+        return _with_new(parts, weapons, lambda w: F.lit(True))
+
+    return _joined(let(F.coalesce(text, F.lit("")), found))
 
 
 def animals(box: Column, text: Column) -> Column:
     """Animals that an article names where something tells that they belong to the figure."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    anywhere = F.exists(_listed(ANIMAL_SIGNS), lambda s: F.contains(lower, s))
+    def found(lower: Column) -> Column:
+        anywhere = F.exists(_listed(ANIMAL_SIGNS), lambda s: F.contains(lower, s))
 
-    def counts(w: Column) -> Column:
-        framed = F.exists(F.array(*[F.concat(F.lit(a), w, F.lit(b)) for a, b in ANIMAL_FRAMES]), lambda f: F.contains(lower, f))
-        return F.contains(lower, w) & F.regexp_like(lower, F.concat(F.lit(r"\b"), w, F.lit(r"s?\b"))) & (anywhere | framed | _around(lower, w, 50, 50).rlike(NEAR_ANIMAL))
+        def counts(w: Column) -> Column:
+            framed = F.exists(F.array(*[F.concat(F.lit(a), w, F.lit(b)) for a, b in ANIMAL_FRAMES]), lambda f: F.contains(lower, f))
+            return F.contains(lower, w) & F.regexp_like(lower, F.concat(F.lit(r"\b"), w, F.lit(r"s?\b"))) & (anywhere | framed | _around(lower, w, 50, 50).rlike(NEAR_ANIMAL))
 
-    return _joined(_with_new(_fields(box, ANIMAL_FIELDS), _listed(ANIMALS), counts))
+        return _with_new(_fields(box, ANIMAL_FIELDS), _listed(ANIMALS), counts)
+
+    return _joined(let(F.lower(F.coalesce(text, F.lit(""))), found))
 
 
 def character(text: Column) -> Column:
     """Up to five traits of character: wordings first, then words that something said of the figure leads to, in the first 2000 letters."""
-    text = F.coalesce(text, F.lit(""))
-    stated = F.btrim(F.regexp_replace(F.regexp_extract(text, f"(?i)({TRAIT_STATED})", 1), "(?i)^.*(?:was|is) (?:a |an )?", ""), F.lit(" \t\n\r\f\v "))
-    said = F.concat(_said(text, TRAIT_WORDINGS, 3, 60, trimmed=False), F.filter(F.array(stated), lambda x: F.length(x).between(3, 60)))
-    lower = F.substring(F.lower(text), 1, 2000)
-    told = F.filter(_listed(TRAITS), lambda w: F.contains(lower, w) & _around(lower, w, 30, 0).rlike(BEFORE_TRAIT))
-    return _joined(F.slice(F.array_distinct(F.concat(said, told)), 1, 5))
+    def found(k: Column) -> Column:
+        text, lower = k["text"], k["lower"]
+        stated = F.btrim(F.regexp_replace(F.regexp_extract(text, f"(?i)({TRAIT_STATED})", 1), "(?i)^.*(?:was|is) (?:a |an )?", ""), F.lit(" \t\n\r\f\v "))
+        said = F.concat(_said(text, TRAIT_WORDINGS, 3, 60, trimmed=False), F.filter(F.array(stated), lambda x: F.length(x).between(3, 60)))
+        told = F.filter(_listed(TRAITS), lambda w: F.contains(lower, w) & _around(lower, w, 30, 0).rlike(BEFORE_TRAIT))
+        return F.slice(F.array_distinct(F.concat(said, told)), 1, 5)
+
+    return _joined(let(_with_lower(text, 2000), found))
 
 
 def looks(text: Column) -> Column:
     """Up to four words on a figure's looks: wordings first, then words of the first 3000 letters."""
-    text = F.coalesce(text, F.lit(""))
-    lower = F.substring(F.lower(text), 1, 3000)
-    return _joined(F.slice(_with_new(F.array_distinct(_said(text, LOOK_WORDINGS, 5, 80)), _listed(LOOKS), lambda w: F.contains(lower, w)), 1, 4))
+    def found(k: Column) -> Column:
+        return F.slice(_with_new(F.array_distinct(_said(k["text"], LOOK_WORDINGS, 5, 80)), _listed(LOOKS), lambda w: F.contains(k["lower"], w)), 1, 4)
+
+    return _joined(let(_with_lower(text, 3000), found))

@@ -12,7 +12,7 @@ from traitloom.functions import text as tx
 from traitloom.functions import tokens as tk
 from traitloom.operators import lattice, ledger, ranking, taxonomy, validation
 from traitloom.plans import stand_in as st
-from traitloom.plans.registry import query, table
+from traitloom.plans.registry import query, spread, table
 from traitloom.plans.text_queries import ENTITIES
 from traitloom.sources import adapters, lists, records, store
 from traitloom.sources.scratch import materialise, scratch_folder
@@ -503,7 +503,7 @@ def salvage(spark, d):
 
 
 def _parts(spark, d):
-    return st.figures(spark, d)
+    return spread(st.figures(spark, d))
 
 
 @query("F4_unescape", "SELECT p_partkey AS id, p_name || ' & é < ' || chr(160) || '☃ &bogus;' AS text FROM part")
