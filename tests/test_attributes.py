@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from traitloom.functions import attributes as at
+from traitloom.functions import wiki
 
 PIECES = ["She wields a golden net of fire", "armed with the Spear, and more", "His symbols are the owl and the crown", "sacred to all is the white bull", "An owl was sacred", "He rode a ram", "a peacock and a cock stood by", "elephants pull it",
           "depicted as a winged giant", "described as tall", "had a serpent's tail of gold", "with eyes like stars and more than that in a long line of words that goes on", "known for being a wise king", "marked by her patient mind", "he was cunning and brave", "It is just",
@@ -67,10 +69,18 @@ def test_attributes_against_plain_python(spark):
     assert got[999] == (None,) * 4 and sum(bool(x) for v in got.values() for x in v) > 400
 
 
-@pytest.mark.parametrize("name", ["F27_objects_and_looks"])
+@pytest.mark.parametrize("name", ["F27_objects_and_looks", "F28_relations"])
 def test_work_is_dealt_over_the_cores(spark, name):
     """The parts are one small file, which is read by one task."""
     folder = "/root/testdata/sf0.001"
     assert spark.read.parquet(f"{folder}/part.parquet").rdd.getNumPartitions() == 1
     held = entry.queries()[name](spark, folder).rdd.glom().map(len).collect()
     assert sum(n > 0 for n in held) >= spark.sparkContext.defaultParallelism
+
+
+def test_an_infobox_is_read_once(spark):
+    """What reads it stands once in the plan, whatever is asked of it."""
+    texts = spark.createDataFrame([(1, "{{Infobox deity\n| father = [[Zeus]]\n| mother = Leto\n}}")], "id int, text string")
+    kin = texts.select(wiki.relations(wiki.infobox(F.col("text"))).alias("r"))
+    assert [(r["target"], r["type"]) for r in kin.first()["r"]] == [("Zeus", "child of"), ("Leto", "child of")]
+    assert kin._jdf.queryExecution().optimizedPlan().toString().count("Infobox") == 1

@@ -93,9 +93,12 @@ def settled(text: Column, pattern: str, opening: str) -> Column:
         shorter = let(F.regexp_replace(state["text"], pattern, ""), lambda t: F.struct(t.alias("text"), (t == state["text"]).alias("done")))
         return F.when(state["done"], state).otherwise(shorter)
 
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(opening))))
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
-    return F.when(text.rlike(opening), F.aggregate(rounds, start, step, lambda state: state["text"])).otherwise(text)
+    def whole(text: Column) -> Column:
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(text, F.lit(opening))))
+        start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+        return F.when(text.rlike(opening), F.aggregate(rounds, start, step, lambda state: state["text"])).otherwise(text)
+
+    return let(text, whole)
 
 
 def strip_parens(text: Column) -> Column:

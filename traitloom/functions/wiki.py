@@ -102,11 +102,13 @@ def body_text(text: Column) -> Column:
 
 def tradition(text: Column, default: str) -> Column:
     """The tradition that the first 3000 characters of an article tell."""
-    start = F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 3000)
-    out = F.lit(default)
-    for name, words in reversed(TRADITIONS):
-        out = F.when(start.rlike("|".join(words)), F.lit(name)).otherwise(out)
-    return out
+    def told(start: Column) -> Column:
+        out = F.lit(default)
+        for name, words in reversed(TRADITIONS):
+            out = F.when(start.rlike("|".join(words)), F.lit(name)).otherwise(out)
+        return out
+
+    return let(F.substring(F.lower(F.coalesce(text, F.lit(""))), 1, 3000), told)
 
 
 def gender(box: Column, text: Column) -> Column:
@@ -165,8 +167,8 @@ def deed(text: Column, parts: Column) -> Column:
 
 def relations(box: Column) -> Column:
     """(target, type) of the kin that an infobox names."""
-    def named(key: str, kind: str) -> Column:
+    def named(box: Column, key: str, kind: str) -> Column:
         parts = F.transform(F.split(F.coalesce(F.try_element_at(box, F.lit(key)), F.lit("")), r"[,\n]+"), lambda x: F.trim(x))
         return F.transform(F.filter(parts, lambda x: (F.length(x) > 1) & (F.length(x) < 50)), lambda x: F.struct(x.alias("target"), F.lit(kind).alias("type")))
 
-    return F.concat(*[named(key, kind) for key, kind in KIN_FIELDS])
+    return let(box, lambda b: F.concat(*[named(b, key, kind) for key, kind in KIN_FIELDS]))
