@@ -136,9 +136,9 @@ def _sentence(text: Column, most: int, pattern: str) -> Column:
 def domain(box: Column, text: Column) -> Column:
     """What a figure is said to be god, patron or spirit of: the infobox, else the first wording with words of its own."""
     def said(pattern: str) -> Column:
+        own = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, rf"(?i)\b(?:{'|'.join(LITTLE_WORDS)})\b", " "), r"\s+", " "))
         found = F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i){pattern}", 1))
-        own = F.trim(F.regexp_replace(F.regexp_replace(found, rf"(?i)\b(?:{'|'.join(LITTLE_WORDS)})\b", " "), r"\s+", " "))
-        return F.when(F.length(own).between(3, 80), found)
+        return let(found, lambda x: let(F.length(own(x)), lambda n: F.when((n >= 3) & (n <= 80), x)))
 
     return F.coalesce(_field(box, DOMAIN_FIELDS), *[said(p) for p in DOMAIN_WORDINGS])
 
