@@ -69,7 +69,7 @@ def test_attributes_against_plain_python(spark):
     assert got[999] == (None,) * 4 and sum(bool(x) for v in got.values() for x in v) > 400
 
 
-@pytest.mark.parametrize("name", ["F27_objects_and_looks", "F28_relations", "F27_attributes", "F25_wikitext_markdown"])
+@pytest.mark.parametrize("name", ["F27_objects_and_looks", "F28_relations", "F27_attributes", "F25_wikitext_markdown", "F26_article"])
 def test_work_is_dealt_over_the_cores(spark, name):
     """The parts are one small file, which is read by one task."""
     folder = "/root/testdata/sf0.001"

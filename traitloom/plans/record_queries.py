@@ -557,8 +557,8 @@ def wikitext_markdown(spark, d):
 
 @query("F26_article", "SELECT p_partkey AS id, p_name AS name, p_brand || ', A' AS father, 'This is a long line of prose about ' || p_name || ' in Norse mythology, as it is told. Another long line about ' || p_brand || ' and its parents.' AS body, CAST(3 AS INTEGER) AS n_sections FROM part")
 def article(spark, d):
-    box = wiki.infobox(F.col("text"))
-    return _articles(spark, d).select("id", F.try_element_at(box, F.lit("name")).alias("name"), F.try_element_at(box, F.lit("father")).alias("father"), wiki.body_text(F.col("text")).alias("body"), F.size(wiki.sections(F.col("text"))).alias("n_sections"))
+    fields = tx.let(wiki.infobox(F.col("text")), lambda box: F.struct(*[F.try_element_at(box, F.lit(c)).alias(c) for c in ("name", "father")])).alias("b")
+    return _articles(spark, d).select("id", "text", fields).select("id", "b.name", "b.father", wiki.body_text(F.col("text")).alias("body"), F.size(wiki.sections(F.col("text"))).alias("n_sections"))
 
 
 @query("F28_relations", "SELECT p_partkey AS id, unnest([p_brand, 'none']) AS target, 'Norse' AS tradition FROM part ORDER BY ALL")
