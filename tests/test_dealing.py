@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from traitloom.operators import dealing
+from traitloom.operators import dealing, lattice
 
 
 def follow(kinds, d):
@@ -61,3 +61,21 @@ def test_no_members_and_text_keys(spark):
     rows = spark.createDataFrame([("a", True, True), ("b", True, True), ("c", False, True)], "name string, l boolean, r boolean")
     assert {x["name"]: x["side"] for x in dealing.dealt(rows, "name", F.col("l"), F.col("r")).collect()} == {"a": "L", "b": "R", "c": "R"}
     assert dealing.dealt(rows.limit(0), "name", F.col("l"), F.col("r")).collect() == []
+
+
+def _times_made(spark, work):
+    """How often a relation of traits is worked out while ``work`` uses it."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, "k", f"t{j}") for i in range(40) for j in range(6) if (i * (j + 3)) % 7 < 3]
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    work(spark.createDataFrame(rows, "figure_id long, category string, token string").mapInArrow(counted, "figure_id long, category string, token string"))
+    return seen.value / len(rows)
+
+
+def test_traits_are_made_once_for_a_dichotomy(spark):
+    assert _times_made(spark, lambda t: lattice.dichotomy(t, depth=2)) == 1

@@ -28,12 +28,13 @@ def best_split(traits: DataFrame, exclusion: float = 0.8, coverage: float = 0.1,
         return None
     order = Window.orderBy(F.col("k").desc(), "trait")
     counted = named.groupBy("trait").agg(F.count("*").alias("k")).where(F.col("k") >= least_figures).orderBy(F.col("k").desc(), "trait").limit(top).withColumn("rank", F.row_number().over(order))
-    held = named.join(counted, "trait").select("figure_id", "trait", "k", "rank")
-    a, b = held.alias("a"), held.alias("b")
-    both = a.join(b, (F.col("a.figure_id") == F.col("b.figure_id")) & (F.col("a.rank") < F.col("b.rank"))).groupBy(F.col("a.trait").alias("left"), F.col("b.trait").alias("right")).agg(F.count("*").alias("both"))
+    # Figures that hold the same of these traits count together, so pairs are made of few rows.
+    held = named.join(F.broadcast(counted), "trait").groupBy("figure_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).groupBy("ranks").agg(F.count("*").alias("n"))
+    each = held.select("ranks", "n", F.explode("ranks").alias("ra"))
+    both = each.select("n", "ra", F.explode("ranks").alias("rb")).where("ra < rb").groupBy("ra", "rb").agg(F.sum("n").alias("both"))
     x, y = counted.alias("x"), counted.alias("y")
     pairs = x.join(y, F.col("x.rank") < F.col("y.rank")).select(F.col("x.trait").alias("left"), F.col("y.trait").alias("right"), F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), F.col("x.rank").alias("ra"), F.col("y.rank").alias("rb"))
-    stats = pairs.join(both, ["left", "right"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    stats = pairs.join(both, ["ra", "rb"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     union = F.col("ka") + F.col("kb") - F.col("both")
     scored = stats.select("left", "right", "ra", "rb", (1 - F.col("both") / F.least("ka", "kb")).alias("exclusive"), (union / F.lit(n)).alias("covered"), (F.least("ka", "kb") / F.greatest("ka", "kb")).alias("balance"))
     good = scored.where((F.col("exclusive") >= exclusion) & (F.col("covered") >= coverage)).withColumn("score", F.pow("covered", 2) * 10 + F.col("balance") * 0.2)
@@ -76,7 +77,7 @@ def _grown(traits: DataFrame, depth: int, least_group: int) -> list[dict]:
             bare = members.join(rest.select("figure_id").distinct(), "figure_id", "left_anti").select("figure_id", F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("token"))
             grow(materialise(rest.join(members, "figure_id", "left_semi").select("figure_id", *tr.TRAIT).union(bare), "group"), path + side, level + 1)
 
-    grow(traits, "", 0)
+    grow(materialise(traits.select("figure_id", *tr.TRAIT), "traits"), "", 0)
     return out
 
 
