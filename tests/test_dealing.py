@@ -79,3 +79,7 @@ def _times_made(spark, work):
 
 def test_traits_are_made_once_for_a_dichotomy(spark):
     assert _times_made(spark, lambda t: lattice.dichotomy(t, depth=2)) == 1
+
+
+def test_traits_are_made_once_for_leaves(spark):
+    assert _times_made(spark, lambda t: lattice.leaves(t, depth=2).count()) == 1
