@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,25 @@ def test_resolutions_come_once_late_or_never(spark, tmp_path):
     assert got == rows(whole) and len(got) > 60 and any(not x[2] for x in got)
     plain = sorted((i, s, k) for i, s, t in blockers[:60] for k in ([k for k, o, u in resolved if o == s and t <= u <= t + 300] or [0]))
     assert got == plain
+
+
+def test_claims_of_a_large_slot_come_in_bounded_tables():
+    """All rows of a slot reach one call; they are never objects all at once, and come in the order of their numbers."""
+    class Held:
+        exists, value = False, None
+
+        def update(self, value):
+            self.value = value
+
+    rng, n = random.Random(5), 3 * ledger.ROWS + 7
+    rows = [(7, seq, f"u{rng.randrange(9)}", rng.choice(["claim", "claim", "release"])) for seq in range(n)]
+    want, active = [], None
+    for _, seq, holder, action in rows:
+        verdict = ("skipped" if active else "claimed") if action == "claim" else "released" if active == holder else "ignored"
+        active = {"claimed": holder, "released": None}.get(verdict, active)
+        want.append((7, seq, holder, verdict))
+    rng.shuffle(rows)
+    state, tables = Held(), pd.DataFrame(rows, columns=["slot", "seq", "holder", "action"])
+    found = list(ledger.settle_claims((7,), (tables[at : at + 1000] for at in range(0, n, 1000)), state))
+    assert [t for f in found for t in f.itertuples(index=False, name=None)] == want
+    assert max(map(len, found)) <= ledger.ROWS and state.value == (active,)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: Kinds of blocker and the wording that tells them.
 REASONS = (("rate_limited", "(?i)429|rate limit|too many requests"), ("timeout", "(?i)timed? ?out"), ("forbidden", "(?i)403|forbidden|robots"), ("not_found", "(?i)404|not found"), ("too_large", "(?i)too large|exceeds"))
 
+#: Rows that are Python objects at a time.
+ROWS = 1 << 14
+
 
 def read_events(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """A Parquet table (a folder or one file) as a stream.
@@ -61,27 +65,37 @@ def latest_states(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"))
 
 
+def settle_claims(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The verdicts on a slot's rows of one trigger, in bounded tables."""
+    active = state.get[0] if state.exists else None
+    # A row of a slot is held as some twenty bytes, not as objects.
+    index: dict = {}
+    parts = [(b["seq"].to_numpy(), np.fromiter((index.setdefault(h, len(index)) for h in b["holder"]), np.int32, len(b)), (b["action"] == "claim").to_numpy()) for b in batches]
+    seqs, codes, claimed = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
+    holders, order = list(index), np.argsort(seqs, kind="stable")
+    for at in range(0, len(order), ROWS):
+        own, out = order[at : at + ROWS], []
+        for seq, code, claim in zip(seqs[own].tolist(), codes[own].tolist(), claimed[own].tolist(), strict=True):
+            holder = holders[code]
+            if claim:
+                verdict = "claimed" if active is None else "skipped"
+                active = active or holder
+            else:
+                verdict = "released" if active == holder else "ignored"
+                active = None if active == holder else active
+            out.append((key[0], seq, holder, verdict))
+        yield pd.DataFrame(out, columns=["slot", "seq", "holder", "verdict"])
+    state.update((active,))
+
+
 def claims(requests: DataFrame) -> DataFrame:
     """One active holder for each slot: a request claims a free slot, its release frees it, others are skipped.
 
     ``requests`` has (slot, seq, holder, action); rows of a slot are taken in ``seq`` order
     within a trigger. The state is one holder for each slot.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.action == "claim":
-                verdict = "claimed" if active is None else "skipped"
-                active = active or row.holder
-            else:
-                verdict = "released" if active == row.holder else "ignored"
-                active = None if active == row.holder else active
-            out.append((key[0], row.seq, row.holder, verdict))
-        state.update((active,))
-        yield pd.DataFrame(out, columns=["slot", "seq", "holder", "verdict"])
-
-    return requests.groupBy("slot").applyInPandasWithState(step, "slot long, seq long, holder string, verdict string", "active string", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("slot").applyInPandasWithState(settle_claims, "slot long, seq long, holder string, verdict string", "active string", "append", GroupStateTimeout.NoTimeout)
 
 
 def resolutions(blockers: DataFrame, resolved: DataFrame, within: str = "6 hours", delay: str = "1 hour") -> DataFrame:
