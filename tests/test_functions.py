@@ -226,3 +226,17 @@ def test_claims(spark, tmp_path):
     stream.run_once(stream.claims(source), str(tmp_path / "out"), str(tmp_path / "c"))
     got = {(r["slot"], r["seq"]): r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 1): "claimed", (1, 2): "skipped", (1, 3): "ignored", (1, 4): "released", (1, 5): "claimed", (2, 1): "claimed"}
+
+
+def test_lookup_forms_take_one_pass_of_python(spark):
+    """Each user function with texts of its own holds another batch of them in another worker."""
+    import re
+    import unicodedata
+
+    from traitloom.functions import text as tx
+
+    samples = ["  Ａ ́b﻿ é ", "é  ﬁ", "a﻿̣̇x", "Å  ᾿", "plain  ASCII ", "", None]
+    rows = spark.createDataFrame(list(enumerate(samples)), "id int, text string").select("id", tx.normalized_lookup(F.col("text")).alias("key"))
+    want = [unicodedata.normalize("NFKC", re.sub(r"[\s   -     　﻿]+", " ", unicodedata.normalize("NFC", s or "")).strip(" ")).lower() for s in samples]
+    assert [r["key"] for r in rows.orderBy("id").collect()] == want
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

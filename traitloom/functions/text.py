@@ -19,6 +19,10 @@ SCRIPTS = (("[\\x{3040}-\\x{30ff}]", "ja"), ("[\\x{ac00}-\\x{d7af}]", "ko"), ("[
 LETTERS = {"æ": "ae", "œ": "oe", "ø": "o", "ß": "ss", "ð": "d", "þ": "th", "ł": "l", "đ": "d"}
 
 
+#: Rows whose texts are Python objects at a time.
+ROWS = 256
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``, within one row."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -33,8 +37,12 @@ def unicode_form(text: Column, form: str) -> Column:
 
     @F.arrow_udf("string")
     def convert(values: pa.Array) -> pa.Array:
+        if form.endswith("D"):
+            return pc.utf8_normalize(values, form)
         # Arrow's composed forms do not compose.
-        return pc.utf8_normalize(values, form) if form.endswith("D") else pa.array((None if x is None else unicodedata.normalize(form, x) for x in values.to_pylist()), pa.string())
+        parts = (values.slice(at, ROWS).to_pylist() for at in range(0, len(values), ROWS))
+        made = [pa.array([None if x is None else unicodedata.normalize(form, x) for x in own], pa.string()) for own in parts]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     plain = text.rlike(r"^[\x00-\x7F]*$")
     return F.when(plain, text).otherwise(convert(F.when(~plain, text)))
@@ -57,8 +65,11 @@ def word_count(text: Column) -> Column:
 
 
 def normalized_lookup(text: Column) -> Column:
-    """The form under which names are looked up: compatibility forms folded, small letters."""
-    return F.lower(unicode_form(normalize_space(text), "NFKC"))
+    """The form under which names are looked up: compatibility forms folded, small letters.
+
+    Canonical forms are not made before: they leave runs of blanks as they are, and NFKC makes them.
+    """
+    return F.lower(unicode_form(collapse_space(text), "NFKC"))
 
 
 def strip_diacritics(text: Column) -> Column:
