@@ -83,3 +83,7 @@ def test_traits_are_made_once_for_a_dichotomy(spark):
 
 def test_traits_are_made_once_for_leaves(spark):
     assert _times_made(spark, lambda t: lattice.leaves(t, depth=2).count()) == 1
+
+
+def test_traits_are_made_once_for_correspondence(spark):
+    assert _times_made(spark, lambda t: lattice.correspondence(t)[0].count()) == 1

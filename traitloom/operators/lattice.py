@@ -133,6 +133,8 @@ def correspondence(traits: DataFrame, axes: int = 5, least_figures: int = 1, dri
     ``driver_traits`` traits is decomposed on the driver, a larger one by iteration over the
     table: the same axes, up to convergence. Signs are settled by the entry of largest size.
     """
+    # Written once: counts, cells and figures all read it.
+    traits = materialise(traits, "ca-traits-of-figures")
     counted = tr.trait_counts(traits).where(F.col("n_figures") >= least_figures)
     index = materialise(counted.orderBy(F.col("n_figures").desc(), *tr.TRAIT).select(*tr.TRAIT, "n_figures", F.monotonically_increasing_id().alias("j")), "ca-traits")
     m, total = index.agg(F.count("*"), F.sum("n_figures")).first()
