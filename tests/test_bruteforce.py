@@ -369,6 +369,31 @@ def test_adapters_put_aside_what_is_broken(spark):
         adapters.run("gopher", payload, [])
 
 
+def _payloads_read(spark, payloads, work):
+    """How often each payload is read while ``work`` uses a table of them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    work(spark.createDataFrame(payloads, "source_id string, payload string, family string").mapInArrow(counted, "source_id string, payload string, family string"))
+    return seen.value / len(payloads)
+
+
+OAI = '<OAI-PMH><record><metadata><dc:title>A</dc:title><dc:creator>B</dc:creator><dc:creator>C</dc:creator><dc:identifier>no address</dc:identifier><dc:identifier>https://h/1</dc:identifier><dc:description>the clown &amp; me</dc:description></metadata></record></OAI-PMH>'
+
+
+def test_payloads_are_read_once_for_their_records(spark):
+    """By one family's adapter; an element is looked for once, whatever fields it goes into."""
+    made = []
+    assert _payloads_read(spark, [("s1", OAI, "oai_dc")], lambda p: made.extend(adapters.run("oai_dc", p.drop("family"), [("clown", "x", [])])[0].collect())) == 1
+    assert [(r["source_work"], r["source_author"], r["locator"], r["url"], r["excerpt"], r["artwork_date"]) for r in made] == [("A", "B; C", "no address", "https://h/1", "A the clown & me", None)]
+    plan = spark.range(1).select(F.lit(OAI).alias("payload")).select(adapters.oai_dc().alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("?description") == 2, "once in the opening tag's pattern, once in the closing one's"
+
+
 def test_lists_in_odd_forms(spark):
     rows = [("x/My list.csv", 'Lang,Writer,Work,Link\nEN,"A, ""B""",  One\t two ,https://h/\n\n,,,\nfr,C,Two,\n'), ("plain.csv", "One,A\nTwo\n"), ("l.json", '["One", {"name": "Two", "author": "A", "url": "https://h"}]'), ("n", "# c\nOne — A\nTwo - B - C\n")]
     out = {r["name"]: r for r in lists.parse_lists(spark.createDataFrame(rows, "path string, content string")).collect()}
