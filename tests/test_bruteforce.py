@@ -394,6 +394,22 @@ def test_payloads_are_read_once_for_their_records(spark):
     assert plan.count("?description") == 2, "once in the opening tag's pattern, once in the closing one's"
 
 
+def test_payloads_of_all_families_are_read_together(spark):
+    """Once for all whose passages are read, once more for lines of records."""
+    payloads = [("s1", OAI, "oai_dc"), ("s2", "<TEI><text><body><p>A clown</p></body></text></TEI>", "tei"), ("s3", "One clown", "plain_text"), ("s4", "clown", "gopher"), ("s5", "clown", None),
+                ("s6", '{"query":{"pages":{"1":{"title":"T","extract":"the clown"}}}}', "mediawiki"), ("s7", '{"id":"https://i","label":{"en":["clown"]}}', "iiif"), ("s8", '{"deity":"d","family":"x"}', "legacy_jsonl")]
+    told = []
+
+    def work(frame):
+        good, broken, refused = adapters.run_each(frame, [("clown", "x", [])])
+        told.append(sorted((r["family"], r["deity"], r["excerpt"]) for r in good.collect()))
+        told.append([(r["family"], r["deity"], "unknown:family" in r["broken"]) for r in broken.collect()])
+
+    # The good and the broken records are asked for apart, and lines of records are read for each.
+    assert _payloads_read(spark, payloads, work) == 3
+    assert told == [[("iiif", "clown", "clown"), ("mediawiki", "clown", "the clown"), ("oai_dc", "clown", "A the clown & me"), ("plain_text", "clown", "One clown"), ("tei", "clown", "A clown")], [("legacy_jsonl", "d", False)]]
+
+
 def test_lists_in_odd_forms(spark):
     rows = [("x/My list.csv", 'Lang,Writer,Work,Link\nEN,"A, ""B""",  One\t two ,https://h/\n\n,,,\nfr,C,Two,\n'), ("plain.csv", "One,A\nTwo\n"), ("l.json", '["One", {"name": "Two", "author": "A", "url": "https://h"}]'), ("n", "# c\nOne — A\nTwo - B - C\n")]
     out = {r["name"]: r for r in lists.parse_lists(spark.createDataFrame(rows, "path string, content string")).collect()}

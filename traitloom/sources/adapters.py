@@ -134,8 +134,11 @@ def run(family: str, payloads: DataFrame, entities: Entities) -> tuple[DataFrame
 def run_each(payloads: DataFrame, entities: Entities) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Payloads of all families (``family`` beside the rest), each read by its family's adapter: good records, broken ones, and payloads of unknown families.
 
-    Records carry their family; each adapter reads its own payloads only.
+    Records carry their family. Families whose passages are read go through one pass together.
     """
-    made = [[f.withColumn("family", F.lit(family)) for f in run(family, payloads.where(F.col("family") == family).drop("family"), entities)] for family in sorted(ADAPTERS)]
-    good, broken = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own) for own in zip(*made, strict=True))
-    return good, broken, payloads.where(~F.coalesce(F.col("family").isin(*ADAPTERS), F.lit(False)))
+    family = F.col("family")
+    passages = reduce(lambda out, f: out.when(family == f, READERS[f]().cast(PASSAGES)), sorted(READERS), F.when(F.lit(False), F.array().cast(PASSAGES)))
+    made = [_records(payloads.where(family.isin(*READERS)), passages, entities, ("family",))]
+    made += [ADAPTERS[f](payloads.where(family == f).drop("family"), entities).withColumn("family", F.lit(f)) for f in sorted(ADAPTERS) if f not in READERS]
+    good, broken = _checked(reduce(DataFrame.unionByName, made))
+    return good, broken, payloads.where(~F.coalesce(family.isin(*ADAPTERS), F.lit(False)))
