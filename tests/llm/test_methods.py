@@ -392,3 +392,11 @@ def test_a_thousand_whole_licence_texts(spark, block_bytes):
                     accepted[t.label] = share
         assert got[i][0] == ",".join(sorted(accepted)) and got[i][1] == pytest.approx(min(1.0, max(accepted.values(), default=0.0)))
     assert sum(bool(x) for x, _ in got.values()) > 10
+
+
+def test_units_of_a_chunk_are_cut_once():
+    """A chunk's units are asked for by itself and by its neighbours."""
+    from traitloom.llm import linededup
+
+    cut = linededup.Texts([b"one two three four five six seven eight nine.\n" * 6])
+    assert cut.held(0) is cut.held(0) and cut.unit_hashes(0) is cut.unit_hashes(0)

@@ -151,6 +151,8 @@ class Texts:
 
     def __init__(self, texts: list[bytes]):
         self.texts, self.data = texts, b"\n".join(texts)
+        self._held: dict[int, list[bytes]] = {}
+        self._unit_hashes: dict[int, list[int]] = {}
         sizes = np.array([len(t) for t in texts], np.int64)
         #: Where each text ends in the joined bytes; a line break follows.
         self.ends = np.cumsum(sizes + 1) - 1
@@ -198,15 +200,18 @@ class Texts:
         self.word_bounds = np.searchsorted(self.words.starts, np.append(self.begins, len(self.data)))
 
     def held(self, chunk: int) -> list[bytes]:
-        """The stripped units of a chunk that are not blank."""
-        out = []
-        for u in self.filled[self.heads[chunk] : self.tails[chunk]].tolist():
-            out.append(self.data[self.words.starts[self.unit_first[u]] : self.words.ends[self.unit_last[u] - 1]])
-        return out
+        """The stripped units of a chunk that are not blank; a chunk is asked for by its neighbours too, so they are kept."""
+        if chunk not in self._held:
+            own = self.filled[self.heads[chunk] : self.tails[chunk]]
+            starts, ends = self.words.starts[self.unit_first[own]], self.words.ends[self.unit_last[own] - 1]
+            self._held[chunk] = [self.data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return self._held[chunk]
 
     def unit_hashes(self, chunk: int) -> list[int]:
         """XXH3 of the bytes of each unit of a chunk."""
-        return [xxhash.xxh3_64_intdigest(unit) - (1 << 63) for unit in self.held(chunk)]
+        if chunk not in self._unit_hashes:
+            self._unit_hashes[chunk] = [xxhash.xxh3_64_intdigest(unit) - (1 << 63) for unit in self.held(chunk)]
+        return self._unit_hashes[chunk]
 
 
 def line_chunks(text: bytes) -> list[tuple[list[bytes], list[bytes]]]:
@@ -529,14 +534,15 @@ def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
                 held = np.flatnonzero(sieve.holds(found.names) & has_names[group.start : group.stop][found.of])
                 windows, begins = found.windows(held)
                 one_by_one = np.isin(found.names[held], crowded)
-                for s, begin, single in zip(held.tolist(), begins.tolist(), one_by_one.tolist(), strict=True):
+                whole, length = held[~one_by_one], found.length[held]
+                if len(whole):
+                    keys = [batch.column(c).take(pa.array(found.of[whole] + group.start)) for c in (0, 1)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(found.length[whole])].astype(np.int32)), pa.array(windows[np.repeat(~one_by_one, length)]))
+                    stretches = [pa.array(np.full(len(whole), OPEN, np.int32)), pa.array(found.at[whole].astype(np.int32)), pa.array(found.names[whole]), *[pa.nulls(len(whole), t) for t in arrow[3:6]], lists]
+                    yield pa.RecordBatch.from_arrays([*keys, *stretches], names=names)
+                for s, begin in zip(held[one_by_one].tolist(), begins[one_by_one].tolist(), strict=True):
                     i, at, name = group[int(found.of[s])], int(found.at[s]), int(found.names[s])
-                    own = windows[begin : begin + int(found.length[s])]
-                    if not single:
-                        of.append(i)
-                        out.append((OPEN, at, name, None, None, None, own))
-                        continue
-                    for k, h in enumerate(own.tolist()):
+                    for k, h in enumerate(windows[begin : begin + int(found.length[s])].tolist()):
                         if h and (given := earliest.later((name, h), (ids[i] is None, ids[i], text_hashes[i], at + k))):
                             of.append(None if given[1][1:] != (ids[i], text_hashes[i], at + k) else i)
                             out.append((given[0], given[1][3], _mixed_pair(name, h), None, None, None, [h], given[1][1:3]))
