@@ -400,3 +400,26 @@ def test_units_of_a_chunk_are_cut_once():
 
     cut = linededup.Texts([b"one two three four five six seven eight nine.\n" * 6])
     assert cut.held(0) is cut.held(0) and cut.unit_hashes(0) is cut.unit_hashes(0)
+
+
+def test_line_dedup_reads_many_texts_together():
+    from traitloom.llm import linededup
+
+    r = random.Random(3)
+    texts = [" ".join(r.choices("abcdefg", k=k)).encode() for k in (0, 60, 49, 50, 200)] + [b"a b " * 70, b"one two three. \t four five\nsix!  seven? eight " * 20]
+    cut = linededup.Texts(texts)
+    which = [1, 3, 4, 5, 6]
+    for i, listed in zip(which, linededup.listed_windows(cut, which), strict=True):
+        words = texts[i].split()
+        assert listed.tolist() == [k for k, _ in linededup.distinct_windows([(k, b" ".join(words[k : k + 50])) for k in range(len(words) - 49)])]
+    alone = linededup.Texts(texts)
+    cut.take(np.array([0, len(cut.heads) - 1]))
+    assert len(cut._held) >= 3
+    assert all(cut.held(k) == alone.held(k) and cut.unit_hashes(k) == alone.unit_hashes(k) for k in range(len(cut.heads)))
+    # Names are least hashes, yet no part is crowded; a sieve by parts holds all that it was made from.
+    names = np.random.default_rng(1).integers(0, 1 << 63, (4000, 26), np.int64).min(axis=1)
+    assert np.bincount(linededup._parts(names, 8), minlength=8).max() < 700
+    values, counts = linededup._longs(linededup._long_lists(names, np.array([0, 1000, 3000])).slice(1))
+    assert values.tolist() == names.tolist() and counts.tolist() == [1000, 3000]
+    told = linededup._merged(np.array([5, 7, 5]), np.ones(3, np.int64), np.array([3, 3, 1]), np.array([3, 3, 1]))
+    assert sorted(zip(*(x.tolist() for x in told), strict=True)) == [(5, 2, 1, 3), (7, 1, 3, 3)]

@@ -56,7 +56,9 @@ WINDOW, ANCHOR = 50, 25
 MULTIPLIER = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 #: Bits of a sieve for each hash, how many of them a hash sets, and bits at most and at least in all.
-SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 32, 6, 1 << 28, 1 << 12
+SIEVE_SHARE, SIEVE_PROBES, SIEVE_MOST, SIEVE_LEAST = 32, 6, 1 << 28, 1 << 16
+#: Hashes that are brought together at a time, in how many parts at least and at most; a power of two.
+PART, LEAST_PARTS, MOST_PARTS = 1 << 18, 64, 1 << 16
 #: Bytes of texts whose words are hashed at a time, so that the numbers stay in a core's cache.
 GROUP_BYTES = 1 << 17
 #: A name held by more texts than this, and than this part of all, is crowded; so there are few of them.
@@ -66,7 +68,7 @@ MOST_KEYS = 1 << 20
 #: Windows of crowded names that a task remembers.
 REMEMBERED = 200_000
 BREAK = re.compile(rb"[.!?][ \t]+|\n")
-IS_SPACE, IS_STOP = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?"))
+IS_SPACE, IS_STOP, IS_BLANK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b".!?", b" \t"))
 POWER_TURN = GROUP_BYTES
 POWERS, INVERSE = (np.multiply.accumulate(np.array([1] + [x] * (2 * GROUP_BYTES), np.uint64)) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64)))
 #: Bytes of a word that are hashed with those of all others at once.
@@ -118,10 +120,13 @@ class Words:
         np.take(IS_SPACE, own, out=gap[1:-1])
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         starts, ends = edges[::2], edges[1::2]
-        blank = (own == 32) | (own == 9)
-        turns = np.flatnonzero(np.append(blank, False) != np.append(False, blank))
-        first, after = turns[::2], turns[1::2]
-        stops = after[(first > 0) & IS_STOP[own[np.maximum(first, 1) - 1]]]
+        # Blanks after a stop begin where a word ends, and most are one.
+        stops = ends[IS_STOP[own[ends - 1]]]
+        stops = stops[IS_BLANK[own[np.minimum(stops, end - at - 1)]] & (stops < end - at)] + 1
+        longer = np.flatnonzero(IS_BLANK[own[np.minimum(stops, end - at - 1)]] & (stops < end - at))
+        if len(longer):
+            others = np.append(np.flatnonzero(~IS_BLANK[own]), end - at)
+            stops[longer] = others[np.searchsorted(others, stops[longer])]
         breaks = np.sort(np.concatenate([stops, np.flatnonzero(own == 10) + 1]))
         units = np.append(0, breaks[breaks < len(own)])
         word = np.searchsorted(starts, np.append(units, len(own)))
@@ -199,6 +204,21 @@ class Texts:
         self.unit_bounds = np.searchsorted(self.unit_of, np.arange(len(self.texts) + 1))
         self.word_bounds = np.searchsorted(self.words.starts, np.append(self.begins, len(self.data)))
 
+    def take(self, chunks: np.ndarray) -> None:
+        """Read the units of chunks and of their neighbours, and hash them, together."""
+        wanted = np.zeros(len(self.heads) + 2, bool)
+        for k in range(3):
+            wanted[chunks + k] = True
+        own = np.flatnonzero(wanted[1:-1])
+        sizes = self.tails[own] - self.heads[own]
+        ends = np.cumsum(sizes)
+        at = self.filled[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.heads[own] - (ends - sizes), sizes)]
+        starts, stops = self.words.starts[self.unit_first[at]].tolist(), self.words.ends[self.unit_last[at] - 1].tolist()
+        units = list(map(self.data.__getitem__, map(slice, starts, stops)))
+        hashes = [h - (1 << 63) for h in map(xxhash.xxh3_64_intdigest, units)]
+        for chunk, a, b in zip(own.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            self._held[chunk], self._unit_hashes[chunk] = units[a:b], hashes[a:b]
+
     def held(self, chunk: int) -> list[bytes]:
         """The stripped units of a chunk that are not blank; a chunk is asked for by its neighbours too, so they are kept."""
         if chunk not in self._held:
@@ -336,9 +356,11 @@ class Stretches:
         hashes = np.zeros(0, np.uint64) if not len(index) else self._digests(index) if exact else run_hashes(self.words, WINDOW)[index]
         hashes = np.maximum(hashes, np.uint64(1)).view(np.int64)
         of, at = np.repeat(self.of[held], length), np.arange(len(index)) + np.repeat(self.at[held] - (ends - length), length)
-        order = np.lexsort((hashes, of))
-        again = np.flatnonzero((hashes[order[1:]] == hashes[order[:-1]]) & (of[order[1:]] == of[order[:-1]]))
-        for text in np.unique(of[order[again]]).tolist():
+        # Windows of one text that are equal have one key; others seldom do, and the texts of all such are looked at.
+        keys = hashes ^ of * np.uint64(MULTIPLIER).view(np.int64)
+        ordered = np.sort(keys)
+        again = np.isin(keys, ordered[1:][ordered[1:] == ordered[:-1]])
+        for text in np.unique(of[again]).tolist():
             own = np.flatnonzero(of == text)
             listed = {i for i, _ in distinct_windows(list(zip(at[own].tolist(), hashes[own].tolist(), strict=True)))}
             hashes[own[[i not in listed for i in at[own].tolist()]]] = 0
@@ -357,12 +379,15 @@ def grouped(texts: list[bytes]) -> Iterator[range]:
         yield range(first, len(texts))
 
 
-def listed_windows(text: bytes) -> list[int]:
-    """The windows of a text but those that overlap an equal one before."""
-    found = Stretches(Texts([text]))
-    hashes, begins = found.windows(np.arange(len(found.names)), exact=False)
-    at = np.arange(len(hashes)) + np.repeat(found.at - begins, found.length)
-    return at[hashes != 0].tolist()
+def listed_windows(cut: Texts, which: list[int]) -> list[np.ndarray]:
+    """Of several texts, the windows of ``which`` but those that overlap an equal one before."""
+    found = Stretches(cut)
+    held = np.flatnonzero(np.isin(found.of, which))
+    hashes, begins = found.windows(held, exact=False)
+    at = (np.arange(len(hashes)) + np.repeat(found.at[held] - begins, found.length[held]))[hashes != 0]
+    of = np.repeat(found.of[held], found.length[held])[hashes != 0]
+    bounds = np.searchsorted(of, np.append(which, len(cut.texts)))
+    return [at[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -371,48 +396,164 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumn("text_hash", F.xxhash64("text")).withColumn("key", F.xxhash64("id", "text_hash"))
 
 
-def _long_lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+def _long_lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``values`` in lists of so many, each as the bytes of its longs, which pass between tasks as they are."""
+    offsets = np.append(0, np.cumsum(counts * 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, np.int64))])
+
+
+def _longs(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The longs of all lists, end to end, and how many each has."""
+    offsets, data = lists.buffers()[1:] if len(lists) else (None, None)
+    if offsets is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, np.int32, len(lists) + 1, 4 * lists.offset).astype(np.int64)
+    n = int(ends[-1] - ends[0]) // 8
+    return np.frombuffer(data, np.int64, n, int(ends[0])) if n else np.zeros(0, np.int64), np.diff(ends) // 8
+
+
+def _utf8(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def _distinct(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By text and hash, the places of the first of equal ones, and of the second."""
+    order = np.lexsort((hashes, of))
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = (hashes[order[1:]] != hashes[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+    return order[new[:-1]], order[1:][~new[1:-1] & new[:-2]]
 
 
 def _hashes(rows: DataFrame) -> DataFrame:
-    """(id, text_hash, key, hashes, names, twice): a text's chunk hashes and window names, each once, and those of both that it has twice."""
+    """(id, text_hash, key, size, hashes, names, twice): a text's chunk hashes and window names, each once, those of both that it has twice, and how many these are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
-            hashes, names, twice = [], [], []
+            texts = _utf8(batch.column(3))
+            values, counts = ([], [], []), ([], [], [])
             for group in grouped(texts):
                 cut = Texts([texts[i] for i in group])
                 found = Stretches(cut)
-                bounds = np.searchsorted(found.of, np.arange(len(group) + 1))
-                for k in range(len(group)):
-                    own, n = np.unique(cut.chunk_hash[cut.chunk_bounds[k] : cut.chunk_bounds[k + 1]], return_counts=True)
-                    named, length = found.names[bounds[k] : bounds[k + 1]], found.length[bounds[k] : bounds[k + 1]]
-                    # The run of words that names so long a stretch stands at two places.
-                    name, m = np.unique(np.concatenate([named, named[length > WINDOW - ANCHOR + 1]]), return_counts=True)
-                    hashes.append(own)
-                    names.append(name)
-                    twice.append(np.concatenate([own[n > 1], name[m > 1]]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(_long_lists, (hashes, names, twice))], names=["id", "text_hash", "key", "hashes", "names", "twice"])
-
-    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("hashes", "names", "twice")]
+                # The run of words that names so long a stretch stands at two places.
+                long = np.flatnonzero(found.length > WINDOW - ANCHOR + 1)
+                of, named = np.concatenate([found.of, found.of[long]]), np.concatenate([found.names, found.names[long]])
+                own, again = _distinct(cut.chunk_of, cut.chunk_hash)
+                name, twice = _distinct(of, named)
+                both = np.concatenate([cut.chunk_of[again], of[twice]])
+                order = np.argsort(both, kind="stable")
+                lists = (cut.chunk_of[own], cut.chunk_hash[own]), (of[name], named[name]), (both[order], np.concatenate([cut.chunk_hash[again], named[twice]])[order])
+                for k, (place, hashes) in enumerate(lists):
+                    values[k].append(hashes)
+                    counts[k].append(np.bincount(place, minlength=len(group)))
+            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            sizes = [join(n) for n in counts]
+            lists = [_long_lists(join(v), n) for v, n in zip(values, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sum(sizes).astype(np.int64)), *lists], names=["id", "text_hash", "key", "size", "hashes", "names", "twice"])
+
+    lists = [T.StructField(n, T.BinaryType()) for n in ("hashes", "names", "twice")]
     picked = rows.select("id", "text_hash", "key", "text")
-    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:3], *lists]))
+    return picked.mapInArrow(run, T.StructType([*picked.schema.fields[:3], T.StructField("size", T.LongType()), *lists]))
+
+
+def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each hash: the leading bits of a product, since names, as least hashes, begin with few bits."""
+    return (_spread(hashes) >> np.uint64(65 - parts.bit_length())).astype(np.int64) if parts > 1 else np.zeros(len(hashes), np.int64)
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) * np.uint64(MULTIPLIER)
+
+
+def _merged(hashes: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One of equal hashes, by the order of parts: how many there are in all, their least and their greatest text."""
+    order = np.argsort(_spread(hashes))
+    hashes = hashes[order]
+    firsts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[firsts], np.add.reduceat(n[order], firsts), np.minimum.reduceat(least[order], firsts), np.maximum.reduceat(most[order], firsts)
+
+
+def _repeated(hashed: DataFrame) -> tuple[DataFrame, int]:
+    """(part, hashes, counts, size, total): by parts, the hashes that stand in two texts or twice in one, and in how many; and the number of parts.
+
+    Each batch gives one entry of a hash for each part's row, so a common hash crowds no part.
+    """
+    total, parts = hashed.agg(F.sum("size")).first()[0] or 0, LEAST_PARTS
+    while parts < MOST_PARTS and parts * PART < total:
+        parts *= 2
+    names = ["hashes", "counts", "least", "most"]
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = [_longs(c) for c in batch.columns[1:]]
+            of = np.concatenate([np.repeat(texts, n) for _, n in lists])
+            twice = np.arange(len(of)) >= len(of) - len(lists[-1][0])
+            if len(of):
+                told = _merged(np.concatenate([v for v, _ in lists]), np.ones(len(of), np.int64), np.where(twice, low, of), np.where(twice, high, of))
+                part, counts = np.unique(_parts(told[0], parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part), *[_long_lists(v, counts) for v in told]], names=["part", *names])
+
+    def merge(group: pa.Table) -> pa.Table:
+        told = _merged(*[np.concatenate([_longs(c)[0] for c in group.column(k).chunks]) for k in names])
+        own = told[2] != told[3]
+        hashes, counts = told[0][own], told[1][own]
+        lists = [_long_lists(v, np.array([len(hashes)])) for v in (hashes, counts)]
+        return pa.table([group.column("part").slice(0, 1), *lists, pa.array([len(hashes)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["part", *names[:2], "size", "total"])
+
+    spread = hashed.select("text_hash", "hashes", "names", "twice").mapInArrow(run, "part long, " + ", ".join(f"{n} binary" for n in names))
+    return materialise(spread.groupBy("part").applyInArrow(merge, "part long, hashes binary, counts binary, size long, total long"), "repeated"), parts
+
+
+def _part_sieve(repeated: DataFrame, parts: int, n: int) -> Sieve:
+    """The sieve of the hashes of :func:`_repeated`, made by parts; at most SIEVE_MOST bits reach the driver."""
+    bits = SIEVE_LEAST * parts // LEAST_PARTS
+    while bits < min(SIEVE_MOST, SIEVE_SHARE * n):
+        bits *= 2
+    own = bits // parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, hashes in zip(batch.column(0).to_pylist(), (_longs(batch.column(1).slice(k, 1))[0] for k in range(batch.num_rows)), strict=True):
+                held = np.zeros(own, np.uint8)
+                for bit in Sieve.bits(hashes, own):
+                    held[bit] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.packbits(held, bitorder="little").tobytes()])], names=["part", "words"])
+
+    words = np.zeros(bits // 64, np.int64)
+    for row in repeated.select("part", "hashes").mapInArrow(run, "part long, words binary").collect():
+        words[row["part"] * own // 64 : (row["part"] + 1) * own // 64] = np.frombuffer(row["words"], np.int64)
+    return Sieve(words, parts)
+
+
+def _crowded(repeated: DataFrame, least: int) -> set[int]:
+    """The hashes that more than ``least`` texts hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (hashes, _), (counts, _) = _longs(batch.column(0)), _longs(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[counts > least])], names=["hash"])
+
+    return {r["hash"] for r in repeated.select("hashes", "counts").mapInArrow(run, "hash long").collect()}
 
 
 class Sieve:
-    """A Bloom filter: words of 64 bits."""
+    """A Bloom filter: words of 64 bits, of which each part of the hashes has an equal share."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, words: np.ndarray, parts: int = 1):
+        self.words, self.parts = words, parts
+
+    @staticmethod
+    def bits(hashes: np.ndarray, own: int) -> Iterator[np.ndarray]:
+        """The bits that hashes set among the ``own`` ones of their part."""
+        at, step = hashes & (own - 1), (hashes >> 32) & (own - 1) | 1
+        for i in range(SIEVE_PROBES):
+            yield (at + i * step) & (own - 1)
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
-        last = len(self.words) * 64 - 1
-        at, step = hashes & last, (hashes >> 32) & last | 1
+        own = len(self.words) * 64 // self.parts
+        first = _parts(hashes, self.parts) * own
         held = np.ones(len(hashes), bool)
-        for i in range(SIEVE_PROBES):
-            bit = (at + i * step) & last
+        for bit in self.bits(hashes, own):
+            bit += first
             held &= (self.words[bit >> 6] >> (bit & 63) & 1).astype(bool)
         return held
 
@@ -462,8 +603,8 @@ def _holders(hashed: DataFrame, sieve: Sieve) -> DataFrame:
     shared = hashed.sparkSession.sparkContext.broadcast(sieve)
 
     def any_held(lists: pa.Array) -> np.ndarray:
-        counted = np.r_[0, np.cumsum(shared.value.holds(lists.flatten().to_numpy(zero_copy_only=False)))]
-        ends = np.cumsum(np.r_[0, lists.value_lengths().to_numpy(zero_copy_only=False)])
+        hashes, counts = _longs(lists)
+        counted, ends = np.append(0, np.cumsum(shared.value.holds(hashes))), np.append(0, np.cumsum(counts))
         return counted[ends[1:]] > counted[ends[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,17 +660,17 @@ def _found(rows: DataFrame, sieve: Sieve, crowded: set[int]) -> DataFrame:
             id_type = batch.column(0).type
             has_chunks, has_names = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
             ids, text_hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
+            texts = _utf8(batch.column(2))
             for group in grouped(texts):
                 of, out = [], []
                 cut = Texts([texts[i] for i in group])
                 held = sieve.holds(cut.chunk_hash) & has_chunks[group.start : group.stop][cut.chunk_of]
-                for k in np.flatnonzero(held).tolist():
-                    i, at = int(cut.chunk_of[k]), int(cut.chunk_at[k])
-                    before = cut.unit_hashes(k - 1)[::-1] if at else []
-                    after = cut.unit_hashes(k + 1) if k + 1 < cut.chunk_bounds[i + 1] else []
+                held = np.flatnonzero(held)
+                cut.take(held)
+                last = (cut.chunk_bounds[cut.chunk_of[held] + 1] - 1).tolist()
+                for k, i, at, end, h in zip(held.tolist(), cut.chunk_of[held].tolist(), cut.chunk_at[held].tolist(), last, cut.chunk_hash[held].tolist(), strict=True):
                     of.append(group[i])
-                    out.append((CHUNK, at, int(cut.chunk_hash[k]), b"\n".join(cut.held(k)), before, after, None))
+                    out.append((CHUNK, at, h, b"\n".join(cut.held(k)), cut.unit_hashes(k - 1)[::-1] if at else [], cut.unit_hashes(k + 1) if k < end else [], None))
                 found = Stretches(cut)
                 held = np.flatnonzero(sieve.holds(found.names) & has_names[group.start : group.stop][found.of])
                 windows, begins = found.windows(held)
@@ -701,11 +842,13 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
             texts = [plain[i].encode("utf-8", "surrogatepass") for i in touched]
             for group in grouped(texts):
                 cut = Texts([texts[j] for j in group])
+                whole = [text for text, j in enumerate(group) if copies[touched[j]]]
+                for text, listed in zip(whole, listed_windows(cut, whole) if whole else [], strict=True):
+                    n = int(cut.chunk_bounds[text + 1] - cut.chunk_bounds[text])
+                    out[touched[group[text]]] = _cut(cut, text, dict.fromkeys(range(n), (0, 0)), min_words, listed)
                 for text, j in enumerate(group):
                     i = touched[j]
                     if copies[i]:
-                        n = int(cut.chunk_bounds[text + 1] - cut.chunk_bounds[text])
-                        out[i] = _cut(cut, text, dict.fromkeys(range(n), (0, 0)), min_words, np.array(listed_windows(texts[j]), np.int64))
                         continue
                     own = slice(ends[i], ends[i + 1])
                     of_chunks = chunk[own].astype(bool)
@@ -721,12 +864,9 @@ def _rewritten(marked: DataFrame, text_at: int, min_words: int) -> DataFrame:
 
 def _entries(rows: DataFrame, hashed: DataFrame) -> DataFrame:
     """(text_hash, id, entry) for what goes from the first of equal texts: its chunks and its blocks of windows."""
-    spread = hashed.select("text_hash", F.explode(F.concat("hashes", "names")).alias("hash"))
-    shared = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least <> most").select("hash", "n")
-    repeated = materialise(shared.union(hashed.select(F.explode("twice").alias("hash"), F.lit(1).cast("long").alias("n"))), "repeated")
-    sieve = _sieve(repeated)
-    total = repeated.agg(F.sum("n")).first()[0] or 0
-    crowded = {r["hash"] for r in repeated.where(F.col("n") > max(CROWD, total // CROWD_SHARE)).collect()}
+    repeated, parts = _repeated(hashed)
+    n, total = (x or 0 for x in repeated.agg(F.sum("size"), F.sum("total")).first())
+    sieve, crowded = _part_sieve(repeated, parts, n), _crowded(repeated, max(CROWD, total // CROWD_SHARE))
     holders = materialise(_holders(hashed, sieve).groupBy("text_hash").agg(F.min("id").alias("id"), F.bool_or("chunked").alias("chunked"), F.bool_or("named").alias("named"))
                           .withColumn("key", F.xxhash64("id", "text_hash")), "holders")
     found = materialise(_found(_flagged(rows, holders, "key", ["chunked", "named"]), sieve, crowded), "found")
