@@ -123,6 +123,22 @@ def test_candidate_scores_of_kinds_hold_all_pairs(spark):
     assert all(x["s"] == (own[x["probe"]] if rep[x["probe"]] == rep[x["id"]] else scores[rep[x["probe"]], rep[x["id"]]]) for x in want)
 
 
+def test_candidate_scores_of_all_parts(spark, tmp_path):
+    """Parts of which none has an id divisible by 100, with unlike and missing titles: each is held against every other."""
+    rows = [(1, "red bolt", "PROMO", 3), (2, "red ring", "PROMO", 3), (3, "blue bolt", None, 12), (4, None, "SMALL", 3), (5, "blue bolt", None, 12), (6, None, "SMALL", 3), (7, None, "SMALL", 8), (8, "old plate", "LARGE", None), (9, "red bolt", "SMALL", 2)]
+    part = spark.createDataFrame([(i, name, "b", kind, n, 1.0) for i, name, kind, n in rows], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = entry.queries()["F31_candidate_score"](spark, str(tmp_path)).collect()
+    rep, own = ({r["probe"]: r[c] for r in got if r["row"] == "member"} for c in ("id", "score"))
+    scores = {(r["probe"], r["id"]): r["score"] for r in got if r["row"] == "pair"}
+    a, b = part.alias("a"), part.alias("b")
+    item = {"title": F.concat("b.p_name", F.lit(" vol. "), F.col("b.p_size") % 4), "creator": F.col("b.p_type"), "year": F.col("b.p_size"), "volume": F.lit(None).cast("int"), "identifier": F.lit("x")}
+    score = F.round(archive.candidate_score(F.concat("a.p_name", F.lit(", volume II")), F.col("a.p_type"), F.col("a.p_size"), item), 6)
+    want = a.crossJoin(b).where("a.p_partkey <> b.p_partkey").select(F.col("a.p_partkey").alias("probe"), F.col("b.p_partkey").alias("id"), score.alias("s")).collect()
+    assert rep == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 4, 7: 7, 8: 8, 9: 9} and len(want) == 72 and len(got) == 9 + 7 * 6 == 9 + len(scores)
+    assert all(x["s"] == (own[x["probe"]] if rep[x["probe"]] == rep[x["id"]] else scores[rep[x["probe"]], rep[x["id"]]]) for x in want)
+
+
 def test_accepted_matches_of_many_copies(spark, tmp_path):
     n = 30_000
     part = spark.range(n).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 1000 == 0, "red bolt").otherwise("red ring").alias("p_name"), F.lit("b").alias("p_brand"), F.when(F.col("id") % 2 == 0, "PROMO").otherwise("SMALL").alias("p_type"),

@@ -597,22 +597,26 @@ def objects_and_looks(spark, d):
 
 @query("F31_candidate_score")
 def candidate_score(spark, d):
-    """Scores between kinds of parts, which are those of one name, type and size and go by their least id: from each kind that
-    holds a query, an id divisible by 100, to the others; and each part with its kind, at the score of two parts of that kind."""
+    """Scores between kinds of parts, which are those of one name, type and size and go by their least id: from each kind to all
+    others; and each part with its kind, at the score of two parts of that kind."""
     f = _parts(spark, d)
-    kinds = materialise(f.groupBy("name", "kind", "n").agg(F.min("id").alias("id"), F.bool_or(F.col("id") % 100 == 0).alias("asked")).withColumn("w", F.split_part("name", F.lit(" "), F.lit(1))).withColumn("volume", F.col("n") % 4), "kinds")
-    x, y = kinds.select("w", "name", "kind").distinct().alias("x"), kinds.select("w", "name", "kind", "volume").distinct().alias("y")
-    item = {"title": F.concat("y.name", F.lit(" vol. "), "y.volume"), "creator": F.col("y.kind"), "volume": F.lit(None).cast("int"), "identifier": F.lit("x")}
-    alike = materialise(x.join(y, F.col("x.w") == F.col("y.w")).select(F.col("x.name").alias("name"), F.col("x.kind").alias("kind"), F.col("y.name").alias("other"), F.col("y.kind").alias("creator"), F.col("y.volume").alias("volume"),
-                                                                       archive.candidate_likeness(F.concat("x.name", F.lit(", volume II")), F.col("x.kind"), item).alias("parts")), "alike").alias("s")
+    kinds = materialise(f.groupBy("name", "kind", "n").agg(F.min("id").alias("id")).withColumn("volume", F.col("n") % 4), "kinds")
+
+    def likeness(a, b):
+        item = {"title": F.concat(f"{b}.name", F.lit(" vol. "), f"{b}.volume"), "creator": F.col(f"{b}.kind"), "volume": F.lit(None).cast("int"), "identifier": F.lit("x")}
+        return archive.candidate_likeness(F.concat(f"{a}.name", F.lit(", volume II")), F.col(f"{a}.kind"), item).alias("parts")
+
+    # Few titles stand for many parts: these are dealt over the cores, which go on to the kinds of each.
+    x, y = (spread(kinds.select(*c).distinct()).alias(t) for t, c in (("x", ("name", "kind")), ("y", ("name", "kind", "volume"))))
+    s = x.crossJoin(y).select(F.col("x.name").alias("name"), F.col("x.kind").alias("kind"), F.col("y.name").alias("other"), F.col("y.kind").alias("creator"), F.col("y.volume").alias("volume"), likeness("x", "y")).alias("s")
     a, b = kinds.alias("a"), kinds.alias("b")
-    near = a.join(alike, (F.col("a.name") == F.col("s.name")) & F.col("a.kind").eqNullSafe(F.col("s.kind")))
-    met = near.join(b, (F.col("s.other") == F.col("b.name")) & F.col("s.creator").eqNullSafe(F.col("b.kind")) & F.col("s.volume").eqNullSafe(F.col("b.volume")))
-    scored = met.where(F.col("a.asked") | (F.col("a.id") == F.col("b.id"))).select(F.col("a.id").alias("probe"), F.col("b.id").alias("id"), F.round(archive.candidate_total(F.col("s.parts"), F.col("a.n"), F.col("b.n")), 6).alias("score"))
-    own = scored.where("probe = id").join(kinds.select("id", "name", "kind", "n"), "id").alias("k")
+    near = a.join(s, F.col("a.name").eqNullSafe(F.col("s.name")) & F.col("a.kind").eqNullSafe(F.col("s.kind")))
+    met = near.join(b, F.col("s.other").eqNullSafe(F.col("b.name")) & F.col("s.creator").eqNullSafe(F.col("b.kind")) & F.col("s.volume").eqNullSafe(F.col("b.volume")) & (F.col("a.id") != F.col("b.id")))
+    pairs = met.select(F.lit("pair").alias("row"), F.col("a.id").alias("probe"), F.col("b.id").alias("id"), F.round(archive.candidate_total(F.col("s.parts"), F.col("a.n"), F.col("b.n")), 6).alias("score"))
+    own = spread(kinds).alias("o").select("id", "name", "kind", "n", likeness("o", "o")).withColumn("score", F.round(archive.candidate_total(F.col("parts"), F.col("n"), F.col("n")), 6)).alias("k")
     p = f.alias("p")
-    members = p.join(own, (F.col("p.name") == F.col("k.name")) & F.col("p.kind").eqNullSafe(F.col("k.kind")) & F.col("p.n").eqNullSafe(F.col("k.n")))
-    return scored.where("probe <> id").select(F.lit("pair").alias("row"), "probe", "id", "score").union(members.select(F.lit("member"), "p.id", "k.id", "k.score"))
+    members = p.join(own, F.col("p.name").eqNullSafe(F.col("k.name")) & F.col("p.kind").eqNullSafe(F.col("k.kind")) & F.col("p.n").eqNullSafe(F.col("k.n")))
+    return pairs.union(members.select(F.lit("member"), "p.id", "k.id", "k.score"))
 
 
 @query("F34_family_role", "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'STRIP_TO_BARE' WHEN 2 THEN 'TITLE_DUP' ELSE 'TITLE_MOVE' END AS action, CASE WHEN p_size % 4 = 1 THEN p_name END AS of_whom FROM part")
